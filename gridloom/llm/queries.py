@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, pii, simhash, urls
+from . import fingerprints, mixing, packing, pii, simhash, urls, warc
 from ._shared import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
         pii.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query("op5_warc_archive", warc.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read_table(spark, sf_dir, "pages"))
