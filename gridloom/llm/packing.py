@@ -26,8 +26,12 @@ PIECES = pa.schema(
 PIECES_DDL = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_cost double, ids binary"
 )
-#: Words whose ids one Python worker remembers; the memory is emptied when it is full.
-REMEMBERED_WORDS = 400_000
+#: Words whose ids one Python worker remembers from task to task; the memory is emptied when it is full.
+REMEMBERED_WORDS = 1_000_000
+#: Stands between words that are encoded together; a character that the tokenizer never merges with white space.
+MARK = "\x01"
+#: Punctuation that is encoded apart from a letter or digit before it.
+TRAILING = ".,;:?!*$%&#|"
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -42,7 +46,8 @@ class WordEncoder:
     Valid for tokenizers that split at white space before merging: the ids of a text are
     then those of its words in a row. Only space and newline, which count as white space
     everywhere, are split at here; all else is left to the tokenizer. A text that could
-    hold one of the tokenizer's special tokens is encoded as a whole.
+    hold one of the tokenizer's special tokens, or the mark, is encoded as a whole. The
+    tokenizer is also taken to lower-case ASCII and to part letters from punctuation.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
@@ -52,28 +57,61 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
         self.known: dict[str, bytes] = {"": b""}
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            new = [word for word in dict.fromkeys(words) if word not in self.known]
+        """Words that differ in trailing punctuation or ASCII case only share what is encoded."""
+        parts = []
+        for word in words:
+            core = word.rstrip(TRAILING)
+            tail = word[len(core) :]
+            if not core or not core[-1].isalnum():
+                core, tail = word, ""
+            parts.append((core.lower() if core.isascii() else core, tail))
+        known = self.known
+        self._encode([part for part in {part for pair in parts for part in pair} if part not in known])
+        known.update(zip(words, [known[core] + known[tail] if tail else known[core] for core, tail in parts]))
+
+    def _encode(self, words: list[str]) -> None:
+        """Encode many words at once, with marks between, and take the ids apart at the marks."""
+        between = f" {MARK} "
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(between.join(part), add_special_tokens=False).ids, "<u4")
+            marks = (4 * np.flatnonzero(ids == self.mark)).tolist()
+            if len(marks) != len(part) - 1:
+                raise ValueError("the tokenizer does not split at white space")
+            data = ids.tobytes()
+            self.known.update(zip(part, [data[s:e] for s, e in zip([0, *[m + 4 for m in marks]], [*marks, len(data)])]))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [None if "<|" in text or MARK in text else text.replace("\n", " ").split(" ") for text in texts]
+        known = self.known
+        new = {word for word in set().union(*(words for words in split if words)) if word not in known}
         if len(self.known) + len(new) > self.remembered:
+            if len(texts) > 1:
+                half = len(texts) // 2
+                return self.encode_all(texts[:half]) + self.encode_all(texts[half:])
             self.known = {"": b""}
-            new = list(dict.fromkeys(words))
-        if len(new) > self.remembered:  # more words than are remembered at once
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self._learn([word for word in new if word])
-        return b"".join(map(self.known.__getitem__, words))
+            new = set(split[0] or ()) - {""}
+            if len(new) > self.remembered:
+                return [self._whole(texts[0])]
+        self._learn(list(new))
+        find = self.known.__getitem__
+        return [self._whole(text) if words is None else b"".join(map(find, words)) for text, words in zip(texts, split)]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """This process's encoder; what it remembers never changes the ids."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def powers_of_two(n: int) -> list[int]:
@@ -114,7 +152,7 @@ def assign(lengths: list[int], capacities: list[int], linear: float, quadratic:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, window: int, linear: float, quadratic: float):
-    encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+    encoder, end = encoder_for(path), np.array([end_id], "<u4").tobytes()
     context = TaskContext.get()
     next_id = (context.partitionId() if context else 0) << 36
     pool: list[tuple[int | None, int, bytes, int]] = []  # doc_id, start, ids, the document's tokens
@@ -148,9 +186,14 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int
         pool = [cut(*piece) for piece in over]
         pooled = sum(len(p[2]) // 4 for p in pool)
 
+    def encoded(batch: pa.RecordBatch):
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            texts = [text or "" for text in part.column("text").to_pylist()]
+            yield from zip(part.column("doc_id").to_pylist(), (ids + end for ids in encoder.encode_all(texts)))
+
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids = encoder.encode(text or "") + end
+        for doc_id, ids in encoded(batch):
             total = len(ids) // 4
             whole = total // length * length
             for start in range(0, whole, length):
