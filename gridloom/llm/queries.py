@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, pii, sharding, simhash, urls, warc
+from . import fingerprints, mixing, packing, pii, quality, sharding, simhash, urls, warc
 from ._shared import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_balanced_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_line_crf_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
