@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, pii, quality, sharding, simhash, urls, warc
+from . import fingerprints, media, mixing, packing, pii, quality, sharding, simhash, urls, warc
 from ._shared import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query("op3_progressive_jpeg")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.decode_media(media.store_texts(read_table(spark, sf_dir, "documents")))
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "height", "width", F.lit("3")), F.substring(F.sha2("rgb", 256), 1, 32)).alias("feature"),
+    )
