@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import partial
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,16 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters by which byte-level BPE writes bytes: those of Latin-1 that are seen, and 256 onwards for the others."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in seen]
+    return {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class WordEncoder:
     """Ids of texts, word by word, as little-endian unsigned 32-bit bytes.
 
@@ -47,7 +59,8 @@ class WordEncoder:
     then those of its words in a row. Only space and newline, which count as white space
     everywhere, are split at here; all else is left to the tokenizer. A text that could
     hold one of the tokenizer's special tokens, or the mark, is encoded as a whole. The
-    tokenizer is also taken to lower-case ASCII and to part letters from punctuation.
+    tokenizer is also taken to compose and lower-case characters, to part letters from
+    punctuation, and to merge the bytes of a run of letters, as word_bpe_49k does.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
@@ -55,6 +68,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.remembered = remembered
         self.known: dict[str, bytes] = {"": b""}
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
@@ -68,10 +82,29 @@ class WordEncoder:
             if not core or not core[-1].isalnum():
                 core, tail = word, ""
             parts.append((core.lower() if core.isascii() else core, tail))
-        known = self.known
-        self._encode([part for part in {part for pair in parts for part in pair} if part not in known])
+        known, other = self.known, []
+        for part in {part for pair in parts for part in pair}:
+            if part not in known and not self._merge(part):
+                other.append(part)
+        self._encode(other)
         known.update(zip(words, [known[core] + known[tail] if tail else known[core] for core, tail in parts]))
 
+    def _merge(self, word: str) -> bool:
+        """Give a word of letters, which the tokenizer does not split, to its merges directly."""
+        if not word.isascii():
+            if not is_normalized("NFC", word):
+                return False
+            lower = "".join([c.lower() for c in word])
+            if not lower.isalpha():
+                return False
+            found = self.model.tokenize(lower.encode().decode("latin-1").translate(_BYTE_CHARS))
+        elif word.isalpha():
+            found = self.model.tokenize(word.lower())
+        else:
+            return False
+        self.known[word] = array("I", [token.id for token in found]).tobytes()
+        return True
+
     def _encode(self, words: list[str]) -> None:
         """Encode many words at once, with marks between, and take the ids apart at the marks."""
         between = f" {MARK} "
