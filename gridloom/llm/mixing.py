@@ -76,6 +76,25 @@ def thresholds(units: DataFrame, budgets: DataFrame, few: bool, bits: int = 12)
     return edge.where("b is not null").select("s", (F.col("b.bucket") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
 
 
+def _planned(docs: DataFrame, weights: tuple[float, ...], most: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, h) of every document, and what each source takes: (g, source_size, target, whole, threshold)."""
+    units = materialise(
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), unit_hash(F.col("doc_id")).alias("h")), "mix-units"
+    )
+    sizes = materialise(units.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    few = sizes.count() <= BROADCAST_SOURCES
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(0)
+    goals = materialise(targets(sizes, weights, most).withColumn("whole", whole.cast("long")), "mix-goals")
+    budgets = goals.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
+    cut = thresholds(units, budgets, few)
+    goals = materialise(goals.join(cut, goals["source"].eqNullSafe(cut["s"]), "left").drop("s").withColumnRenamed("source", "g"), "mix-cuts")
+    return units, F.broadcast(goals) if few else goals
+
+
+def _copies() -> Column:
+    return F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """(doc_id, source, text) -> doc_id, size, source_size, target, copies, taken.
 
@@ -86,26 +105,24 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: f
     a hash and are taken together. Null source is a source of its own, ordered last. A source
     without words takes nothing. Other columns are not read; an empty table gives no row.
     """
-    units = materialise(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), unit_hash(F.col("doc_id")).alias("h")), "mix-units"
-    )
-    sizes = materialise(units.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    few = sizes.count() <= BROADCAST_SOURCES
-    goals = targets(sizes, weights, most)
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(0)
-    goals = materialise(goals.withColumn("whole", whole.cast("long")), "mix-goals")
-    budgets = goals.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    cut = thresholds(units, budgets, few)
-    goals = goals.join(cut, goals["source"].eqNullSafe(cut["s"]), "left").drop("s").withColumnRenamed("source", "g")
-    goals = F.broadcast(goals) if few else goals
-    copies = F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+    units, goals = _planned(docs, weights, most)
     return (
         units.join(goals, units["source"].eqNullSafe(goals["g"]))
-        .withColumn("copies", copies)
+        .withColumn("copies", _copies())
         .select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
+    """The rows of docs, each as often as mix_sources() takes it. Texts are not shuffled."""
+    _, goals = _planned(docs, weights, most)
+    own = [F.col(f"d.`{c}`") for c in docs.columns]
+    marked = docs.alias("d").join(goals.alias("m"), F.col("d.source").eqNullSafe(F.col("m.g")))
+    copies = F.expr("m.whole") + F.when(unit_hash(F.col("d.doc_id")) < F.col("m.threshold"), 1).otherwise(0)
+    repeated = marked.withColumn("__copies", copies.cast("int")).where("__copies > 0")
+    return repeated.select(*own, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
+
+
 ORACLE = r"""
 WITH u AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: The model learns from so many labelled documents at most, those with the smallest hash of their doc_id.
 TRAINING_DOCS = 3000
@@ -198,7 +199,7 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: LineCrf, most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], model: LineCrf, without: str | None, most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = _utf8(batch.column("text"))
         found, at = [], 0
@@ -209,10 +210,9 @@ def _scores(batches: Iterator[pa.RecordBatch], model: LineCrf, most_bytes: int =
                 end += 1
             found.append(model.score(texts[at:end]))
             at = end
-        rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
-        names = [name for name in batch.schema.names if name != "text"]
         scores = np.concatenate(found) if found else np.empty(0)
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(scores)], [*names, "score"])
+        names = [name for name in batch.schema.names if name != without]
+        yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in names], pa.array(scores)], [*names, "__score"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> LineCrf:
@@ -243,5 +243,11 @@ def score_documents(docs: DataFrame, model: LineCrf) -> DataFrame:
     its own, so nulls and repeats in other columns do not matter; they are not read.
     """
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = rows.mapInArrow(partial(_scores, model=model), "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = rows.mapInArrow(partial(_scores, model=model, without="text"), "doc_id long, held_out boolean, __score double")
+    return scored.withColumnRenamed("__score", "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def good_documents(docs: DataFrame, model: LineCrf) -> DataFrame:
+    """The rows of docs that score 0.5 or more, with all their columns."""
+    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
+    return docs.mapInArrow(partial(_scores, model=model, without=None), schema).where(F.col("__score") >= 0.5).drop("__score")

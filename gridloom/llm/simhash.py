@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialise
@@ -194,3 +194,16 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
         "simhash-components",
     )
     return prints.join(nodes, prints["fingerprint"] == nodes["fp"]).select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 3) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, one row for each doc_id.
+
+    Of rows that share a doc_id the one with the smallest text stays. Rows without doc_id stay
+    unless a document with one is reachable from all of them.
+    """
+    found = near_duplicates(docs, distance)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    own = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return own.withColumn("__copy", first).where("__copy = 1 or doc_id is null").drop("__copy")
