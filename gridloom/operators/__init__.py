@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Operators over matrices, rows, points and residuals."""

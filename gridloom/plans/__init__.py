@@ -1 +1 @@
-"""See the README for what lives here."""
+"""The registered queries."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Files that hold matrices and vectors."""

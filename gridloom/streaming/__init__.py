@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Empty: no operator of this library takes an unbounded stream; its sums (normal equations, Gram matrices, covariances) merge."""
