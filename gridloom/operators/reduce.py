@@ -69,7 +69,9 @@ def strict_mean(a: Matrix, axis: str = ALL) -> DataFrame:
     chunks = scaled.groupBy("lane", F.floor(F.col("at") / CHUNK).alias("chunk")).agg(C.compensated_sum(F.col("at"), F.col("x")).alias("f"))
     both = chunks.select("lane", F.explode(F.array(F.struct((2 * F.col("chunk")).alias("o"), F.col("f.s").alias("x")), F.struct((2 * F.col("chunk") + 1).alias("o"), F.col("f.c").alias("x")))).alias("e"))
     sums = both.groupBy("lane").agg(C.compensated_sum(F.col("e.o"), F.col("e.x")).alias("f"))
-    ordinary = (F.col("f.s") + F.col("f.c")) / F.col("n") * F.col("scale")
+    folded = F.col("f.s") + F.col("f.c")
+    whole = folded * F.col("scale")  # overflows only where the sum does
+    ordinary = F.when(C.finite(whole), whole / F.col("n")).otherwise(folded / F.col("n") * F.col("scale"))
     special = F.when(F.col("nan") | (F.col("up") & F.col("down")), C.NAN).when(F.col("up"), C.INF).when(F.col("down"), -C.INF)
     return facts.join(sums, "lane", "left").select("lane", F.coalesce(special, ordinary).alias("v"))
 
