@@ -30,8 +30,6 @@ PIECES_DDL = (
 )
 #: Words whose ids one Python worker remembers from task to task; the memory is emptied when it is full.
 REMEMBERED_WORDS = 1_000_000
-#: Stands between words that are encoded together; a character that the tokenizer never merges with white space.
-MARK = "\x01"
 #: Punctuation that is encoded apart from a letter or digit before it.
 TRAILING = ".,;:?!*$%&#|"
 
@@ -52,89 +50,67 @@ def _byte_chars() -> dict[int, str]:
 _BYTE_CHARS = _byte_chars()
 
 
-class WordEncoder:
-    """Ids of texts, word by word, as little-endian unsigned 32-bit bytes.
+class WordIds(dict):
+    """Ids of words as little-endian unsigned 32-bit bytes; a word that is missing is encoded when it is asked for.
 
-    Valid for tokenizers that split at white space before merging: the ids of a text are
-    then those of its words in a row. Only space and newline, which count as white space
-    everywhere, are split at here; all else is left to the tokenizer. A text that could
-    hold one of the tokenizer's special tokens, or the mark, is encoded as a whole. The
-    tokenizer is also taken to compose and lower-case characters, to part letters from
-    punctuation, and to merge the bytes of a run of letters, as word_bpe_49k does.
+    Words that differ in trailing punctuation or ASCII case only share what is encoded.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.merges = self.tokenizer.model.tokenize
         self.remembered = remembered
-        self.known: dict[str, bytes] = {"": b""}
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-
-    def _learn(self, words: list[str]) -> None:
-        """Words that differ in trailing punctuation or ASCII case only share what is encoded."""
-        parts = []
-        for word in words:
-            core = word.rstrip(TRAILING)
-            tail = word[len(core) :]
-            if not core or not core[-1].isalnum():
-                core, tail = word, ""
-            parts.append((core.lower() if core.isascii() else core, tail))
-        known, other = self.known, []
-        for part in {part for pair in parts for part in pair}:
-            if part not in known and not self._merge(part):
-                other.append(part)
-        self._encode(other)
-        known.update(zip(words, [known[core] + known[tail] if tail else known[core] for core, tail in parts]))
-
-    def _merge(self, word: str) -> bool:
-        """Give a word of letters, which the tokenizer does not split, to its merges directly."""
-        if not word.isascii():
-            if not is_normalized("NFC", word):
-                return False
-            lower = "".join([c.lower() for c in word])
-            if not lower.isalpha():
-                return False
-            found = self.model.tokenize(lower.encode().decode("latin-1").translate(_BYTE_CHARS))
-        elif word.isalpha():
-            found = self.model.tokenize(word.lower())
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(TRAILING)
+        if len(core) < len(word) and core and core[-1].isalnum():
+            ids = self[core] + self[word[len(core) :]]
+        elif word.isascii() and not word.islower() and word.lower() != word:
+            ids = self[word.lower()]
         else:
-            return False
-        self.known[word] = array("I", [token.id for token in found]).tobytes()
-        return True
-
-    def _encode(self, words: list[str]) -> None:
-        """Encode many words at once, with marks between, and take the ids apart at the marks."""
-        between = f" {MARK} "
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(between.join(part), add_special_tokens=False).ids, "<u4")
-            marks = (4 * np.flatnonzero(ids == self.mark)).tolist()
-            if len(marks) != len(part) - 1:
-                raise ValueError("the tokenizer does not split at white space")
-            data = ids.tobytes()
-            self.known.update(zip(part, [data[s:e] for s, e in zip([0, *[m + 4 for m in marks]], [*marks, len(data)])]))
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in text or MARK in text else text.replace("\n", " ").split(" ") for text in texts]
-        known = self.known
-        new = {word for word in set().union(*(words for words in split if words)) if word not in known}
-        if len(self.known) + len(new) > self.remembered:
-            if len(texts) > 1:
-                half = len(texts) // 2
-                return self.encode_all(texts[:half]) + self.encode_all(texts[half:])
-            self.known = {"": b""}
-            new = set(split[0] or ()) - {""}
-            if len(new) > self.remembered:
-                return [self._whole(texts[0])]
-        self._learn(list(new))
-        find = self.known.__getitem__
-        return [self._whole(text) if words is None else b"".join(map(find, words)) for text, words in zip(texts, split)]
+            ids = self._encoded(word)
+        if len(self) >= self.remembered:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _encoded(self, word: str) -> bytes:
+        """A word of letters, which the tokenizer does not split, goes to its merges directly."""
+        if word.isalpha():
+            if word.isascii():
+                return array("I", [token.id for token in self.merges(word)]).tobytes()
+            lower = "".join([c.lower() for c in word])
+            if lower.isalpha() and is_normalized("NFC", word):
+                written = lower.encode().decode("latin-1").translate(_BYTE_CHARS)
+                return array("I", [token.id for token in self.merges(written)]).tobytes()
+        return self.whole(word)
+
+
+class WordEncoder:
+    """Ids of texts, word by word, as little-endian unsigned 32-bit bytes.
+
+    Valid for tokenizers that split at white space before merging: the ids of a text are
+    then those of its words in a row. Only space and newline, which count as white space
+    everywhere, are split at here; all else is left to the tokenizer. A text that could
+    hold one of the tokenizer's special tokens is encoded as a whole. The tokenizer is also
+    taken to compose and lower-case characters, to part letters from punctuation, and to
+    merge the bytes of a run of letters, as word_bpe_49k does.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
+        self.words = WordIds(path, remembered)
+
+    def encode(self, text: str) -> bytes:
+        if "<|" in text:
+            return self.words.whole(text)
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -219,14 +195,9 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int
         pool = [cut(*piece) for piece in over]
         pooled = sum(len(p[2]) // 4 for p in pool)
 
-    def encoded(batch: pa.RecordBatch):
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
-            texts = [text or "" for text in part.column("text").to_pylist()]
-            yield from zip(part.column("doc_id").to_pylist(), (ids + end for ids in encoder.encode_all(texts)))
-
     for batch in batches:
-        for doc_id, ids in encoded(batch):
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            ids = encoder.encode(text or "") + end
             total = len(ids) // 4
             whole = total // length * length
             for start in range(0, whole, length):
