@@ -33,40 +33,63 @@ def _ranked(df: DataFrame, part: list[str], name: str) -> DataFrame:
     return ranked(df.withColumn("cell", _cell()), part, "cell", [F.col(c) for c in ORDER], name).drop("cell")
 
 
-def propagate(linked: DataFrame, quota: Column, shards: int, rounds: int) -> DataFrame:
+def accepted_moves(demand: dict[tuple[int, int], int], loads: dict[int, int], quotas: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the rows that wish to move from a to b may: as many as wish to move back, and what b has room for.
+
+    Exchanges keep every load as it is, so shards that are full still sort themselves out.
+    """
+    allowed = {(a, b): min(n, demand.get((b, a), 0)) for (a, b), n in demand.items()}
+    for b, quota in enumerate(quotas):
+        room = max(quota - loads.get(b, 0), 0)
+        for a in range(len(quotas)):
+            more = min(demand.get((a, b), 0) - allowed.get((a, b), 0), room)
+            if more > 0:
+                allowed[a, b] += more
+                room -= more
+    return {pair: n for pair, n in allowed.items() if n}
+
+
+def propagate(linked: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     """Label propagation over linked rows (group, label, ...): returns them with new labels.
 
     In each round every group counts its rows by label (summed before the shuffle) and its
-    rows wish for the label that most of them have, the lowest of equals. A shard takes wishes
-    up to the room under its quota, whole groups in the order of their hash, so at most one
-    group is taken in part. Nothing depends on the order of rows or tasks.
+    rows wish for the label that most of them have; a hash of the group decides between equals,
+    so that wishes spread over the shards. What reaches the driver is how many rows wish to move from each shard to each other. Moves are accepted by
+    the hash of the group, the same order for all pairs of shards, so few groups move in part.
+    Nothing depends on the order of rows or tasks. Ends early when no move is left.
     """
+    shards = len(quotas)
     for _ in range(rounds):
         counts = linked.groupBy("group", "label").agg(F.count(F.lit(1)).alias("c"))
-        wish = counts.groupBy("group").agg(F.max(F.struct("c", (-F.col("label")).alias("l")))["l"].alias("l"))
-        wish = wish.select(F.col("group").alias("g"), (-F.col("l")).alias("wish"))
-        loads = counts.groupBy("label").agg(F.sum("c").alias("load"))
-        room = loads.sparkSession.range(shards).select(F.col("id").cast("int").alias("wish")).join(
-            loads.withColumnRenamed("label", "wish"), "wish", "left"
-        ).select("wish", F.greatest(quota - F.coalesce("load", F.lit(0)), F.lit(0)).alias("room"))
-        wishes = linked.join(wish, linked["group"] == wish["g"]).drop("g")
-        movers = _ranked(wishes.where("wish <> label"), ["wish"], "rank").join(F.broadcast(room), "wish")
-        movers = movers.select(*linked.columns[:-1], F.when(F.col("rank") < F.col("room"), F.col("wish")).otherwise(F.col("label")).alias("label"))
-        settled = wishes.where("wish = label").select(*linked.columns)
-        moved = materialise(settled.unionByName(movers.select(*linked.columns)), "labels")
+        best = F.max(F.struct("c", F.xxhash64("group", "label").alias("tie"), "label"))["label"]
+        wish = counts.groupBy(F.col("group").alias("g")).agg(best.alias("wish"))
+        wishes = linked.join(wish, F.col("group") == F.col("g")).drop("g")
+        wishes = materialise(wishes, "wishes")
+        pairs = {(r["label"], r["wish"]): r["count"] for r in wishes.groupBy("label", "wish").count().collect()}
+        loads: dict[int, int] = {}
+        for (a, _), n in pairs.items():
+            loads[a] = loads.get(a, 0) + n
+        moves = accepted_moves({pair: n for pair, n in pairs.items() if pair[0] != pair[1]}, loads, quotas)
+        if not moves:
+            return linked
+        most = F.coalesce(*[F.when(F.col("pair") == a * shards + b, F.lit(n)) for (a, b), n in moves.items()], F.lit(0))
+        movers = _ranked(wishes.where("wish <> label").withColumn("pair", F.col("label") * shards + F.col("wish")), ["pair"], "rank")
+        movers = movers.withColumn("label", F.when(F.col("rank") < most, F.col("wish")).otherwise(F.col("label")))
+        moved = materialise(wishes.where("wish = label").select(*linked.columns).unionByName(movers.select(*linked.columns)), "labels")
         drop_scratch(linked)
+        drop_scratch(wishes)
         linked = moved
     return linked
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     """(doc_id, text) -> doc_id, size, text_crc32, law, shard, slot, grown_shard; the law is `rows`.
 
     Rows with equal texts are linked (null counts as the empty text). Linked rows start with a
-    label by hash and propagate labels under the quota of rows that each shard may have. Then
-    every shard keeps its linked rows up to its quota, and what it can't keep and the rows
-    without links fill the shards that have room. So the counts of any two shards differ by
-    one at most, and equal texts are cut apart only where a shard is full. slot numbers the
+    label by hash and propagate labels under the quota of rows that each shard may have, for
+    `rounds` rounds at most. Then every shard keeps its linked rows up to its quota, and what
+    it can't keep and the rows without links fill the shards that have room. So the counts of
+    any two shards differ by one at most, and few equal texts are cut apart. slot numbers the
     rows of a shard from 0 without gaps; grown_shard is null under this law.
 
     Null and repeated doc_ids are rows like any other; rows equal in both columns are dealt
@@ -86,22 +109,21 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3) -> DataFr
     )
     rows = materialise(rows, "shard-rows")
     total = rows.count()
-    quota_of = lambda shard: F.lit(total // shards) + F.when(shard < total % shards, 1).otherwise(0)
+    quotas = [total // shards + (at < total % shards) for at in range(shards)]
     copies = rows.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = materialise(
         rows.join(copies, rows["group"] == copies["g"], "left").drop("g").withColumn("n", F.coalesce("n", F.lit(1)).cast("long")), "shard-groups"
     )
     start = F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")
     linked = materialise(rows.where("n > 1").withColumn("label", start), "labels")
-    linked = propagate(linked, quota_of(F.col("wish")), shards, rounds)
-    placed = materialise(
-        _ranked(linked, ["label"], "rank").withColumn("kept", F.col("rank") < quota_of(F.col("label"))).drop("rank"), "shard-linked"
-    )
+    linked = propagate(linked, quotas, rounds)
+    quota = F.get(F.array(*[F.lit(n) for n in quotas]), F.col("label"))
+    placed = materialise(_ranked(linked, ["label"], "rank").withColumn("kept", F.col("rank") < quota).drop("rank"), "shard-linked")
     # room that is left in each shard: one number for each reaches the driver
     load = dict(placed.where("kept").groupBy("label").count().collect())
     shard, first = F.lit(None).cast("int"), 0
     for at in range(shards):
-        first += total // shards + (at < total % shards) - load.get(at, 0)
+        first += quotas[at] - load.get(at, 0)
         shard = F.coalesce(shard, F.when(F.col("rank") < first, F.lit(at)))
     pool = placed.where("not kept").drop("label", "kept").unionByName(rows.where("n = 1"))
     pool = _ranked(pool.withColumn("all", F.lit(0)), ["all"], "rank").drop("all")
