@@ -305,7 +305,14 @@ class Scan:
 
 
 def decode(data: bytes) -> Frame:
-    """Coefficients of a baseline, extended or progressive Huffman-coded JPEG of 8 bits."""
+    """Coefficients of a baseline, extended or progressive Huffman-coded JPEG of 8 bits; ValueError or EOFError if it is damaged."""
+    try:
+        return _decode(data)
+    except (IndexError, KeyError, TypeError, AttributeError, struct.error) as e:
+        raise ValueError("a damaged JPEG") from e
+
+
+def _decode(data: bytes) -> Frame:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     at, frame, restart = 2, None, 0

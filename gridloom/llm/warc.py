@@ -180,11 +180,9 @@ def records(file, wanted, with_block: bool) -> Iterator[tuple[dict[str, str], by
         if source.buffer[source.at : source.at + 2] == b"\r\n":
             source.skip(2)
             continue
-        n = 4096
         while (end := source.buffer.find(b"\r\n\r\n", source.at)) < 0:
-            if not source.more(n):
+            if not source.more(len(source.buffer) - source.at + 1):
                 raise EOFError("an archive ends within a header")
-            n = len(source.buffer) - source.at + 4096
         headers = parse_head(source.buffer[source.at : end])
         length = int(headers.get("content-length", 0))
         source.at = end + 4
