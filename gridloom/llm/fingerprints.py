@@ -183,7 +183,7 @@ def fingerprint_documents(docs: DataFrame, rule: Chunking = Chunking(), ranges:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = ranges or 4 * partitions
-    quantiles = rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))
+    quantiles = rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
     cuts = sorted({int(q) for q in quantiles})
     longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
     steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)]) if cuts else F.array(F.lit(0))
