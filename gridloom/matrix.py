@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,13 +57,11 @@ class Matrix:
     def of(spark: SparkSession, values: np.ndarray | Iterable) -> Matrix:
         """A matrix that is at the driver."""
         a = np.asarray(values)
-        a = a if a.dtype.kind == "i" else a.astype(float)
+        a = a.astype(np.int64) if a.dtype.kind == "i" else a.astype(float)
         if a.ndim != 2:
             raise ValueError("a matrix has two dimensions")
-        kind = "bigint" if a.dtype.kind == "i" else "double"
         r, c = np.indices(a.shape)
-        table = list(zip(r.ravel().tolist(), c.ravel().tolist(), a.ravel().tolist()))
-        return Matrix(spark.createDataFrame(table, f"row bigint, col bigint, v {kind}"), *a.shape)
+        return Matrix(spark.createDataFrame(pa.table({"row": r.ravel(), "col": c.ravel(), "v": a.ravel()})), *a.shape)
 
     @staticmethod
     def from_arrays(df: DataFrame, row: str, values: str, rows: int, cols: int) -> Matrix:

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
 from ..matrix import DRIVER_ELEMENTS, Matrix
 from .products import gram
@@ -15,6 +14,8 @@ from .products import gram
 PIVOT = 1e-15
 #: Up to so many rows the left factors are completed to squares.
 FULL_ROWS = 4096
+#: So many n x n factors reach the driver from a tall matrix.
+STACKS = 16
 
 
 @dataclass(frozen=True)
@@ -83,9 +84,8 @@ def qr(a: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> tuple[Matrix, Matri
         if len(held):
             yield pa.RecordBatch.from_arrays([pa.array(list(map(list, held)))], ["values"])
 
-    rows: DataFrame = a.row_arrays().select("values").mapInArrow(part, "values array<double>")
-    while rows.rdd.getNumPartitions() > 64:  # factor the parts' factors, eight at a time
-        rows = rows.coalesce(max(1, rows.rdd.getNumPartitions() // 8)).mapInArrow(part, "values array<double>")
+    rows = a.row_arrays().select("values").mapInArrow(part, "values array<double>")
+    rows = rows.repartition(STACKS).mapInArrow(part, "values array<double>")  # the tasks' factors, stacked and factored again
     r = np.triu(np.linalg.qr(np.array([row["values"] for row in rows.collect()]), mode="r"))
     if np.abs(np.diag(r)).min() < PIVOT:
         raise ValueError("the columns are dependent; a tall matrix needs full rank here")
