@@ -2,48 +2,31 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words as the operators count them: runs of anything but ASCII white space.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
+from ..scratch import materialise, scratch_dir
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: spark.checkpoint.dir, else one of our own.
+__all__ = ["WORD_PATTERN", "ascii_lower", "drop_scratch", "materialise", "ranked", "read_table", "scratch_dir", "scratch_path"]
 
-    Without that setting a local session gets a temporary folder and any other session
-    the warehouse, which executors share.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = spark.conf.get("spark.master", "local").split("[")[0] == "local"
-        found = os.path.join(tempfile.gettempdir(), "checkpoints") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return found.rstrip("/") + "/gridloom"
+#: Words as the operators count them: runs of anything but ASCII white space.
+WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_scratch(df: DataFrame) -> None:
-    """Delete the scratch table that df reads; nothing lazy may still need it."""
+    """Delete the scratch table that df reads, if it reads one; nothing lazy may still need it."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
+    own = urlparse(scratch_dir(spark)).path.rstrip("/") + "/"
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if "/gridloom/" in folder:
+        if urlparse(folder).path.startswith(own):
             path = hadoop.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -9,9 +9,9 @@ from ._shared import drop_scratch, materialise, ranked
 
 #: Cells in which ranks are counted; the tables of cell sizes have a few times as many rows at most.
 CELLS = 4096
-#: A group with more rows than this is spread over SUB_CELLS cells where rows are ranked.
-LARGE_GROUP = 1000
-SUB_CELLS = 64
+#: Where rows are ranked, a group with more rows than this has a cell for each so many rows, up to SUB_CELLS.
+LARGE_GROUP = 10_000
+SUB_CELLS = 1024
 
 
 def text_bytes(text: Column) -> Column:
@@ -19,10 +19,11 @@ def text_bytes(text: Column) -> Column:
 
 
 def _cell() -> Column:
-    """Cells follow the hash of the group; a large group has cells of its own behind them, by the document's hash."""
-    by_group = F.pmod(F.col("group"), F.lit(CELLS)).cast("int")
-    by_row = CELLS + F.pmod(F.col("group"), F.lit(CELLS // SUB_CELLS)).cast("int") * SUB_CELLS + F.pmod(F.col("h"), F.lit(SUB_CELLS)).cast("int")
-    return F.when(F.col("n") > LARGE_GROUP, by_row).otherwise(by_group)
+    """Cells follow the hash of the group; the rows of a large group are spread over cells behind those of the others."""
+    by_group = F.pmod(F.col("group"), F.lit(CELLS))
+    own = F.least(F.ceil(F.col("n") / LARGE_GROUP), F.lit(SUB_CELLS))
+    by_row = CELLS + F.pmod(F.col("group"), F.lit(CELLS // SUB_CELLS)) * SUB_CELLS + F.pmod(F.col("h"), own)
+    return F.when(F.col("n") > LARGE_GROUP, by_row).otherwise(by_group).cast("int")
 
 
 ORDER = ["group", "h", "doc_id", "text_crc32", "row"]

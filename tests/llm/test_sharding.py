@@ -39,7 +39,7 @@ def test_groups_stay_together(docs_of):
 
 
 def test_a_third_of_all_rows_are_copies(docs_of, monkeypatch):
-    monkeypatch.setattr(S, "LARGE_GROUP", 100)
+    monkeypatch.setattr(S, "LARGE_GROUP", 50)
     rows = [(i, "hot" if i % 3 == 0 else f"text {i // 2}") for i in range(900)]
     got = S.shard_documents(docs_of(rows)).collect()
     check(rows, got)
