@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, packing, pii, quality, simhash
-from gridloom.llm._shared import materialise, read_table
+from gridloom.llm._shared import drop_scratch, materialise, read_table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each stage's rows are written before the next reads them."""
+    """All stages over the documents of sf_dir; each stage's rows are written before the next reads them, then dropped."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_scratch(before)
     return STAGES[-1][1](spark, docs, sf_dir)
