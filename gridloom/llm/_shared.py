@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialise, scratch_dir
+from ..shipping import send_package
 
 __all__ = ["WORD_PATTERN", "ascii_lower", "drop_scratch", "materialise", "ranked", "read_table", "scratch_dir", "scratch_path"]
 
@@ -32,6 +33,8 @@ def drop_scratch(df: DataFrame) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the corpus; this is also where executors get the package."""
+    send_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
