@@ -286,6 +286,7 @@ def huber_loss(spark, sf_dir):
 
 # --- Small kernels, by supplier ---------------------------------------------------------------
 
+_ROUND4 = _ROUND.replace(", 6)", ", 4)")
 _BY_SUPPLIER = f"{CLOUD}, c AS (SELECT l_suppkey, {_COV} FROM cloud GROUP BY l_suppkey HAVING count(*) >= 2)"
 
 
@@ -298,22 +299,22 @@ def _pick(array: str, i: int) -> Column:
     return F.get(array, F.lit(i))
 
 
-@query("eigh3_reconstructs", f"WITH {_BY_SUPPLIER} SELECT l_suppkey, {_ROUND} FROM c")
+@query("eigh3_reconstructs", f"WITH {_BY_SUPPLIER} SELECT l_suppkey, {_ROUND4} FROM c")
 def eigh3_reconstructs(spark, sf_dir):
     """V diag(w) VT of each supplier's covariance."""
     made = small.symmetric_eigh3(by_supplier(spark, sf_dir).withColumn("c", F.array(*_NAMES)), "c", "l_suppkey")
     cell = lambda i, j: sum((_pick("eigenvalues", k) * _pick("eigenvectors", 3 * k + i) * _pick("eigenvectors", 3 * k + j) for k in range(1, 3)), _pick("eigenvalues", 0) * _pick("eigenvectors", i) * _pick("eigenvectors", j))
     places = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
-    return made.select("l_suppkey", *[r6(cell(i, j)).alias(n) for n, (i, j) in zip(_NAMES, places)])
+    return made.select("l_suppkey", *[(F.round(cell(i, j), 4) + 0.0).alias(n) for n, (i, j) in zip(_NAMES, places)])
 
 
-@query("svd3_reconstructs", f"WITH {_BY_SUPPLIER} SELECT l_suppkey, {_ROUND} FROM c")
+@query("svd3_reconstructs", f"WITH {_BY_SUPPLIER} SELECT l_suppkey, {_ROUND4} FROM c")
 def svd3_reconstructs(spark, sf_dir):
     full = F.array("cxx", "cxy", "cxz", "cxy", "cyy", "cyz", "cxz", "cyz", "czz")
     made = small.svd3(by_supplier(spark, sf_dir).withColumn("m", full), "m")
     cell = lambda i, j: sum((_pick("u", 3 * i + k) * _pick("s", k) * _pick("vt", 3 * k + j) for k in range(1, 3)), _pick("u", 3 * i) * _pick("s", 0) * _pick("vt", j))
     places = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
-    return made.select("l_suppkey", *[r6(cell(i, j)).alias(n) for n, (i, j) in zip(_NAMES, places)])
+    return made.select("l_suppkey", *[(F.round(cell(i, j), 4) + 0.0).alias(n) for n, (i, j) in zip(_NAMES, places)])
 
 
 @query("solve_small", f"WITH {_BY_SUPPLIER} SELECT l_suppkey, 1.0::DOUBLE AS x0, CAST(-2 AS DOUBLE) AS x1, CAST(3 AS DOUBLE) AS x2 FROM c")
