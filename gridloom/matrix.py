@@ -90,6 +90,28 @@ class Matrix:
     def transpose(self) -> Matrix:
         return Matrix(self.df.select(F.col("col").alias("row"), F.col("row").alias("col"), "v"), self.cols, self.rows)
 
+    def __add__(self, other: Matrix | float) -> Matrix:
+        from .operators import elementwise as e
+
+        return e.add(self, other) if isinstance(other, Matrix) else e.scalar_add(self, other)
+
+    def __sub__(self, other: Matrix | float) -> Matrix:
+        from .operators import elementwise as e
+
+        return e.sub(self, other) if isinstance(other, Matrix) else e.scalar_add(self, -other)
+
+    def __mul__(self, alpha: float) -> Matrix:
+        from .operators import elementwise as e
+
+        return e.scalar_multiply(self, alpha)
+
+    __radd__, __rmul__ = __add__, __mul__
+
+    def __matmul__(self, other: Matrix) -> Matrix:
+        from .operators import products
+
+        return products.gemm(self, other)
+
     def row_arrays(self) -> DataFrame:
         """The row form (row, values): the elements of each row in column order."""
         cells = F.array_sort(F.collect_list(F.struct("col", "v")))

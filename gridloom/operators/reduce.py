@@ -116,6 +116,16 @@ def arg_max(a: Matrix, axis: str = ALL) -> DataFrame:
     return _extreme(a, axis, True, True)
 
 
+def dot(x: DataFrame, y: DataFrame) -> float:
+    """The inner product of two vectors (row, v); absent rows count as 0."""
+    pairs = x.select("row", "v").join(y.select("row", F.col("v").alias("w")), "row")
+    return float(pairs.agg(F.sum(F.col("v") * F.col("w"))).first()[0] or 0.0)
+
+
+def vector_norm(x: DataFrame) -> float:
+    return float(x.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0] or 0.0)
+
+
 def finite_median(v: Column) -> Column:
     """Aggregate: the median of the finite values; null if there are none. Values far apart do not overflow."""
     kept = F.when(C.finite(v), v)

@@ -93,6 +93,8 @@ on_embeddings("ew_sub", lambda a: elementwise.sub(a, other(a)), "v - (abs(v) + 1
 on_embeddings("ew_scalar_multiply", lambda a: elementwise.scalar_multiply(a, 1.5), "v * 1.5::DOUBLE")
 on_embeddings("ew_scalar_add", lambda a: elementwise.scalar_add(a, 0.25), "v + 0.25::DOUBLE")
 on_embeddings("ew_scalar_divide", lambda a: elementwise.scalar_divide(a, 3.0), "v / 3.0::DOUBLE")
+on_embeddings("ew_alpha_times", lambda a: 1.5 * a, "1.5::DOUBLE * v")
+on_embeddings("ew_alpha_plus", lambda a: 0.25 + a, "0.25::DOUBLE + v")
 on_embeddings("ew_hadamard_multiply", lambda a: elementwise.hadamard_multiply(a, other(a)), "v * (abs(v) + 1.0)")
 on_embeddings("ew_hadamard_divide", lambda a: elementwise.hadamard_divide(a, other(a)), "v / (abs(v) + 1.0)")
 on_embeddings("ew_abs", elementwise.absolute, "abs(v)")
@@ -569,7 +571,7 @@ def block_pcg(spark, sf_dir):
 @query("pcg_fixed_steps", _KNOWN)
 def pcg_fixed_steps(spark, sf_dir):
     a = coupling(spark, sf_dir, True)
-    return _solved(iterative.cg_fixed(a, products.spmv(a, _known(spark, a.rows)), 40, preconditioned=True)[0])
+    return _solved(iterative.cg_fixed(a, products.spmv(a, _known(spark, a.rows)), 22, preconditioned=True)[0])
 
 
 @query("solver_report", "SELECT true AS converged, true AS few_steps, true AS small_residual")
@@ -645,7 +647,7 @@ def normal_equations(spark, sf_dir):
 def lm_fit(spark, sf_dir):
     """Damped steps from zero until the step is small; the model is linear, so each is accepted."""
     residuals, suppliers, parts = additive_model(spark, sf_dir)
-    control = leastsquares.DampingControl(initial=1e-6, decrease=0.1)
+    control = leastsquares.DampingControl(initial=1e-9, decrease=0.1)
     eq = leastsquares.NormalEquations.of(residuals, suppliers, parts, 1, 1)
     eq = leastsquares.NormalEquations(materialise(eq.sums, "equations"), suppliers, parts, 1, 1)
     xp, xe = np.zeros(suppliers), np.zeros(parts)

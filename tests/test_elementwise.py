@@ -32,6 +32,14 @@ def test_literals(spark):
     assert np.array_equal(a.transpose().to_numpy(), A.T)
 
 
+def test_operators(spark):
+    a, b = Matrix.of(spark, A), Matrix.of(spark, B)
+    assert listed(2 * a) == listed(a * 2) == [-4, -1, 0, 2, 4, 8]
+    assert listed(1 + a) == listed(a + 1) == [-1, 0.5, 1, 2, 3, 5]
+    assert listed(a + b) == (A + B).T.ravel().tolist() and listed(a - b) == (A - B).T.ravel().tolist()
+    assert np.allclose((a @ b.transpose()).to_numpy(), A @ B.T)
+
+
 def test_errors(spark):
     a = Matrix.of(spark, A)
     with pytest.raises(ValueError):

@@ -89,3 +89,9 @@ def test_covariance(spark):
     for bad in ([[1, 2, 3]], [[1, 2], [3, 4]]):
         with pytest.raises(ValueError):
             R.covariance_matrix(Matrix.of(spark, bad))
+
+
+def test_dot(spark):
+    make = lambda rows: spark.createDataFrame(rows, "row bigint, v double")
+    x, y = make([(0, 3.0), (2, 4.0)]), make([(0, 2.0), (1, 9.0), (2, 0.5)])
+    assert R.dot(x, y) == 8 and R.vector_norm(x) == 5 and R.dot(x, make([])) == 0 and R.vector_norm(make([])) == 0
