@@ -57,7 +57,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     n, k = len(ends), len(CLASSES) + 1
     counts = np.zeros((n, k))
     step = max(1, (1 << 22) // 8)
-    line_of = np.repeat(np.arange(n), sizes + 1)
+    line_of = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
     for at in range(0, len(data), step):
         part = line_of[at : at + step]
         low, high = int(part[0]), int(part[-1]) + 1
@@ -199,7 +199,7 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: LineCrf, without: str | None, most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], model: LineCrf, without: str | None, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = _utf8(batch.column("text"))
         found, at = [], 0
