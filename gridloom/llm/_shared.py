@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..scratch import materialise, scratch_dir
 from ..shipping import send_package
 
-__all__ = ["WORD_PATTERN", "ascii_lower", "drop_scratch", "materialise", "ranked", "read_table", "scratch_dir", "scratch_path"]
+__all__ = ["WORD_PATTERN", "ascii_lower", "drop_scratch", "materialise", "narrow", "ranked", "read_table", "scratch_dir", "scratch_path"]
 
 #: Words as the operators count them: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def narrow(df: DataFrame, name: str) -> DataFrame:
+    """materialise() for few bytes out of many that each task read: rows are dealt out anew, in files of the usual size."""
+    return materialise(df.hint("rebalance"), name)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the scratch table that df reads, if it reads one; nothing lazy may still need it."""
     spark = df.sparkSession

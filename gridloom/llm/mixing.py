@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD_PATTERN, materialise
+from ._shared import WORD_PATTERN, materialise, narrow
 
 #: The hash of a document: the first 60 bits of the MD5 of its doc_id in decimal ("" for null).
 HASH_BITS = 60
@@ -78,7 +78,7 @@ def thresholds(units: DataFrame, budgets: DataFrame, few: bool, bits: int = 12)
 
 def _planned(docs: DataFrame, weights: tuple[float, ...], most: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, size, h) of every document, and what each source takes: (g, source_size, target, whole, threshold)."""
-    units = materialise(
+    units = narrow(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), unit_hash(F.col("doc_id")).alias("h")), "mix-units"
     )
     sizes = materialise(units.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
