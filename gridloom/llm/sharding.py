@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_scratch, materialise, ranked
+from ._shared import drop_scratch, materialise, narrow, ranked
 
 #: Cells in which ranks are counted; the tables of cell sizes have a few times as many rows at most.
 CELLS = 4096
@@ -108,7 +108,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFr
         F.xxhash64("doc_id", F.lit("h")).alias("h"),
         F.monotonically_increasing_id().alias("row"),
     )
-    rows = materialise(rows, "shard-rows")
+    rows = narrow(rows, "shard-rows")
     total = rows.count()
     quotas = [total // shards + (at < total % shards) for at in range(shards)]
     copies = rows.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
