@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialise
+from ._shared import materialise, narrow
 from .components import connected_components
 
 #: XXH64 seed of the shingle hashes.
@@ -181,9 +181,9 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     any other. Null doc_ids are not candidates for component_id (a component of nulls alone has
     null); repeated rows stay repeated. Other columns are not read; no row, no result.
     """
-    prints = materialise(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fingerprint long"), "simhash")
+    prints = narrow(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fingerprint long"), "simhash")
     nodes = materialise(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    links = materialise(fingerprint_links(nodes.select("fp"), distance), "simhash-links")
+    links = narrow(fingerprint_links(nodes.select("fp"), distance), "simhash-links")
     # (fp, root) of the linked fingerprints only; root is the smallest fingerprint reached
     members = connected_components(links)
     linked_nodes = members.join(nodes, members["node"] == nodes["fp"]).select("fp", "root", "least")
