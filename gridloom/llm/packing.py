@@ -29,7 +29,7 @@ PIECES_DDL = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_cost double, ids binary"
 )
 #: Words whose ids one Python worker remembers from task to task; the memory is emptied when it is full.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 500_000
 #: Punctuation that is encoded apart from a letter or digit before it.
 TRAILING = ".,;:?!*$%&#|"
 
