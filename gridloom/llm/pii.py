@@ -165,16 +165,17 @@ def kept_candidates(text: Column, found: Column, samples: int = 3000, seed: int
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Add `base` and `spans` to documents with `text`: arrays of structs (s, k, e, m).
 
-    `base` holds the base spans, `spans` also the candidates that the trees keep, those that
-    overlap a base span left out; both are sorted by start, then kind (an index into KINDS).
+    `base` holds the base spans, `spans` also the candidates that the trees keep; only those
+    that lie wholly inside a base span are left out, so spans may overlap. Both are sorted by
+    start, then kind (an index into KINDS).
     Positions count code points from 0, ends are exclusive, `m` is the text in the span. Null
     and empty texts have none. Every row is on its own: other columns, nulls and repeats in
     them do not matter, and columns named base or spans are replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("base", base_spans(text))
-    apart = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
-    found = found.withColumn("spans", F.filter(candidate_spans(text), apart))
+    adds = lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"]))
+    found = found.withColumn("spans", F.filter(candidate_spans(text), adds))
     return found.withColumn("spans", F.array_sort(F.concat("base", kept_candidates(text, F.col("spans")))))
 
 

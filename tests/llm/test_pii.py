@@ -79,6 +79,19 @@ def test_added_spans(docs_of):
     assert kinds[:4] == [["secret"], ["secret"], ["ssn"], ["local"]] and kinds[4:] == [[], [], [], []]
 
 
+def test_added_spans_over_base_spans(docs_of):
+    key = "a3f94b0c4111111111111111dbe07c52f8e6a91d"  # holds a card
+    texts = [f'the token = "{key}" here', "account iban: DE89 3704 0044 0532 0130 2 now", "4111111111111111 and +1 (415) 555-2671"]
+    got = P.find_personal_data(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [[(P.KINDS[x["k"]], x["m"]) for x in r["spans"]] for r in got] == [
+        [("secret", key), ("card", "4111111111111111")],
+        [("iban", "DE89 3704 0044 0532 0130 2"), ("card", "89 3704 0044 0532 0130 2")],
+        [("card", "4111111111111111"), ("phone", "+1 (415) 555-2671")],
+    ]
+    clean = [r["text"] for r in P.redact(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert clean == ['the token = "[SECRET]" here', "account iban: [IBAN] now", "[CARD] and [PHONE]"]
+
+
 def test_trees_on_generated_candidates(spark):
     model, threshold = P._trained(3000, 5, 0.99)
     from gridloom.llm.pii_samples import generated
