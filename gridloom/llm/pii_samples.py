@@ -8,6 +8,7 @@ _HEX = "0123456789abcdef"
 _DIGITS = "0123456789"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
+_BASE64 = (_UPPER + _LOWER + _DIGITS + "+/", _UPPER + _LOWER + _DIGITS + "-_")
 _WORDS = "the of and report page version order item see chapter in from total width model part build released on section".split()
 
 
@@ -19,7 +20,31 @@ def _words(rng: random.Random) -> str:
     return " ".join(rng.choices(_WORDS, k=rng.randint(0, 5))) + " " * rng.randint(0, 1)
 
 
+def _long_secret(rng: random.Random) -> tuple[str, str]:
+    """A key, signature or token segment on one line: 100 to 6400 characters."""
+    body = _some(rng, rng.choice([_HEX, *_BASE64]), int(100 * 64 ** rng.random()))
+    start = rng.choice(["", "eyJ", "MII", "AAAA"])
+    label = rng.choice(["private_key", "key", "token", "signature", "secret", "ssh-rsa", "Bearer", ""])
+    return start + body + "=" * rng.randint(0, 2), _words(rng) + (label and label + rng.choice([" ", " = \"", "=", ": ", ":"]))
+
+
+def _long_not_secret(rng: random.Random) -> tuple[str, str]:
+    """Digits, ruled lines, and paths or slugs of words that go on as long, whatever stands before them."""
+    n, before = int(100 * 64 ** rng.random()), _words(rng) + rng.choice(["", "", "/", "=", ": ", "key ", "token="])
+    kind = rng.randint(0, 3)
+    if kind == 0:
+        return _some(rng, _DIGITS, n), before
+    if kind == 1:
+        return rng.choice("-_+/x0") * n + str(rng.randint(1, 2030)), before
+    gap, parts = rng.choice("-_/+"), []
+    while sum(map(len, parts)) + len(parts) < n:
+        parts.append(_some(rng, rng.choice([_LOWER, _LOWER, _UPPER]), rng.randint(2, 9)) if rng.random() < 0.8 else str(rng.randint(0, 2030)))
+    return gap.join(parts) + gap + str(rng.randint(1, 2030)), before
+
+
 def _secret(rng: random.Random) -> tuple[str, str]:
+    if not rng.randint(0, 3):
+        return _long_secret(rng)
     n = rng.choice([20, 24, 32, 40, 64])
     body = _some(rng, rng.choice([_HEX, _UPPER + _LOWER + _DIGITS]), n)
     label = rng.choice(["token", "api_key", "secret", "password", "key", "auth", "Bearer", "access_key"])
@@ -27,6 +52,8 @@ def _secret(rng: random.Random) -> tuple[str, str]:
 
 
 def _not_secret(rng: random.Random) -> tuple[str, str]:
+    if not rng.randint(0, 3):
+        return _long_not_secret(rng)
     kind = rng.randint(0, 4)
     if kind == 0:
         return _some(rng, _DIGITS, rng.randint(16, 24)), _words(rng)

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -92,6 +93,19 @@ def test_added_spans_over_base_spans(docs_of):
     assert clean == ['the token = "[SECRET]" here', "account iban: [IBAN] now", "[CARD] and [PHONE]"]
 
 
+def test_long_secrets(docs_of):
+    rng = random.Random(8)
+    key = lambda n: base64.b64encode(rng.randbytes(n)).decode()
+    keys = [key(384), key(512), key(1200), key(2400), "eyJ" + key(600).replace("+", "-").replace("/", "_"), rng.randbytes(1024).hex(), key(200_000)]
+    slugs = ["-".join(["some", "words", "that", "go", "on"] * 60) + "-2024", "/".join(["path", "to", "page"] * 80) + "/7", "-" * 700 + "1", "71" * 400]
+    docs = docs_of([(i, f"{label}{t} end") for i, (label, t) in enumerate([("private_key: ", k) for k in keys] + [("see ", s) for s in slugs])])
+    got = P.find_personal_data(docs).orderBy("doc_id").collect()
+    secrets = [[x["m"] for x in r["spans"] if P.KINDS[x["k"]] == "secret"] for r in got]
+    assert secrets[: len(keys)] == [[k] for k in keys] and secrets[len(keys) :] == [[]] * len(slugs)
+    clean = [r["text"] for r in P.redact(docs).orderBy("doc_id").collect()]
+    assert clean[: len(keys)] == ["private_key: [SECRET] end"] * len(keys)
+
+
 def test_trees_on_generated_candidates(spark):
     model, threshold = P._trained(3000, 5, 0.99)
     from gridloom.llm.pii_samples import generated
