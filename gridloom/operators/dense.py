@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from ..matrix import DRIVER_ELEMENTS, Matrix
-from .products import gram
 
 #: Pivots below this make a system singular.
 PIVOT = 1e-15
@@ -36,18 +36,79 @@ def svd(a: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> Factors:
     """A = U diag(s) Vt with s descending.
 
     What fits the driver is decomposed there, with U completed to m x m up to FULL_ROWS rows.
-    A taller matrix is decomposed through AᵀA, which only shuffles n x n numbers: U = A V / s
-    is then a projection of the rows (thin; singular values below n eps of the first are zero).
+    A taller matrix is decomposed through the R of its QR factors, A = Q R with R = Ur S Vt, so
+    values are as accurate as at the driver; only n x n numbers are shuffled. U is thin: a
+    projection A V / s of the rows, made orthonormal by QR factors of its own. Columns whose
+    value is lost in rounding are completed from pseudorandom rows.
     """
     _some(a)
     if a.size <= driver_elements:
         u, s, vt = np.linalg.svd(a.to_numpy(driver_elements), full_matrices=a.rows <= FULL_ROWS)
         return Factors(Matrix.of(a.spark, u), s, Matrix.of(a.spark, vt))
-    w, v = np.linalg.eigh(gram(a).to_numpy())
-    s, v = np.sqrt(np.maximum(w[::-1], 0)), v[:, ::-1]
+    _, s, vt = np.linalg.svd(_stacked(a.row_arrays(), a.cols), full_matrices=False)
     keep = s > s[0] * a.cols * np.finfo(float).eps
-    map_rows = np.where(keep, v / np.where(keep, s, 1), 0.0)
-    return Factors(_rows_times(a, map_rows), np.where(keep, s, 0.0), Matrix.of(a.spark, v.T))
+    while True:
+        first = np.where(keep, vt.T / np.where(keep, s, 1), 0.0)
+        r = _positive(_stacked(_left_rows(a, first, [], ~keep), len(s)))
+        lost = keep & (np.diag(r) < 0.5)  # what is left of the column is rounding noise
+        if not lost.any():
+            break
+        keep = keep & (np.arange(len(s)) < lost.argmax())
+    then = [np.linalg.inv(r)]
+    while np.linalg.cond(r) > 10 and len(then) < 4:
+        r = _positive(_stacked(_left_rows(a, first, then, ~keep), len(s)))
+        then.append(np.linalg.inv(r))
+    left = _left_rows(a, first, then, ~keep)
+    return Factors(Matrix.from_arrays(left, "row", "values", a.rows, len(s)), s, Matrix.of(a.spark, vt))
+
+
+def _stacked(rows: DataFrame, n: int) -> np.ndarray:
+    """R of a QR factorization of the row form of a matrix with n columns: tasks factor their rows, then the stacked factors."""
+
+    def part(batches):
+        held = np.zeros((0, n))
+        for batch in batches:
+            if batch.num_rows:
+                held = np.linalg.qr(np.vstack([held, batch.column("values").flatten().to_numpy().reshape(-1, n)]), mode="r")
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(list, held)))], ["values"])
+
+    rows = rows.select("values").mapInArrow(part, "values array<double>")
+    rows = rows.repartition(STACKS).mapInArrow(part, "values array<double>")  # the tasks' factors, stacked and factored again
+    return np.triu(np.linalg.qr(np.array([row["values"] for row in rows.collect()]), mode="r"))
+
+
+def _positive(r: np.ndarray) -> np.ndarray:
+    """R with a diagonal that is not negative, so that A R⁻¹ keeps the directions of A's columns."""
+    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+
+
+def _left_rows(a: Matrix, first: np.ndarray, then: list[np.ndarray], filled: np.ndarray) -> DataFrame:
+    """The row form of A first, with pseudorandom `filled` columns, times the matrices of `then`.
+
+    A first cancels where singular values are small. Its rounding must be the same each time a
+    row is computed, whatever batch the row is in, so it is summed column by column.
+    """
+    k, at, size = first.shape[1], np.flatnonzero(filled), np.sqrt(12.0 / a.rows)
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column("values").flatten().to_numpy().reshape(-1, len(first)).astype(float)
+            y = np.zeros((len(x), k))
+            for j in range(len(first)):
+                y += x[:, j : j + 1] * first[j]
+            row = batch.column("row").to_numpy().astype(np.uint64)
+            for j in at:  # splitmix64 of the element's number
+                z = (row * np.uint64(k) + np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                y[:, j] = (((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53 - 0.5) * size
+            for m in then:
+                y = y @ m
+            offsets = np.arange(0, y.size + 1, k, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(y.ravel()))], ["row", "values"])
+
+    return a.row_arrays().mapInArrow(run, "row long, values array<double>")
 
 
 def _rows_times(a: Matrix, m: np.ndarray) -> Matrix:
@@ -74,19 +135,7 @@ def qr(a: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> tuple[Matrix, Matri
     if a.size <= driver_elements:
         q, r = np.linalg.qr(a.to_numpy(driver_elements), mode="complete" if a.rows <= FULL_ROWS else "reduced")
         return Matrix.of(a.spark, q), Matrix.of(a.spark, np.triu(r))
-    n = a.cols
-
-    def part(batches):
-        held = np.zeros((0, n))
-        for batch in batches:
-            if batch.num_rows:
-                held = np.linalg.qr(np.vstack([held, batch.column("values").flatten().to_numpy().reshape(-1, n)]), mode="r")
-        if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(list, held)))], ["values"])
-
-    rows = a.row_arrays().select("values").mapInArrow(part, "values array<double>")
-    rows = rows.repartition(STACKS).mapInArrow(part, "values array<double>")  # the tasks' factors, stacked and factored again
-    r = np.triu(np.linalg.qr(np.array([row["values"] for row in rows.collect()]), mode="r"))
+    r = _stacked(a.row_arrays(), a.cols)
     if np.abs(np.diag(r)).min() < PIVOT:
         raise ValueError("the columns are dependent; a tall matrix needs full rank here")
     return _rows_times(a, np.linalg.inv(r)), Matrix.of(a.spark, r)

@@ -30,6 +30,27 @@ def test_tall(spark):
     assert np.allclose(q @ r, x, atol=1e-9) and np.allclose(q.T @ q, np.eye(6), atol=1e-9) and not np.tril(r, -1).any()
 
 
+def tall_svd(spark, x):
+    f = D.svd(Matrix.of(spark, x), driver_elements=0)
+    u = f.left.to_numpy()
+    assert np.abs(u.T @ u - np.eye(u.shape[1])).max() < 1e-12 and np.abs(rebuilt(f) - x).max() <= 1e-13 * np.abs(x).max()
+    return f.values
+
+
+def test_tall_svd_of_graded_values(spark):
+    rng = np.random.default_rng(5)
+    u, v = (np.linalg.qr(rng.normal(size=(n, 13)))[0] for n in (300, 13))
+    graded = 10.0 ** -np.arange(13)
+    assert np.allclose(tall_svd(spark, u * graded @ v.T), graded, rtol=1e-2, atol=0)
+
+
+@pytest.mark.parametrize("x", [np.zeros((9, 3)), np.ones((40, 2)), np.vander(np.arange(50) / 50, 20), np.arange(12.0).reshape(3, 4), np.eye(5)[:, [0, 1, 1, 2, 2]]])
+def test_tall_svd_of_dependent_columns(spark, x):
+    assert np.allclose(tall_svd(spark, x), np.linalg.svd(x, compute_uv=False), atol=1e-12)
+    wide = np.hstack([x, x[:, :1]])
+    tall_svd(spark, wide)
+
+
 def test_qr(spark):
     i, j = np.indices((96, 40))
     x = np.cos(0.07 * (i + 1) * (j + 2))
