@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._shared import materialise, narrow
 from .components import connected_components
@@ -172,15 +173,8 @@ def fingerprint_links(fps: DataFrame, distance: int = 3, taken: int = 3, list_si
     return dealt.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """(doc_id, text) -> doc_id, fingerprint (long), component_id.
-
-    Documents whose fingerprints differ in `distance` bits or fewer are linked; component_id
-    is the smallest doc_id reachable over links. Equal fingerprints are one node of the graph,
-    so copies never meet as pairs. Null and empty texts have fingerprint 0, which links like
-    any other. Null doc_ids are not candidates for component_id (a component of nulls alone has
-    null); repeated rows stay repeated. Other columns are not read; no row, no result.
-    """
+def _grouped(docs: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fingerprint) of each row, and fp, root, component_id of each fingerprint; root tells the groups apart."""
     prints = narrow(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fingerprint long"), "simhash")
     nodes = materialise(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-nodes")
     links = narrow(fingerprint_links(nodes.select("fp"), distance), "simhash-links")
@@ -188,22 +182,58 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     members = connected_components(links)
     linked_nodes = members.join(nodes, members["node"] == nodes["fp"]).select("fp", "root", "least")
     least = linked_nodes.groupBy("root").agg(F.min("least").alias("component"))
-    renamed = linked_nodes.select("fp", "root").join(least, "root").select(F.col("fp").alias("f"), "component")
+    renamed = linked_nodes.select("fp", "root").join(least, "root").select(F.col("fp").alias("f"), "root", "component")
     nodes = materialise(
-        nodes.join(renamed, nodes["fp"] == renamed["f"], "left").select("fp", F.coalesce("component", "least").alias("component_id")),
+        nodes.join(renamed, nodes["fp"] == renamed["f"], "left").select(
+            "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id")
+        ),
         "simhash-components",
     )
+    return prints, nodes
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
+    """(doc_id, text) -> doc_id, fingerprint (long), component_id.
+
+    Documents whose fingerprints differ in `distance` bits or fewer are linked; component_id
+    is the smallest doc_id reachable over links. Equal fingerprints are one node of the graph,
+    so copies never meet as pairs. Null and empty texts have fingerprint 0, which links like
+    any other. Null doc_ids are not candidates for component_id (a component of nulls alone has
+    null); repeated rows stay repeated. Other columns are not read; no row, no result.
+    """
+    prints, nodes = _grouped(docs, distance)
     return prints.join(nodes, prints["fingerprint"] == nodes["fp"]).select("doc_id", "fingerprint", "component_id")
 
 
+def _with_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = np.fromiter((fingerprint(t) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "__fp"])
+
+
 def one_of_each(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, one row for each doc_id.
+    """One row of docs for each group of near-duplicates: that with the smallest doc_id.
 
-    Of rows that share a doc_id the one with the smallest text stays. Rows without doc_id stay
-    unless a document with one is reachable from all of them.
+    Of rows of a group that share this doc_id the one with the smallest text stays. Groups are
+    told apart by their fingerprints, so a doc_id that is in several groups may stay in each,
+    and of a group without any doc_id one row stays.
     """
-    found = near_duplicates(docs, distance)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return own.withColumn("__copy", first).where("__copy = 1 or doc_id is null").drop("__copy")
+    prints, nodes = _grouped(docs, distance)
+    own = prints.join(nodes, prints["fingerprint"] == nodes["fp"])
+    own = own.groupBy(F.col("doc_id").alias("__id")).agg(
+        F.count(F.lit(1)).alias("__rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__first")
+    )
+    own = narrow(own.where("__first"), "simhash-kept")
+    # shuffled at every size, so that disk grows in proportion; only the ids are hashed, texts are not sorted
+    clear = own.where("__rows = 1 and __id is not null").hint("shuffle_hash")
+    kept = docs.join(clear, docs["doc_id"] == F.col("__id"), "left_semi")
+    unclear = own.where("__rows > 1 or __id is null")
+    if unclear.isEmpty():
+        return kept
+    # doc_id does not tell these rows apart: their fingerprints do
+    rows = docs.join(unclear, docs["doc_id"] == F.col("__id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    rows = rows.mapInArrow(_with_fingerprints, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    groups = nodes.select(F.col("fp").alias("__node"), F.col("root").alias("__root"), F.col("component_id").alias("__component"))
+    rows = rows.join(groups, rows["__fp"] == groups["__node"]).where(F.col("doc_id").eqNullSafe(F.col("__component")))
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__root").orderBy("text"))).where("__copy = 1")
+    return kept.unionByName(rows.select(*docs.columns))

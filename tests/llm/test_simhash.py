@@ -116,3 +116,11 @@ def test_one_of_each(docs_of):
     assert S.near_duplicates(docs_of([])).count() == 0
     clash = docs_of([(1, "t", 5)], "doc_id long, text string, fingerprint long")
     assert S.one_of_each(clash).count() == 1
+
+
+def test_one_of_each_group(docs_of):
+    a, b, c, d = ("one two three four five", "red green blue white black", "q w e r t y", "x y z u v w")
+    rows = [(1, b), (1, a), (2, b), (3, a), (None, c), (None, c), (None, a), (None, d), (4, "m n o p"), (4, "m n o p")]
+    kept = S.one_of_each(docs_of(rows))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, c), (0, d), (1, a), (1, b), (4, "m n o p")]
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
