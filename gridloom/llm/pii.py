@@ -305,16 +305,25 @@ def _selected(kept: str) -> str:
     return f"if(size({kept}) < 2, {kept}, {let(by_kind, lambda others: _over('filter', kept, lambda x: stands(x, others)))})"
 
 
-def _found(text: str) -> str:
-    """A struct of the base spans and of all spans of a text that is not null, both sorted by start, then kind."""
+def _with_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with the base spans and all spans of `text`, and the names of these two columns, which docs has not.
 
-    def added(base: str) -> str:
-        judged = lambda found: f"if(size({found}) > 0, {let(scored(text, found), _selected)}, null)"
-        chosen = let(candidate_spans(text), lambda proposed: let(_outside(base, proposed), judged))
-        plain = _over("transform", chosen, lambda x: f"struct({x}.s as s, {x}.k as k, {x}.e as e, {x}.m as m)")
-        return f"struct({base} as base, array_sort(concat({base}, coalesce({plain}, {_NONE}))) as spans)"
-
-    return let(base_spans(text), added)
+    A step's result is a column, as the analyser resolves some dozens of nested functions at
+    most; the next step binds it once, so that it is never computed for each element.
+    """
+    own = uuid.uuid4().hex
+    base, proposed, found, judged, spans = (f"{name}_{own}" for name in ("base", "proposed", "found", "judged", "spans"))
+    plain = lambda kept: _over("transform", _selected(kept), lambda x: f"struct({x}.s as s, {x}.k as k, {x}.e as e, {x}.m as m)")
+    steps = {
+        base: base_spans(_TEXT),
+        proposed: candidate_spans(_TEXT),
+        found: let(base, lambda b: let(proposed, lambda f: _outside(b, f))),
+        judged: let(found, lambda f: f"if(size({f}) > 0, {scored(_TEXT, f)}, null)"),
+        spans: f"array_sort(concat({base}, {let(judged, lambda j: f'if(size({j}) > 0, {plain(j)}, {_NONE})')}))",
+    }
+    for name, sql in steps.items():
+        docs = docs.withColumn(name, F.expr(sql))
+    return docs.drop(proposed, found, judged), base, spans
 
 
 _TEXT = "coalesce(`text`, '')"
@@ -332,9 +341,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     its own: other columns, nulls and repeats in them do not matter. Columns named base or
     spans are replaced.
     """
-    found = f"found_{uuid.uuid4().hex}"
-    docs = docs.drop("base", "spans").withColumn(found, F.expr(_found(_TEXT)))
-    return docs.withColumn("base", F.col(found)["base"]).withColumn("spans", F.col(found)["spans"]).drop(found)
+    docs, base, spans = _with_spans(docs.drop("base", "spans"))
+    return docs.withColumnsRenamed({base: "base", spans: "spans"})
 
 
 def listed(spans: Column) -> Column:
@@ -362,4 +370,5 @@ def redact(docs: DataFrame) -> DataFrame:
         new = let(ends, lambda e: let(_running(e, lambda x, y: f"greatest({x}, {y})"), cut))
         return f"if(size({spans}) > 0, {new}, `text`)"
 
-    return docs.withColumn("text", F.expr(let(f"{_found(_TEXT)}.spans", clean)))
+    docs, base, spans = _with_spans(docs)
+    return docs.withColumn("text", F.expr(let(spans, clean))).drop(base, spans)

@@ -171,7 +171,7 @@ def test_trees_on_generated_candidates(spark):
 
 def test_many_spans_take_time_in_proportion(docs_of):
     line = "me{0}@x.org 415-555-{1} token=k9A{0}zQ81mZx02LfP7vWcQ93bTn5 {2}\n"
-    texts = ["".join(line.format(i, 1000 + i % 9000, "1.2.3.4") for i in range(n)) for n in (250, 8000)]
+    texts = ["".join(line.format(i, 1000 + i % 9000, "1.2.3.4") for i in range(n)) for n in (1000, 4000)]
     took = []
     for text in texts:
         docs = docs_of([(1, text)])
@@ -181,7 +181,7 @@ def test_many_spans_take_time_in_proportion(docs_of):
         took.append(time.perf_counter() - began)
         assert [(x["s"], x["k"], x["e"]) for x in got["base"]] == brute(text) and len(got["spans"]) == 4 * text.count("\n")
         assert clean == "[EMAIL] [LOCAL] token=[SECRET] [IP]\n" * text.count("\n")
-    assert took[1] < took[0] + 20
+    assert took[1] < 8 * took[0]  # four times the spans
 
 
 def test_overlapping_candidates(docs_of):
