@@ -30,7 +30,7 @@ PIECES_DDL = (
 )
 #: Words whose ids one Python worker remembers from task to task; the memory is emptied when it is full.
 REMEMBERED_WORDS = 500_000
-#: Punctuation that is encoded apart from a letter or digit before it.
+#: Punctuation that is encoded apart from a letter or digit before it, unless that becomes more than a letter in lower case.
 TRAILING = ".,;:?!*$%&#|"
 
 
@@ -70,7 +70,7 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         core = word.rstrip(TRAILING)
-        if len(core) < len(word) and core and core[-1].isalnum():
+        if len(core) < len(word) and core and core[-1].isalnum() and (core.isascii() or self._letters(core)):
             ids = self[core] + self[word[len(core) :]]
         elif word.isascii() and not word.islower() and word.lower() != word:
             ids = self[word.lower()]
@@ -81,13 +81,19 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
+    @staticmethod
+    def _letters(word: str) -> str:
+        """The word in lower case if that is all letters and composes to itself, else nothing."""
+        lower = "".join([c.lower() for c in word])
+        return lower if lower.isalpha() and is_normalized("NFC", word) else ""
+
     def _encoded(self, word: str) -> bytes:
         """A word of letters, which the tokenizer does not split, goes to its merges directly."""
         if word.isalpha():
             if word.isascii():
                 return array("I", [token.id for token in self.merges(word)]).tobytes()
-            lower = "".join([c.lower() for c in word])
-            if lower.isalpha() and is_normalized("NFC", word):
+            lower = self._letters(word)
+            if lower:
                 written = lower.encode().decode("latin-1").translate(_BYTE_CHARS)
                 return array("I", [token.id for token in self.merges(written)]).tobytes()
         return self.whole(word)

@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import defaultdict
+from unicodedata import category
 
 import numpy as np
 import pytest
@@ -29,6 +30,19 @@ def test_words_give_the_ids_of_the_text(tokenizer):
             assert len(encoder.words) <= remembered + 8
 
 
+def test_words_of_all_categories():
+    """20,000 strings of characters of every category, punctuation and letters that change in lower case."""
+    encoder, rng, by = P.WordEncoder(P.tokenizer_file()), random.Random(4), defaultdict(list)
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        by[category(c)].append(c)
+    kinds = sorted(by)
+    for _ in range(20_000):
+        some = [rng.choice((P.TRAILING + " \n", "abXYZ09İıßéÑǅﬁΣςｘ", by[rng.choice(kinds)])[rng.randrange(3)]) for _ in range(rng.randint(1, 14))]
+        assert encoder.encode("".join(some)) == encoder.words.whole("".join(some)), some
+    for text in ("İ.", "TARİHİ. son", "a\u0307.", "École. ÉCOLE!"):
+        assert encoder.encode(text) == encoder.words.whole(text)
+
+
 def test_assignment():
     rng = random.Random(2)
     lengths = [rng.randint(1, 100) for _ in range(200)]
