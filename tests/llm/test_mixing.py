@@ -26,7 +26,11 @@ def brute_targets(sizes, weights=(1, 2, 3), most=3.0):
 
 
 def brute(rows):
-    units = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)) for i, t, _, s in rows]
+    """Rows are taken in order of hash until half of the next one would not fit, counted one by one."""
+    units = []
+    for i, t, _, s in rows:
+        own = ("n" if i is None else str(i)) + ":" + ("n" if t is None else hashlib.md5(t.encode()).hexdigest())
+        units.append((i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), int(hashlib.md5(own.encode()).hexdigest()[:15], 16)))
     sizes = {}
     for _, s, n, _ in units:
         sizes[s] = sizes.get(s, 0) + n
@@ -34,18 +38,15 @@ def brute(rows):
     out = []
     for source in sizes:
         whole = min(3, int(target[source] / sizes[source])) if sizes[source] else 0
-        budget = target[source] - whole * sizes[source]
-        at, taken = 0, {}
-        for h in sorted({u[3] for u in units if u[1] == source}):
-            n = sum(u[2] for u in units if u[1] == source and u[3] == h)
-            taken[h] = budget > 0 and 2 * at + n <= 2 * budget
+        budget, at = target[source] - whole * sizes[source], 0
+        for i, _, n, _ in sorted((u for u in units if u[1] == source), key=lambda u: u[3]):
+            out.append((i, n, sizes[source], target[source], n * (whole + (budget > 0 and at + n / 2 <= budget))))
             at += n
-        out += [(i, n, sizes[source], target[source], n * (whole + taken[h])) for i, s, n, h in units if s == source]
     return out
 
 
 def compare(df, rows):
-    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[4])
     got = sorted((tuple(r) for r in df.drop("copies").collect()), key=key)
     expected = sorted(brute(rows), key=key)
     assert [r[:3] for r in got] == [r[:3] for r in expected]
@@ -80,6 +81,23 @@ def test_edges(docs_of):
         compare(M.mix_sources(docs_of(rows)), rows)
 
 
+@pytest.mark.parametrize("doc_id, equal", [(None, False), (7, True)])
+def test_rows_of_one_doc_id(docs_of, doc_id, equal):
+    """Null, repeated and wholly equal rows are not taken all or none."""
+    rows = [(doc_id, "w " * 5 if equal else f"{i} " + "w " * (i % 9), None, f"s{i % 3}") for i in range(600)]
+    docs = docs_of(rows).repartition(7)
+    compare(M.mix_sources(docs), rows)
+    sums = {}
+    for r in M.mix_sources(docs).collect():
+        sums.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    assert all(abs(sum(taken) - target) <= 4.5 for (_, target), taken in sums.items())
+    got = M.mixed_documents(docs).groupBy("source").agg({"text": "count"}).collect()
+    expected = {}
+    for r, row in zip(brute(sorted(rows, key=lambda r: r[3])), sorted(rows, key=lambda r: r[3])):
+        expected[row[3]] = expected.get(row[3], 0) + (r[4] // r[1])
+    assert {r[0]: r[1] for r in got} == expected
+
+
 def test_larger_targets_include_smaller_ones(docs_of):
     rows = [(i, "w " * (i % 9 + 1), None, "a") for i in range(200)] + [(1000 + i, "w " * 5, None, "b") for i in range(200)]
     taken = lambda weights: {r["doc_id"] for r in M.mix_sources(docs_of(rows), weights).where("copies > 0 and doc_id < 1000").collect()}
@@ -98,5 +116,5 @@ def test_mixed_documents(docs_of):
     for r in got.collect():
         counts[r["doc_id"]] = counts.get(r["doc_id"], 0) + 1
     assert counts == {k: v for k, v in copies.items() if v}
-    clash = docs_of([(1, "a b", "s", 9)], "doc_id long, text string, source string, threshold long")
-    assert M.mixed_documents(clash).columns == ["doc_id", "text", "source", "threshold"]
+    clash = docs_of([(1, "a b", "s", 9, 8, "c", 7)], "doc_id long, text string, source string, copies long, d long, cell string, __copies long")
+    assert M.mixed_documents(clash).columns == clash.columns and M.mixed_documents(clash).collect() == clash.collect()
