@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..scratch import materialise, scratch_dir
 from ..shipping import send_package
 
-__all__ = ["WORD_PATTERN", "ascii_lower", "drop_scratch", "materialise", "narrow", "ranked", "read_table", "scratch_dir", "scratch_path"]
+__all__ = ["WORD_PATTERN", "ascii_lower", "drop_scratch", "joined_by_share", "materialise", "narrow", "ranked", "read_table", "scratch_dir", "scratch_path"]
 
 #: Words as the operators count them: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -48,6 +48,23 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def joined_by_share(rows: DataFrame, table: DataFrame, key: Column, of: str, weight: str, most: int = 50_000) -> DataFrame:
+    """rows, left-joined to a table that has one row for each value of `of` and in `weight` how many rows carry it.
+
+    Values that more than one in `most` of all carriers carry (and a thousand at least) are
+    fewer than `most`, whatever the size of the tables: these are broadcast. The others' rows
+    are joined by shuffle, and rows whose key is null are not joined at all. So no task gets
+    the rows of a hot value. The table is read several times and should be a written one.
+    """
+    carriers = table.agg(F.sum(weight)).first()[0] or 0
+    least = max(1000, carriers // most)
+    hot = F.broadcast(table.where(F.col(weight) > least))
+    marked = rows.withColumn("__key", key).join(hot, F.col("__key") == F.col(of), "left")
+    apart = F.col("__key").isNull() | F.col(of).isNotNull()
+    rest = marked.where(~apart).select(*rows.columns, "__key").join(table.where(F.col(weight) <= least), F.col("__key") == F.col(of), "left")
+    return marked.where(apart).unionByName(rest).drop("__key")
+
+
 def ranked(df: DataFrame, part: list[str], cell: str, order: list[Column], name: str) -> DataFrame:
     """Add `name`: the rank from 0 within `part`, ordered by (`cell`, *order), in two levels.
 

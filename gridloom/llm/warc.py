@@ -32,7 +32,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from ._shared import scratch_path
+from ._shared import joined_by_share, narrow, scratch_path
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, warc_date string, content_length long, "
@@ -424,8 +424,8 @@ def page_records(pages: DataFrame, least: int = DEDUP_BYTES) -> DataFrame:
     """(page_id, url, html) -> WARC records; of equal payloads that of the largest page_id is stored.
 
     Digests are aggregated before they are shuffled, and only those that occur twice with
-    `least` bytes or more are joined to the pages; a hot digest's rows are split by adaptive
-    execution. Null html is an empty payload. Rows with an equal payload and an equal largest
+    `least` bytes or more are joined to the pages, hot ones by broadcast; smaller payloads
+    pass the join. Null html is an empty payload. Rows with an equal payload and an equal largest
     page_id are all stored. A null page_id is written as an empty id and never referred to.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -433,7 +433,8 @@ def page_records(pages: DataFrame, least: int = DEDUP_BYTES) -> DataFrame:
     rows = rows.withColumns({"n": F.length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     same = rows.where(F.col("n") >= least).groupBy(F.col("payload_digest").alias("d"))
     kept = same.agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and kept is not null")
-    rows = rows.join(kept, F.when(F.col("n") >= least, F.col("payload_digest")) == F.col("d"), "left")
+    kept = narrow(kept, "warc-repeats")
+    rows = joined_by_share(rows, kept, F.when(F.col("n") >= least, F.col("payload_digest")), "d", "copies")
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     urn = lambda c: F.concat(F.lit(f"<{PAGE_ID}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     return rows.select(

@@ -24,3 +24,12 @@ def test_ranks(spark):
     for part in range(3):
         rows = sorted((r["cell"], r["h"], r["rank"]) for r in got if r["part"] == part)
         assert [r[2] for r in rows] == list(range(len(rows)))
+
+
+def test_join_by_share(spark):
+    """A hot key is joined without a shuffle, null keys pass, all others are joined as usual."""
+    rows = spark.range(5000).selectExpr("id", "case when id % 3 = 0 then null when id % 3 = 1 then -1 else id % 50 end as k")
+    table = rows.where("k is not null and k != 7").groupBy(F.col("k").alias("of")).agg(F.count("*").alias("n"))
+    got = S.joined_by_share(rows, table, F.col("k"), "of", "n")
+    assert got.columns == ["id", "k", "of", "n"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, F.col("k") == F.col("of"), "left").collect()))
