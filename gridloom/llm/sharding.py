@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_scratch, materialise, narrow, ranked
+from ._shared import drop_scratch, joined_by_share, materialise, narrow, ranked
 
 #: Cells in which ranks are counted; the tables of cell sizes have a few times as many rows at most.
 CELLS = 4096
-#: Where rows are ranked, a group with more rows than this has a cell for each so many rows, up to SUB_CELLS.
-LARGE_GROUP = 10_000
-SUB_CELLS = 1024
+#: Large groups are told apart by their cells, up to so many at one place.
+PLACES = 64
+#: A group of at most so many rows is not large in any table.
+LEAST_SHARE = 1000
 
 
 def text_bytes(text: Column) -> Column:
@@ -19,11 +20,10 @@ def text_bytes(text: Column) -> Column:
 
 
 def _cell() -> Column:
-    """Cells follow the hash of the group; the rows of a large group are spread over cells behind those of the others."""
-    by_group = F.pmod(F.col("group"), F.lit(CELLS))
-    own = F.least(F.ceil(F.col("n") / LARGE_GROUP), F.lit(SUB_CELLS))
-    by_row = CELLS + F.pmod(F.col("group"), F.lit(CELLS // SUB_CELLS)) * SUB_CELLS + F.pmod(F.col("h"), own)
-    return F.when(F.col("n") > LARGE_GROUP, by_row).otherwise(by_group).cast("int")
+    """Cells follow the hash of the group; a group with more rows than one in CELLS of all (`share`) has cells of its own, in proportion."""
+    own = F.ceil(F.col("n") / F.col("share"))
+    by_row = CELLS + F.pmod(F.col("group"), F.lit(PLACES)) * (CELLS + 1) + F.pmod(F.col("h"), own)
+    return F.when(F.col("n") > F.col("share"), by_row).otherwise(F.pmod(F.col("group"), F.lit(CELLS))).cast("int")
 
 
 ORDER = ["group", "h", "doc_id", "text_crc32", "row"]
@@ -63,15 +63,16 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     for _ in range(rounds):
         counts = linked.groupBy("group", "label").agg(F.count(F.lit(1)).alias("c"))
         best = F.max(F.struct("c", F.xxhash64("group", "label").alias("tie"), "label"))["label"]
-        wish = counts.groupBy(F.col("group").alias("g")).agg(best.alias("wish"))
-        wishes = linked.join(wish, F.col("group") == F.col("g")).drop("g")
-        wishes = materialise(wishes, "wishes")
+        wish = materialise(counts.groupBy(F.col("group").alias("g")).agg(best.alias("wish"), F.sum("c").alias("carriers")), "wish")
+        wishes = materialise(joined_by_share(linked, wish, F.col("group"), "g", "carriers").drop("g", "carriers"), "wishes")
+        drop_scratch(wish)
         pairs = {(r["label"], r["wish"]): r["count"] for r in wishes.groupBy("label", "wish").count().collect()}
         loads: dict[int, int] = {}
         for (a, _), n in pairs.items():
             loads[a] = loads.get(a, 0) + n
         moves = accepted_moves({pair: n for pair, n in pairs.items() if pair[0] != pair[1]}, loads, quotas)
         if not moves:
+            drop_scratch(wishes)
             return linked
         most = F.coalesce(*[F.when(F.col("pair") == a * shards + b, F.lit(n)) for (a, b), n in moves.items()], F.lit(0))
         movers = _ranked(wishes.where("wish <> label").withColumn("pair", F.col("label") * shards + F.col("wish")), ["pair"], "rank")
@@ -96,8 +97,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFr
     Null and repeated doc_ids are rows like any other; rows equal in both columns are dealt
     out in a fixed but arbitrary way. Other columns are not read; an empty table gives no row.
     All joins are on hashes of texts or on shard numbers; a text that a third of the rows
-    share is summed before the shuffle, ranked in cells of its own, and split by adaptive
-    execution where it is joined.
+    share is summed before the shuffle, ranked in cells of its own, and joined by broadcast.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
@@ -105,16 +105,17 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFr
         text_bytes(F.col("text")).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("group"),
-        F.xxhash64("doc_id", F.lit("h")).alias("h"),
         F.monotonically_increasing_id().alias("row"),
     )
     rows = narrow(rows, "shard-rows")
     total = rows.count()
+    rows = rows.withColumns({"h": F.xxhash64("doc_id", "row", F.lit("h")), "share": F.lit(max(total // CELLS, LEAST_SHARE))})
     quotas = [total // shards + (at < total % shards) for at in range(shards)]
-    copies = rows.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = materialise(
-        rows.join(copies, rows["group"] == copies["g"], "left").drop("g").withColumn("n", F.coalesce("n", F.lit(1)).cast("long")), "shard-groups"
-    )
+    copies = materialise(rows.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard-copies")
+    counted = joined_by_share(rows, copies, F.col("group"), "g", "n").drop("g").withColumn("n", F.coalesce("n", F.lit(1)).cast("long"))
+    before, rows = rows, materialise(counted, "shard-groups")
+    drop_scratch(copies)
+    drop_scratch(before)
     start = F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")
     linked = materialise(rows.where("n > 1").withColumn("label", start), "labels")
     linked = propagate(linked, quotas, rounds)

@@ -39,7 +39,7 @@ def test_groups_stay_together(docs_of):
 
 
 def test_a_third_of_all_rows_are_copies(docs_of, monkeypatch):
-    monkeypatch.setattr(S, "LARGE_GROUP", 50)
+    monkeypatch.setattr(S, "LEAST_SHARE", 50)
     rows = [(i, "hot" if i % 3 == 0 else f"text {i // 2}") for i in range(900)]
     got = S.shard_documents(docs_of(rows)).collect()
     check(rows, got)
@@ -47,6 +47,53 @@ def test_a_third_of_all_rows_are_copies(docs_of, monkeypatch):
     assert cut([r for r in rows if r[1] != "hot"], [r for r in got if r["doc_id"] % 3]) <= 16
 
 
+def plain_propagation(rows, quotas, rounds, tie):
+    """The same rounds over a list of dicts, one row at a time."""
+    rows = [dict(r) for r in rows]
+    for _ in range(rounds):
+        counts = Counter((r["group"], r["label"]) for r in rows)
+        wish = {}
+        for (group, label), c in counts.items():
+            wish[group] = max(wish.get(group, (0,)), (c, tie[group, label], label))
+        demand = Counter((r["label"], wish[r["group"]][2]) for r in rows)
+        loads = Counter(r["label"] for r in rows)
+        moves = {}
+        for (a, b), n in demand.items():
+            if a != b:
+                moves[a, b] = min(n, demand.get((b, a), 0))
+        for b, quota in enumerate(quotas):
+            room = max(quota - loads[b], 0)
+            for a in range(len(quotas)):
+                if a != b and (a, b) in moves:
+                    more = max(min(demand[a, b] - moves[a, b], room), 0)
+                    moves[a, b] += more
+                    room -= more
+        if not any(moves.values()):
+            break
+        done = Counter()
+        for r in sorted(rows, key=lambda r: (r["group"] % S.CELLS, r["group"], r["h"])):
+            pair = (r["label"], wish[r["group"]][2])
+            if pair[0] != pair[1] and done[pair] < moves.get(pair, 0):
+                done[pair] += 1
+                r["label"] = pair[1]
+    return {r["row"]: r["label"] for r in rows}
+
+
+@pytest.mark.parametrize("seed, rounds", [(1, 1), (2, 6)])
+def test_propagation_against_plain_python(spark, seed, rounds):
+    rng = random.Random(seed)
+    groups = [rng.randrange(-(2**62), 2**62) for _ in range(40)]
+    rows = [{"group": rng.choice(groups[: rng.choice([3, 40])]), "label": rng.randrange(4), "h": rng.randrange(2**60), "row": i} for i in range(400)]
+    sizes = Counter(r["group"] for r in rows)
+    full = [{**r, "n": sizes[r["group"]], "share": 1000, "doc_id": r["row"], "text_crc32": 0} for r in rows]
+    schema = "group long, label int, h long, row long, n long, share int, doc_id long, text_crc32 long"
+    pairs = spark.createDataFrame([(g, k) for g in groups for k in range(4)], "group long, label int").selectExpr("group", "label", "xxhash64(group, label) as t")
+    tie = {(r["group"], r["label"]): r["t"] for r in pairs.collect()}
+    quotas = [100, 120, 90, 90]
+    got = S.propagate(spark.createDataFrame(full, schema), quotas, rounds)
+    assert {r["row"]: r["label"] for r in got.collect()} == plain_propagation(rows, quotas, rounds, tie)
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 20])
 def test_small_tables(docs_of, n):
     rows = [(i, "same") for i in range(n)]
