@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, materialise
+from ._shared import ascii_lower, materialise, scratch_path
 
 #: (verdict, host, path prefix)
 RULES = (
@@ -17,7 +18,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: A cascade's filters travel with the tasks as long as all of them have at most so many 64-bit words (8 MB).
+#: A cascade's filters travel with the tasks; keys are dealt by hash to as many cascades as keep each to about so many 64-bit words (8 MB).
 MAX_WORDS = 1 << 20
 
 
@@ -86,26 +87,21 @@ class Cascade:
         return answer if self.levels else F.lit(False)
 
 
-def build_cascade(universe: DataFrame, max_words: int = MAX_WORDS) -> Cascade | None:
+def build_cascade(universe: DataFrame) -> Cascade:
     """A cascade for (key, listed), which must hold every key that will ever be asked, once.
 
     Level 1 encodes the listed keys; level 2 the other keys that pass level 1; level 3 the
     listed keys that pass level 2; and so on until none passes. Null keys count as a key.
-    Returns None if the filters would take more than `max_words` words.
     """
     sides = [universe.where("listed").select("key"), universe.where("not listed").select("key")]
     levels: list[Filter] = []
     sizes: list[int] = []
-    words = 0
     while True:
         keys = sides[len(levels) % 2]
         count = keys.count()
         if not count:
             return Cascade(tuple(levels), tuple(sizes))
         bits, hashes = (10, 7) if not levels else (6, 4)
-        words += -(-count * bits // 64)
-        if words > max_words:
-            return None
         made = bloom_filter(keys, count, bits, hashes, len(levels))
         levels.append(made)
         sizes.append(count)
@@ -113,31 +109,51 @@ def build_cascade(universe: DataFrame, max_words: int = MAX_WORDS) -> Cascade |
         sides[other] = materialise(sides[other].where(made.holds(F.col("key"))), "cascade-keys")
 
 
-def judge_urls(pages: DataFrame, rules=RULES, max_words: int = MAX_WORDS) -> DataFrame:
+def _dealt(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
+    """df written in `parts` folders by the hash of a key, so that reading one part reads no other."""
+    path = scratch_path(df.sparkSession, name)
+    df = df.withColumn("part", F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts)).cast("int"))
+    df.write.partitionBy("part").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def judge_urls(pages: DataFrame, rules=RULES, max_words: int = MAX_WORDS, listed: DataFrame | None = None) -> DataFrame:
     """(page_id, url) -> page_id, host, path, rule, verdict, listed.
 
     The longest fitting rule gives the verdict. Where none fits, a host that is listed is
-    blocked and any other allowed. Listed are the hosts of which the rules block some URL
-    and allow none. The corpus's hosts are the complete key universe, so the cascade of
-    Bloom filters, which travels with the tasks, answers exactly and without a join; if it
-    would exceed `max_words` words, the list is joined by shuffle instead.
+    blocked and any other allowed. Listed are the hosts in the column host of `listed`;
+    without it, those of which the rules block some URL and allow none. The corpus's hosts
+    are the complete key universe, so the cascade of Bloom filters, which travels with the
+    tasks, answers exactly and without a join. Where its filters would take more than about
+    `max_words` words, hosts and rows are dealt by hash to several parts, written once, and
+    each part has a cascade of its own.
 
     Null URLs and those without '://' have empty host and path; page_id may be null or
     repeat, each row is judged on its own. Other columns are not read. No row, no result.
     """
     host, path = split_url(F.col("url"))
-    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, said = match_rules(F.col("host"), F.col("path"), rules)
-    parts = parts.withColumns({"rule": rule, "said": said})
-    listed = (F.count_if(F.col("said") == "block") > 0) & (F.count_if(F.col("said") == "allow") == 0)
-    universe = materialise(parts.groupBy(F.col("host").alias("key")).agg(listed.alias("listed")), "url-hosts")
-    cascade = build_cascade(universe, max_words)
-    if cascade is None:
-        parts = parts.join(universe.withColumnRenamed("key", "host"), "host")
+    rows = rows.withColumns({"rule": rule, "said": said})
+    if listed is None:
+        is_listed = (F.count_if(F.col("said") == "block") > 0) & (F.count_if(F.col("said") == "allow") == 0)
+        universe = rows.groupBy(F.col("host").alias("key")).agg(is_listed.alias("listed"))
+    else:
+        keys = rows.select("host", F.lit(True).alias("seen"), F.lit(False).alias("listed"))
+        keys = keys.unionByName(listed.select(ascii_lower(F.col("host")).alias("host"), F.lit(False).alias("seen"), F.lit(True).alias("listed")))
+        universe = keys.groupBy(F.col("host").alias("key")).agg(F.max("seen").alias("seen"), F.max("listed").alias("listed")).where("seen").drop("seen")
+    universe = materialise(universe, "url-hosts")
+    yes, every = universe.agg(F.count_if("listed"), F.count(F.lit(1))).first()
+    parts = max(1, -(-int(12 * yes + 0.1 * (every - yes)) // (64 * max_words)))  # bits of the first level, and of those behind it
+    if parts == 1:
+        found = rows.withColumn("listed", build_cascade(universe).holds(F.col("host")))
     else:
-        parts = parts.withColumn("listed", cascade.holds(F.col("host")))
+        universe, rows = _dealt(universe, "key", parts, "url-keys"), _dealt(rows, "host", parts, "url-rows")
+        at = F.col("part")
+        judged = [rows.where(at == p).withColumn("listed", build_cascade(universe.where(at == p).drop("part")).holds(F.col("host"))) for p in range(parts)]
+        found = reduce(DataFrame.unionByName, judged)
     verdict = F.coalesce("said", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return parts.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")
+    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")
 
 
 ORACLE = r"""

@@ -40,9 +40,18 @@ def corpus(n=3000):
 def test_query_against_brute_force(spark):
     rows = corpus()
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    for limit in (U.MAX_WORDS, 1):  # the cascade, and the join beyond its bound
-        got = U.judge_urls(pages, max_words=limit).drop("listed").collect()
-        assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    for limit in (U.MAX_WORDS, 60):  # one cascade, and one for each of several parts
+        judged = U.judge_urls(pages, max_words=limit)
+        assert sorted((tuple(r) for r in judged.drop("listed").collect()), key=str) == brute(rows)
+        plan = judged._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and ("part" in plan) == (limit < U.MAX_WORDS)
+
+
+def test_given_list(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/"), (2, "http://b.net/"), (3, None), (4, "http://com/fr/")], "page_id long, url string")
+    given = spark.createDataFrame([("A.net",), ("A.net",), ("com",), ("absent.net",), (None,)], "host string")
+    got = {r["page_id"]: (r["listed"], r["verdict"]) for r in U.judge_urls(pages, listed=given).collect()}
+    assert got == {1: (True, "block"), 2: (False, "allow"), 3: (False, "allow"), 4: (True, "allow")}
 
 
 def test_cascade_is_exact(spark):
@@ -58,7 +67,7 @@ def test_cascade_is_exact(spark):
         only = spark.createDataFrame([("a", side), ("b", side)], "key string, listed boolean")
         assert only.where(U.build_cascade(only).holds(F.col("key")) != side).count() == 0
     none = universe.limit(0)
-    assert U.build_cascade(none).levels == () and U.build_cascade(universe, 1) is None
+    assert U.build_cascade(none).levels == ()
 
 
 def test_edges(spark):
