@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -34,19 +36,61 @@ def test_marginals_by_enumeration():
     model = Q.LineCrf(rng.normal(size=5), rng.normal(size=(2, 2)))
     lines = np.array([3, 1, 4, 2])
     x = rng.normal(size=(lines.sum(), 5))
-    got, at = model.marginals(x, lines), 0
+    good = x @ model.weights
+    got, at = model.marginals(good, lines), 0
+    pairs = iter(Q._expected_pairs(good, lines, model.moves)[1])
     for n in lines:
         score = x[at : at + n] @ model.weights
-        total, ones = 0.0, np.zeros(n)
+        total, ones, twos = 0.0, np.zeros(n), np.zeros((n, 2, 2))
         for path in range(1 << n):
             s = [path >> i & 1 for i in range(n)]
             p = np.exp(sum(score[i] for i in range(n) if s[i]) + sum(model.moves[a, b] for a, b in zip(s, s[1:])))
             total += p
             ones += p * np.array(s)
+            for i, pair in enumerate(zip(s, s[1:])):
+                twos[(i, *pair)] += p
         assert np.allclose(got[at : at + n], ones / total)
+        assert all(np.allclose(next(pairs), twos[i] / total) for i in range(n - 1))
         at += n
 
 
+def test_long_chains_by_a_plain_loop():
+    rng = np.random.default_rng(4)
+    lines = np.array([1, 5000, 64, 65, 300])
+    good, moves = rng.normal(size=lines.sum()) * 3, rng.normal(size=(2, 2))
+    got, at = Q.LineCrf(np.zeros(1), moves).marginals(good, lines), 0
+    for n in lines:
+        e = np.column_stack([np.zeros(n), good[at : at + n]])
+        a, b = [e[0]], [np.zeros(2)]
+        for t in range(1, n):
+            a.append(np.array([np.logaddexp(a[-1][0] + moves[0, j], a[-1][1] + moves[1, j]) for j in (0, 1)]) + e[t])
+            b.append(np.array([np.logaddexp(*(moves[i] + e[n - t] + b[-1])) for i in (0, 1)]))
+        both = np.array(a) + np.array(b[::-1])
+        assert np.allclose(got[at : at + n], 1 / (1 + np.exp(both[:, 0] - both[:, 1])))
+        at += n
+
+
+def test_transitions_are_learned():
+    """Documents whose lines agree teach the field that lines stay as they are."""
+    rows, labels = corpus(300, 5)
+    model = Q.fit_crf([t.encode() for _, t in rows], np.array([float(q) for _, q, _ in labels]))
+    assert model.moves[0, 0] + model.moves[1, 1] > model.moves[0, 1] + model.moves[1, 0] + 0.5
+
+
+def test_a_text_of_three_million_lines():
+    rng = random.Random(9)
+    model = Q.LineCrf(np.random.default_rng(1).normal(size=3 * Q.N_OWN + 1), np.array([[0.3, -0.2], [-0.4, 0.5]]))
+    text = ("\n" * 3_000_000).encode()
+    some = "\n".join(" ".join(rng.choices(WORDS, k=rng.randint(0, 5))) for _ in range(3000)).encode()
+    began, tracked = time.perf_counter(), tracemalloc.start()
+    assert 0 <= model.score([text])[0] <= 1 and tracked is None
+    assert tracemalloc.get_traced_memory()[1] < 600 << 20 and time.perf_counter() - began < 60
+    tracemalloc.stop()
+    x, sizes, lines = Q.line_features([some, b"", b"x\n"])
+    scores = Q.line_scores([some, b"", b"x\n"], model.weights, 100)
+    assert np.allclose(scores[0], x @ model.weights) and np.array_equal(scores[1], sizes) and np.array_equal(scores[2], lines)
+
+
 def test_features_do_not_depend_on_the_batch():
     texts = [b"", b"One line.", b"A\n\nB | C\n", "é É ß***\n!!".encode(), b"\n\n"]
     x, sizes, lines = Q.line_features(texts)
