@@ -1,8 +1,10 @@
 """Progressive JPEG: a decoder for any Huffman-coded 8-bit file, and a lossless store of bytes as coefficients.
 
 The decoder accumulates the scans of a progressive file, by spectral selection and successive
-approximation, into arrays of coefficients. Scans whose Huffman table has one symbol have a
-constant layout and are decoded by numpy at once; all others symbol by symbol.
+approximation, into arrays of coefficients. For a scan's first approximation its codes
+are found one behind the other, and numpy reads all symbols, runs and values at once.
+Refinements are read at once as far as runs of ended blocks go. What is left (restarts,
+sequential files, new coefficients in refinements) is decoded symbol by symbol.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import math
 import re
 import struct
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -26,6 +29,8 @@ def _zigzag() -> np.ndarray:
 
 
 ZIGZAG = _zigzag()
+#: Blocks that are transformed and coloured at a time.
+BAND_BLOCKS = 4096
 #: Fixed-point bits of the inverse transform. Sums stay below 2**53, so they are exact in any order.
 SCALE = 20
 
@@ -50,7 +55,7 @@ class Component:
     high: int = 0
     own_wide: int = 0  # blocks in a row that scans of this component alone hold
     own_high: int = 0
-    blocks: np.ndarray = field(default_factory=lambda: np.zeros((0, 64), np.int32))
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros((0, 64), np.int16))
 
 
 @dataclass
@@ -62,56 +67,175 @@ class Frame:
     comments: list[bytes]
 
     def planes(self) -> list[np.ndarray]:
-        """Samples of each component at its own resolution, by the inverse transform in numpy."""
+        """Samples (uint8) of each component at its own resolution, by the inverse transform in numpy, in bands of block rows."""
         out = []
         for c in self.components:
-            values = c.blocks.astype(np.float64) * self.quantisers[c.table]
-            samples = np.floor((values @ BASIS + (1 << (SCALE - 1))) * (1.0 / (1 << SCALE)))
-            samples = np.clip(samples + 128, 0, 255).astype(np.int32)
-            out.append(samples.reshape(c.high, c.wide, 8, 8).swapaxes(1, 2).reshape(c.high * 8, c.wide * 8))
+            plane = np.empty((c.high, 8, c.wide, 8), np.uint8)
+            step = max(1, BAND_BLOCKS // c.wide)
+            for at in range(0, c.high, step):
+                values = c.blocks[at * c.wide : (at + step) * c.wide] * self.quantisers[c.table]
+                samples = np.floor((values @ BASIS + (1 << (SCALE - 1))) * (1.0 / (1 << SCALE)))
+                plane[at : at + step] = np.clip(samples + 128, 0, 255).reshape(-1, c.wide, 8, 8).swapaxes(1, 2)
+            out.append(plane.reshape(c.high * 8, c.wide * 8))
         return out
 
     def rgb(self) -> np.ndarray:
-        """Full-resolution RGB, uint8 of shape (height, width, 3); chroma is upsampled by repetition."""
+        """Full-resolution RGB, uint8 of shape (height, width, 3); chroma is upsampled by repetition, band by band."""
         top_h, top_v = max(c.h for c in self.components), max(c.v for c in self.components)
-        full = []
-        for c, plane in zip(self.components, self.planes()):
-            if top_h % c.h or top_v % c.v:
-                raise ValueError("fractional sampling factors are not supported")
-            big = plane.repeat(top_v // c.v, axis=0).repeat(top_h // c.h, axis=1) if (top_v, top_h) != (c.v, c.h) else plane
-            full.append(big[: self.height, : self.width])
-        if len(full) == 1:
-            return np.repeat(full[0].astype(np.uint8)[:, :, None], 3, axis=2)
-        y, cb, cr = full[0] << 16, full[1] - 128, full[2] - 128
-        half = 1 << 15
+        if any(top_h % c.h or top_v % c.v for c in self.components):
+            raise ValueError("fractional sampling factors are not supported")
+        planes = self.planes()
         out = np.empty((self.height, self.width, 3), np.uint8)
-        out[:, :, 0] = np.clip((y + 91881 * cr + half) >> 16, 0, 255)
-        out[:, :, 1] = np.clip((y - 22554 * cb - 46802 * cr + half) >> 16, 0, 255)
-        out[:, :, 2] = np.clip((y + 116130 * cb + half) >> 16, 0, 255)
+        step = max(1, BAND_BLOCKS * 64 // (self.width * top_v)) * top_v
+        half = 1 << 15
+        for at in range(0, self.height, step):
+            n = min(step, self.height - at)
+            full = []
+            for c, plane in zip(self.components, planes):
+                down, across = top_v // c.v, top_h // c.h
+                part = plane[at // down : -(-(at + n) // down)]
+                big = part.repeat(down, axis=0).repeat(across, axis=1) if (down, across) != (1, 1) else part
+                full.append(big[:n, : self.width])
+            if len(full) == 1:
+                out[at : at + n] = full[0][:, :, None]
+                continue
+            y, cb, cr = full[0].astype(np.int32) << 16, full[1].astype(np.int32) - 128, full[2].astype(np.int32) - 128
+            out[at : at + n, :, 0] = np.clip((y + 91881 * cr + half) >> 16, 0, 255)
+            out[at : at + n, :, 1] = np.clip((y - 22554 * cb - 46802 * cr + half) >> 16, 0, 255)
+            out[at : at + n, :, 2] = np.clip((y + 116130 * cb + half) >> 16, 0, 255)
         return out
 
 
+def features(rgb: np.ndarray) -> list[float]:
+    """Mean and deviation of each channel, and the mean steps of green across and down: eight numbers that describe a tensor."""
+    counts, steps, step = np.zeros((3, 256), np.int64), [0, 0], max(1, BAND_BLOCKS * 64 // rgb.shape[1])
+    for at in range(0, len(rgb), step):
+        band = rgb[at : at + step]
+        for c in range(3):
+            counts[c] += np.bincount(band[:, :, c].ravel(), minlength=256)
+        green = rgb[at : at + step + 1, :, 1].astype(np.int16)
+        steps[0] += int(np.abs(np.diff(green[: len(band)], axis=1)).sum())
+        steps[1] += int(np.abs(np.diff(green, axis=0)).sum())
+    n, levels = rgb.shape[0] * rgb.shape[1], np.arange(256)
+    mean = counts @ levels / n
+    deviation = np.sqrt(np.maximum(counts @ levels**2 / n - mean**2, 0))
+    return [*np.column_stack([mean, deviation]).ravel().tolist(), steps[0] / n, steps[1] / n]
+
+
+@lru_cache(maxsize=64)
 class Table:
-    """A Huffman table: `alone` is its symbol if it has one only, with a code of one bit."""
+    """A Huffman table. Files often share theirs, so tables are kept by content."""
 
     def __init__(self, counts: bytes, symbols: bytes):
         self.counts, self.symbols = counts, symbols
-        self.alone = symbols[0] if counts[0] == 1 and len(symbols) == 1 else None
-        self._look: list[int] | None = None
 
-    @property
+    @cached_property
     def look(self) -> list[int]:
         """For each 16 bits that may come next: length of the code << 8 | symbol, or 0."""
-        if self._look is None:
-            look, code, k = [0] * 65536, 0, 0
-            for bits in range(1, 17):
-                for _ in range(self.counts[bits - 1]):
-                    at = code << (16 - bits)
-                    look[at : at + (1 << (16 - bits))] = [bits << 8 | self.symbols[k]] * (1 << (16 - bits))
-                    code, k = code + 1, k + 1
-                code <<= 1
-            self._look = look
-        return self._look
+        look, code, k = [0] * 65536, 0, 0
+        for bits in range(1, 17):
+            for _ in range(self.counts[bits - 1]):
+                at = code << (16 - bits)
+                look[at : at + (1 << (16 - bits))] = [bits << 8 | self.symbols[k]] * (1 << (16 - bits))
+                code, k = code + 1, k + 1
+            code <<= 1
+        return look
+
+    @cached_property
+    def found(self) -> np.ndarray:
+        return np.array(self.look, np.int32)
+
+    def _steps(self, extra: np.ndarray) -> np.ndarray:
+        return np.where(self.found > 0, (self.found >> 8) + extra, 0).astype(np.uint8)
+
+    @cached_property
+    def dc_steps(self) -> np.ndarray:
+        """Bits of the code and of the value behind it; 0 where there is no code."""
+        return self._steps(self.found & 255)
+
+    @cached_property
+    def ac_steps(self) -> np.ndarray:
+        """The same for ACs: the bits behind a code are a value's, or those of the length of a run of ended blocks."""
+        symbol = self.found & 255
+        run, size = symbol >> 4, symbol & 15
+        return self._steps(np.where(size > 0, size, np.where(run < 15, run, 0)))
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 24 bits from each byte on; behind the data stand ones, which no code consists of."""
+    padded = np.concatenate([data, np.full(8, 255, np.uint8)]).astype(np.int32)
+    return padded[:-2] << 16 | padded[1:-1] << 8 | padded[2:]
+
+
+#: Codes that are followed one by one between two guesses.
+STEPPED = 256
+
+
+def _walked(data: np.ndarray, steps: np.ndarray, chunk: int = 1 << 16):
+    """Where the codes of a scan stand, in bits: arrays of positions with the words around them, until no code follows.
+
+    Codes with their values often take as many bits as the one before. So all places at that
+    distance are looked at together, and those up to the first that differs are codes indeed.
+    Where this leads nowhere, codes are followed one by one for a while.
+    """
+    p, base = 0, 0
+    while base < len(data):
+        words = _words(data[base : base + chunk + 8])
+        end, out, listed = 8 * min(chunk, len(data) - base), [], None
+        while p < end:
+            step = int(steps[words[p >> 3] >> (8 - (p & 7)) & 65535])
+            if not step:
+                break
+            at = np.arange(p, end, step)
+            found = steps[words[at >> 3] >> (8 - (at & 7)) & 65535]
+            other = found != step
+            n = int(other.argmax())
+            if not other[n]:
+                out.append(at)
+                p = int(at[-1]) + step
+                continue
+            out.append(at[: n if not found[n] else n + 1])
+            p = int(at[n]) + int(found[n])
+            if not found[n]:
+                break
+            if n < STEPPED:
+                listed = words.tolist() if listed is None else listed
+                one_by_one, p, more = _followed(listed, steps, p, end)
+                out.append(one_by_one)
+                if not more:
+                    break
+        if out:
+            yield np.concatenate(out), words
+        if p < end:
+            return
+        base, p = base + chunk, p - 8 * chunk
+
+
+def _followed(words: list[int], steps: np.ndarray, p: int, end: int) -> tuple[np.ndarray, int, bool]:
+    """The next STEPPED codes, where they end, and whether more may follow."""
+    out = []
+    for _ in range(STEPPED):
+        if p >= end:
+            break
+        step = steps.item(words[p >> 3] >> (8 - (p & 7)) & 65535)
+        if not step:
+            return np.array(out, np.int64), p, False
+        out.append(p)
+        p += step
+    return np.array(out, np.int64), p, True
+
+
+def _read(words: np.ndarray, at: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the codes at these bits, and the 16 bits behind each."""
+    sixteen = lambda at: words[at >> 3] >> (8 - (at & 7)) & 65535
+    found = table.found[sixteen(at)]
+    return found & 255, sixteen(at + (found >> 8))
+
+
+def _signed(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Values of `size` bits that stand first in 16."""
+    value = bits >> (16 - size)
+    return np.where((size > 0) & (value >> np.maximum(size - 1, 0) == 0), value - (1 << size) + 1, value)
 
 
 class Bits:
@@ -143,6 +267,20 @@ class Bits:
         return bits if not size or bits >> (size - 1) else bits - (1 << size) + 1
 
 
+def _block_order(high: int, wide: int, row: int, v: int, h: int) -> np.ndarray:
+    """Numbers of high x wide blocks in rows of `row`, a line for each MCU of v x h blocks."""
+    if high * wide > 1 << 14:
+        return _ordered(high, wide, row, v, h)
+    return _kept_order(high, wide, row, v, h)
+
+
+def _ordered(high: int, wide: int, row: int, v: int, h: int) -> np.ndarray:
+    corner = (np.arange(high // v)[:, None] * v * row + np.arange(wide // h) * h).reshape(-1, 1)
+    return corner + (np.arange(v)[:, None] * row + np.arange(h)).reshape(1, -1)
+
+
+_kept_order = lru_cache(maxsize=512)(_ordered)  # small files are often of one shape
+
 _MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 _RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 
@@ -160,14 +298,8 @@ class Scan:
         """For one component alone the index of its blocks; for several, of every MCU's."""
         if len(self.parts) == 1:
             c = self.parts[0][0]
-            return [(c, (np.arange(c.own_high)[:, None] * c.wide + np.arange(c.own_wide)).reshape(-1, 1))]
-        out = []
-        for c, _, _ in self.parts:
-            across, down = c.wide // c.h, c.high // c.v
-            corner = (np.arange(down)[:, None] * c.v * c.wide + np.arange(across) * c.h).reshape(-1, 1)
-            inside = (np.arange(c.v)[:, None] * c.wide + np.arange(c.h)).reshape(1, -1)
-            out.append((c, corner + inside))
-        return out
+            return [(c, _block_order(c.own_high, c.own_wide, c.wide, 1, 1))]
+        return [(c, _block_order(c.high, c.wide, c.wide, c.v, c.h)) for c, _, _ in self.parts]
 
     def decode(self, data: bytes) -> None:
         order = self.order()
@@ -181,56 +313,102 @@ class Scan:
             self._decode_units(Bits(pieces[k]), order, range(start, min(units, start + step)))
 
     def _decode_at_once(self, data: bytes, order) -> bool:
-        """Decode a scan of constant layout in numpy; False if this scan has none."""
-        per_unit = sum(ix.shape[1] for _, ix in order)
-        n = len(order[0][1]) * per_unit
+        """Decode a scan without restarts in numpy; False, with nothing done, if it is of a kind that is left."""
+        array = np.frombuffer(data, np.uint8)
         if self.first == 0 and self.high:  # one bit a block
-            bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n).reshape(-1, per_unit)
+            per_unit = sum(ix.shape[1] for _, ix in order)
+            n = len(order[0][1]) * per_unit
+            bits = np.unpackbits(array, count=n).reshape(-1, per_unit)
             at = 0
             for c, ix in order:
-                c.blocks[ix, 0] |= bits[:, at : at + ix.shape[1]].astype(np.int32) << self.low
+                c.blocks[ix, 0] |= bits[:, at : at + ix.shape[1]].astype(np.int16) << self.low
                 at += ix.shape[1]
             return True
         if self.first == 0:
-            if any(dc is None or dc.alone != 0 for _, dc, _ in self.parts):
-                return False
-            if np.unpackbits(np.frombuffer(data, np.uint8), count=n).any():
-                raise ValueError("a code that is in no table")
-            for c, ix in order:
-                c.blocks[ix, 0] = 0
-            return True
-        (c, ix), (_, _, ac) = order[0], self.parts[0]
-        if ac is None or ac.alone is None:
+            return not self.last and self._dc_at_once(array, order)
+        if self.parts[0][2] is None:
+            return False
+        if self.high:
+            return self._refined_at_once(data, array, order[0][1][:, 0])
+        return self._ac_at_once(array, order[0][1][:, 0])
+
+    def _dc_at_once(self, data: np.ndarray, order) -> bool:
+        tables = [dc for _, dc, _ in self.parts]
+        if any(t is not tables[0] for t in tables) or tables[0] is None:
             return False
-        ix, band = ix[:, 0], self.last - self.first + 1
-        if not self.high and ac.alone >> 4 == 0 and 0 < ac.alone < 16:
-            size, total = ac.alone, n * band
-            if size == 7:
-                bits = np.frombuffer(data, np.uint8, total).astype(np.int32)
+        values = []
+        for at, words in _walked(data, tables[0].dc_steps):
+            size, behind = _read(words, at, tables[0])
+            values.append(_signed(behind, size))
+        per_unit = sum(ix.shape[1] for _, ix in order)
+        n = len(order[0][1]) * per_unit
+        values = np.concatenate(values) if values else np.zeros(0, np.int64)
+        if len(values) < n:
+            raise EOFError("a scan ends early")
+        values, at = values[:n].reshape(-1, per_unit), 0
+        for c, ix in order:
+            steps = values[:, at : at + ix.shape[1]]
+            c.blocks[ix, 0] = np.cumsum(steps.ravel()).reshape(steps.shape) << self.low
+            at += ix.shape[1]
+        return True
+
+    def _ac_at_once(self, data: np.ndarray, ix: np.ndarray) -> bool:
+        """Coefficients of a band in a row, block by block: a value stands its run behind the last, an ended block leads to the next."""
+        (c, _, table), band = self.parts[0], self.last - self.first + 1
+        lin = 0
+        for at, words in _walked(data, table.ac_steps):
+            symbol, behind = _read(words, at, table)
+            run, size = symbol >> 4, symbol & 15
+            ended = np.flatnonzero((size == 0) & (run < 15))
+            ahead = np.where(size > 0, run + 1, 16)
+            ahead[ended] = 0
+            past = np.cumsum(ahead)
+            if len(ended):
+                length = (1 << run[ended]) + (behind[ended] >> (16 - run[ended]))
+                shift, shifts = lin, []
+                for reached, blocks in zip(past[ended].tolist(), length.tolist()):
+                    shift += ((reached + shift) // band + blocks) * band - (reached + shift)
+                    shifts.append(shift)
+                edges = np.diff(np.concatenate(([0], ended, [len(at)])))
+                past = past + np.repeat(np.array([lin, *shifts]), edges)
+                lin = int(past[-1])  # an ended block's own place is where it leads to
             else:
-                raw = np.unpackbits(np.frombuffer(data, np.uint8), count=total * (size + 1)).reshape(total, size + 1)
-                bits = raw.astype(np.int32) @ (1 << np.arange(size, -1, -1))
-            if (bits >> size).any():
-                raise ValueError("a code that is in no table")
-            values = np.where(bits >> (size - 1), bits, bits - (1 << size) + 1) << self.low
-            c.blocks[ix, self.first : self.last + 1] = values.reshape(n, band)
-            return True
-        if self.high and ac.alone == 0:  # every block ends at once, and its known coefficients are corrected
-            part = c.blocks[ix, self.first : self.last + 1]
-            known = part != 0
-            counts = known.sum(axis=1)
-            total = n + int(counts.sum())
-            bits = np.unpackbits(np.frombuffer(data, np.uint8), count=total)
-            ends = np.cumsum(counts + 1) - counts - 1  # where the code of each block stands
-            if bits[ends].any():
-                raise ValueError("a code that is in no table")
-            correct = np.delete(bits, ends).astype(np.int32)
-            held = part[known]
-            fresh = correct * ((np.abs(held) >> self.low) & 1 == 0)
-            part[known] = held + np.where(held > 0, fresh, -fresh) * (1 << self.low)
-            c.blocks[ix, self.first : self.last + 1] = part
-            return True
-        return False
+                past = past + lin
+                lin = int(past[-1])
+            known = size > 0
+            place = past[known] - 1
+            if len(place) and place[-1] >= len(ix) * band:
+                raise ValueError("a scan leads beyond its blocks")
+            c.blocks[ix[place // band], self.first + place % band] = _signed(behind[known], size[known]) << self.low
+        if lin < len(ix) * band:
+            raise EOFError("a scan ends early")
+        return True
+
+    def _refined_at_once(self, raw: bytes, data: np.ndarray, ix: np.ndarray) -> bool:
+        """Runs of ended blocks: all that is known in them is corrected. False if a coefficient is new."""
+        c, _, table = self.parts[0]
+        part = c.blocks[ix, self.first : self.last + 1]
+        known = part != 0
+        before = np.concatenate(([0], np.cumsum(known.sum(axis=1))))
+        bits, block, taken = Bits(raw), 0, []
+        while block < len(ix):
+            symbol = bits.symbol(table)
+            if symbol & 15 or symbol >> 4 == 15:
+                return False
+            blocks = min((1 << (symbol >> 4)) + bits.take(symbol >> 4), len(ix) - block)
+            n = int(before[block + blocks] - before[block])
+            taken.append((bits.at, n))
+            bits.at += n
+            block += blocks
+        if bits.at > 8 * len(data):
+            raise EOFError("a scan ends early")
+        flat = np.unpackbits(data)
+        correct = np.concatenate([flat[at : at + n] for at, n in taken]).astype(np.int16)
+        held = part[known]
+        fresh = correct * ((np.abs(held) >> self.low) & 1 == 0)
+        part[known] = held + np.where(held > 0, fresh, -fresh) * np.int16(1 << self.low)
+        c.blocks[ix, self.first : self.last + 1] = part
+        return True
 
     def _decode_units(self, bits: Bits, order, units: range) -> None:
         before = [0] * len(order)
@@ -308,7 +486,7 @@ def decode(data: bytes) -> Frame:
     """Coefficients of a baseline, extended or progressive Huffman-coded JPEG of 8 bits; ValueError or EOFError if it is damaged."""
     try:
         return _decode(data)
-    except (IndexError, KeyError, TypeError, AttributeError, struct.error) as e:
+    except (IndexError, KeyError, TypeError, AttributeError, OverflowError, struct.error) as e:
         raise ValueError("a damaged JPEG") from e
 
 
@@ -353,7 +531,7 @@ def _decode(data: bytes) -> Frame:
             for c in parts:
                 c.wide, c.high = across * c.h, down * c.v
                 c.own_wide, c.own_high = -(-(-(-width * c.h // top_h)) // 8), -(-(-(-height * c.v // top_v)) // 8)
-                c.blocks = np.zeros((c.wide * c.high, 64), np.int32)
+                c.blocks = np.zeros((c.wide * c.high, 64), np.int16)
             frame = Frame(height, width, parts, quantisers, comments)
         elif marker == 0xDA:
             if frame is None:
@@ -375,21 +553,54 @@ def _decode(data: bytes) -> Frame:
 
 
 # --- Storing bytes -------------------------------------------------------------------------
-# A byte b is the coefficient b of a DC, and an AC of b (128 and above) or b - 255 (below). All
-# ACs have 8 significant bits, so after the first of two approximations all are known.
+# A byte b is the coefficient b of a DC. As an AC, 0 stays 0, 1 to 127 are -2 to -128, 128 to
+# 255 are 2 to 129: so half of it, which is sent first, is 0 for zero bytes only.
 
 
-def _byte_codes() -> tuple[np.ndarray, np.ndarray]:
-    """For each byte what its AC sends first (all bits but the lowest) and then (the lowest of its magnitude)."""
+def _ac_values() -> np.ndarray:
     b = np.arange(256)
-    magnitude = np.where(b >= 128, b, 255 - b)
-    first = np.where(b >= 128, magnitude >> 1, 127 - (magnitude >> 1))
-    return first.astype(np.uint8), (magnitude & 1).astype(np.uint8)
+    return np.where(b == 0, 0, np.where(b < 128, -b - 1, b - 126)).astype(np.int16)
+
+
+_AC = _ac_values()
+#: Sizes of values that follow no zero, with codes of 1 to 7 bits; with its value each takes 8 bits. A code of 8 bits ends a
+#: block; codes of 16 bits stand for runs of 2 and more ended blocks, for 16 zeros, and for values behind zeros.
+_AC_SYMBOLS = bytes([7, 6, 5, 4, 3, 2, 1, 0x00, *range(0x10, 0x100, 0x10), *[r << 4 | n for r in range(1, 16) for n in range(1, 8)]])
+_AC_COUNTS = bytes([*[1] * 8, *[0] * 7, len(_AC_SYMBOLS) - 8])
+_END_SYMBOLS = bytes(range(0x00, 0xF0, 0x10))
+_END_COUNTS = bytes([0, 0, 0, len(_END_SYMBOLS), *[0] * 12])
+_DC_SYMBOLS = bytes(range(8))
+_DC_COUNTS = bytes([0, 0, 0, len(_DC_SYMBOLS), *[0] * 12])
+
+
+def _codes(counts: bytes, symbols: bytes) -> dict[int, tuple[int, int]]:
+    """The code of each symbol and its bits."""
+    out, code, k = {}, 0, 0
+    for bits in range(1, 17):
+        for _ in range(counts[bits - 1]):
+            out[symbols[k]] = (code, bits)
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
 
+_AC_CODES = _codes(_AC_COUNTS, _AC_SYMBOLS)
 
-_FIRST, _LOWEST = _byte_codes()
-#: Spectral bands of the first scans of each component.
-BANDS = ((1, 5), (6, 63))
+
+def _first_bytes() -> np.ndarray:
+    """The 8 bits that send half of each byte's AC."""
+    out = np.zeros(256, np.uint8)
+    for b in range(1, 256):
+        half = abs(int(_AC[b])) >> 1
+        size = half.bit_length()
+        out[b] = _AC_CODES[size][0] << size | (half if _AC[b] > 0 else (1 << size) - 1 - half)
+    return out
+
+
+_FIRST = _first_bytes()
+_LOWEST = (np.abs(_AC) & 1).astype(np.uint8)
+#: Spectral bands of the first scans of luma and of each chroma.
+BANDS = {1: ((1, 5), (6, 63)), 2: ((1, 63),), 3: ((1, 63),)}
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -401,16 +612,90 @@ def _scan(parts: list[tuple[int, int]], first: int, last: int, high: int, low: i
     return _segment(0xDA, head) + data.replace(b"\xff", b"\xff\x00")
 
 
-def _packed(bits: np.ndarray) -> bytes:
+def _packed(*bits: np.ndarray) -> bytes:
     """Bits as bytes, the last filled up with ones."""
-    return np.packbits(np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)])).tobytes()
-
-
-def _one_code(kind: int, slot: int, symbol: int) -> bytes:
-    return bytes([kind << 4 | slot, 1, *[0] * 15, symbol])
-
-
-_TABLES = _segment(0xDB, b"\0" + b"\1" * 64) + _segment(0xC4, _one_code(0, 0, 0) + _one_code(1, 0, 7) + _one_code(1, 1, 0))
+    n = sum(map(len, bits))
+    return np.packbits(np.concatenate([*bits, np.ones(-n % 8, np.uint8)])).tobytes()
+
+
+def _bits(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The last `sizes` bits of each value in a row."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    back = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(of))
+    return (values[of] >> back & 1).astype(np.uint8)
+
+
+def _number(value: int, size: int) -> list[int]:
+    return [value >> i & 1 for i in range(size - 1, -1, -1)]
+
+
+def _ended(blocks: int, codes: dict[int, tuple[int, int]]) -> list[int]:
+    """A run of ended blocks."""
+    size = blocks.bit_length() - 1
+    return _number(*codes[size << 4]) + _number(blocks - (1 << size), size)
+
+
+def _sent_first(part: np.ndarray) -> bytes:
+    """The first approximation of a band. Blocks without zeros are bytes from a table; others go symbol by symbol."""
+    full = part.all(axis=1)
+    if full.all():
+        return _FIRST[part].tobytes()
+    bits, run, at = [], 0, 0
+    any_left = part.any(axis=1)
+    while at < len(part):
+        if full[at]:
+            stop = at + int(np.argmin(full[at:])) if not full[at:].all() else len(part)
+            if run:
+                bits.append(np.array(_ended(run, _AC_CODES), np.uint8))
+                run = 0
+            bits.append(np.unpackbits(_FIRST[part[at:stop]].ravel()))
+            at = stop
+            continue
+        if any_left[at]:
+            out, zeros = _ended(run, _AC_CODES) if run else [], 0
+            run = 0
+            for b in part[at].tolist():
+                if not b:
+                    zeros += 1
+                    continue
+                while zeros > 15:
+                    out += _number(*_AC_CODES[0xF0])
+                    zeros -= 16
+                half = abs(int(_AC[b])) >> 1
+                size = half.bit_length()
+                out += _number(*_AC_CODES[zeros << 4 | size]) + _number(half if _AC[b] > 0 else (1 << size) - 1 - half, size)
+                zeros = 0
+            bits.append(np.array(out, np.uint8))
+            run = 1 if zeros else 0
+        else:
+            run += 1
+        if run == 32767:
+            bits.append(np.array(_ended(run, _AC_CODES), np.uint8))
+            run = 0
+        at += 1
+    if run:
+        bits.append(np.array(_ended(run, _AC_CODES), np.uint8))
+    return _packed(*bits)
+
+
+def _sent_last(part: np.ndarray) -> bytes:
+    """The refinement of all ACs: runs of ended blocks, each with the lowest bits of what is known."""
+    codes, bits = _codes(_END_COUNTS, _END_SYMBOLS), []
+    for at in range(0, len(part), 32767):
+        some = part[at : at + 32767]
+        bits += [np.array(_ended(len(some), codes), np.uint8), _LOWEST[some[some != 0]]]
+    return _packed(*bits)
+
+
+def _sent_dc(steps: np.ndarray) -> bytes:
+    size = np.frexp(np.abs(steps))[1]  # bits of the magnitude
+    value = np.where(steps < 0, steps + (1 << size) - 1, steps)
+    return _packed(_bits(size << size | value, size + 4))  # codes of 4 bits, in order
+
+
+_TABLES = _segment(0xDB, b"\0" + b"\1" * 64) + _segment(
+    0xC4, b"\0" + _DC_COUNTS + _DC_SYMBOLS + b"\x10" + _AC_COUNTS + _AC_SYMBOLS + b"\x11" + _END_COUNTS + _END_SYMBOLS
+)
 _COMMENT = b"blocks "
 
 
@@ -418,8 +703,8 @@ def encode_payload(payload: bytes) -> bytes:
     """A progressive 4:2:0 JPEG whose coefficients are the bytes of payload (a positive multiple of 64 of them).
 
     Luma blocks take the first bytes, row by row, then Cb and Cr; what is over is filled with
-    zero bytes. A DC is sent bit by bit in nine scans, ACs in two spectral bands and two
-    approximations.
+    empty blocks. DCs are sent as steps and then refined by a bit; ACs in spectral bands, first
+    all bits but the lowest, which a last scan of each component adds.
     """
     if not payload or len(payload) % UNIT:
         raise ValueError("the payload must be a positive multiple of 64 bytes")
@@ -432,21 +717,18 @@ def encode_payload(payload: bytes) -> bytes:
     blocks[:n] = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
     luma, cb, cr = blocks[: 4 * total], blocks[4 * total : 5 * total], blocks[5 * total :]
     dc = luma[:, 0].reshape(down, 2, across, 2).transpose(0, 2, 1, 3).reshape(total, 4)
-    dc = np.column_stack([dc, cb[:, 0], cr[:, 0]]).reshape(-1)
+    dc = [dc, cb[:, :1], cr[:, :1]]
+    steps = np.column_stack([np.diff((d >> 1).ravel().astype(np.int64), prepend=0).reshape(d.shape) for d in dc]).ravel()
     size = struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + b"\1\x22\0\2\x11\0\3\x11\0"
     every = [(1, 0), (2, 0), (3, 0)]
     out = [b"\xff\xd8", _segment(0xFE, _COMMENT + str(n).encode()), _segment(0xC2, size), _TABLES]
-    out.append(_scan(every, 0, 0, 0, 8, _packed(np.zeros(6 * total, np.uint8))))
-    for bit in range(7, -1, -1):
-        out.append(_scan(every, 0, 0, bit + 1, bit, _packed(dc >> bit & 1)))
+    out.append(_scan(every, 0, 0, 0, 1, _sent_dc(steps)))
     for id, part in ((1, luma), (2, cb), (3, cr)):
-        sent = _FIRST[part]
-        for first, last in BANDS:
-            out.append(_scan([(id, 0)], first, last, 0, 1, sent[:, first : last + 1].tobytes()))
+        for first, last in BANDS[id]:
+            out.append(_scan([(id, 0)], first, last, 0, 1, _sent_first(part[:, first : last + 1])))
+    out.append(_scan(every, 0, 0, 1, 0, _packed(np.column_stack(dc).ravel() & 1)))
     for id, part in ((1, luma), (2, cb), (3, cr)):
-        bits = _LOWEST[part]
-        bits[:, 0] = 0  # the code that ends a block without new coefficients
-        out.append(_scan([(id, 1)], 1, 63, 1, 0, np.packbits(bits, axis=1).tobytes()))
+        out.append(_scan([(id, 1)], 1, 63, 1, 0, _sent_last(part[:, 1:])))
     out.append(b"\xff\xd9")
     return b"".join(out)
 
@@ -457,5 +739,6 @@ def payload_of(frame: Frame) -> bytes:
     if not told:
         raise ValueError("this JPEG stores no payload")
     values = np.concatenate([c.blocks for c in frame.components])[: told[0]]
-    values[:, 1:] += 255 * (values[:, 1:] < 0)
+    ac = values[:, 1:]
+    ac += (ac > 0) * np.int16(126) - (ac < 0) * (2 * ac + 1)
     return values.astype(np.uint8).tobytes()

@@ -57,25 +57,25 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, n, media in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
                 if media is None:
-                    yield (doc_id, n, None, None, None, None, None), 0
+                    yield (doc_id, n, None, None, None, None, None, None), 0
                     continue
                 frame = jpeg.decode(media)
                 rgb = frame.rgb()
                 stored = jpeg.payload_of(frame) if any(c.startswith(b"blocks ") for c in frame.comments) else None
-                yield (doc_id, n, media, stored, frame.height, frame.width, rgb.tobytes()), len(media) + rgb.size
+                yield (doc_id, n, media, stored, frame.height, frame.width, rgb.tobytes(), jpeg.features(rgb)), len(media) + rgb.size
 
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary())]
-        + [("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]
+        + [("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary()), ("features", pa.list_(pa.float64()))]
     )
     yield from _batched(rows(), schema)
 
 
 def decode_media(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) -> also payload, height, width and rgb: the full-resolution tensor, row-major, 8 bits a channel.
+    """(doc_id, n_bytes, media) -> also payload, height, width, rgb (the full-resolution tensor, row-major, 8 bits a channel) and its features.
 
     Takes any Huffman-coded 8-bit JPEG; payload is null for files that store none. Null media
     give null results; a damaged file is an error.
     """
-    ddl = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary"
+    ddl = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary, features array<double>"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, ddl)

@@ -92,5 +92,6 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", F.concat_ws("x", "height", "width", F.lit("3")), F.substring(F.sha2("rgb", 256), 1, 32)).alias("feature"),
+        F.concat_ws(":", F.concat_ws("x", "height", "width", F.lit("3")), F.transform("features", lambda x: F.format_number(x, 4))).alias("feature"),
+        F.sha2("rgb", 256).alias("rgb_sha256"),
     )

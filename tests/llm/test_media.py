@@ -23,8 +23,10 @@ def test_round_trip_of_extremes():
             jpeg.encode_payload(bad)
 
 
-def test_both_ways_of_decoding_agree(monkeypatch):
-    data = jpeg.encode_payload(os.urandom(64 * 31))
+@pytest.mark.parametrize("payload", [os.urandom(64 * 31), b"ab\0c" * 16 * 50, (b"\0" * 64 + b"x" * 64 + b"\0" * 31 + b"y") * 64, b"\0" * 64 * 400, b"The text. " * 64 + b"\0" * 64])
+def test_both_ways_of_decoding_agree(monkeypatch, payload):
+    data = jpeg.encode_payload(payload)
+    assert jpeg.payload_of(jpeg.decode(data)) == payload
     quick = jpeg.decode(data)
     monkeypatch.setattr(jpeg.Scan, "_decode_at_once", lambda *a: False)
     slow = jpeg.decode(data)
@@ -173,6 +175,23 @@ def test_colour_and_sampling():
     assert rgb.shape == (16, 16, 3) and np.abs(rgb.reshape(-1, 3) - expected).max() <= 1
 
 
+def test_long_scans_go_through_several_chunks():
+    payload = os.urandom(64 * 7000) + b"\0" * 64 * 40_000 + b"z" * 64 * 3000
+    frame = jpeg.decode(jpeg.encode_payload(payload))
+    assert jpeg.payload_of(frame) == payload
+
+
+def test_bands_and_features(monkeypatch):
+    frame = jpeg.decode(jpeg.encode_payload(os.urandom(64 * 333)))
+    whole, told = frame.rgb(), jpeg.features(frame.rgb())
+    monkeypatch.setattr(jpeg, "BAND_BLOCKS", 7)
+    assert np.array_equal(frame.rgb(), whole) and np.allclose(jpeg.features(whole), told)
+    x = whole.reshape(-1, 3).astype(float)
+    green = whole[:, :, 1].astype(int)
+    expected = [*np.column_stack([x.mean(axis=0), x.std(axis=0)]).ravel(), np.abs(np.diff(green, axis=1)).sum() / len(x), np.abs(np.diff(green, axis=0)).sum() / len(x)]
+    assert np.allclose(told, expected)
+
+
 def test_damaged_files():
     data = jpeg.encode_payload(os.urandom(640))
     for bad in (b"", b"nothing", data[:-2], data[:200]):
