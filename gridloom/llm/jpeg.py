@@ -198,9 +198,13 @@ def _walked(data: np.ndarray, steps: np.ndarray, chunk: int = 1 << 16):
             p = int(at[n]) + int(found[n])
             if not found[n]:
                 break
+            near, p, more = _followed(words, steps, p, end, 4)
+            out.append(near)
+            if not more:
+                break
             if n < STEPPED:
                 listed = words.tolist() if listed is None else listed
-                one_by_one, p, more = _followed(listed, steps, p, end)
+                one_by_one, p, more = _followed(listed, steps, p, end, STEPPED)
                 out.append(one_by_one)
                 if not more:
                     break
@@ -211,13 +215,13 @@ def _walked(data: np.ndarray, steps: np.ndarray, chunk: int = 1 << 16):
         base, p = base + chunk, p - 8 * chunk
 
 
-def _followed(words: list[int], steps: np.ndarray, p: int, end: int) -> tuple[np.ndarray, int, bool]:
-    """The next STEPPED codes, where they end, and whether more may follow."""
+def _followed(words: list[int] | np.ndarray, steps: np.ndarray, p: int, end: int, most: int) -> tuple[np.ndarray, int, bool]:
+    """The next codes, `most` at most, where they end, and whether more may follow."""
     out = []
-    for _ in range(STEPPED):
+    for _ in range(most):
         if p >= end:
             break
-        step = steps.item(words[p >> 3] >> (8 - (p & 7)) & 65535)
+        step = steps.item(int(words[p >> 3]) >> (8 - (p & 7)) & 65535)
         if not step:
             return np.array(out, np.int64), p, False
         out.append(p)
@@ -235,7 +239,7 @@ def _read(words: np.ndarray, at: np.ndarray, table: Table) -> tuple[np.ndarray,
 def _signed(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Values of `size` bits that stand first in 16."""
     value = bits >> (16 - size)
-    return np.where((size > 0) & (value >> np.maximum(size - 1, 0) == 0), value - (1 << size) + 1, value)
+    return value - (bits < 32768) * ((1 << size) - 1)  # without bits nothing is taken off
 
 
 class Bits:
@@ -358,6 +362,25 @@ class Scan:
         lin = 0
         for at, words in _walked(data, table.ac_steps):
             symbol, behind = _read(words, at, table)
+            plain = symbol < 16  # no zeros before; an ended block if it has no size
+            plain &= symbol > 0
+            n = len(at) if plain.all() else int(plain.argmin())
+            if lin % band == 0 and n:  # a row of values without zeros between
+                first, whole = lin // band, n // band
+                if lin + n > len(ix) * band:
+                    raise ValueError("a scan leads beyond its blocks")
+                values = _signed(behind[:n], symbol[:n]) << self.low
+                c.blocks[ix[first : first + whole], self.first : self.last + 1] = values[: whole * band].reshape(-1, band)
+                if n % band:
+                    c.blocks[ix[first + whole], self.first : self.first + n % band] = values[whole * band :]
+                lin += n
+                symbol, behind = symbol[n:], behind[n:]
+            while len(symbol) and symbol[0] < 0xF0 and not symbol[0] & 15:
+                more = int(symbol[0]) >> 4
+                lin = (lin // band + (1 << more) + (int(behind[0]) >> (16 - more))) * band
+                symbol, behind = symbol[1:], behind[1:]
+            if not len(symbol):
+                continue
             run, size = symbol >> 4, symbol & 15
             ended = np.flatnonzero((size == 0) & (run < 15))
             ahead = np.where(size > 0, run + 1, 16)
@@ -369,7 +392,7 @@ class Scan:
                 for reached, blocks in zip(past[ended].tolist(), length.tolist()):
                     shift += ((reached + shift) // band + blocks) * band - (reached + shift)
                     shifts.append(shift)
-                edges = np.diff(np.concatenate(([0], ended, [len(at)])))
+                edges = np.diff(np.concatenate(([0], ended, [len(symbol)])))
                 past = past + np.repeat(np.array([lin, *shifts]), edges)
                 lin = int(past[-1])  # an ended block's own place is where it leads to
             else:
@@ -389,21 +412,21 @@ class Scan:
         c, _, table = self.parts[0]
         part = c.blocks[ix, self.first : self.last + 1]
         known = part != 0
-        before = np.concatenate(([0], np.cumsum(known.sum(axis=1))))
         bits, block, taken = Bits(raw), 0, []
         while block < len(ix):
             symbol = bits.symbol(table)
             if symbol & 15 or symbol >> 4 == 15:
                 return False
             blocks = min((1 << (symbol >> 4)) + bits.take(symbol >> 4), len(ix) - block)
-            n = int(before[block + blocks] - before[block])
-            taken.append((bits.at, n))
-            bits.at += n
+            n = int(np.count_nonzero(known[block : block + blocks]))
+            at = bits.at
+            taken.append((at, n))
+            bits.at = at + n
             block += blocks
         if bits.at > 8 * len(data):
             raise EOFError("a scan ends early")
         flat = np.unpackbits(data)
-        correct = np.concatenate([flat[at : at + n] for at, n in taken]).astype(np.int16)
+        correct = (flat[at : at + n] if len(taken) == 1 else np.concatenate([flat[at : at + n] for at, n in taken])).astype(np.int16)
         held = part[known]
         fresh = correct * ((np.abs(held) >> self.low) & 1 == 0)
         part[known] = held + np.where(held > 0, fresh, -fresh) * np.int16(1 << self.low)
@@ -585,6 +608,7 @@ def _codes(counts: bytes, symbols: bytes) -> dict[int, tuple[int, int]]:
 
 
 _AC_CODES = _codes(_AC_COUNTS, _AC_SYMBOLS)
+_END_CODES = _codes(_END_COUNTS, _END_SYMBOLS)
 
 
 def _first_bytes() -> np.ndarray:
@@ -636,10 +660,13 @@ def _ended(blocks: int, codes: dict[int, tuple[int, int]]) -> list[int]:
 
 
 def _sent_first(part: np.ndarray) -> bytes:
-    """The first approximation of a band. Blocks without zeros are bytes from a table; others go symbol by symbol."""
+    """The first approximation of a band. What has no zeros before it is bytes from a table; blocks with others go symbol by symbol."""
+    flat = part.ravel()
+    n = int(np.count_nonzero(flat))
+    ended = len(part) - n // part.shape[1]
+    if ended <= 32767 and flat[:n].all():
+        return _FIRST[flat[:n]].tobytes() + (_packed(np.array(_ended(ended, _AC_CODES), np.uint8)) if ended else b"")
     full = part.all(axis=1)
-    if full.all():
-        return _FIRST[part].tobytes()
     bits, run, at = [], 0, 0
     any_left = part.any(axis=1)
     while at < len(part):
@@ -680,10 +707,10 @@ def _sent_first(part: np.ndarray) -> bytes:
 
 def _sent_last(part: np.ndarray) -> bytes:
     """The refinement of all ACs: runs of ended blocks, each with the lowest bits of what is known."""
-    codes, bits = _codes(_END_COUNTS, _END_SYMBOLS), []
+    bits = []
     for at in range(0, len(part), 32767):
         some = part[at : at + 32767]
-        bits += [np.array(_ended(len(some), codes), np.uint8), _LOWEST[some[some != 0]]]
+        bits += [np.array(_ended(len(some), _END_CODES), np.uint8), _LOWEST[some[some != 0]]]
     return _packed(*bits)
 
 
