@@ -12,7 +12,7 @@ CELLS = 4096
 #: Large groups are told apart by their cells, up to so many at one place.
 PLACES = 64
 #: A group of at most so many rows is not large in any table.
-LEAST_SHARE = 1000
+LEAST_SHARE = 100
 
 
 def text_bytes(text: Column) -> Column:
