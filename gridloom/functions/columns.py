@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,9 +38,10 @@ def scalar_divide(v: Column, by: float) -> Column:
 
 def huber(squared: Column, delta: float) -> tuple[Column, Column]:
     """(cost, weight) of a squared residual norm under the Huber loss; delta 0 turns it off."""
-    if delta < 0:
-        raise ValueError("delta must not be negative")
-    checked = F.when(squared < 0, F.raise_error(F.lit("a squared norm must not be negative")).cast("double")).otherwise(squared)
+    if not 0 <= delta < math.inf:
+        raise ValueError("delta must be finite and not negative")
+    bad = F.raise_error(F.lit("a squared norm must be finite and not negative")).cast("double")
+    checked = F.when(~finite(squared) | (squared < 0), bad).otherwise(squared)
     if delta == 0:
         return checked / 2, F.lit(1.0)
     root, d = F.sqrt(checked), F.lit(float(delta))

@@ -1,4 +1,4 @@
-"""Dense matrices as relations in coordinate form: one row (row, col, v) for every element."""
+"""Matrices as relations in coordinate form: one row (row, col, v) for every element, or for every stored one of a sparse matrix."""
 
 from __future__ import annotations
 
@@ -18,11 +18,15 @@ BROADCAST_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Matrix:
-    """`df` holds row, col (from 0) and v of every element; the shape is kept apart, as empty lanes leave no rows."""
+    """`df` holds row, col (from 0) and v of every element; the shape is kept apart, as empty lanes leave no rows.
+
+    A sparse matrix may lack elements, which count as zero.
+    """
 
     df: DataFrame
     rows: int
     cols: int
+    sparse: bool = False
 
     def __post_init__(self):
         if self.rows < 0 or self.cols < 0:
@@ -70,7 +74,7 @@ class Matrix:
         return Matrix(parts.select("row", F.col("col").cast("long").alias("col"), F.col("v").cast("double").alias("v")), rows, cols)
 
     def with_values(self, v) -> Matrix:
-        return Matrix(self.df.select("row", "col", v.alias("v")), self.rows, self.cols)
+        return Matrix(self.df.select("row", "col", v.alias("v")), self.rows, self.cols, self.sparse)
 
     def fill(self, value: float) -> Matrix:
         return self.with_values(F.lit(float(value)))
@@ -81,14 +85,19 @@ class Matrix:
 
     def get(self, row: int, col: int) -> float:
         self._check(row, col)
-        return self.df.where((F.col("row") == row) & (F.col("col") == col)).first()["v"]
+        found = self.df.where((F.col("row") == row) & (F.col("col") == col)).first()
+        return found["v"] if found else 0.0
 
     def set(self, row: int, col: int, value: float) -> Matrix:
         self._check(row, col)
+        if self.sparse:
+            others = self.df.where((F.col("row") != row) | (F.col("col") != col)).select("row", "col", "v")
+            own = self.spark.range(1).select(F.lit(row).cast("long").alias("row"), F.lit(col).cast("long").alias("col"), F.lit(float(value)).alias("v"))
+            return Matrix(others.unionByName(own), self.rows, self.cols, True)
         return self.with_values(F.when((F.col("row") == row) & (F.col("col") == col), F.lit(float(value))).otherwise(F.col("v")))
 
     def transpose(self) -> Matrix:
-        return Matrix(self.df.select(F.col("col").alias("row"), F.col("row").alias("col"), "v"), self.cols, self.rows)
+        return Matrix(self.df.select(F.col("col").alias("row"), F.col("row").alias("col"), "v"), self.cols, self.rows, self.sparse)
 
     def __add__(self, other: Matrix | float) -> Matrix:
         from .operators import elementwise as e

@@ -111,34 +111,25 @@ def _left_rows(a: Matrix, first: np.ndarray, then: list[np.ndarray], filled: np.
     return a.row_arrays().mapInArrow(run, "row long, values array<double>")
 
 
-def _rows_times(a: Matrix, m: np.ndarray) -> Matrix:
-    """A m for a matrix m at the driver: rows are multiplied in Arrow batches, nothing else is shuffled."""
-    k = m.shape[1]
-
-    def run(batches):
-        for batch in batches:
-            y = batch.column("values").flatten().to_numpy().reshape(-1, m.shape[0]) @ m
-            offsets = np.arange(0, y.size + 1, k, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(y.ravel()))], ["row", "values"])
-
-    return Matrix.from_arrays(a.row_arrays().mapInArrow(run, "row long, values array<double>"), "row", "values", a.rows, k)
-
-
 def qr(a: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> tuple[Matrix, Matrix]:
     """A = Q R by Householder reflections, R upper triangular with zeros below the diagonal.
 
     Q is m x m where A fits the driver and has FULL_ROWS rows at most. A taller matrix is
     factored by parts: each task factors its rows, their R factors are stacked and factored
-    at the driver, and Q = A R⁻¹ is a projection of the rows (thin).
+    at the driver, and Q = A R⁻¹, made orthonormal by a second pass, is a projection of the rows (thin).
     """
     _some(a)
     if a.size <= driver_elements:
         q, r = np.linalg.qr(a.to_numpy(driver_elements), mode="complete" if a.rows <= FULL_ROWS else "reduced")
         return Matrix.of(a.spark, q), Matrix.of(a.spark, np.triu(r))
     r = _stacked(a.row_arrays(), a.cols)
-    if np.abs(np.diag(r)).min() < PIVOT:
+    if not np.abs(np.diag(r)).min() > a.cols * np.finfo(float).eps * np.abs(r).max():
         raise ValueError("the columns are dependent; a tall matrix needs full rank here")
-    return _rows_times(a, np.linalg.inv(r)), Matrix.of(a.spark, r)
+    # A R⁻¹ loses orthogonality as the condition of A grows; the R of its own rows takes that out
+    first, none = np.linalg.inv(r), np.zeros(a.cols, bool)
+    again = _positive(_stacked(_left_rows(a, first, [], none), a.cols))
+    left = _left_rows(a, first, [np.linalg.inv(again)], none)
+    return Matrix.from_arrays(left, "row", "values", a.rows, a.cols), Matrix.of(a.spark, np.triu(again @ r))
 
 
 def eigh(a: Matrix) -> np.ndarray:

@@ -12,7 +12,11 @@ from ..matrix import Matrix
 def _pairwise(a: Matrix, b: Matrix, combine) -> Matrix:
     a.same_shape(b)
     right = b.df.select("row", "col", F.col("v").alias("w"))
-    return Matrix(a.df.join(right, ["row", "col"]).select("row", "col", combine(F.col("v"), F.col("w")).alias("v")), *a.shape)
+    if a.sparse or b.sparse:  # an element that one side lacks is zero there
+        both = a.df.join(right, ["row", "col"], "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in "vw"})
+    else:
+        both = a.df.join(right, ["row", "col"])
+    return Matrix(both.select("row", "col", combine(F.col("v"), F.col("w")).alias("v")), *a.shape, a.sparse and b.sparse)
 
 
 def add(a: Matrix, b: Matrix) -> Matrix:

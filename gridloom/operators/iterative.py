@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import EPSILON
 from ..matrix import BROADCAST_ROWS, Matrix
-from ..scratch import materialise
+from ..scratch import drop_folders, folders_of, materialise
 from .products import spmv
 
 DRIVER_ROWS = 1_000_000
@@ -92,12 +92,16 @@ class DriverVectors:
     def settle(self, *vectors: np.ndarray) -> tuple[np.ndarray, ...]:
         return vectors
 
+    def keep_only(self, *vectors: np.ndarray) -> None:
+        pass
+
 
 class TableVectors:
     """Vectors as tables (row, v) with a row for every index."""
 
     def __init__(self, spark: SparkSession, n: int):
         self.spark, self.n = spark, n
+        self.made: set[str] = set()
 
     def load(self, x: DataFrame | None) -> DataFrame:
         every = self.spark.range(self.n).select(F.col("id").alias("row"))
@@ -109,7 +113,18 @@ class TableVectors:
         return x
 
     def apply(self, a: Matrix, x: DataFrame) -> DataFrame:
-        return materialise(spmv(a, x), "product")
+        return self._written(spmv(a, x), "product")
+
+    def _written(self, x: DataFrame, name: str) -> DataFrame:
+        x = materialise(x, name)
+        self.made |= folders_of(x)
+        return x
+
+    def keep_only(self, *vectors: DataFrame) -> None:
+        """Delete what was written here and none of these vectors reads."""
+        kept = set().union(*map(folders_of, vectors))
+        drop_folders(self.spark, self.made - kept)
+        self.made &= kept
 
     def _both(self, x: DataFrame, y: DataFrame) -> DataFrame:
         return x.join(y.select("row", F.col("v").alias("w")), "row")
@@ -121,7 +136,7 @@ class TableVectors:
         return self._both(x, y).select("row", (F.lit(float(alpha)) * F.col("v") + F.col("w")).alias("v"))
 
     def settle(self, *vectors: DataFrame) -> tuple[DataFrame, ...]:
-        return tuple(materialise(v, "vector") for v in vectors)
+        return tuple(self._written(v, "vector") for v in vectors)
 
 
 def vectors_for(spark: SparkSession, n: int, driver_rows: int = DRIVER_ROWS):
@@ -167,8 +182,10 @@ def conjugate_gradients(space, apply, b, x, precondition, options: SolverOptions
             new = space.dot(r, z)
             beta, rho = (new / rho if rho else 0.0), new
             (p,) = space.settle(space.axpy(beta, p, z))
+            space.keep_only(x, r, p)
         if fixed is not None:
             norm = math.sqrt(max(space.dot(r, r), 0.0))
+    space.keep_only(x)
     return x, SolverReport(norm <= limit, done, first, norm)
 
 

@@ -53,7 +53,7 @@ class CompressedRows:
     @property
     def matrix(self) -> Matrix:
         """The stored elements in coordinate form, for the products."""
-        return Matrix(self.elements.select("row", "col", "v"), self.rows, self.cols)
+        return Matrix(self.elements.select("row", "col", "v"), self.rows, self.cols, sparse=True)
 
     def nnz(self) -> int:
         return self.offsets.where(F.col("row") == self.rows).first()["offset"]
@@ -79,7 +79,7 @@ def combine(t: Triplets, ordered: bool = True) -> Matrix:
     With ordered=False the sum may take any order, which allows partial sums before the shuffle.
     """
     total = C.ordered_sum(F.col("ord"), F.col("v")) if ordered else F.sum("v")
-    return Matrix(t.df.groupBy("row", "col").agg(total.alias("v")), t.rows, t.cols)
+    return Matrix(t.df.groupBy("row", "col").agg(total.alias("v")), t.rows, t.cols, sparse=True)
 
 
 def row_offsets(m: Matrix) -> DataFrame:
@@ -106,13 +106,9 @@ def compress(t: Triplets, require_finite: bool = False, ordered: bool = True) ->
 
 def validate(csr: CompressedRows) -> dict[str, bool]:
     """Whether offsets start at 0, end at the number of elements and never fall, columns are in range and values finite."""
-    step = F.col("offset") - F.lag("offset", 1, 0).over(Window.orderBy("row")) if csr.rows < 1_000_000 else None
-    offsets = csr.offsets
-    if step is None:  # neighbours by join, as a window would order all rows in one task
-        ahead = csr.offsets.select((F.col("row") + 1).alias("row"), F.col("offset").alias("last"))
-        offsets = offsets.join(ahead, "row", "left").withColumn("step", F.col("offset") - F.coalesce("last", F.lit(0)))
-    else:
-        offsets = offsets.withColumn("step", step)
+    # neighbours by join, as a window would order all rows in one task
+    ahead = csr.offsets.select((F.col("row") + 1).alias("row"), F.col("offset").alias("last"))
+    offsets = csr.offsets.join(ahead, "row", "left").withColumn("step", F.col("offset") - F.coalesce("last", F.lit(0)))
     o = offsets.agg(
         F.min(F.when(F.col("row") == 0, F.col("offset"))).alias("first"),
         F.max(F.when(F.col("row") == csr.rows, F.col("offset"))).alias("last"),

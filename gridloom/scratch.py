@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folders_of(df: DataFrame) -> set[str]:
+    """The folders of files that df reads."""
+    return {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+
+
+def drop_folders(spark: SparkSession, folders: set[str]) -> None:
+    """Delete these folders, as far as they lie in the scratch folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    own = urlparse(scratch_dir(spark)).path.rstrip("/") + "/"
+    for folder in folders:
+        if urlparse(folder).path.startswith(own):
+            path = hadoop.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -58,6 +58,16 @@ def test_qr(spark):
     assert q.shape == (96, 96) and np.abs(q @ r - x).max() < 2e-10 and not np.tril(r, -1).any()
 
 
+def test_tall_qr_of_graded_columns(spark):
+    rng = np.random.default_rng(6)
+    u, v = (np.linalg.qr(rng.normal(size=(n, 10)))[0] for n in (200, 10))
+    x = u * 10.0 ** -np.arange(10) @ v.T
+    q, r = (m.to_numpy() for m in D.qr(Matrix.of(spark, x), driver_elements=0))
+    assert np.abs(q.T @ q - np.eye(10)).max() < 1e-12 and np.abs(q @ r - x).max() < 1e-12 and not np.tril(r, -1).any()
+    with pytest.raises(ValueError, match="dependent"):
+        D.qr(Matrix.of(spark, np.ones((50, 3)) * 1e3), driver_elements=0)
+
+
 def test_eigh(spark):
     assert np.allclose(D.eigh(Matrix.of(spark, [[2, 1], [1, 2.0]])), [3, 1], atol=1e-9)
     x = 2 * np.eye(64) + np.eye(64, k=1) + np.eye(64, k=-1)

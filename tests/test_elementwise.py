@@ -109,3 +109,20 @@ def test_huber(spark):
         C.huber(F.lit(1.0), -1.0)
     with pytest.raises(Exception, match="negative"):
         both(-1.0, 3.0)
+    for odd in (float("nan"), float("inf"), -1.0):
+        with pytest.raises(Exception, match="finite"):
+            spark.createDataFrame([(odd,)], "s double").select(*C.huber(F.col("s"), 1.0)).first()
+    for delta in (float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            C.huber(F.lit(1.0), delta)
+
+
+def test_sparse_matrices(spark):
+    stored = lambda rows: Matrix(spark.createDataFrame(rows, "row long, col long, v double"), 3, 3, sparse=True)
+    a, b = stored([(0, 1, 2.0), (2, 2, float("nan"))]), stored([(0, 1, 5.0), (1, 0, 7.0)])
+    assert a.get(0, 1) == 2.0 and a.get(1, 1) == 0.0
+    changed = a.set(1, 1, 4.0).set(0, 1, 9.0)
+    assert changed.get(1, 1) == 4.0 and changed.get(0, 1) == 9.0 and changed.df.count() == 3
+    total = {(r["row"], r["col"]): r["v"] for r in (a + b).df.collect()}
+    assert total[0, 1] == 7.0 and total[1, 0] == 7.0 and np.isnan(total[2, 2]) and len(total) == 3
+    assert (b - a).transpose().get(0, 1) == 7.0 and (a + Matrix.filled(spark, 3, 3, 1.0)).df.count() == 9

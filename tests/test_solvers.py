@@ -1,3 +1,5 @@
+import pathlib
+
 import numpy as np
 import pytest
 
@@ -5,6 +7,7 @@ from gridloom.matrix import Matrix
 from gridloom.operators import iterative as I
 from gridloom.operators import leastsquares as L
 from gridloom.operators.sparse import Triplets, combine
+from gridloom.scratch import scratch_dir
 
 
 def tridiagonal(spark, n, s):
@@ -47,7 +50,10 @@ def test_tables_and_fixed_steps(spark):
     a = tridiagonal(spark, 6, 1.0)
     x = np.arange(6.0)
     b = spark.createDataFrame([(i, float(v)) for i, v in enumerate(a.to_numpy() @ x)], "row bigint, v double")
+    folder = pathlib.Path(scratch_dir(spark))
+    there = set(folder.iterdir()) if folder.exists() else set()
     found, report = I.cg(a, b, options=I.SolverOptions(20, 1e-10), driver_rows=0)
+    assert len(set(folder.iterdir()) - there) <= 1  # the solution's table; those of the steps are gone
     assert report.converged and np.allclose(values(found), x, atol=1e-7)
     found, report = I.cg_fixed(a, a.to_numpy() @ x, 12)
     assert report.iterations == 12 and report.converged and np.allclose(values(found), x, atol=1e-8)
