@@ -484,6 +484,35 @@ def svd_tall_reconstructs(spark, sf_dir):
     return r5(products.gemm(f.left, _scaled_rows(f.right, f.values)))
 
 
+_EYE = "SELECT i.range AS row, j.range AS col, CASE WHEN i.range = j.range THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM range(64) i, range(64) j"
+
+
+def _orthonormal(m: Matrix) -> DataFrame:
+    return products.gram(m).df.select("row", "col", (F.round("v", 9) + 0.0).alias("v"))
+
+
+@query("svd_tall_orthonormal", _EYE)
+def svd_tall_orthonormal(spark, sf_dir):
+    """UᵀU of the thin left factor."""
+    return _orthonormal(dense.svd(embeddings(spark, sf_dir), driver_elements=0).left)
+
+
+@query("qr_tall_orthonormal", _EYE)
+def qr_tall_orthonormal(spark, sf_dir):
+    return _orthonormal(dense.qr(embeddings(spark, sf_dir), driver_elements=0)[0])
+
+
+@query(
+    "svd_tall_values",
+    f"WITH {EMB}, g AS (SELECT a.col AS i, b.col AS j, sum(a.v * b.v) AS v FROM emb a JOIN emb b ON a.row = b.row GROUP BY ALL) SELECT CAST(64 AS BIGINT) AS n, true AS falls, round(sum(v) FILTER (WHERE i = j), 4) AS squares, round(sum(v * v) / 1000, 4) AS fourth_powers FROM g",
+)
+def svd_tall_values(spark, sf_dir):
+    """Singular values fall; their squares sum to the trace of AᵀA, their fourth powers to its squared norm."""
+    s = dense.svd(embeddings(spark, sf_dir), driver_elements=0).values
+    row = (len(s), bool((np.diff(s) <= 0).all()), float(round((s**2).sum(), 4)), float(round((s**4).sum() / 1000, 4)))
+    return spark.createDataFrame([row], "n long, falls boolean, squares double, fourth_powers double")
+
+
 @query("qr_reconstructs", _SAME)
 def qr_reconstructs(spark, sf_dir):
     q, r = dense.qr(embeddings(spark, sf_dir))
