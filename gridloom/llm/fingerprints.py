@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -170,40 +172,53 @@ def _with_next(batches: Iterator[pa.RecordBatch], rule: Chunking, most_chars: in
 def fingerprint_documents(docs: DataFrame, rule: Chunking = Chunking(), ranges: int | None = None) -> DataFrame:
     """(doc_id, text) -> fingerprint of each text, and how near it is to its edited text and to the next document.
 
-    The next document is the one behind in descending doc_id (null last, then by text), and
-    the first behind the last. Texts are shuffled once: quantiles of doc_id cut the table into
-    ranges, and the first row of each range is also sent to the range before it; so every row
-    is met by its successor in one sorted stream. What the driver holds is one doc_id for each
-    range. Documents that share a doc_id stay in one range, and rows equal in both columns are
-    each other's successors.
+    The next document is the one behind in descending doc_id (null last; rows that share a
+    doc_id go by XXH64 of their text, then by text), and the first behind the last. Texts are
+    shuffled once: quantiles of doc_id cut the table into ranges, and the first row of each
+    range is also sent to the range before it; so every row is met by its successor in one
+    sorted stream. A doc_id that fills several quantiles is cut further by that hash, as are
+    the rows without doc_id, so no task gets a hot doc_id whole. What the driver holds is one
+    doc_id and hash for each range. Rows equal in both columns stay in one range and are each
+    other's successors.
 
     Null text counts as empty: no chunks, fingerprint ''. Other columns are not read. A single
     document is its own successor; an empty table gives no row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = ranges or 4 * partitions
+    total, known = rows.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    if not total:
+        return docs.sparkSession.createDataFrame([], OUT_DDL)
     quantiles = rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    cuts = sorted({int(q) for q in quantiles})
+    largest = (1 << 63) - 1
+    filled = Counter(min(int(q), largest) for q in quantiles)
+    # a doc_id that fills several quantiles gets a range of its own, of as many parts
+    cuts = sorted(set(filled) | {q + 1 for q, times in filled.items() if times > 1 and q < largest})
+    widths = [max(1, filled[c]) for c in reversed(cuts)] + [1, -(-n * (total - known) // total) or 1]  # ranges go down, null comes last
+    starts = list(accumulate(widths, initial=0))
     longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
     steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)]) if cuts else F.array(F.lit(0))
-    # binary search: how many cuts are at doc_id or below; ranges go down, null comes last
+    # binary search: how many cuts are at doc_id or below
     below = F.aggregate(
         steps, F.lit(0), lambda at, step: F.when(F.get(longs(cuts or [0]), at + step - 1) <= F.col("doc_id"), at + step).otherwise(at)
     )
-    span = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.lit(len(cuts)) - (below if cuts else F.lit(0)))
-    rows = rows.withColumn("own", span)
-    heads = {r["own"]: r["head"] for r in rows.groupBy("own").agg(F.max("doc_id").alias("head")).collect()}
-    if not heads:
-        return docs.sparkSession.createDataFrame([], OUT_DDL)
+    cut = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - (below if cuts else F.lit(0)))
+    part = F.shiftright((F.shiftright("tie", 32) + F.lit(1 << 31)) * F.get(longs(widths), F.col("cut")), 32)
+    rows = rows.withColumn("cut", cut).withColumn("own", (F.get(longs(starts), F.col("cut")) + part).cast("int"))
+    first = F.min(F.struct(F.bitwise_not("doc_id").alias("down"), "tie")).alias("head")
+    heads = {r["own"]: r["head"] for r in rows.groupBy("own").agg(first).collect()}
     order = sorted(heads)
     ahead = dict(zip(order, [order[-1], *order[:-1]]))
-    every = range(len(cuts) + 1)
-    is_head = F.col("doc_id").eqNullSafe(F.get(longs([heads.get(s) for s in every]), F.col("own")))
+    every = range(starts[-1])
+    of = lambda field: F.get(longs([heads[s][field] if s in heads else None for s in every]), F.col("own"))
+    is_head = F.bitwise_not("doc_id").eqNullSafe(of("down")) & F.col("tie").eqNullSafe(of("tie"))
     before = F.get(longs([ahead.get(s, 0) for s in every]), F.col("own")).cast("int")
     place = lambda at, sent: F.struct(at.alias("span"), F.lit(sent).alias("sent"))
     own = place(F.col("own"), False)
     places = F.when(is_head, F.array(own, place(before, True))).otherwise(F.array(own))
-    dealt = rows.select("doc_id", "text", F.inline(places))
-    dealt = dealt.repartition(partitions, "span").sortWithinPartitions("span", "sent", F.desc_nulls_last("doc_id"), "text")
-    return dealt.mapInArrow(partial(_with_next, rule=rule), OUT_DDL)
+    dealt = rows.select("doc_id", "text", "tie", F.inline(places))
+    task = F.floor(F.col("span").cast("long") * partitions / starts[-1]).cast("int")  # neighbouring ranges, as many in each task
+    dealt = dealt.repartitionById(partitions, task).sortWithinPartitions("span", "sent", F.desc_nulls_last("doc_id"), "tie", "text")
+    return dealt.drop("tie").mapInArrow(partial(_with_next, rule=rule), OUT_DDL)

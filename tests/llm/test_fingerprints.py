@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import xxhash
+from pyspark.sql import functions as F
+
 from gridloom.llm import fingerprints as P
 
 WORDS = [f"w{i}x" for i in range(500)]
@@ -57,7 +60,8 @@ def test_insertions_shift_nothing_else():
 
 
 def brute(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    tie = lambda text: (xxhash.xxh64_intdigest(text.encode(), 42) ^ 1 << 63, text)  # signed order
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), *tie(r[1] or "")))
     out = []
     for i, (doc_id, text) in enumerate(rows):
         text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
@@ -75,6 +79,16 @@ def test_query_against_brute_force(docs_of):
         assert sorted(tuple(r)[:7] for r in got) == sorted(brute(rows))
 
 
+def test_hot_doc_ids_are_split(docs_of):
+    rows = [(None, prose(i, 5 + i % 9)) for i in range(120)] + [(7, prose(500 + i, 5 + i % 9)) for i in range(120)] + [(i, prose(900 + i, 8)) for i in range(120)]
+    rows += [(-(2**63), "least"), (2**63 - 1, "largest"), (7, None), (None, None), (None, "")]
+    for ranges in (1, 24):
+        frame = P.fingerprint_documents(docs_of(rows), ranges=ranges)
+        assert sorted(map(str, (tuple(r)[:7] for r in frame.collect()))) == sorted(map(str, brute(rows)))
+    sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * len(rows) / len(sizes)
+
+
 def test_edges(docs_of):
     assert P.fingerprint_documents(docs_of([])).count() == 0
     (one,) = P.fingerprint_documents(docs_of([(1, prose(1))])).collect()
