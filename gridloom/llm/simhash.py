@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -149,22 +150,66 @@ def _links(batches: Iterator[pa.RecordBatch], matches: int, distance: int) -> It
         yield done(keys, fps)
 
 
+def _byte_at(position: Column) -> Column:
+    """The byte of fp at a position."""
+    return F.call_function("shiftrightunsigned", F.col("fp"), (position * 8).cast("int")).bitwiseAND(F.lit(255).cast("long"))
+
+
+def _postings(fps: DataFrame, matches: int, taken: int) -> DataFrame:
+    """(fp, at, key): fp is posted under sets of byte positions, the bits of `at`, and their values."""
+    posts = []
+    for s in position_sets(matches, taken):
+        values = [_byte_at(F.lit(p)) for p in s]
+        posts.append(F.struct(F.lit(sum(1 << p for p in s)).alias("at"), F.xxhash64(F.lit(sum(1 << p for p in s)), *values).alias("key")))
+    return fps.select("fp", F.inline(F.array(*posts)))
+
+
+def _longer(postings: DataFrame, matches: int) -> DataFrame:
+    """(fp, list, n, at, key): postings of lists of n, under one more position each.
+
+    A pair that shares `matches` positions, and those of `at` among them, misses 8 - matches at
+    most of the others: so among any 9 - matches of the others there is one that it shares.
+    """
+    others = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda p: F.call_function("getbit", F.col("at"), p) == 0)
+    more = F.transform(
+        F.slice(others, 1, 9 - matches),
+        lambda p: F.struct(
+            F.col("at").bitwiseOR(F.call_function("shiftleft", F.lit(1), p)).alias("at"), F.xxhash64("key", p, _byte_at(p)).alias("key")
+        ),
+    )
+    return postings.select("fp", F.col("key").alias("list"), "n", F.inline(more))
+
+
 def fingerprint_links(fps: DataFrame, distance: int = 3, taken: int = 3, list_size: int = 4096) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) that connect all within `distance` bits.
 
     Two fingerprints that differ in d bits share 8 - d bytes in place at least. The inverted
     index posts a fingerprint under sets of `taken` byte positions and their values, chosen so
-    that every pair with enough shared positional bytes meets in a list. A list longer than
-    `list_size` is dealt out: it is cut into cells by hash, and every pair of cells meets in a
-    task of its own, so that no task holds a long list and no pair is lost.
+    that every pair with enough shared positional bytes meets in a list. Fingerprints of a list
+    longer than `list_size` are posted under one more position instead, where that at least
+    halves the list and the key has fewer than the guaranteed matches. Other long lists (near
+    copies share most bytes) are dealt out: a list is cut into cells by hash, and every pair of
+    cells meets in a task of its own. So no task holds a long list and no pair is lost.
     """
     matches = 8 - distance
-    sets = position_sets(matches, taken)
-    pick = lambda s: " | ".join(f"shiftleft(shiftrightunsigned(fp, {8 * p}) & 255L, {8 * i})" for i, p in enumerate(s))
-    keys = F.array(*[F.expr(f"xxhash64({k}, {pick(s)})") for k, s in enumerate(sets)])
-    postings = fps.select("fp", F.explode(keys).alias("key"))
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    postings = postings.join(sizes, "key").withColumn("cells", F.ceil(F.col("n") / list_size).cast("long"))
+    postings = _postings(fps, matches, taken)
+    lists = []
+    for depth in range(taken, matches + 1):
+        sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sized = postings.join(sizes, "key")
+        if depth == matches:
+            lists.append(sized.select("fp", "key", "n"))
+            break
+        lists.append(sized.where(F.col("n") <= list_size).select("fp", "key", "n"))
+        long = narrow(sized.where(F.col("n") > list_size).select("fp", "at", "key", "n"), "simhash-long")
+        if long.isEmpty():
+            break
+        longer = materialise(_longer(long, matches), "simhash-longer")
+        largest = longer.groupBy("list", "n", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("list", "n").agg(F.max("m").alias("m"))
+        whole = materialise(largest.where("2 * m > n").select("list"), "simhash-whole")
+        lists.append(long.join(whole, long["key"] == whole["list"], "left_semi").select("fp", "key", "n"))
+        postings = materialise(longer.join(whole, "list", "left_anti").select("fp", "at", "key"), "simhash-postings")
+    postings = reduce(DataFrame.unionByName, lists).withColumn("cells", F.ceil(F.col("n") / list_size).cast("long"))
     own = F.pmod(F.xxhash64("fp", F.lit("cell")), F.col("cells"))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
     dealt = postings.select("fp", F.explode(F.when(F.col("cells") == 1, F.array("key")).otherwise(others)).alias("key"))

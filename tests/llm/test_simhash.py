@@ -73,6 +73,27 @@ def test_links_of_random_and_dense_fingerprints(spark):
         assert links.count() < 40 * len(prints)
 
 
+def test_long_lists_are_posted_under_more_positions(spark):
+    rng = random.Random(9)
+    shared = [rng.randrange(256) for _ in range(3)]
+    prints = []
+    for _ in range(150):  # three bytes in common, five at random, and near copies of some
+        x = int.from_bytes(bytes([*shared, *(rng.randrange(256) for _ in range(5))]), "little")
+        prints += [x, *(x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(rng.randrange(3)))]
+    prints = list(dict.fromkeys(prints))
+    signed = [int(np.uint64(p).view(np.int64)) for p in prints]
+    fps = spark.createDataFrame([(s,) for s in signed], "fp long")
+    least = brute(prints)
+    groups = {}
+    for i, low in enumerate(least):
+        groups.setdefault(low, set()).add(signed[i])
+    links = S.fingerprint_links(fps, list_size=16)
+    found = {}
+    for r in connected_components(links).collect():
+        found.setdefault(r["root"], set()).add(r["node"])
+    assert {frozenset(g) for g in found.values()} == {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = connected_components(links).collect()
