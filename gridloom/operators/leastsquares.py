@@ -73,8 +73,13 @@ class NormalEquations:
             part("ge", F.col("eliminated"), zero, _product(F.col("je"), F.col("r"), m, de, 1, w)),
         )
         pieces = F.concat(pairs, gradients, F.when(has_e, F.concat(crosses, own)).otherwise(F.slice(pairs, 1, 0)))
-        cells = rows.select(F.explode(pieces).alias("p")).select("p.part", "p.i", "p.j", F.posexplode("p.values").alias("at", "v"))
-        return NormalEquations(_summed(cells), primaries, eliminated, dp, de)
+        # whole blocks are summed, place by place, so that a residual gives one row for each of its blocks
+        widest = max(dp, de) ** 2
+        blocks = rows.select(F.explode(pieces).alias("p")).select("p.part", "p.i", "p.j", "p.values")
+        blocks = blocks.groupBy("part", "i", "j").agg(F.array(*[F.sum(F.get("values", F.lit(k))) for k in range(widest)]).alias("values"))
+        sizes = {"pp": dp * dp, "pe": dp * de, "ee": de * de, "gp": dp, "ge": de}
+        size = F.coalesce(*[F.when(F.col("part") == name, n) for name, n in sizes.items()])
+        return NormalEquations(blocks.select("part", "i", "j", F.posexplode(F.slice("values", 1, size)).alias("at", "v")), primaries, eliminated, dp, de)
 
     def merge(self, other: NormalEquations) -> NormalEquations:
         """The sums of both sets of residuals; the layouts must agree."""

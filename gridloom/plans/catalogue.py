@@ -85,6 +85,14 @@ def matrix_file_roundtrip(spark, sf_dir):
     return matrix_file.read_matrix(spark, path).df
 
 
+@query("vector_file_roundtrip", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row, CAST(s_acctbal AS DOUBLE) AS v FROM supplier")
+def vector_file_roundtrip(spark, sf_dir):
+    path = f"{scratch_dir(spark)}/vector-{uuid.uuid4().hex}.bin"
+    values = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(F.col("s_acctbal").cast("double")).toPandas().to_numpy().ravel()
+    matrix_file.write_vector(spark, values, path)
+    return matrix_file.read_vector(spark, path)
+
+
 # --- Element-wise -----------------------------------------------------------------------------
 
 other = lambda a: elementwise.scalar_add(elementwise.absolute(a), 1.0)
@@ -544,6 +552,20 @@ def solve_ridge(spark, sf_dir):
     return rounded(dense.solve(m, products.gemm(m, known)))
 
 
+@query(
+    "vector_products",
+    "SELECT round(sum(value * (event_id % 7)) / count(*), 6) AS inner_product, round(sqrt(sum(value * value) / count(*)), 6) AS norm FROM events",
+)
+def vector_products(spark, sf_dir):
+    """Inner product and norm, by the root of the number of rows."""
+    events = table(spark, sf_dir, "events")
+    x = events.select(F.col("event_id").alias("row"), F.col("value").cast("double").alias("v"))
+    y = events.select(F.col("event_id").alias("row"), (F.col("event_id") % 7).cast("double").alias("v"))
+    n = events.count()
+    row = (round(reduce.dot(x, y) / n, 6), round(reduce.vector_norm(x) / math.sqrt(n), 6))
+    return spark.createDataFrame([row], "inner_product double, norm double")
+
+
 # --- Iterative solvers ------------------------------------------------------------------------
 
 
@@ -672,6 +694,91 @@ def normal_equations(spark, sf_dir):
     return make(even).merge(make(odd)).sums.select("part", "i", "j", r6("v").alias("v"))
 
 
+def block_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """Two residuals a line item: blocks of three for its supplier and its order's group, one of two for its part.
+
+    The first line of an order has no part. Numbers are small integers, so sums are exact.
+    """
+    parts, suppliers = _sizes(spark, sf_dir)
+    number = lambda f, m, width: F.transform(F.sequence(F.lit(0), F.lit(m * width - 1)), f)
+    res = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    first = F.col("l_linenumber") == 1
+    primary = lambda slot: number(lambda at: (F.pmod(F.col("res") + 2 * slot + 5 * at, F.lit(7)) - 3).cast("double"), 2, 3)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", res.cast("long").alias("res")).select(
+        "res", F.array(F.col("l_suppkey").cast("long"), (F.pmod("l_orderkey", F.lit(50)) + suppliers).cast("long")).alias("primary"),
+        F.when(~first, F.col("l_partkey")).cast("long").alias("eliminated"), F.array(primary(0), primary(1)).alias("jp"),
+        F.when(~first, number(lambda at: (F.pmod(2 * F.col("res") + 3 * at, F.lit(5)) - 2).cast("double"), 2, 2)).alias("je"),
+        number(lambda at: (F.pmod("res", F.lit(11)) - 5 + at).cast("double"), 2, 1).alias("r"), (1 + F.pmod("res", F.lit(3))).cast("double").alias("weight"),
+    )
+    return rows, suppliers + 50, parts
+
+
+_BLOCKS = """WITH n AS (SELECT max(l_suppkey) + 1 AS suppliers FROM lineitem),
+l AS MATERIALIZED (SELECT row_number() OVER () AS id, l_orderkey * 8 + l_linenumber AS res, l_suppkey, l_orderkey % 50 + n.suppliers AS grp, CASE WHEN l_linenumber <> 1 THEN l_partkey END AS e, (l_orderkey * 8 + l_linenumber) % 3 + 1 AS w FROM lineitem, n),
+k AS (SELECT CAST(range AS BIGINT) AS m FROM range(2)), c3 AS (SELECT range AS c FROM range(3)), c2 AS (SELECT range AS c FROM range(2)),
+p AS (SELECT id, w, CASE s WHEN 0 THEN l_suppkey ELSE grp END AS b, m, c, (res + 2 * s + 5 * (m * 3 + c)) % 7 - 3 AS v FROM l, k, c3, (SELECT range AS s FROM range(2))),
+q AS (SELECT id, w, e AS b, m, c, (2 * res + 3 * (m * 2 + c)) % 5 - 2 AS v FROM l, k, c2 WHERE e IS NOT NULL),
+g AS (SELECT id, m, res % 11 - 5 + m AS v FROM l, k),
+sums AS (
+SELECT 'pp' AS part, a.b AS i, b.b AS j, a.c * 3 + b.c AS place, sum(a.w * a.v * b.v) AS v FROM p a JOIN p b ON a.id = b.id AND a.m = b.m GROUP BY ALL
+UNION ALL SELECT 'pe', a.b, b.b, a.c * 2 + b.c, sum(a.w * a.v * b.v) FROM p a JOIN q b ON a.id = b.id AND a.m = b.m GROUP BY ALL
+UNION ALL SELECT 'ee', a.b, b.b, a.c * 2 + b.c, sum(a.w * a.v * b.v) FROM q a JOIN q b ON a.id = b.id AND a.m = b.m GROUP BY ALL
+UNION ALL SELECT 'gp', a.b, 0, a.c, sum(a.w * a.v * g.v) FROM p a JOIN g ON a.id = g.id AND a.m = g.m GROUP BY ALL
+UNION ALL SELECT 'ge', a.b, 0, a.c, sum(a.w * a.v * g.v) FROM q a JOIN g ON a.id = g.id AND a.m = g.m GROUP BY ALL)
+SELECT part, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(place AS INTEGER) AS place, CAST(v AS DOUBLE) + 0.0 AS v FROM sums"""
+
+
+@query("normal_equations_blocks", _BLOCKS)
+def normal_equations_blocks(spark, sf_dir):
+    """Blocks of 3 and 2 numbers, two primaries in each row, rows without an eliminated block."""
+    residuals, primaries, parts = block_model(spark, sf_dir)
+    eq = leastsquares.NormalEquations.of(residuals, primaries, parts, 3, 2)
+    return eq.sums.select("part", "i", "j", F.col("at").alias("place"), (F.col("v") + F.lit(0.0)).alias("v"))
+
+
+def _damped_step(backend: str):
+    """(H + damping) x = -g has the known solution x once g is made from x."""
+
+    def run(spark, sf_dir):
+        residuals, primaries, parts = block_model(spark, sf_dir)
+        eq = leastsquares.NormalEquations.of(residuals, primaries, parts, 3, 2)
+        sums = materialise(eq.sums, "equations").where("part not in ('gp', 'ge')")
+        eq = leastsquares.NormalEquations(sums, primaries, parts, 3, 2)
+        known = lambda n, m: spark.range(n).select(F.col("id").alias("row"), (F.col("id") % m - 2).cast("double").alias("v"))
+        p, e = known(3 * primaries, 5), known(2 * parts, 4)
+        damped = {}
+        for part in ("pp", "ee"):  # diagonal elements grow by half, those below 1e-3 by 5e-4
+            cells, n = eq.matrix(part).df, eq.matrix(part).rows
+            own = spark.range(n).select(F.col("id").alias("row"), F.col("id").alias("col"), F.lit(0.0).alias("v"))
+            cells = cells.unionByName(own).groupBy("row", "col").agg(F.sum("v").alias("v"))
+            grown = F.when(F.col("row") == F.col("col"), F.col("v") + 0.5 * F.greatest("v", F.lit(1e-3))).otherwise(F.col("v"))
+            damped[part] = Matrix(cells.select("row", "col", grown.alias("v")), n, n)
+        cross = eq.matrix("pe")
+        zero = F.lit(0).cast("long").alias("j")
+        for name, size, terms in (
+            ("gp", 3, [products.spmv(damped["pp"], p), products.spmv(cross, e)]),
+            ("ge", 2, [products.spmv(cross.transpose(), p), products.spmv(damped["ee"], e)]),
+        ):
+            g = terms[0].unionByName(terms[1]).groupBy("row").agg((-F.sum("v")).alias("v"))
+            i = F.floor(F.col("row") / size).alias("i")
+            sums = sums.unionByName(g.select(F.lit(name).alias("part"), i, zero, (F.col("row") % size).cast("int").alias("at"), "v"))
+        eq = leastsquares.NormalEquations(sums, primaries, parts, 3, 2)
+        report, dp, de = leastsquares.solve_damped(eq, 0.5, leastsquares.SchurOptions(backend, 300, 1e-13, 1e-13, 1e-3))
+        if not report.converged:
+            raise RuntimeError(report.message)
+        side = lambda df, name: df.select(F.lit(name).alias("side"), "row", (F.round("v", 4) + F.lit(0.0)).alias("v"))
+        return side(dp, "primary").unionByName(side(de, "eliminated"))
+
+    return run
+
+
+_KNOWN_STEP = """SELECT 'primary' AS side, range AS row, CAST(range % 5 - 2 AS DOUBLE) AS v FROM range(3 * (SELECT max(l_suppkey) + 51 FROM lineitem))
+UNION ALL SELECT 'eliminated', range, CAST(range % 4 - 2 AS DOUBLE) FROM range(2 * (SELECT max(l_partkey) + 1 FROM lineitem))"""
+
+for _backend in ("implicit", "dense", "assembled"):
+    query(f"damped_step_blocks_{_backend}", _KNOWN_STEP)(_damped_step(_backend))
+
+
 @query("lm_fit", _EFFECTS)
 def lm_fit(spark, sf_dir):
     """Damped steps from zero until the step is small; the model is linear, so each is accepted."""
