@@ -205,15 +205,20 @@ def fingerprint_documents(docs: DataFrame, rule: Chunking = Chunking(), ranges:
         steps, F.lit(0), lambda at, step: F.when(F.get(longs(cuts or [0]), at + step - 1) <= F.col("doc_id"), at + step).otherwise(at)
     )
     cut = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - (below if cuts else F.lit(0)))
-    part = F.shiftright((F.shiftright("tie", 32) + F.lit(1 << 31)) * F.get(longs(widths), F.col("cut")), 32)
+    width = F.get(longs(widths), F.col("cut"))
+    part = F.shiftright((F.shiftright("tie", 32) + F.lit(1 << 31)) * width, 32)
+    first = [F.max("doc_id").alias("doc_id")]
+    if max(widths) > 1:  # the hash, and so the texts, are read here only where a doc_id is hot
+        first.append(F.min(F.when(width > 1, F.col("tie"))).alias("tie"))
+    else:
+        part = F.lit(0)
     rows = rows.withColumn("cut", cut).withColumn("own", (F.get(longs(starts), F.col("cut")) + part).cast("int"))
-    first = F.min(F.struct(F.bitwise_not("doc_id").alias("down"), "tie")).alias("head")
-    heads = {r["own"]: r["head"] for r in rows.groupBy("own").agg(first).collect()}
+    heads = {r["own"]: r.asDict() for r in rows.groupBy("own").agg(*first).collect()}
     order = sorted(heads)
     ahead = dict(zip(order, [order[-1], *order[:-1]]))
     every = range(starts[-1])
-    of = lambda field: F.get(longs([heads[s][field] if s in heads else None for s in every]), F.col("own"))
-    is_head = F.bitwise_not("doc_id").eqNullSafe(of("down")) & F.col("tie").eqNullSafe(of("tie"))
+    of = lambda field: F.get(longs([heads.get(s, {}).get(field) for s in every]), F.col("own"))
+    is_head = F.col("doc_id").eqNullSafe(of("doc_id")) & F.coalesce(F.col("tie") == of("tie"), F.lit(True))
     before = F.get(longs([ahead.get(s, 0) for s in every]), F.col("own")).cast("int")
     place = lambda at, sent: F.struct(at.alias("span"), F.lit(sent).alias("sent"))
     own = place(F.col("own"), False)
