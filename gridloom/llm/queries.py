@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, mixing, packing, pii, quality, sharding, simhash, urls, warc
+from . import fingerprints, infilling, media, mixing, packing, pii, quality, sharding, simhash, urls, warc
 from ._shared import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(":", F.concat_ws("x", "height", "width", F.lit("3")), F.transform("features", lambda x: F.format_number(x, 4))).alias("feature"),
         F.sha2("rgb", 256).alias("rgb_sha256"),
     )
+
+
+@query("op11_fill_in_middle", infilling.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infilling.restore_texts(infilling.fill_in_middle(read_table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )
