@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, infilling, media, mixing, packing, pii, quality, sharding, simhash, urls, warc
+from . import fingerprints, infilling, media, mixing, packing, pii, prefix_trie, quality, sharding, simhash, urls, warc
 from ._shared import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
     )
+
+
+@query("op12_conversation_trie", prefix_trie.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
