@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, infilling, media, mixing, packing, pii, prefix_trie, quality, sharding, simhash, urls, warc
+from . import fingerprints, infilling, media, mixing, packing, pii, prefix_trie, quality, repeats, sharding, simhash, urls, warc
 from ._shared import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_conversation_trie", prefix_trie.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+@query("op13_suffix_repeats", repeats.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
