@@ -1,13 +1,13 @@
-"""Matrices as relations in coordinate form: one row (row, col, v) for every element, or for every stored one of a sparse matrix."""
+"""Matrices as relations: a row for every element, for every stored one of a sparse matrix, or for every whole row or column."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A matrix with more elements than this is not taken to the driver.
@@ -15,22 +15,34 @@ DRIVER_ELEMENTS = 4_000_000
 #: A vector with more rows than this is joined by shuffle instead of being broadcast.
 BROADCAST_ROWS = 1_000_000
 
+CELLS, BY_ROWS, BY_COLUMNS = "cells", "rows", "columns"
 
-@dataclass(frozen=True)
+
+@dataclass(frozen=True, eq=False)
 class Matrix:
-    """`df` holds row, col (from 0) and v of every element; the shape is kept apart, as empty lanes leave no rows.
+    """A shape, which is kept apart as empty lanes leave no rows, and a `source` in one of three layouts.
+
+    - `cells`: row, col (from 0) and v of every element.
+    - `rows`: row and `values`, an array of the row's elements; `columns`: the same of columns, so
+      that a transpose is only renamed.
 
-    A sparse matrix may lack elements, which count as zero.
+    `element`, if given, is applied to every number of the source where it is read. Element-wise
+    operators only compose it, and matrices made from one source are combined without a join.
+    A sparse matrix (cells only) may lack elements, which count as zero in every operator.
     """
 
-    df: DataFrame
+    source: DataFrame
     rows: int
     cols: int
     sparse: bool = False
+    layout: str = CELLS
+    element: Callable[[Column], Column] | None = None
 
     def __post_init__(self):
         if self.rows < 0 or self.cols < 0:
             raise ValueError("dimensions must not be negative")
+        if self.layout not in (CELLS, BY_ROWS, BY_COLUMNS) or (self.sparse and self.layout != CELLS):
+            raise ValueError(f"no layout {self.layout!r} of a {'sparse' if self.sparse else 'dense'} matrix")
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -42,7 +54,20 @@ class Matrix:
 
     @property
     def spark(self) -> SparkSession:
-        return self.df.sparkSession
+        return self.source.sparkSession
+
+    def _read(self, v: Column) -> Column:
+        return self.element(v) if self.element else v
+
+    @property
+    def df(self) -> DataFrame:
+        """(row, col, v), a projection of the source."""
+        if self.layout == CELLS:
+            return self.source.select("row", "col", self._read(F.col("v")).alias("v")) if self.element else self.source
+        one, other = ("row", "col") if self.layout == BY_ROWS else ("col", "row")
+        parts = self.source.select(F.col("row").alias("lane"), F.posexplode("values").alias("at", "v"))
+        found = {one: F.col("lane"), other: F.col("at").cast("long")}
+        return parts.select(found["row"].alias("row"), found["col"].alias("col"), self._read(F.col("v")).alias("v"))
 
     @staticmethod
     def zeros(spark: SparkSession, rows: int, cols: int) -> Matrix:
@@ -55,7 +80,8 @@ class Matrix:
             raise ValueError("dimensions must not be negative")
         n = F.col("id")
         lin = spark.range(rows * cols)
-        return Matrix(lin.select((n % max(rows, 1)).alias("row"), (n / max(rows, 1)).cast("long").alias("col"), F.lit(float(value)).alias("v")), rows, cols)
+        col = F.expr(f"id div {max(rows, 1)}")  # whole numbers: a quotient in double is wrong beyond 2^53
+        return Matrix(lin.select((n % max(rows, 1)).alias("row"), col.alias("col"), F.lit(float(value)).alias("v")), rows, cols)
 
     @staticmethod
     def of(spark: SparkSession, values: np.ndarray | Iterable) -> Matrix:
@@ -70,14 +96,28 @@ class Matrix:
     @staticmethod
     def from_arrays(df: DataFrame, row: str, values: str, rows: int, cols: int) -> Matrix:
         """From the row form: an array of `cols` numbers for each row number."""
-        parts = df.select(F.col(row).cast("long").alias("row"), F.posexplode(values).alias("col", "v"))
-        return Matrix(parts.select("row", F.col("col").cast("long").alias("col"), F.col("v").cast("double").alias("v")), rows, cols)
+        return Matrix(df.select(F.col(row).cast("long").alias("row"), F.col(values).cast("array<double>").alias("values")), rows, cols, layout=BY_ROWS)
+
+    def map(self, f: Callable[[Column], Column], keeps_zero: bool = True) -> Matrix:
+        """f of every element; a sparse matrix stays sparse if f(0) is 0 and is completed if not."""
+        if self.sparse and not keeps_zero:
+            return self.dense().map(f)
+        inner = self.element
+        return replace(self, element=(lambda v: f(inner(v))) if inner else f)
 
     def with_values(self, v) -> Matrix:
+        """v, an expression of row, col and v, for every stored element."""
         return Matrix(self.df.select("row", "col", v.alias("v")), self.rows, self.cols, self.sparse)
 
     def fill(self, value: float) -> Matrix:
-        return self.with_values(F.lit(float(value)))
+        return self.map(lambda _: F.lit(float(value)), keeps_zero=value == 0)
+
+    def dense(self) -> Matrix:
+        """All elements, absent ones as zeros."""
+        if not self.sparse:
+            return self
+        every = Matrix.zeros(self.spark, self.rows, self.cols).df.drop("v")
+        return Matrix(every.join(self.df, ["row", "col"], "left").select("row", "col", F.coalesce("v", F.lit(0)).alias("v")), *self.shape)
 
     def _check(self, row: int, col: int) -> None:
         if not (0 <= row < self.rows and 0 <= col < self.cols):
@@ -85,6 +125,9 @@ class Matrix:
 
     def get(self, row: int, col: int) -> float:
         self._check(row, col)
+        if self.layout != CELLS:
+            lane, at = (row, col) if self.layout == BY_ROWS else (col, row)
+            return self.source.where(F.col("row") == lane).select(self._read(F.get("values", F.lit(at)))).first()[0]
         found = self.df.where((F.col("row") == row) & (F.col("col") == col)).first()
         return found["v"] if found else 0.0
 
@@ -94,10 +137,18 @@ class Matrix:
             others = self.df.where((F.col("row") != row) | (F.col("col") != col)).select("row", "col", "v")
             own = self.spark.range(1).select(F.lit(row).cast("long").alias("row"), F.lit(col).cast("long").alias("col"), F.lit(float(value)).alias("v"))
             return Matrix(others.unionByName(own), self.rows, self.cols, True)
+        if self.layout != CELLS:
+            lane, at = (row, col) if self.layout == BY_ROWS else (col, row)
+            changed = F.transform("values", lambda v, i: F.when(i == at, F.lit(float(value))).otherwise(self._read(v)))
+            values = F.when(F.col("row") == lane, changed).otherwise(F.transform("values", self._read))
+            return replace(self, source=self.source.select("row", values.alias("values")), element=None)
         return self.with_values(F.when((F.col("row") == row) & (F.col("col") == col), F.lit(float(value))).otherwise(F.col("v")))
 
     def transpose(self) -> Matrix:
-        return Matrix(self.df.select(F.col("col").alias("row"), F.col("row").alias("col"), "v"), self.cols, self.rows, self.sparse)
+        if self.layout == CELLS:
+            turned = self.source.select(F.col("col").alias("row"), F.col("row").alias("col"), "v")
+            return Matrix(turned, self.cols, self.rows, self.sparse, element=self.element)
+        return replace(self, rows=self.cols, cols=self.rows, layout=BY_COLUMNS if self.layout == BY_ROWS else BY_ROWS)
 
     def __add__(self, other: Matrix | float) -> Matrix:
         from .operators import elementwise as e
@@ -122,9 +173,25 @@ class Matrix:
         return products.gemm(self, other)
 
     def row_arrays(self) -> DataFrame:
-        """The row form (row, values): the elements of each row in column order."""
-        cells = F.array_sort(F.collect_list(F.struct("col", "v")))
-        return self.df.groupBy("row").agg(F.transform(cells, lambda c: c["v"]).alias("values"))
+        """The row form (row, values) with every row and element: a projection of the source if that is in rows."""
+        if self.layout == BY_ROWS:
+            return self.source.select("row", F.transform("values", self._read).alias("values")) if self.element else self.source.select("row", "values")
+        cells = F.collect_list(F.struct("col", "v"))
+        if not self.sparse:
+            return self.df.groupBy("row").agg(F.transform(F.array_sort(cells), lambda c: c["v"]).alias("values"))
+        stored = self.df.groupBy("row").agg(F.map_from_entries(cells).alias("stored"))
+        every = self.spark.range(self.rows).select(F.col("id").alias("row")).join(stored, "row", "left")
+        places = F.sequence(F.lit(0).cast("long"), F.lit(self.cols - 1).cast("long")) if self.cols else F.array().cast("array<bigint>")
+        return every.select("row", F.transform(places, lambda c: F.coalesce(F.col("stored")[c], F.lit(0.0))).alias("values"))
+
+    def by_rows(self) -> Matrix:
+        """This matrix in rows; shuffles its elements once if it is not already."""
+        if self.layout == BY_ROWS:
+            return self
+        if not self.cols:
+            raise ValueError("rows without elements have no row form")
+        values = F.col("values").cast("array<double>").alias("values")
+        return Matrix(self.row_arrays().select("row", values), *self.shape, layout=BY_ROWS)
 
     def to_numpy(self, most: int = DRIVER_ELEMENTS) -> np.ndarray:
         """The matrix at the driver; refused beyond `most` elements."""

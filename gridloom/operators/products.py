@@ -1,4 +1,4 @@
-"""Matrix products as joins on the inner index."""
+"""Matrix products: sums within tasks, projections, tiles, and joins on the inner index where elements are sparse."""
 
 from __future__ import annotations
 
@@ -7,83 +7,200 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..matrix import BROADCAST_ROWS, Matrix
+from ..matrix import BROADCAST_ROWS, BY_COLUMNS, BY_ROWS, CELLS, Matrix
+
+#: A matrix of at most so many elements (8 MB) is sent to every task, or kept there as a sum.
+SMALL = 1 << 20
 
 
 def _index_grid(spark, rows: int, cols: int) -> DataFrame:
     return Matrix.zeros(spark, rows, cols).df
 
 
-def gemm(a: Matrix, b: Matrix) -> Matrix:
-    """C = A B by one join on A.col = B.row and one sum; an inner dimension of 0 gives zeros."""
+def _fits(a: Matrix, b: Matrix) -> None:
     if a.cols != b.rows:
         raise ValueError(f"inner dimensions {a.cols} and {b.rows} differ")
-    if not a.cols:
-        return Matrix.zeros(a.spark, a.rows, b.cols)
-    left = a.df.select("row", F.col("col").alias("k"), F.col("v").alias("x"))
-    right = b.df.select(F.col("row").alias("k"), "col", F.col("v").alias("y"))
-    c = left.join(right, "k").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    return Matrix(c, a.rows, b.cols)
 
 
-def block_gemm(a: Matrix, b: Matrix, size: int = 256) -> Matrix:
-    """C = A B in blocks of `size`: blocks are joined by number and multiplied by BLAS in Arrow batches.
-
-    Each element is shuffled once to make its block, and each block once for every block
-    column (row) of the other matrix; the partial products are summed in the JVM.
+def gemm(a: Matrix, b: Matrix) -> Matrix:
+    """C = A B; an inner dimension of 0 gives zeros.
+
+    - Sparse operands are joined on the inner index; the product is sparse, as pairs that store
+      nothing give no element.
+    - A in columns and B in rows, such as AᵀA of the row form: every task adds up the products of
+      the inner indices that it holds, and rows x cols sums are shuffled.
+    - A in rows and a B of at most SMALL elements (or the other way round): a projection of the rows.
+    - Otherwise tiles, see block_gemm().
     """
-    if a.cols != b.rows:
-        raise ValueError(f"inner dimensions {a.cols} and {b.rows} differ")
+    _fits(a, b)
     if not a.cols:
         return Matrix.zeros(a.spark, a.rows, b.cols)
+    if a.sparse or b.sparse:
+        left = a.df.select("row", F.col("col").alias("k"), F.col("v").alias("x"))
+        right = b.df.select(F.col("row").alias("k"), "col", F.col("v").alias("y"))
+        c = left.join(right, "k").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+        return Matrix(c, a.rows, b.cols, sparse=True)
+    if a.layout == BY_COLUMNS and b.layout == BY_ROWS and a.rows * b.cols <= SMALL:
+        return _inner(a, b)
+    if a.layout == BY_ROWS and b.size <= SMALL:
+        return _times_small(a, b.to_numpy(SMALL))
+    if b.layout == BY_COLUMNS and a.size <= SMALL:
+        return _times_small(b.transpose(), a.to_numpy(SMALL).T).transpose()
+    return block_gemm(a, b)
+
+
+def _numbers(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float, copy=False)
+
+
+def _row_arrays(rows: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    offsets = np.arange(0, values.size + 1, max(values.shape[1], 1), dtype=np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(rows), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))], ["row", "values"])
+
+
+def _inner(a: Matrix, b: Matrix) -> Matrix:
+    """A B with both sides keyed by the inner index: outer products, added up in the task."""
+    m, n = a.rows, b.cols
+    if a.source is b.source:
+        x, y = (F.transform("values", side.element) if side.element else F.col("values") for side in (a, b))
+        pairs = a.source.select(x.alias("x"), y.alias("y")) if a.element or b.element else a.source.select(F.col("values").alias("x"))
+    else:
+        pairs = a.transpose().row_arrays().withColumnRenamed("values", "x").join(b.row_arrays().withColumnRenamed("values", "y"), "row").select("x", "y")
+    other = "y" if "y" in pairs.columns else "x"
 
-    def blocks(m: Matrix, i: str, j: str, name: str) -> DataFrame:
-        cell = F.struct(((F.col("row") % size) * size + F.col("col") % size).cast("int").alias("p"), F.col("v").alias("v"))
-        return m.df.groupBy(F.floor(F.col("row") / size).alias(i), F.floor(F.col("col") / size).alias(j)).agg(F.collect_list(cell).alias(name))
+    def products(batches):
+        total, seen = np.zeros((m, n)), False
+        for batch in batches:
+            if batch.num_rows:
+                total += _numbers(batch, "x", m).T @ _numbers(batch, other, n)
+                seen = True
+        if seen:
+            yield _row_arrays(np.arange(m), total)
 
-    rows, cols = a.rows, b.cols
+    return Matrix(_summed(pairs.mapInArrow(products, "row long, values array<double>"), n), m, n, layout=BY_ROWS)
+
+
+def _summed(parts: DataFrame, width: int) -> DataFrame:
+    """(row, values): the sums of the arrays of each row, added up one after the other as they come sorted."""
+
+    def add(batches):
+        row, total = None, None
+        for batch in batches:
+            done, kept = [], []
+            for r, x in zip(batch.column("row").to_pylist(), _numbers(batch, "values", width)):
+                if r == row:
+                    total = total + x
+                    continue
+                if row is not None:
+                    done.append(row)
+                    kept.append(total)
+                row, total = r, x
+            if done:
+                yield _row_arrays(np.array(done), np.array(kept))
+        if row is not None:
+            yield _row_arrays(np.array([row]), total[None, :])
+
+    return parts.repartition("row").sortWithinPartitions("row").mapInArrow(add, "row long, values array<double>")
+
+
+def _times_small(a: Matrix, b: np.ndarray) -> Matrix:
+    """The rows of A times a B that every task gets."""
 
     def multiply(batches):
-        schema = pa.schema([("row", pa.int64()), ("col", pa.int64()), ("v", pa.float64())])
         for batch in batches:
-            for bi, bj, x, y in zip(*(batch.column(k) for k in ("bi", "bj", "x", "y"))):
-                dense = []
-                for cells in (x.values, y.values):
-                    block = np.zeros(size * size)
-                    block[cells.field("p").to_numpy()] = cells.field("v").to_numpy()
-                    dense.append(block.reshape(size, size))
-                c = dense[0] @ dense[1]
-                r, k = np.nonzero(np.ones_like(c))
-                r, k = r + bi.as_py() * size, k + bj.as_py() * size
-                inside = (r < rows) & (k < cols)
-                yield pa.RecordBatch.from_arrays([pa.array(r[inside]), pa.array(k[inside]), pa.array(c.ravel()[inside])], schema=schema)
-
-    pairs = blocks(a, "bi", "bk", "x").join(blocks(b, "bk", "bj", "y"), "bk").select("bi", "bj", "x", "y")
-    parts = pairs.mapInArrow(multiply, "row long, col long, v double")
-    return Matrix(parts.groupBy("row", "col").agg(F.sum("v").alias("v")), a.rows, b.cols)
+            if batch.num_rows:
+                yield _row_arrays(batch.column("row").to_numpy(), _numbers(batch, "values", len(b)) @ b)
+
+    return Matrix(a.row_arrays().mapInArrow(multiply, "row long, values array<double>"), a.rows, b.shape[1], layout=BY_ROWS)
+
+
+def _tiles(m: Matrix, height: int, width: int, names: tuple[str, str], cell: str) -> DataFrame:
+    """A row for each tile of height x width: its numbers, and pieces of the rows (or columns) in it, or its elements."""
+    i, j = names
+    if m.layout == CELLS:
+        place = ((F.col("row") % height) * width + F.col("col") % width).cast("int")
+        piece = F.struct(place.alias("at"), F.array(F.col("v").cast("double")).alias("v"))
+        return m.df.groupBy(F.floor(F.col("row") / height).alias(i), F.floor(F.col("col") / width).alias(j)).agg(F.collect_list(piece).alias(cell))
+    # pieces of lanes: a row of the source is cut, and its pieces are collected by tile
+    length, along, across = (m.cols, width, height) if m.layout == BY_ROWS else (m.rows, height, width)
+    values = F.transform("values", m.element) if m.element else F.col("values")
+    cuts = F.sequence(F.lit(0).cast("long"), F.lit(-(-length // along) - 1).cast("long"))
+    cut = m.source.select("row", values.alias("values"), F.explode(cuts).alias("part"))
+    cut = cut.select("row", "part", F.slice("values", (F.col("part") * along + 1).cast("int"), F.lit(along)).alias("v"))
+    piece = F.struct((F.col("row") % across).cast("int").alias("at"), "v")
+    lane = F.floor(F.col("row") / across)
+    keys = (lane.alias(i), F.col("part").alias(j)) if m.layout == BY_ROWS else (F.col("part").alias(i), lane.alias(j))
+    return cut.groupBy(*keys).agg(F.collect_list(piece).alias(cell))
+
+
+def _tile(cells: pa.StructArray, layout: str, height: int, width: int) -> np.ndarray:
+    """One tile as an array, from what _tiles() collected."""
+    tile, at = np.zeros((height, width)), cells.field("at").to_numpy()
+    lists = cells.field("v")
+    numbers = lists.flatten().to_numpy(zero_copy_only=False)
+    if layout == CELLS:
+        tile.ravel()[at] = numbers
+        return tile
+    numbers = numbers.reshape(len(at), -1)
+    if layout == BY_ROWS:
+        tile[at, : numbers.shape[1]] = numbers
+    else:
+        tile[: numbers.shape[1], at] = numbers.T
+    return tile
+
+
+def block_gemm(a: Matrix, b: Matrix, size: int = 256, depth: int = 1024) -> Matrix:
+    """C = A B of dense matrices over a grid of tiles: size x depth of A and depth x size of B.
+
+    Elements are shuffled once to make tiles; each tile of A goes to every block column of C and
+    each tile of B to every block row, where a task multiplies one pair at a time, so neither the
+    inner dimension nor a block row ever lies in one task. Products with the same place in C are
+    added up as whole rows of tiles.
+    """
+    _fits(a, b)
+    a, b = a.dense(), b.dense()
+    if not a.cols:
+        return Matrix.zeros(a.spark, a.rows, b.cols)
+    rows, cols = a.rows, b.cols
+    height, width, depth = min(size, max(rows, 1)), min(size, max(cols, 1)), min(depth, a.cols)
+    down, across, deep = -(-rows // height), -(-cols // width), -(-a.cols // depth)
+    count = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = _tiles(a, height, depth, ("bi", "bk"), "x").select("bi", "bk", "x", count(across).alias("bj"))
+    right = _tiles(b, depth, width, ("bk", "bj"), "y").select("bk", "bj", "y", count(down).alias("bi"))
+    kinds = a.layout, b.layout
+
+    def multiply(x, y):
+        schema = pa.schema([("bj", pa.int64()), ("row", pa.int64()), ("values", pa.list_(pa.float64()))])
+        if not x.num_rows or not y.num_rows:
+            return schema.empty_table()
+        bi, bj = x.column("bi")[0].as_py(), x.column("bj")[0].as_py()
+        c = _tile(x.column("x")[0].values, kinds[0], height, depth) @ _tile(y.column("y")[0].values, kinds[1], depth, width)
+        c = c[: rows - bi * height]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, width, dtype=np.int32)), pa.array(c.ravel()))
+        return pa.Table.from_arrays([pa.array(np.full(len(c), bj)), pa.array(np.arange(len(c)) + bi * height), lists], schema=schema)
+
+    keys = ("bi", "bj", "bk")
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(multiply, "bj long, row long, values array<double>")
+    if across == 1:
+        parts = parts.select("row", "values")
+        return Matrix(parts if deep == 1 else _summed(parts, width), rows, cols, layout=BY_ROWS)
+    wide = parts.select((F.col("row") * across + F.col("bj")).alias("row"), "values")  # a number for each piece of a row
+    wide = wide if deep == 1 else _summed(wide, width)
+    cells = wide.select(F.expr(f"row div {across}").alias("r"), (F.col("row") % across).alias("bj"), F.posexplode("values").alias("at", "v"))
+    cells = cells.select(F.col("r").alias("row"), (F.col("bj") * width + F.col("at")).alias("col"), "v")
+    return Matrix(cells.where(F.col("col") < cols) if cols % width else cells, rows, cols)
 
 
 def gram(a: Matrix) -> Matrix:
     """AᵀA of a tall matrix: every task multiplies the rows it holds, and cols x cols sums are shuffled.
 
-    Rows come as arrays; a task keeps one cols x cols block.
+    A task keeps one cols x cols block. Of the row form nothing else moves. A sparse matrix is
+    joined with itself on the row, and its product is sparse.
     """
-    n = a.cols
-
-    def products(batches):
-        total = np.zeros((n, n))
-        seen = False
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column("values").flatten().to_numpy().reshape(-1, n)
-                total += x.T @ x
-                seen = True
-        if seen:
-            r, c = np.indices((n, n))
-            yield pa.RecordBatch.from_arrays([pa.array(r.ravel()), pa.array(c.ravel()), pa.array(total.ravel())], ["row", "col", "v"])
-
-    parts = a.row_arrays().select("values").mapInArrow(products, "row long, col long, v double")
-    return Matrix(parts.groupBy("row", "col").agg(F.sum("v").alias("v")), n, n)
+    if a.sparse:
+        return gemm(a.transpose(), a)
+    a = a.by_rows()
+    return _inner(a.transpose(), a)
 
 
 def _vector_side(x: DataFrame, n: int) -> DataFrame:

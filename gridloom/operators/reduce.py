@@ -1,20 +1,22 @@
-"""Reductions over all elements, rows or columns, with defined results for NaN, ties and empty lanes."""
+"""Reductions over all elements, rows or columns, with defined results for NaN, ties, empty lanes and absent elements."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..matrix import Matrix
+from ..matrix import BY_ROWS, CELLS, Matrix
 
 ALL, ROWS, COLUMNS = "all", "rows", "columns"
 #: Elements that strict_mean() folds at once.
 CHUNK = 4096
+#: Offsets that are numbered in one task where the first absent element is looked for.
+BUCKET = 100_000
 
 
 def _laid_out(a: Matrix, axis: str) -> tuple[DataFrame, int, int]:
-    """(lane, at, v), the number of lanes and the length of each; `at` is the offset in the lane."""
+    """(lane, at, v) of the stored elements, the number of lanes and the length of each; `at` is the offset in the lane."""
     row, col = F.col("row"), F.col("col")
     if axis == ALL:
         return a.df.select(F.lit(0).cast("long").alias("lane"), (row + col * a.rows).alias("at"), "v"), 1, a.size
@@ -30,20 +32,37 @@ def _not_empty(lanes: int, length: int) -> None:
         raise ValueError("a lane without elements has a sum only")
 
 
+def _by_lane(a: Matrix, axis: str) -> DataFrame | None:
+    """(lane, values) if each lane is one row of the source, so that nothing needs a shuffle."""
+    if a.layout == CELLS or axis == ALL or (axis == ROWS) != (a.layout == BY_ROWS):
+        return None
+    values = F.transform("values", a.element) if a.element else F.col("values")
+    return a.source.select(F.col("row").alias("lane"), values.alias("values"))
+
+
+def _every_lane(a: Matrix, found: DataFrame, lanes: int) -> DataFrame:
+    """found, with a row for the lanes of a sparse matrix that store nothing."""
+    if not a.sparse:
+        return found
+    return a.spark.range(lanes).select(F.col("id").alias("lane")).join(found, "lane", "left")
+
+
 def total(a: Matrix, axis: str = ALL) -> DataFrame:
     """(lane, v): sums in double; a lane without elements sums to 0."""
     cells, lanes, length = _laid_out(a, axis)
+    if not length:
+        return a.spark.range(lanes).select(F.col("id").alias("lane"), F.lit(0.0).alias("v"))
+    if (arrays := _by_lane(a, axis)) is not None:
+        return arrays.select("lane", F.aggregate("values", F.lit(0.0), lambda s, v: s + v).alias("v"))
     sums = cells.groupBy("lane").agg(F.sum(F.col("v").cast("double")).alias("v"))
-    if length:
-        return sums
-    return a.spark.range(lanes).select(F.col("id").alias("lane"), F.lit(0.0).alias("v"))
+    return _every_lane(a, sums, lanes).select("lane", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def mean(a: Matrix, axis: str = ALL) -> DataFrame:
     """(lane, v): plain averages, for data whose sums neither overflow nor cancel; see strict_mean()."""
-    cells, lanes, length = _laid_out(a, axis)
+    _, lanes, length = _laid_out(a, axis)
     _not_empty(lanes, length)
-    return cells.groupBy("lane").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    return total(a, axis).select("lane", (F.col("v") / max(length, 1)).alias("v"))
 
 
 def strict_mean(a: Matrix, axis: str = ALL) -> DataFrame:
@@ -61,10 +80,9 @@ def strict_mean(a: Matrix, axis: str = ALL) -> DataFrame:
         F.bool_or(v == C.INF).alias("up"),
         F.bool_or(v == -C.INF).alias("down"),
         F.max(F.when(C.finite(v), F.abs(v))).alias("top"),
-        F.count(F.lit(1)).alias("n"),
     )
     power = F.when(F.col("top") > 0, F.pow(F.lit(2.0), F.greatest(F.least(F.ceil(F.log2("top")), F.lit(1023)), F.lit(-1000)))).otherwise(F.lit(1.0))
-    facts = facts.withColumn("scale", power)
+    facts = _every_lane(a, facts, lanes).withColumn("scale", power).withColumn("n", F.lit(float(length)))
     scaled = cells.join(facts.select("lane", "scale"), "lane").where(C.finite(v)).withColumn("x", v / F.col("scale"))
     chunks = scaled.groupBy("lane", F.floor(F.col("at") / CHUNK).alias("chunk")).agg(C.compensated_sum(F.col("at"), F.col("x")).alias("f"))
     both = chunks.select("lane", F.explode(F.array(F.struct((2 * F.col("chunk")).alias("o"), F.col("f.s").alias("x")), F.struct((2 * F.col("chunk") + 1).alias("o"), F.col("f.c").alias("x")))).alias("e"))
@@ -73,7 +91,7 @@ def strict_mean(a: Matrix, axis: str = ALL) -> DataFrame:
     whole = folded * F.col("scale")  # overflows only where the sum does
     ordinary = F.when(C.finite(whole), whole / F.col("n")).otherwise(folded / F.col("n") * F.col("scale"))
     special = F.when(F.col("nan") | (F.col("up") & F.col("down")), C.NAN).when(F.col("up"), C.INF).when(F.col("down"), -C.INF)
-    return facts.join(sums, "lane", "left").select("lane", F.coalesce(special, ordinary).alias("v"))
+    return facts.join(sums, "lane", "left").select("lane", F.coalesce(special, ordinary, F.when(F.col("top").isNull(), F.lit(0.0))).alias("v"))
 
 
 def smallest(v: Column) -> Column:
@@ -89,14 +107,52 @@ def index_of(v: Column, at: Column, largest: bool) -> Column:
     return F.coalesce(first_nan, F.min(F.struct(v.alias("v"), at.alias("i")))["i"])
 
 
+def _first_absent(cells: DataFrame, length: int) -> DataFrame:
+    """(lane, free): the first offset that a lane with stored elements lacks, if it lacks any.
+
+    Offsets are numbered within buckets, and buckets within lanes: as long as offset and number
+    agree, none is absent.
+    """
+    rank = F.row_number().over(Window.partitionBy("lane", "bucket").orderBy("at")) - 1 + F.col("bucket") * BUCKET
+    held = cells.select("lane", "at", F.floor(F.col("at") / BUCKET).alias("bucket")).withColumn("filled", F.col("at") == rank)
+    buckets = held.groupBy("lane", "bucket").agg(F.count_if("filled").alias("filled"))
+    place = F.row_number().over(Window.partitionBy("lane").orderBy("bucket")) - 1
+    end = F.least((F.col("bucket") + 1) * BUCKET, F.lit(length))
+    free = F.col("bucket") * BUCKET + F.col("filled")
+    found = buckets.withColumn("there", F.col("bucket") == place).groupBy("lane").agg(
+        F.min(F.when(free < end, free)).alias("inside"), (F.count_if("there") * BUCKET).alias("behind")
+    )
+    behind = F.when(F.col("behind") < length, F.col("behind"))
+    return found.select("lane", F.least("inside", behind).alias("free"))
+
+
 def _extreme(a: Matrix, axis: str, largest: bool, with_index: bool) -> DataFrame:
     cells, lanes, length = _laid_out(a, axis)
     _not_empty(lanes, length)
     v = F.col("v")
+    if (arrays := _by_lane(a, axis)) is not None:
+        values = F.col("values")
+        odd = F.exists(values, F.isnan)
+        top = F.array_max(values) if largest else F.when(odd, F.lit(C.NAN)).otherwise(F.array_min(values))
+        found = arrays.select("lane", top.alias("v"), "values")
+        if not with_index:
+            return found.drop("values")
+        return found.select("lane", "v", (F.array_position("values", F.col("v")) - 1).alias("idx"))
     found = [(F.max(v) if largest else smallest(v)).alias("v")]  # Spark orders NaN last, so its max is NaN already
     if with_index:
         found.append(index_of(v, F.col("at"), largest).alias("idx"))
-    return cells.groupBy("lane").agg(*found)
+    if not a.sparse:
+        return cells.groupBy("lane").agg(*found)
+    stored = _every_lane(a, cells.groupBy("lane").agg(*found, F.count(F.lit(1)).alias("n")), lanes).withColumn("n", F.coalesce("n", F.lit(0)))
+    zero = F.lit(0.0)
+    lacks = F.col("n") < length
+    beaten = F.coalesce(~F.isnan(v) & ((v < zero) if largest else (v > zero)), F.lit(True))  # by an absent element
+    value = F.when(lacks & beaten, zero).otherwise(v)
+    if not with_index:
+        return stored.select("lane", value.alias("v"))
+    free = stored.join(_first_absent(cells, length), "lane", "left").withColumn("free", F.coalesce("free", F.when(F.col("n") == 0, F.lit(0).cast("long"))))
+    at = F.when(lacks & beaten, F.col("free")).when(lacks & (v == zero), F.least("idx", "free")).otherwise(F.col("idx"))
+    return free.select("lane", value.alias("v"), at.alias("idx"))
 
 
 def minimum(a: Matrix, axis: str = ALL) -> DataFrame:
@@ -149,6 +205,6 @@ def covariance_matrix(points: Matrix) -> Matrix:
         raise ValueError("a covariance needs two points at least")
     if points.cols != 3:
         raise ValueError("points have three columns")
-    wide = points.df.groupBy("row").agg(*[F.max(F.when(F.col("col") == i, F.col("v"))).alias(n) for i, n in enumerate("xyz")])
+    wide = points.row_arrays().select(*[F.get("values", F.lit(i)).alias(n) for i, n in enumerate("xyz")])
     c = covariance(wide).first()
     return Matrix.of(points.spark, [[c["cxx"], c["cxy"], c["cxz"]], [c["cxy"], c["cyy"], c["cyz"]], [c["cxz"], c["cyz"], c["czz"]]])

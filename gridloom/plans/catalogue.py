@@ -459,6 +459,104 @@ def spmm(spark, sf_dir):
     return rounded(products.spmm(a, b))
 
 
+# --- Sparse matrices, whose absent elements count as zeros -------------------------------------
+
+
+def balance(spark: SparkSession, sf_dir: str) -> Matrix:
+    """Quantity above 25 by part and supplier, summed over line items: of both signs, some stored as 0."""
+    m = sparse.combine(lines(spark, sf_dir), ordered=False)
+    return m.with_values(F.col("v") - 25)
+
+
+BALANCE = f"""{COO}, bal AS (SELECT row, col, v - 25 AS v FROM coo), grid AS (SELECT r.range AS row, c.range AS col FROM range((SELECT max(l_partkey) + 1 FROM lineitem)) r, range((SELECT max(l_suppkey) + 1 FROM lineitem)) c),
+filled AS (SELECT row, col, CAST(coalesce(v, 0) AS DOUBLE) AS v FROM grid LEFT JOIN bal USING (row, col))"""
+_FILLED_LANES = {
+    "all": "(SELECT CAST(0 AS BIGINT) AS lane, row + col * (SELECT max(row) + 1 FROM grid) AS place, v FROM filled)",
+    "rows": "(SELECT row AS lane, col AS place, v FROM filled)",
+    "columns": "(SELECT col AS lane, row AS place, v FROM filled)",
+}
+for _axis, _lanes in _FILLED_LANES.items():
+    for _name, _op, _sql in (
+        ("sum", reduce.total, "sum(v)"),
+        ("mean", reduce.mean, "avg(v)"),
+        ("strict_mean", reduce.strict_mean, "avg(v)"),
+        ("min", reduce.minimum, "min(v)"),
+        ("max", reduce.maximum, "max(v)"),
+    ):
+        query(f"sparse_reduce_{_axis}_{_name}", f"WITH {BALANCE} SELECT lane, round({_sql}, 6) + 0.0 AS v FROM {_lanes} GROUP BY lane")(
+            lambda spark, sf_dir, op=_op, axis=_axis: op(balance(spark, sf_dir), axis).select("lane", r6("v").alias("v"))
+        )
+    for _name, _op, _sql in (("argmin", reduce.arg_min, "arg_min(place, row(v, place))"), ("argmax", reduce.arg_max, "arg_max(place, row(v, -place))")):
+        query(f"sparse_reduce_{_axis}_{_name}", f"WITH {BALANCE} SELECT lane, {_sql} AS idx FROM {_lanes} GROUP BY lane")(
+            lambda spark, sf_dir, op=_op, axis=_axis: op(balance(spark, sf_dir), axis).select("lane", "idx")
+        )
+
+query("sparse_gram", f"WITH {BALANCE} SELECT a.col AS row, b.col, CAST(sum(a.v * b.v) AS DOUBLE) + 0.0 AS v FROM bal a JOIN bal b ON a.row = b.row GROUP BY ALL")(
+    lambda spark, sf_dir: rounded(products.gram(balance(spark, sf_dir)))
+)
+
+
+def nations(spark: SparkSession, sf_dir: str, suppliers: int) -> Matrix:
+    """1 for each supplier and its nation."""
+    df = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row"), F.col("s_nationkey").alias("col"), F.lit(1.0).alias("v"))
+    return Matrix(df.where(F.col("row") < suppliers), suppliers, 25, sparse=True)
+
+
+_BY_NATION = "SELECT row, s_nationkey AS col, sum(v) AS v FROM bal JOIN supplier ON s_suppkey = col GROUP BY ALL"
+
+
+@query("sparse_gemm", f"WITH {BALANCE} SELECT row, col, round(CAST(v AS DOUBLE), 6) + 0.0 AS v FROM ({_BY_NATION})")
+def sparse_gemm(spark, sf_dir):
+    """Balance by part and nation of the supplier."""
+    a = balance(spark, sf_dir)
+    return rounded(a @ nations(spark, sf_dir, a.cols))
+
+
+@query("sparse_gemm_mean", f"WITH {BALANCE}, n AS ({_BY_NATION}) SELECT CAST(range AS BIGINT) AS lane, round(coalesce(sum(v), 0) / (SELECT max(row) + 1 FROM grid), 6) + 0.0 AS v FROM range(25) LEFT JOIN n ON n.col = range GROUP BY range")
+def sparse_gemm_mean(spark, sf_dir):
+    """Means of the columns of that product, over all parts."""
+    a = balance(spark, sf_dir)
+    return reduce.mean(a @ nations(spark, sf_dir, a.cols), reduce.COLUMNS).select("lane", r6("v").alias("v"))
+
+
+for _name, _op, _sql in (
+    ("ew_scalar_add", lambda a: elementwise.scalar_add(a, 0.5), "v + 0.5"),
+    ("ew_clamp", lambda a: elementwise.clamp(a, 1.0, 20.0), "least(greatest(v, 1.0::DOUBLE), 20.0::DOUBLE)"),
+    ("fill", lambda a: a.fill(2.5), "CAST(2.5 AS DOUBLE)"),
+    ("ew_hadamard_divide", lambda a: elementwise.hadamard_divide(elementwise.scalar_multiply(a, 3.0), a), "CASE WHEN v = 0 THEN 'NaN'::DOUBLE ELSE 3.0::DOUBLE END"),
+):
+    query(f"sparse_{_name}", f"WITH {BALANCE} SELECT row, col, {_sql} AS v FROM filled")(
+        lambda spark, sf_dir, op=_op: op(balance(spark, sf_dir)).df
+    )
+
+
+@query("sparse_ew_sub", f"WITH {BALANCE}, far AS (SELECT l_partkey AS row, l_suppkey AS col, count(*) AS v FROM lineitem WHERE l_linenumber > 3 GROUP BY ALL) SELECT row, col, CAST(coalesce(bal.v, 0) - 2 * coalesce(far.v, 0) AS DOUBLE) + 0.0 AS v FROM bal FULL JOIN far USING (row, col)")
+def sparse_ew_sub(spark, sf_dir):
+    """Two sparse matrices that store different elements."""
+    a = balance(spark, sf_dir)
+    far = table(spark, sf_dir, "lineitem").where("l_linenumber > 3").groupBy(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    return rounded(elementwise.sub(a, elementwise.scalar_multiply(Matrix(far, *a.shape, sparse=True), 2.0)))
+
+
+@query("sparse_exclusive_scan", f"WITH {BALANCE}, k AS (SELECT row, col, CAST(v AS BIGINT) AS v FROM filled) SELECT row, col, CAST(coalesce(sum(v) OVER (ORDER BY col, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS v FROM k")
+def sparse_exclusive_scan(spark, sf_dir):
+    a = balance(spark, sf_dir)
+    return rows.exclusive_scan(a.with_values(F.col("v").cast("long"))).df
+
+
+@query(
+    "sparse_scatter_rows",
+    f"""WITH {BALANCE}, size AS (SELECT max(row) + 1 AS n FROM grid), o AS (SELECT range * 7 % (n // 2) AS target, min(range) AS source FROM size, range((SELECT n FROM size)) GROUP BY 1)
+SELECT target AS row, bal.col, CAST(-bal.v AS DOUBLE) + 0.0 AS v FROM o JOIN bal ON bal.row = o.source
+UNION ALL SELECT row, col, CAST(v AS DOUBLE) + 0.0 FROM bal WHERE row NOT IN (SELECT target FROM o)""",
+)
+def sparse_scatter_rows(spark, sf_dir):
+    """Moved rows replace what the rows at their targets stored."""
+    a = balance(spark, sf_dir)
+    moved = rows.scatter_rows(elementwise.scalar_multiply(a, -1.0), _index(spark, a.rows, a.rows // 2), a)
+    return rounded(moved)
+
+
 # --- Dense products and decompositions --------------------------------------------------------
 
 _GRAM = f"WITH {EMB} SELECT a.col AS row, b.col, round(sum(a.v * b.v), 6) + 0.0 AS v FROM emb a JOIN emb b ON a.row = b.row GROUP BY ALL"
