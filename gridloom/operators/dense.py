@@ -7,13 +7,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..matrix import DRIVER_ELEMENTS, Matrix
+from ..matrix import BY_ROWS, DRIVER_ELEMENTS, Matrix
+from ..scratch import materialise
+from . import products
 
 #: Pivots below this make a system singular.
 PIVOT = 1e-15
-#: Up to so many rows the left factors are completed to squares.
-FULL_ROWS = 4096
 #: So many n x n factors reach the driver from a tall matrix.
 STACKS = 16
 
@@ -32,20 +33,40 @@ def _some(a: Matrix) -> None:
         raise ValueError("a dimension is zero")
 
 
-def svd(a: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> Factors:
-    """A = U diag(s) Vt with s descending.
+def _narrow(a: Matrix, driver_elements: int) -> Matrix:
+    """A tall matrix in rows, of which n x n numbers fit the driver; elements are brought into rows once and written."""
+    if a.cols * a.cols > DRIVER_ELEMENTS:
+        raise ValueError(f"the shorter side of {a.rows} x {a.cols} is too long: {a.cols} x {a.cols} numbers must fit the driver")
+    if a.layout == BY_ROWS:
+        return a
+    return Matrix(materialise(a.by_rows().source, "rows"), *a.shape, layout=BY_ROWS)
 
-    What fits the driver is decomposed there, with U completed to m x m up to FULL_ROWS rows.
-    A taller matrix is decomposed through the R of its QR factors, A = Q R with R = Ur S Vt, so
-    values are as accurate as at the driver; only n x n numbers are shuffled. U is thin: a
-    projection A V / s of the rows, made orthonormal by QR factors of its own. Columns whose
-    value is lost in rounding are completed from pseudorandom rows.
+
+def svd(a: Matrix, driver_elements: int = DRIVER_ELEMENTS, full: bool = True) -> Factors:
+    """A = U diag(s) Vt with k = min(m, n) values s, descending.
+
+    U is m x m and Vt n x n, completed by orthonormal columns and rows; with full=False they are
+    m x k and k x n. What fits the driver is decomposed there. Else a tall matrix is decomposed
+    through the R of its QR factors, A = Q R with R = Ur S Vt, so values are as accurate as at the
+    driver and only n x n numbers are shuffled; a wide one as its transpose. The thin factor is a
+    projection A V / s of the rows, made orthonormal by QR factors of its own; columns whose value
+    is lost in rounding are completed from pseudorandom rows. The shorter side must fit the driver.
     """
     _some(a)
     if a.size <= driver_elements:
-        u, s, vt = np.linalg.svd(a.to_numpy(driver_elements), full_matrices=a.rows <= FULL_ROWS)
+        u, s, vt = np.linalg.svd(a.to_numpy(driver_elements), full_matrices=full)
         return Factors(Matrix.of(a.spark, u), s, Matrix.of(a.spark, vt))
+    if a.rows < a.cols:
+        f = svd(a.transpose(), driver_elements, full)
+        return Factors(f.right.transpose(), f.values, f.left.transpose())
+    a = _narrow(a, driver_elements)
     _, s, vt = np.linalg.svd(_stacked(a.row_arrays(), a.cols), full_matrices=False)
+    left = _left(a, s, vt)
+    return Factors(completed(left) if full else left, s, Matrix.of(a.spark, vt))
+
+
+def _left(a: Matrix, s: np.ndarray, vt: np.ndarray, last: np.ndarray | None = None) -> Matrix:
+    """U of A = U diag(s) Vt, m x n with orthonormal columns whatever the rank of A; times `last` if given."""
     keep = s > s[0] * a.cols * np.finfo(float).eps
     while True:
         first = np.where(keep, vt.T / np.where(keep, s, 1), 0.0)
@@ -58,8 +79,51 @@ def svd(a: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> Factors:
     while np.linalg.cond(r) > 10 and len(then) < 4:
         r = _positive(_stacked(_left_rows(a, first, then, ~keep), len(s)))
         then.append(np.linalg.inv(r))
-    left = _left_rows(a, first, then, ~keep)
-    return Factors(Matrix.from_arrays(left, "row", "values", a.rows, len(s)), s, Matrix.of(a.spark, vt))
+    left = _left_rows(a, first, [*then, last] if last is not None else then, ~keep)
+    return Matrix.from_arrays(left, "row", "values", a.rows, len(s))
+
+
+def completed(w: Matrix) -> Matrix:
+    """An orthonormal m x m matrix whose first n columns are those of w, an m x n matrix in rows with orthonormal columns.
+
+    w is the beginning of a product of n reflections, I - Y T Yᵀ: the top of w, less a matrix of
+    signs, is factored into triangles at the driver, which gives T and, row by row, Y. Only the
+    product of Y and T Yᵀ, in tiles, has m x m numbers.
+    """
+    m, n = w.shape
+    if m == n:
+        return w
+    top = np.zeros((n, n))
+    for row in w.row_arrays().where(F.col("row") < n).toLocalIterator():
+        top[row["row"]] = row["values"]
+    signs, low, up = np.ones(n), np.eye(n), top.copy()
+    for i in range(n):
+        signs[i] = -1.0 if up[i, i] >= 0 else 1.0
+        up[i, i] -= signs[i]
+        low[i + 1 :, i] = up[i + 1 :, i] / up[i, i]
+        up[i + 1 :, i] = 0
+        up[i + 1 :, i + 1 :] -= np.outer(low[i + 1 :, i], up[i, i + 1 :])
+    t = -(up * signs) @ np.linalg.inv(low).T
+    up_inverse = np.linalg.inv(up)
+
+    def reflectors(last: np.ndarray, scaled: bool):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    row = batch.column("row").to_numpy()
+                    y = batch.column("values").flatten().to_numpy().reshape(-1, n) @ up_inverse
+                    inside = row < n
+                    y[inside] = low[row[inside]]
+                    y = y @ last
+                    if scaled:
+                        y[inside] *= signs[row[inside], None]
+                    yield products._row_arrays(row, y)
+
+        return Matrix(w.row_arrays().mapInArrow(run, "row long, values array<double>"), m, n, layout=BY_ROWS)
+
+    far = products.gemm(reflectors(np.eye(n), False), reflectors(t.T, True).transpose())
+    sign = F.when(F.substring(F.lit("".join("-" if s < 0 else "+" for s in signs)), (F.col("row") + 1).cast("int"), F.lit(1)) == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
+    return far.with_values(F.when(F.col("row") == F.col("col"), sign).otherwise(F.lit(0.0)) - F.col("v"))
 
 
 def _stacked(rows: DataFrame, n: int) -> np.ndarray:
@@ -111,25 +175,49 @@ def _left_rows(a: Matrix, first: np.ndarray, then: list[np.ndarray], filled: np.
     return a.row_arrays().mapInArrow(run, "row long, values array<double>")
 
 
-def qr(a: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> tuple[Matrix, Matrix]:
-    """A = Q R by Householder reflections, R upper triangular with zeros below the diagonal.
+def qr(a: Matrix, driver_elements: int = DRIVER_ELEMENTS, full: bool = True) -> tuple[Matrix, Matrix]:
+    """A = Q R with orthonormal Q and upper triangular R, zeros below the diagonal, for any shape and rank.
 
-    Q is m x m where A fits the driver and has FULL_ROWS rows at most. A taller matrix is
-    factored by parts: each task factors its rows, their R factors are stacked and factored
-    at the driver, and Q = A R⁻¹, made orthonormal by a second pass, is a projection of the rows (thin).
+    Q is m x m and R m x n; with full=False Q is m x k and R k x n, k = min(m, n). What fits the
+    driver is factored there by reflections. Else each task of a tall matrix factors its rows, and
+    their R factors are stacked and factored; as R = Ur S Vt, Q is the thin U of A times Urᵀ, which
+    needs no inverse of R, so columns may be dependent. A wide matrix is factored through its first
+    m columns, and R = Qᵀ A is a projection of the columns. The shorter side must fit the driver.
     """
     _some(a)
     if a.size <= driver_elements:
-        q, r = np.linalg.qr(a.to_numpy(driver_elements), mode="complete" if a.rows <= FULL_ROWS else "reduced")
+        q, r = np.linalg.qr(a.to_numpy(driver_elements), mode="complete" if full else "reduced")
         return Matrix.of(a.spark, q), Matrix.of(a.spark, np.triu(r))
+    if a.rows < a.cols:
+        return _wide_qr(a, driver_elements)
+    a = _narrow(a, driver_elements)
     r = _stacked(a.row_arrays(), a.cols)
-    if not np.abs(np.diag(r)).min() > a.cols * np.finfo(float).eps * np.abs(r).max():
-        raise ValueError("the columns are dependent; a tall matrix needs full rank here")
-    # A R⁻¹ loses orthogonality as the condition of A grows; the R of its own rows takes that out
-    first, none = np.linalg.inv(r), np.zeros(a.cols, bool)
-    again = _positive(_stacked(_left_rows(a, first, [], none), a.cols))
-    left = _left_rows(a, first, [np.linalg.inv(again)], none)
-    return Matrix.from_arrays(left, "row", "values", a.rows, a.cols), Matrix.of(a.spark, np.triu(again @ r))
+    u, s, vt = np.linalg.svd(r)
+    q = _left(a, s, vt, u.T)
+    if not full:
+        return q, Matrix.of(a.spark, r)
+    cells = Matrix.of(a.spark, r).df
+    return completed(q), Matrix(cells, *a.shape, sparse=True).dense()
+
+
+def _wide_qr(a: Matrix, driver_elements: int) -> tuple[Matrix, Matrix]:
+    columns = _narrow(a.transpose(), driver_elements)
+    m = a.rows
+    first = np.zeros((m, m))
+    for row in columns.row_arrays().where(F.col("row") < m).toLocalIterator():
+        first[:, row["row"]] = row["values"]
+    q, r = np.linalg.qr(first)
+
+    def project(batches):
+        for batch in batches:
+            if batch.num_rows:
+                row = batch.column("row").to_numpy()
+                values = batch.column("values").flatten().to_numpy().reshape(-1, m) @ q
+                values[row < m] = np.triu(r).T[row[row < m]]
+                yield products._row_arrays(row, values)
+
+    turned = columns.row_arrays().mapInArrow(project, "row long, values array<double>")
+    return Matrix.of(a.spark, q), Matrix(turned, a.cols, m, layout=BY_ROWS).transpose()
 
 
 def eigh(a: Matrix) -> np.ndarray:

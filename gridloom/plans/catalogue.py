@@ -571,23 +571,55 @@ def r5(m: Matrix) -> DataFrame:
 
 
 def _scaled_rows(m: Matrix, values: np.ndarray) -> Matrix:
-    """diag(values) m."""
+    """diag(values) m, of as many rows as there are values."""
     s = F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("row").cast("int"))
     return Matrix(m.df.where(F.col("row") < len(values)).select("row", "col", (s * F.col("v")).alias("v")), len(values), m.cols)
 
 
-@query("svd_reconstructs", _SAME)
-def svd_reconstructs(spark, sf_dir):
-    f = dense.svd(embeddings(spark, sf_dir))
-    right = _scaled_rows(f.right, f.values)
-    left = Matrix(f.left.df.where(F.col("col") < len(f.values)), f.left.rows, len(f.values))
-    return r5(products.gemm(left, right))
+def _rebuilt(f: dense.Factors) -> Matrix:
+    """U diag(s) Vt of the first columns and rows of the factors."""
+    k = len(f.values)
+    left = f.left if f.left.cols == k else Matrix(f.left.df.where(F.col("col") < k), f.left.rows, k)
+    right = f.right if f.right.rows == k else Matrix(f.right.df.where(F.col("row") < k), k, f.right.cols)
+    if right.cols <= left.rows:
+        return products.gemm(left, _scaled_rows(right, f.values))
+    turned = left.transpose()
+    return products.gemm(_scaled_rows(turned, f.values).transpose(), right)
 
 
-@query("svd_tall_reconstructs", _SAME)
-def svd_tall_reconstructs(spark, sf_dir):
-    f = dense.svd(embeddings(spark, sf_dir), driver_elements=0)
-    return r5(products.gemm(f.left, _scaled_rows(f.right, f.values)))
+def wide(spark: SparkSession, sf_dir: str) -> Matrix:
+    """The embeddings as columns."""
+    return embeddings(spark, sf_dir).transpose()
+
+
+def dependent(spark: SparkSession, sf_dir: str) -> Matrix:
+    """The embeddings with every odd column equal to the one before it."""
+    a = embeddings(spark, sf_dir)
+    pairs = F.transform("values", lambda v, i: F.get("values", i - i % 2))
+    return Matrix(a.source.select("row", pairs.alias("values")), *a.shape, layout=a.layout)
+
+
+_SAME_WIDE = f"WITH {EMB} SELECT col AS row, row AS col, round(v, 5) + 0.0 AS v FROM emb"
+_SAME_DEPENDENT = f"WITH {EMB} SELECT e.row, e.col, round(o.v, 5) + 0.0 AS v FROM emb e JOIN emb o ON o.row = e.row AND o.col = e.col - e.col % 2"
+query("svd_reconstructs", _SAME)(lambda spark, sf_dir: r5(_rebuilt(dense.svd(embeddings(spark, sf_dir), full=False))))
+query("svd_tall_reconstructs", _SAME)(lambda spark, sf_dir: r5(_rebuilt(dense.svd(embeddings(spark, sf_dir), driver_elements=0, full=False))))
+query("svd_wide_reconstructs", _SAME_WIDE)(lambda spark, sf_dir: r5(_rebuilt(dense.svd(wide(spark, sf_dir), driver_elements=0, full=False))))
+query("svd_dependent_reconstructs", _SAME_DEPENDENT)(lambda spark, sf_dir: r5(_rebuilt(dense.svd(dependent(spark, sf_dir), driver_elements=0, full=False))))
+
+
+def head(spark: SparkSession, sf_dir: str, n: int = 150) -> Matrix:
+    """The sums of the embeddings by vec_id modulo n, a row each; their square factors have n x n elements."""
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % n).alias("row"), F.posexplode("embedding").alias("at", "v"))
+    sums = e.groupBy("row", F.col("at").cast("long").alias("col")).agg(F.sum(F.col("v").cast("double")).alias("v"))
+    return Matrix(sums, n, 64)
+
+
+_HEAD = f"WITH {EMB} SELECT row % 150 AS row, col, round(sum(v), 5) + 0.0 AS v FROM emb GROUP BY row % 150, col"
+_EYE_HEAD = "SELECT i.range AS row, j.range AS col, CASE WHEN i.range = j.range THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM range(150) i, range(150) j"
+query("svd_full_reconstructs", _HEAD)(lambda spark, sf_dir: r5(_rebuilt(dense.svd(head(spark, sf_dir), driver_elements=0))))
+query("svd_full_orthonormal", _EYE_HEAD)(lambda spark, sf_dir: _orthonormal(dense.svd(head(spark, sf_dir), driver_elements=0).left))
+query("qr_full_reconstructs", _HEAD)(lambda spark, sf_dir: r5(products.gemm(*dense.qr(head(spark, sf_dir), driver_elements=0))))
+query("qr_full_orthonormal", _EYE_HEAD)(lambda spark, sf_dir: _orthonormal(dense.qr(head(spark, sf_dir), driver_elements=0)[0]))
 
 
 _EYE = "SELECT i.range AS row, j.range AS col, CASE WHEN i.range = j.range THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM range(64) i, range(64) j"
@@ -600,12 +632,16 @@ def _orthonormal(m: Matrix) -> DataFrame:
 @query("svd_tall_orthonormal", _EYE)
 def svd_tall_orthonormal(spark, sf_dir):
     """UᵀU of the thin left factor."""
-    return _orthonormal(dense.svd(embeddings(spark, sf_dir), driver_elements=0).left)
+    return _orthonormal(dense.svd(embeddings(spark, sf_dir), driver_elements=0, full=False).left)
+
+
+query("svd_dependent_orthonormal", _EYE)(lambda spark, sf_dir: _orthonormal(dense.svd(dependent(spark, sf_dir), driver_elements=0, full=False).left))
+query("qr_dependent_orthonormal", _EYE)(lambda spark, sf_dir: _orthonormal(dense.qr(dependent(spark, sf_dir), driver_elements=0, full=False)[0]))
 
 
 @query("qr_tall_orthonormal", _EYE)
 def qr_tall_orthonormal(spark, sf_dir):
-    return _orthonormal(dense.qr(embeddings(spark, sf_dir), driver_elements=0)[0])
+    return _orthonormal(dense.qr(embeddings(spark, sf_dir), driver_elements=0, full=False)[0])
 
 
 @query(
@@ -614,21 +650,26 @@ def qr_tall_orthonormal(spark, sf_dir):
 )
 def svd_tall_values(spark, sf_dir):
     """Singular values fall; their squares sum to the trace of AᵀA, their fourth powers to its squared norm."""
-    s = dense.svd(embeddings(spark, sf_dir), driver_elements=0).values
+    s = dense.svd(embeddings(spark, sf_dir), driver_elements=0, full=False).values
     row = (len(s), bool((np.diff(s) <= 0).all()), float(round((s**2).sum(), 4)), float(round((s**4).sum() / 1000, 4)))
     return spark.createDataFrame([row], "n long, falls boolean, squares double, fourth_powers double")
 
 
-@query("qr_reconstructs", _SAME)
-def qr_reconstructs(spark, sf_dir):
-    q, r = dense.qr(embeddings(spark, sf_dir))
-    q = Matrix(q.df.where(F.col("col") < 64), q.rows, 64)
-    return r5(products.gemm(q, Matrix(r.df.where(F.col("row") < 64), 64, 64)))
+query("qr_reconstructs", _SAME)(lambda spark, sf_dir: r5(products.gemm(*dense.qr(embeddings(spark, sf_dir), full=False))))
+query("qr_tall_reconstructs", _SAME)(lambda spark, sf_dir: r5(products.gemm(*dense.qr(embeddings(spark, sf_dir), driver_elements=0, full=False))))
+query("qr_wide_reconstructs", _SAME_WIDE)(lambda spark, sf_dir: r5(products.gemm(*dense.qr(wide(spark, sf_dir), driver_elements=0))))
+query("qr_dependent_reconstructs", _SAME_DEPENDENT)(lambda spark, sf_dir: r5(products.gemm(*dense.qr(dependent(spark, sf_dir), driver_elements=0, full=False))))
 
 
-@query("qr_tall_reconstructs", _SAME)
-def qr_tall_reconstructs(spark, sf_dir):
-    return r5(products.gemm(*dense.qr(embeddings(spark, sf_dir), driver_elements=0)))
+@query("qr_upper_triangle", "SELECT 'tall' AS kind, true AS upper UNION ALL SELECT 'wide', true UNION ALL SELECT 'dependent', true")
+def qr_upper_triangle(spark, sf_dir):
+    """Whether no element below the diagonal of R differs from 0."""
+    found = None
+    for kind, a in (("tall", embeddings), ("wide", wide), ("dependent", dependent)):
+        r = dense.qr(a(spark, sf_dir), driver_elements=0, full=False)[1].df
+        one = r.agg((F.count_if((F.col("row") > F.col("col")) & (F.col("v") != 0)) == 0).alias("upper")).select(F.lit(kind).alias("kind"), "upper")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query(

@@ -25,13 +25,47 @@ def test_tall(spark):
     x = np.random.default_rng(7).normal(size=(80, 6))
     a = Matrix.of(spark, x)
     assert np.allclose(rebuilt(D.svd(a, driver_elements=0)), x, atol=1e-9)
-    q, r = D.qr(a, driver_elements=0)
+    q, r = D.qr(a, driver_elements=0, full=False)
     q, r = q.to_numpy(), r.to_numpy()
     assert np.allclose(q @ r, x, atol=1e-9) and np.allclose(q.T @ q, np.eye(6), atol=1e-9) and not np.tril(r, -1).any()
 
 
+@pytest.mark.parametrize("full", [True, False])
+@pytest.mark.parametrize("kind", ["tall", "wide", "dependent", "square", "zero", "row", "column"])
+def test_one_contract_at_all_sizes(spark, kind, full):
+    rng = np.random.default_rng(3)
+    x = {
+        "tall": rng.normal(size=(40, 5)), "wide": rng.normal(size=(4, 30)), "dependent": rng.normal(size=(50, 5))[:, [0, 1, 1, 2, 2]],
+        "square": rng.normal(size=(6, 6)), "zero": np.zeros((7, 3)), "row": rng.normal(size=(1, 9)), "column": rng.normal(size=(9, 1)),
+    }[kind]
+    (m, n), k = x.shape, min(x.shape)
+    for limit in (0, 10**6):
+        f = D.svd(Matrix.of(spark, x), limit, full)
+        u, vt = f.left.to_numpy(), f.right.to_numpy()
+        assert (u.shape, vt.shape, len(f.values)) == (((m, m), (n, n), k) if full else ((m, k), (k, n), k))
+        assert np.abs(u.T @ u - np.eye(u.shape[1])).max() < 1e-12 and np.abs(vt @ vt.T - np.eye(len(vt))).max() < 1e-12
+        assert np.allclose(u[:, :k] * f.values @ vt[:k], x, atol=1e-12) and np.allclose(f.values, np.linalg.svd(x, compute_uv=False), atol=1e-12)
+        q, r = (a.to_numpy() for a in D.qr(Matrix.of(spark, x), limit, full))
+        assert (q.shape, r.shape) == (((m, m), (m, n)) if full else ((m, k), (k, n)))
+        assert np.abs(q.T @ q - np.eye(q.shape[1])).max() < 1e-12 and np.allclose(q @ r, x, atol=1e-12) and not np.tril(r, -1).any()
+
+
+def test_completed_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(D.products, "SMALL", 0)
+    x = np.random.default_rng(9).normal(size=(300, 3))
+    u = D.svd(Matrix.of(spark, x), driver_elements=0).left.to_numpy()
+    assert u.shape == (300, 300) and np.abs(u.T @ u - np.eye(300)).max() < 1e-12
+
+
+def test_a_shorter_side_beyond_the_driver_is_refused(spark):
+    a = Matrix.zeros(spark, 3000, 2500)
+    for decompose in (D.svd, D.qr):
+        with pytest.raises(ValueError, match="shorter side"):
+            decompose(a)
+
+
 def tall_svd(spark, x):
-    f = D.svd(Matrix.of(spark, x), driver_elements=0)
+    f = D.svd(Matrix.of(spark, x), driver_elements=0, full=False)
     u = f.left.to_numpy()
     assert np.abs(u.T @ u - np.eye(u.shape[1])).max() < 1e-12 and np.abs(rebuilt(f) - x).max() <= 1e-13 * np.abs(x).max()
     return f.values
@@ -62,10 +96,8 @@ def test_tall_qr_of_graded_columns(spark):
     rng = np.random.default_rng(6)
     u, v = (np.linalg.qr(rng.normal(size=(n, 10)))[0] for n in (200, 10))
     x = u * 10.0 ** -np.arange(10) @ v.T
-    q, r = (m.to_numpy() for m in D.qr(Matrix.of(spark, x), driver_elements=0))
+    q, r = (m.to_numpy() for m in D.qr(Matrix.of(spark, x), driver_elements=0, full=False))
     assert np.abs(q.T @ q - np.eye(10)).max() < 1e-12 and np.abs(q @ r - x).max() < 1e-12 and not np.tril(r, -1).any()
-    with pytest.raises(ValueError, match="dependent"):
-        D.qr(Matrix.of(spark, np.ones((50, 3)) * 1e3), driver_elements=0)
 
 
 def test_eigh(spark):
