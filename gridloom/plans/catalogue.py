@@ -85,11 +85,12 @@ def matrix_file_roundtrip(spark, sf_dir):
     return matrix_file.read_matrix(spark, path).df
 
 
-@query("vector_file_roundtrip", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row, CAST(s_acctbal AS DOUBLE) AS v FROM supplier")
+@query("vector_file_roundtrip", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, CAST(o_totalprice AS DOUBLE) AS v FROM orders")
 def vector_file_roundtrip(spark, sf_dir):
+    """The prices of all orders, by number."""
     path = f"{scratch_dir(spark)}/vector-{uuid.uuid4().hex}.bin"
-    values = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(F.col("s_acctbal").cast("double")).toPandas().to_numpy().ravel()
-    matrix_file.write_vector(spark, values, path)
+    items = rows.compact(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("v")), "o_orderkey", F.lit(True), "row")
+    matrix_file.write_vector(items, items.count(), path)
     return matrix_file.read_vector(spark, path)
 
 

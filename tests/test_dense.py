@@ -119,12 +119,43 @@ def test_solve(spark):
         D.eigh(Matrix.zeros(spark, 2, 3))
 
 
-def test_files(spark, tmp_path):
+@pytest.mark.parametrize("step", [1, 4, 1000])
+def test_files(spark, tmp_path, step):
     x = np.random.default_rng(1).random((7, 5))
-    matrix_file.write_matrix(Matrix.of(spark, x), str(tmp_path / "m.bin"))
+    path = str(tmp_path / "m.bin")
+    matrix_file.write_matrix(Matrix.of(spark, x), path, step)
     raw = (tmp_path / "m.bin").read_bytes()
-    assert np.array_equal(np.frombuffer(raw[16:], "<f8").reshape(5, 7).T, x)
-    assert np.array_equal(matrix_file.read_matrix(spark, str(tmp_path / "m.bin")).to_numpy(), x)
-    matrix_file.write_vector(spark, x[0], str(tmp_path / "v.bin"))
-    got = matrix_file.read_vector(spark, str(tmp_path / "v.bin")).orderBy("row").collect()
-    assert [r["v"] for r in got] == x[0].tolist()
+    assert np.frombuffer(raw[:16], "<i8").tolist() == [7, 5] and np.array_equal(np.frombuffer(raw[16:], "<f8").reshape(5, 7).T, x)
+    assert np.array_equal(matrix_file.read_matrix(spark, path).to_numpy(), x) and matrix_file.shape_of(path) == (7, 5)
+    matrix_file.write_matrix(Matrix.of(spark, x).by_rows(), path, step)
+    assert (tmp_path / "m.bin").read_bytes() == raw
+    v = spark.createDataFrame([(i, float(x[0, i])) for i in (3, 1, 0, 4, 2)], "row long, v double")
+    matrix_file.write_vector(v, 5, str(tmp_path / "v.bin"), step)
+    assert [tuple(r) for r in matrix_file.read_vector(spark, str(tmp_path / "v.bin")).orderBy("row").collect()] == list(enumerate(x[0].tolist()))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["m.bin", "v.bin"]
+
+
+def test_files_on_a_store_without_places_are_folders_of_parts(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(1).random((6, 5))
+    monkeypatch.setattr(matrix_file, "_is_mounted", lambda system: False)
+    rows = [(i + j * 6, float(x[i, j])) for j in range(5) for i in range(6)]
+    writer = matrix_file._Writer({"path": str(tmp_path / "m"), "shape": "6,5", "stage": "s.tmp"})
+    (tmp_path / "m.s.tmp").mkdir()
+    (tmp_path / "m.s.tmp" / "shape").write_bytes(np.array([6, 5], "<i8").tobytes())
+    batches = lambda part: [matrix_file.pa.RecordBatch.from_pydict({"lin": [r[0] for r in part], "v": [r[1] for r in part]})]
+    messages = [writer.write(iter(batches(part))) for part in (rows[:7], rows[7:20], rows[20:])]
+    writer.commit(messages)
+    assert sorted(p.name for p in (tmp_path / "m").iterdir()) == ["part-0", "part-20", "part-7", "shape"]
+    assert np.array_equal(matrix_file.read_matrix(spark, str(tmp_path / "m")).to_numpy(), x)
+
+
+def test_bad_files(spark, tmp_path):
+    matrix_file.write_matrix(Matrix.zeros(spark, 0, 3), str(tmp_path / "empty.bin"))
+    assert matrix_file.read_matrix(spark, str(tmp_path / "empty.bin")).df.count() == 0
+    (tmp_path / "bad.bin").write_bytes(np.array([2, 2], "<i8").tobytes() + b"\0" * 8)
+    with pytest.raises(ValueError, match="not a matrix file"):
+        matrix_file.shape_of(str(tmp_path / "bad.bin"))
+    short = spark.createDataFrame([(0, 1.0)], "row long, v double")
+    with pytest.raises(Exception, match="1 elements came"):
+        matrix_file.write_vector(short, 2, str(tmp_path / "short.bin"))
+    assert not list(tmp_path.glob("short*"))
