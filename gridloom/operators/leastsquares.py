@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +35,12 @@ def _product(a: Column, b: Column, m: Column, wa: int, wb: int, weight: Column)
 
 @dataclass(frozen=True)
 class NormalEquations:
-    """Sums (part, i, j, at, v): part is pp, pe, ee (blocks i, j, row-major) or gp, ge (gradients of i)."""
+    """Sums by block: part is pp, pe, ee (blocks i, j, row-major) or gp, ge (gradients of i).
 
-    sums: DataFrame
+    `table` holds whole blocks (part, i, j, values) or their numbers (part, i, j, at, v).
+    """
+
+    table: DataFrame
     primaries: int
     eliminated: int
     primary_size: int
@@ -76,17 +80,38 @@ class NormalEquations:
         # whole blocks are summed, place by place, so that a residual gives one row for each of its blocks
         widest = max(dp, de) ** 2
         blocks = rows.select(F.explode(pieces).alias("p")).select("p.part", "p.i", "p.j", "p.values")
-        blocks = blocks.groupBy("part", "i", "j").agg(F.array(*[F.sum(F.get("values", F.lit(k))) for k in range(widest)]).alias("values"))
-        sizes = {"pp": dp * dp, "pe": dp * de, "ee": de * de, "gp": dp, "ge": de}
-        size = F.coalesce(*[F.when(F.col("part") == name, n) for name, n in sizes.items()])
-        return NormalEquations(blocks.select("part", "i", "j", F.posexplode(F.slice("values", 1, size)).alias("at", "v")), primaries, eliminated, dp, de)
+        blocks = _summed(blocks, ["part", "i", "j"], widest)
+        size = F.coalesce(*[F.when(F.col("part") == name, n) for name, n in _sizes(dp, de).items()])
+        return NormalEquations(blocks.select("part", "i", "j", F.slice("values", 1, size).alias("values")), primaries, eliminated, dp, de)
+
+    @property
+    def sums(self) -> DataFrame:
+        """(part, i, j, at, v)."""
+        if "v" in self.table.columns:
+            return self.table
+        return self.table.select("part", "i", "j", F.posexplode("values").alias("at", "v"))
+
+    def blocks(self, part: str) -> DataFrame:
+        """(i, j, values) of one part."""
+        found = self.table.where(F.col("part") == part)
+        if "v" not in self.table.columns:
+            return found.select("i", "j", "values")
+        size = _sizes(self.primary_size, self.eliminated_size)[part]
+        cells = found.groupBy("i", "j").agg(F.map_from_entries(F.collect_list(F.struct(F.col("at").cast("int"), "v"))).alias("cells"))
+        values = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda at: F.coalesce(F.col("cells")[at], F.lit(0.0)))
+        return cells.select("i", "j", values.alias("values"))
 
     def merge(self, other: NormalEquations) -> NormalEquations:
         """The sums of both sets of residuals; the layouts must agree."""
         mine = (self.primaries, self.eliminated, self.primary_size, self.eliminated_size)
         if mine != (other.primaries, other.eliminated, other.primary_size, other.eliminated_size):
             raise ValueError("the layouts differ")
-        return NormalEquations(_summed(self.sums.unionByName(other.sums)), *mine)
+        if "v" in self.table.columns or "v" in other.table.columns:
+            both = self.sums.unionByName(other.sums)
+            return NormalEquations(both.groupBy("part", "i", "j", "at").agg(F.sum("v").alias("v")), *mine)
+        widest = max(self.primary_size, self.eliminated_size) ** 2
+        both = _summed(self.table.unionByName(other.table), ["part", "i", "j"], widest)
+        return NormalEquations(both.select("part", "i", "j", F.filter("values", F.isnotnull).alias("values")), *mine)
 
     def matrix(self, part: str) -> Matrix:
         """pp, pe or ee in scalar coordinates."""
@@ -103,8 +128,13 @@ class NormalEquations:
         return self.sums.where(F.col("part") == part).select((F.col("i") * width + F.col("at")).alias("row"), "v")
 
 
-def _summed(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("part", "i", "j", "at").agg(F.sum("v").alias("v"))
+def _sizes(dp: int, de: int) -> dict[str, int]:
+    return {"pp": dp * dp, "pe": dp * de, "ee": de * de, "gp": dp, "ge": de}
+
+
+def _summed(blocks: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Blocks summed place by place; places that no block has are null."""
+    return blocks.groupBy(*keys).agg(F.array(*[F.sum(F.get("values", F.lit(k))) for k in range(width)]).alias("values"))
 
 
 def check_residuals(residuals: DataFrame, primaries: int, eliminated: int, dp: int, de: int) -> None:
@@ -153,64 +183,133 @@ class SchurReport:
     message: str = ""
 
 
+#: Blocks of one eliminated id that a task multiplies with each other at once, about.
+TILE = 64
+
+
 class SchurWorkspace:
-    """Keeps the pairs of primary blocks that share an eliminated one, as long as they stay the same."""
+    """Keeps how the blocks of eliminated ids are tiled, for as long as the same blocks are there.
+
+    Of each id with more than TILE blocks it is how many tiles they are dealt to. The next step
+    with the same blocks neither counts them nor asks whether any id is popular.
+    """
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self._signature, self.pattern, self.pattern_builds = None, None, 0
+        self._signature, self._popular, self.pattern_builds = None, None, 0
 
-    def pattern_of(self, links: DataFrame) -> tuple[DataFrame, bool]:
-        """The pattern (i, j) of S for links (i, k), and whether it was kept."""
-        links = links.select("i", "k").distinct()
+    def tiles_of(self, links: DataFrame) -> tuple[DataFrame | None, bool]:
+        """(k, tiles) of the popular ids of links (i, k), None if there are none, and whether that was kept."""
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("i", "k").cast("decimal(38,0)"))).first())
         if now == self._signature:
-            return self.pattern, True
-        other = links.select(F.col("i").alias("j"), "k")
-        self.pattern = materialise(links.join(other, "k").select("i", "j").distinct(), "schur-pattern")
-        self._signature = now
+            return self._popular, True
+        self._popular, self._signature = _popular(links), now
         self.pattern_builds += 1
-        return self.pattern, False
+        return self._popular, False
+
 
+def _popular(links: DataFrame) -> DataFrame | None:
+    counts = links.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
+    found = materialise(counts.select("k", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "schur-tiles")
+    return found if found.limit(1).count() else None
 
-def _damped(m: Matrix, damping: float, least: float) -> Matrix:
-    """Every diagonal element d, absent ones included, grows by damping * max(|d|, least)."""
-    diagonal = m.spark.range(m.rows).select(F.col("id").alias("row"), F.col("id").alias("col"), F.lit(0.0).alias("v"))
-    cells = m.df.unionByName(diagonal).groupBy("row", "col").agg(F.sum("v").alias("v"))
-    d = F.col("v") + F.lit(damping) * F.greatest(F.abs("v"), F.lit(least))
-    return Matrix(cells.select("row", "col", F.when(F.col("row") == F.col("col"), d).otherwise(F.col("v")).alias("v")), *m.shape)
 
+def _damped_blocks(blocks: DataFrame, count: int, size: int, damping: float, least: float) -> DataFrame:
+    """(i, values) of the diagonal blocks 0 to count - 1, absent ones included: diagonal elements d grow by damping * max(|d|, least)."""
+    own = blocks.where("i = j").select("i", "values")
+    every = blocks.sparkSession.range(count).select(F.col("id").alias("i")).join(own, "i", "left")
+    zero = F.array_repeat(F.lit(0.0), size * size)
+    grown = lambda v, at: F.when(at % (size + 1) == 0, v + F.lit(damping) * F.greatest(F.abs(v), F.lit(least))).otherwise(v)
+    return every.select("i", F.transform(F.coalesce("values", zero), grown).alias("values"))
 
-def _inverse_blocks(m: Matrix, size: int) -> tuple[Matrix, bool]:
-    """The inverse of a block-diagonal matrix, and whether every block is positive definite."""
-    cell = F.struct(((F.col("row") % size) * size + F.col("col") % size).cast("int").alias("at"), "v")
-    held = m.df.where(F.floor(F.col("row") / size) == F.floor(F.col("col") / size))
-    blocks = held.groupBy(F.floor(F.col("row") / size).alias("block")).agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.coalesce(F.col("cells")[i], F.lit(0.0)))
-    inverse = small.spd_inverse(blocks.select("block", values.alias("a")), "a", size).select("block", "inverse")
-    inverse = materialise(inverse, "inverse-blocks")
-    good = inverse.where("inverse is null").limit(1).count() == 0
-    cells = inverse.select("block", F.posexplode("inverse").alias("at", "v"))
-    row = F.col("block") * size + F.floor(F.col("at") / size)
-    return Matrix(cells.select(row.alias("row"), (F.col("block") * size + F.col("at") % size).alias("col"), "v"), *m.shape), good
 
+def _cells(blocks: DataFrame, height: int, width: int, rows: int, cols: int) -> Matrix:
+    """Blocks (i, j, values) in scalar coordinates, a projection."""
+    cells = blocks.select("i", "j", F.posexplode("values").alias("at", "v"))
+    row, col = F.col("i") * height + F.expr(f"at div {width}"), F.col("j") * width + F.col("at") % width
+    return Matrix(cells.select(row.alias("row"), col.alias("col"), "v"), rows, cols)
 
-def _times(a: Matrix, b: Matrix) -> Matrix:
-    left = a.df.select("row", F.col("col").alias("k"), F.col("v").alias("x"))
-    right = b.df.select(F.col("row").alias("k"), "col", F.col("v").alias("y"))
-    return Matrix(left.join(right, "k").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("v")), a.rows, b.cols)
 
+def _inverses(blocks: DataFrame, size: int) -> tuple[DataFrame, bool]:
+    """(i, inverse) of diagonal blocks, written, and whether every block is positive definite."""
+    found = materialise(small.spd_inverse(blocks.select("i", F.col("values").alias("a")), "a", size).select("i", "inverse"), "inverse-blocks")
+    return found, found.where("inverse is null").limit(1).count() == 0
 
-def schur_complement(eq: NormalEquations, damping: float, minimum_diagonal: float) -> tuple[Matrix, Matrix, bool]:
-    """(S, Y, ok): S = Hpp - Hpe V⁻¹ Hepᵀ and Y = Hpe V⁻¹ of the damped equations, by joins on the eliminated index."""
-    v_inverse, ok = _inverse_blocks(_damped(eq.matrix("ee"), damping, minimum_diagonal), eq.eliminated_size)
-    pe, pp = eq.matrix("pe"), _damped(eq.matrix("pp"), damping, minimum_diagonal)
-    y = Matrix(materialise(_times(pe, v_inverse).df, "schur-y"), *pe.shape)
-    minus = _times(y, pe.transpose()).df.withColumn("v", -F.col("v"))
-    s = pp.df.unionByName(minus).groupBy("row", "col").agg(F.sum("v").alias("v"))
-    return Matrix(s, *pp.shape), y, ok
+
+def _products(pairs: DataFrame, dp: int, de: int) -> DataFrame:
+    """(i, j, values) from rows (x, y, inverse, g): -X V⁻¹ Yᵀ for the blocks of two tiles of one id, and with j = -1 X V⁻¹ g.
+
+    y is null where a tile meets itself; two different tiles give both triangles.
+    """
+
+    def numbers(tile, width: int) -> tuple[np.ndarray, np.ndarray]:
+        return tile.field("i").to_numpy(), tile.field("values").flatten().to_numpy().reshape(-1, width, de)
+
+    def run(batches):
+        for batch in batches:
+            i, j, values = [], [], []
+            for x, y, inverse, g in zip(*(batch.column(c) for c in ("x", "y", "inverse", "g"))):
+                ids, w = numbers(x.values, dp)
+                v = inverse.values.to_numpy().reshape(de, de)
+                left = w @ v
+                others, u = numbers(y.values, dp) if y.is_valid else (ids, w)
+                c = -np.einsum("abk,ckd->acbd", left, u.transpose(0, 2, 1), optimize=True).reshape(len(ids), len(others), dp, dp)
+                i.append(np.repeat(ids, len(others)))
+                j.append(np.tile(others, len(ids)))
+                values.append(c.reshape(-1, dp * dp))
+                if y.is_valid:
+                    i.append(j[-1])
+                    j.append(i[-2])
+                    values.append(c.transpose(0, 1, 3, 2).reshape(-1, dp * dp))
+                elif g.is_valid:
+                    right = np.zeros((len(ids), dp * dp))
+                    right[:, :dp] = left @ g.values.to_numpy()
+                    i.append(ids)
+                    j.append(np.full(len(ids), -1))
+                    values.append(right)
+            if i:
+                i, j, values = map(np.concatenate, (i, j, values))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, dp * dp, dtype=np.int32)), pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), lists], ["i", "j", "values"])
+
+    return pairs.select("x", "y", "inverse", "g").mapInArrow(run, "i long, j long, values array<double>")
+
+
+def schur_complement(
+    eq: NormalEquations, damping: float, minimum_diagonal: float, inverses: DataFrame, workspace: SchurWorkspace | None = None
+) -> tuple[DataFrame, DataFrame, bool]:
+    """(S, right, reused): blocks (i, j, values) of S = Hpp - Hpe V⁻¹ Hepᵀ, damped, and blocks (i, values) of -gp + Hpe V⁻¹ ge.
+
+    The blocks of an eliminated id come together as arrays and are multiplied as such; those of an
+    id with more than TILE of them are dealt to tiles first, and pairs of tiles are dealt out, so
+    no id gathers in one task. Products are summed by block, partially before the shuffle.
+    """
+    dp, de = eq.primary_size, eq.eliminated_size
+    cross = eq.blocks("pe").select("i", F.col("j").alias("k"), "values")
+    links = cross.select("i", "k")
+    popular, reused = workspace.tiles_of(links) if workspace is not None else (_popular(links), False)
+    facts = inverses.withColumnRenamed("i", "k").join(eq.blocks("ge").select(F.col("i").alias("k"), F.col("values").alias("g")), "k", "left")
+    cell = F.collect_list(F.struct("i", "values"))
+    few = cross if popular is None else cross.join(popular, "k", "left_anti")
+    nothing = F.lit(None).cast("array<struct<i:bigint,values:array<double>>>").alias("y")
+    pairs = few.groupBy("k").agg(cell.alias("x")).withColumn("y", nothing)
+    parts = _products(pairs.join(facts, "k"), dp, de)
+    if popular is not None:
+        dealt = cross.join(popular, "k").withColumn("t", F.pmod(F.xxhash64("i"), "tiles").cast("int"))
+        tiles = materialise(dealt.groupBy("k", "tiles", "t").agg(cell.alias("x")), "schur-tiled")
+        own = tiles.select("k", "x", nothing)
+        first = tiles.where("t + 1 < tiles").select("k", "t", "x", F.explode(F.sequence(F.col("t") + 1, F.col("tiles") - 1)).alias("u"))
+        second = tiles.where("t > 0").select("k", F.col("t").alias("u"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("t"))
+        mixed = first.join(second, ["k", "t", "u"]).select("k", "x", "y")
+        parts = parts.unionByName(_products(own.unionByName(mixed).join(facts, "k"), dp, de))
+    diagonal = _damped_blocks(eq.blocks("pp"), eq.primaries, dp, damping, minimum_diagonal).select("i", F.col("i").alias("j"), "values")
+    gradient = eq.blocks("gp").select("i", F.lit(-1).cast("long").alias("j"), F.transform("values", lambda v: -v).alias("values"))
+    every = parts.unionByName(eq.blocks("pp").where("i <> j")).unionByName(diagonal).unionByName(gradient)
+    found = materialise(_summed(every, ["i", "j"], dp * dp), "schur")
+    right = found.where("j = -1").select("i", F.slice("values", 1, dp).alias("values"))
+    return found.where("j >= 0"), right, reused
 
 
 def solve_damped(
@@ -226,42 +325,47 @@ def solve_damped(
     if not (math.isfinite(damping) and damping >= 0) or not (options.minimum_diagonal > 0) or options.max_iterations < 1:
         raise ValueError("bad damping or options")
     spark = eq.sums.sparkSession
-    eq = NormalEquations(materialise(eq.sums, "normal-equations"), eq.primaries, eq.eliminated, eq.primary_size, eq.eliminated_size)
+    dp, de = eq.primary_size, eq.eliminated_size
+    eq = NormalEquations(materialise(eq.table, "normal-equations"), eq.primaries, eq.eliminated, dp, de)
     n, ne = eq.primaries * eq.primary_size, eq.eliminated * eq.eliminated_size
     empty = spark.createDataFrame([], "row bigint, v double")
     space = vectors_for(spark, max(n, 1))
     outer = vectors_for(spark, max(ne, 1))
-    v_inverse, ok = _inverse_blocks(_damped(eq.matrix("ee"), damping, options.minimum_diagonal), eq.eliminated_size)
+    inverses, ok = _inverses(_damped_blocks(eq.blocks("ee"), eq.eliminated, de, damping, options.minimum_diagonal), de)
     if not ok:
         return SchurReport(options.backend, False, 0, 0.0, 0.0, message="an eliminated block is not positive definite"), empty, empty
-    pe = eq.matrix("pe")
+    v_inverse = _cells(inverses.select("i", F.col("i").alias("j"), F.col("inverse").alias("values")), de, de, ne, ne)
+    pe = _cells(eq.blocks("pe"), dp, de, n, ne)
     ep = pe.transpose()
-    pp = _damped(eq.matrix("pp"), damping, options.minimum_diagonal)
-    pp = Matrix(materialise(pp.df, "damped-primary"), *pp.shape)
-    ge = outer.load(eq.gradient("ge"))
+    ge = outer.load(_vector(eq.blocks("ge"), de))
     zero = space.load(None)
-    # -gp + Hpe V⁻¹ ge
-    rhs = space.axpy(-1.0, space.load(eq.gradient("gp")), space.load(_frame_product(pe, outer.frame(outer.apply(v_inverse, ge)))))
     limits = SolverOptions(options.max_iterations, options.relative_tolerance, options.absolute_tolerance)
     reused = False
     if not n:
         x, report = zero, SchurReport(options.backend, True, 0, 0.0, 0.0)
     else:
-        s = None
         if options.backend != "implicit":
-            if workspace is not None:
-                _, reused = workspace.pattern_of(eq.sums.where("part = 'pe'").select("i", F.col("j").alias("k")))
-            s, _, _ = schur_complement(eq, damping, options.minimum_diagonal)
-            s = Matrix(materialise(s.df, "schur"), *s.shape)
+            found, right, reused = schur_complement(eq, damping, options.minimum_diagonal, inverses, workspace)
+            s, rhs = _cells(found, dp, dp, n, n), space.load(_vector(right, dp))
+        else:
+            s = None
+            own = _damped_blocks(eq.blocks("pp"), eq.primaries, dp, damping, options.minimum_diagonal).select("i", F.col("i").alias("j"), "values")
+            primary = materialise(own.unionByName(eq.blocks("pp").where("i <> j")), "damped-primary")
+            pp = _cells(primary, dp, dp, n, n)
+            # -gp + Hpe V⁻¹ ge
+            rhs = space.axpy(-1.0, space.load(_vector(eq.blocks("gp"), dp)), space.load(_frame_product(pe, outer.frame(outer.apply(v_inverse, ge)))))
         if options.backend == "dense":
             x, report = _dense(s, space, rhs, options)
+            report = replace(report, pattern_reused=reused)
         else:
             apply = (lambda p: space.apply(s, p)) if s is not None else (
                 lambda p: space.axpy(
                     -1.0, space.load(_frame_product(pe, outer.frame(outer.apply(v_inverse, outer.load(_frame_product(ep, space.frame(p))))))), space.apply(pp, p)
                 )
             )
-            blocks, good = _inverse_blocks(s if s is not None else _schur_diagonal(eq, pp, v_inverse), eq.primary_size)
+            diagonal = found.where("i = j").select("i", "values") if s is not None else _schur_diagonal(eq, primary, inverses)
+            blocks, good = _inverses(diagonal, dp)
+            blocks = _cells(blocks.select("i", F.col("i").alias("j"), F.col("inverse").alias("values")), dp, dp, n, n)
             if not good:
                 return SchurReport(options.backend, False, 0, 0.0, 0.0, message="a Schur block is not positive definite"), empty, empty
             start = space.load(guess) if guess is not None else zero
@@ -286,17 +390,19 @@ def _frame_product(a: Matrix, x: DataFrame) -> DataFrame:
     return a.df.join(right, "col").groupBy("row").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
-def _schur_diagonal(eq: NormalEquations, pp: Matrix, v_inverse: Matrix) -> Matrix:
-    """The diagonal blocks of S only, without the pairs that S couples."""
-    dp = eq.primary_size
-    pe = eq.matrix("pe")
-    y = _times(pe, v_inverse).df
-    block = F.floor(F.col("row") / dp)
-    left = y.select("row", F.col("col").alias("k"), F.col("v").alias("x"), block.alias("b"))
-    right = pe.df.select(F.col("row").alias("col"), F.col("col").alias("k"), F.col("v").alias("w"), block.alias("b"))
-    minus = left.join(right, ["k", "b"]).groupBy("row", "col").agg((-F.sum(F.col("x") * F.col("w"))).alias("v"))
-    own = pp.df.where(F.floor(F.col("row") / dp) == F.floor(F.col("col") / dp))
-    return Matrix(own.unionByName(minus).groupBy("row", "col").agg(F.sum("v").alias("v")), *pp.shape)
+def _vector(blocks: DataFrame, size: int) -> DataFrame:
+    cells = blocks.select("i", F.posexplode("values").alias("at", "v"))
+    return cells.select((F.col("i") * size + F.col("at")).alias("row"), "v")
+
+
+def _schur_diagonal(eq: NormalEquations, primary: DataFrame, inverses: DataFrame) -> DataFrame:
+    """(i, values): the diagonal blocks of S only; a block meets itself, so tiles of one block do."""
+    dp, de = eq.primary_size, eq.eliminated_size
+    cross = eq.blocks("pe").select(F.col("j").alias("k"), F.array(F.struct("i", "values")).alias("x"))
+    facts = inverses.select(F.col("i").alias("k"), "inverse", F.lit(None).cast("array<double>").alias("g"))
+    pairs = cross.withColumn("y", F.lit(None).cast("array<struct<i:bigint,values:array<double>>>")).join(facts, "k")
+    every = _products(pairs, dp, de).unionByName(primary.where("i = j"))
+    return _summed(every.select("i", "values"), ["i"], dp * dp)
 
 
 def _dense(s: Matrix, space, rhs, options: SchurOptions) -> tuple[np.ndarray, SchurReport]:

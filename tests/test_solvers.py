@@ -156,3 +156,59 @@ def test_damping():
     assert control.damping == pytest.approx(2e-3) and (control.accepted, control.rejected) == (1, 1)
     with pytest.raises(ValueError):
         L.DampingControl(decrease=1.5)
+
+
+def cameras_and_points(spark):
+    """36 primary blocks of 9, 240 eliminated of 3, four observations of two residuals each, and weak priors."""
+    rows = []
+    for i in range(36):
+        rows.append((-1 - i, [i], None, [np.eye(9).ravel().tolist()], None, [0.0] * 9, 0.25))
+    for e in range(240):
+        for o in range(4):
+            jp = [0.01 * (1 + (k + e + o) % 13) for k in range(18)]
+            je = [0.02 * (1 + (k + e + 2 * o) % 7) for k in range(6)]
+            rows.append((4 * e + o, [(e * 7 + o * 5) % 36], e, [jp], je, [0.001 * (e + 1), -0.002 * (o + 1)], 1.0))
+    return rows
+
+
+def plain_step(rows, n, ne, dp, de, damping, least):
+    h, g = np.zeros((n * dp + ne * de,) * 2), np.zeros(n * dp + ne * de)
+    for _, ps, e, jps, je, r, w in rows:
+        blocks = [(p * dp, np.reshape(j, (len(r), dp))) for p, j in zip(ps, jps)] + ([(n * dp + e * de, np.reshape(je, (len(r), de)))] if e is not None else [])
+        for a, x in blocks:
+            g[a : a + x.shape[1]] += w * x.T @ np.array(r)
+            for b, y in blocks:
+                h[a : a + x.shape[1], b : b + y.shape[1]] += w * x.T @ y
+    d = np.diag(h).copy()
+    return np.linalg.solve(h + np.diag(damping * np.maximum(np.abs(d), least)), -g)
+
+
+@pytest.mark.parametrize("backend,tile", [("dense", 64), ("dense", 2), ("assembled", 3), ("implicit", 64)])
+def test_schur_of_large_blocks(spark, monkeypatch, backend, tile):
+    """A tile of 2 makes every eliminated id popular, so that pairs of tiles are multiplied."""
+    monkeypatch.setattr(L, "TILE", tile)
+    rows = cameras_and_points(spark)
+    eq = L.NormalEquations.of(L.residual_table(spark, rows), 36, 240, 9, 3)
+    options = L.SchurOptions(backend, 2000, 1e-13, 1e-15)
+    report, p, e = L.solve_damped(eq, 0.1, options)
+    assert report.converged, report.message
+    assert np.allclose(values(p) + values(e), plain_step(rows, 36, 240, 9, 3, 0.1, 1e-12), atol=1e-8)
+    again = L.solve_damped(eq, 0.1, options)
+    assert np.allclose(values(again[1]), values(p), atol=1e-10)
+
+
+def test_a_kept_pattern_saves_stages(spark, monkeypatch):
+    monkeypatch.setattr(L, "TILE", 3)
+    eq = L.NormalEquations.of(L.residual_table(spark, cameras_and_points(spark)), 36, 240, 9, 3)
+    eq = L.NormalEquations(L.materialise(eq.table, "equations"), 36, 240, 9, 3)
+    workspace, tracker = L.SchurWorkspace(), spark.sparkContext.statusTracker()
+    stages = []
+    for step in range(3):
+        spark.sparkContext.setJobGroup(f"step{step}", "")
+        report, p, _ = L.solve_damped(eq, 0.1, L.SchurOptions("dense", **TIGHT), workspace=workspace)
+        stages.append(sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(f"step{step}")))
+        assert report.converged and report.pattern_reused == (step > 0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages[1] < stages[0] and stages[2] == stages[1] and workspace.pattern_builds == 1
+    workspace.clear()
+    assert not L.solve_damped(eq, 0.1, L.SchurOptions("dense", **TIGHT), workspace=workspace)[0].pattern_reused
