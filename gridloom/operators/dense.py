@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import BY_ROWS, DRIVER_ELEMENTS, Matrix
-from ..scratch import materialise
+from ..scratch import drop_folders, folders_of, materialise
 from . import products
 
 #: Pivots below this make a system singular.
@@ -229,19 +229,102 @@ def eigh(a: Matrix) -> np.ndarray:
     return np.linalg.eigvalsh((x + x.T) / 2)[::-1]
 
 
-def solve(a: Matrix, b: Matrix) -> Matrix:
-    """X with A X = B, by elimination with partial pivoting at the driver; ValueError if a pivot is below PIVOT."""
+def _pivoted(panel: np.ndarray) -> np.ndarray:
+    """The rows that elimination with partial pivoting takes, in order; ValueError if a pivot is below PIVOT."""
+    x, order = panel.copy(), np.arange(len(panel))
+    for j in range(x.shape[1]):
+        p = j + int(np.abs(x[j:, j]).argmax())
+        if not abs(x[p, j]) >= PIVOT:
+            raise ValueError("the matrix is singular")
+        x[[j, p]], order[[j, p]] = x[[p, j]], order[[p, j]]
+        x[j + 1 :, j:] -= np.outer(x[j + 1 :, j] / x[j, j], x[j, j:])
+    return order[: x.shape[1]]
+
+
+def solve(a: Matrix, b: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> Matrix:
+    """X with A X = B, by elimination with partial pivoting; ValueError if a pivot is below PIVOT.
+
+    What fits the driver is solved there. Else columns are eliminated panel by panel: the driver
+    gets the columns of a panel, as many as fit, and finds its pivot rows; these rows and the
+    multipliers go to every task, which changes the other rows where they are, so nothing is
+    shuffled. Pivot rows are written as they were; the solution comes from them panel by panel,
+    last first. The driver must hold 16 columns of A, and X.
+    """
     if a.rows != a.cols or a.rows != b.rows:
         raise ValueError("the system is not square or the right side does not fit")
-    x = np.column_stack([a.to_numpy(), b.to_numpy()])
-    n = a.rows
+    n, extra = a.rows, b.cols
+    if n * (n + extra) <= driver_elements:
+        return Matrix.of(a.spark, _eliminated(np.column_stack([a.to_numpy(), b.to_numpy()]), n))
+    if n * max(16, extra) > DRIVER_ELEMENTS:
+        raise ValueError(f"{n} unknowns with {extra} right sides are too many")
+    width = max(1, min(n, 512, max(driver_elements, 16 * n) // n))
+    both = a.by_rows().row_arrays().join(b.by_rows().row_arrays().withColumnRenamed("values", "right"), "row")
+    left = materialise(both.select("row", F.concat("values", "right").alias("values")), "elimination")
+    panels = []
+    for at in range(0, n, width):
+        w, rest = min(width, n - at), n - at + extra
+        got = left.select("row", F.slice("values", 1, w).alias("values")).toArrow()
+        ids = got.column("row").to_numpy()
+        panel = got.column("values").combine_chunks().flatten().to_numpy().reshape(-1, w)
+        order = np.argsort(ids)
+        ids, panel = ids[order], panel[order]
+        taken = _pivoted(panel)
+        pivots = ids[taken]
+        chosen = F.col("row").isin([int(i) for i in pivots])
+        kept = materialise(left.where(chosen), "pivot-rows")
+        place = {int(i): k for k, i in enumerate(pivots)}
+        head = np.zeros((w, rest))
+        for row in kept.toLocalIterator():
+            head[place[row["row"]]] = row["values"]
+        panels.append((at, head[:, :w].copy(), place, kept))
+        if at + w < n:
+            others = np.setdiff1d(np.arange(len(ids)), taken)
+            factors, names = np.linalg.solve(head[:, :w].T, panel[others].T).T, ids[others]
+            after = materialise(left.where(~chosen).mapInArrow(_reduced(names, factors, head[:, w:], w, rest), "row long, values array<double>"), "elimination")
+            drop_folders(a.spark, folders_of(left))
+            left = after
+    drop_folders(a.spark, folders_of(left))
+    x = np.zeros((n, extra))
+    for at, square, place, kept in reversed(panels):
+        w = len(square)
+        right = np.zeros((w, extra))
+        later = x[at + w :]
+
+        def known(batches, w=w, later=later, end=n - at):
+            for batch in batches:
+                if batch.num_rows:
+                    rows = batch.column("values").flatten().to_numpy().reshape(batch.num_rows, -1)
+                    yield products._row_arrays(batch.column("row").to_numpy(), rows[:, end:] - rows[:, w:end] @ later)
+
+        for row in kept.mapInArrow(known, "row long, values array<double>").toLocalIterator():
+            right[place[row["row"]]] = row["values"]
+        x[at : at + w] = np.linalg.solve(square, right)
+        drop_folders(a.spark, folders_of(kept))
+    return Matrix.of(a.spark, x)
+
+
+def _reduced(names: np.ndarray, factors: np.ndarray, head: np.ndarray, w: int, rest: int):
+    """Rows less their multiples of the pivot rows, without the columns of the panel."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                row = batch.column("row").to_numpy()
+                values = batch.column("values").flatten().to_numpy().reshape(-1, rest)[:, w:]
+                yield products._row_arrays(row, values - factors[np.searchsorted(names, row)] @ head)
+
+    return run
+
+
+def _eliminated(x: np.ndarray, n: int) -> np.ndarray:
+    """The solution of [A | B] at the driver."""
     for j in range(n):
         p = j + int(np.abs(x[j:, j]).argmax())
         if not abs(x[p, j]) >= PIVOT:
             raise ValueError("the matrix is singular")
         x[[j, p]] = x[[p, j]]
-        x[j + 1 :] -= np.outer(x[j + 1 :, j] / x[j, j], x[j])
-    out = np.zeros((n, b.cols))
+        x[j + 1 :, j + 1 :] -= np.outer(x[j + 1 :, j] / x[j, j], x[j, j + 1 :])
+    out = np.zeros((n, x.shape[1] - n))
     for j in range(n - 1, -1, -1):
         out[j] = (x[j, n:] - x[j, j + 1 : n] @ out[j + 1 :]) / x[j, j]
-    return Matrix.of(a.spark, out)
+    return out

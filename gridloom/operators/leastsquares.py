@@ -15,6 +15,7 @@ from ..functions import columns as C
 from ..matrix import DRIVER_ELEMENTS, Matrix
 from ..scratch import materialise
 from . import small
+from .dense import solve
 from .iterative import Breakdown, SolverOptions, conjugate_gradients, vectors_for
 
 RESIDUALS = (
@@ -163,7 +164,7 @@ def check_residuals(residuals: DataFrame, primaries: int, eliminated: int, dp: i
 
 @dataclass(frozen=True)
 class SchurOptions:
-    """backend: `implicit` (products only), `dense` (assembled, Cholesky at the driver) or `assembled` (assembled, block-Jacobi)."""
+    """backend: `implicit` (products only), `dense` (assembled, Cholesky at the driver or elimination in panels) or `assembled` (assembled, block-Jacobi)."""
 
     backend: str = "implicit"
     max_iterations: int = 100
@@ -406,7 +407,10 @@ def _schur_diagonal(eq: NormalEquations, primary: DataFrame, inverses: DataFrame
 
 
 def _dense(s: Matrix, space, rhs, options: SchurOptions) -> tuple[np.ndarray, SchurReport]:
-    a, b = s.to_numpy(DRIVER_ELEMENTS), np.asarray(rhs)
+    b = space.load(rhs) if isinstance(rhs, np.ndarray) else None
+    if b is None or s.size > DRIVER_ELEMENTS:
+        return _dense_apart(s, space, rhs, options)
+    a = s.to_numpy(DRIVER_ELEMENTS)
     try:
         low = np.linalg.cholesky((a + a.T) / 2)
     except np.linalg.LinAlgError:
@@ -417,6 +421,22 @@ def _dense(s: Matrix, space, rhs, options: SchurOptions) -> tuple[np.ndarray, Sc
     return x, SchurReport("dense", last <= limit, 1, first, last)
 
 
+def _dense_apart(s: Matrix, space, rhs, options: SchurOptions):
+    """The same by distributed elimination."""
+    full = Matrix(s.df, *s.shape, sparse=True)
+    right = space.frame(rhs).select("row", F.lit(0).cast("long").alias("col"), "v")
+    first = math.sqrt(space.dot(rhs, rhs))
+    try:
+        x = solve(full, Matrix(right, s.rows, 1))
+    except ValueError as e:
+        return rhs, SchurReport("dense", False, 0, 0.0, 0.0, message=str(e))
+    x = space.load(x.df.select("row", "v"))
+    left = space.axpy(-1.0, space.apply(s, x), rhs)
+    last = math.sqrt(space.dot(left, left))
+    limit = max(options.absolute_tolerance + options.relative_tolerance * first, 100 * C.EPSILON * max(1.0, first))
+    return x, SchurReport("dense", last <= limit, 1, first, last)
+
+
 @dataclass
 class DampingControl:
     """Levenberg-Marquardt damping: falls after accepted steps, grows after rejected ones, within bounds."""

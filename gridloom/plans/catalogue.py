@@ -765,6 +765,15 @@ def pcg_fixed_steps(spark, sf_dir):
     return _solved(iterative.cg_fixed(a, products.spmv(a, _known(spark, a.rows)), 22, preconditioned=True)[0])
 
 
+@query("solve_coupling", _KNOWN)
+def solve_coupling(spark, sf_dir):
+    """The system of all parts and suppliers as a full matrix, by elimination in panels."""
+    a = coupling(spark, sf_dir, False)
+    a = Matrix(a.df, *a.shape, sparse=True)
+    b = products.spmv(a, _known(spark, a.rows)).select("row", F.lit(0).cast("long").alias("col"), "v")
+    return _solved(dense.solve(a, Matrix(b, a.rows, 1)).df)
+
+
 @query("solver_report", "SELECT true AS converged, true AS few_steps, true AS small_residual")
 def solver_report(spark, sf_dir):
     a = coupling(spark, sf_dir, True)

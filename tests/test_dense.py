@@ -119,6 +119,26 @@ def test_solve(spark):
         D.eigh(Matrix.zeros(spark, 2, 3))
 
 
+@pytest.mark.parametrize("n,extra,limit", [(60, 2, 0), (23, 1, 23 * 7), (16, 5, 0)])
+def test_solve_in_panels(spark, n, extra, limit):
+    rng = np.random.default_rng(n)
+    x, y = rng.normal(size=(n, n)), rng.normal(size=(n, extra))
+    x[: n // 2, : n // 2] = 0  # needs rows from below
+    got = D.solve(Matrix.of(spark, x), Matrix.of(spark, y), driver_elements=limit).to_numpy()
+    assert np.allclose(got, np.linalg.solve(x, y), atol=1e-8)
+    x[:, 3] = x[:, 5]
+    with pytest.raises(ValueError, match="singular"):
+        D.solve(Matrix.of(spark, np.round(x)), Matrix.of(spark, y), driver_elements=limit)
+
+
+def test_solve_of_sparse(spark):
+    cells = [(i, j, float(v)) for i in range(20) for j, v in ((i, 4), ((i + 3) % 20, -1), ((i + 7) % 20, 2))]
+    a = Matrix(spark.createDataFrame(cells, "row long, col long, v double"), 20, 20, sparse=True)
+    b = np.arange(20.0)[:, None]
+    for limit in (0, 10**6):
+        assert np.allclose(D.solve(a, Matrix.of(spark, b), limit).to_numpy(), np.linalg.solve(a.to_numpy(), b))
+
+
 @pytest.mark.parametrize("step", [1, 4, 1000])
 def test_files(spark, tmp_path, step):
     x = np.random.default_rng(1).random((7, 5))
