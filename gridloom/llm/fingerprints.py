@@ -198,7 +198,8 @@ def fingerprint_documents(docs: DataFrame, rule: Chunking = Chunking(), ranges:
     cuts = sorted(set(filled) | {q + 1 for q, times in filled.items() if times > 1 and q < largest})
     widths = [max(1, filled[c]) for c in reversed(cuts)] + [1, -(-n * (total - known) // total) or 1]  # ranges go down, null comes last
     starts = list(accumulate(widths, initial=0))
-    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    # one string for each list, folded to one constant: a plan does not grow with the number of ranges
+    longs = lambda values: F.split(F.lit(",".join("-" if v is None else str(v) for v in values)), ",").try_cast("array<bigint>")
     steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)]) if cuts else F.array(F.lit(0))
     # binary search: how many cuts are at doc_id or below
     below = F.aggregate(

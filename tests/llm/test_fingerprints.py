@@ -89,6 +89,18 @@ def test_hot_doc_ids_are_split(docs_of):
     assert max(sizes) < 2 * len(rows) / len(sizes)
 
 
+def test_plans_do_not_grow_with_ranges(docs_of):
+    import time
+
+    docs = docs_of([(i * 7 % 3001, "w") for i in range(3001)])
+    P.fingerprint_documents(docs, ranges=50)
+    began = time.perf_counter()
+    made = P.fingerprint_documents(docs, ranges=20_000)
+    made._jdf.queryExecution().optimizedPlan()
+    assert time.perf_counter() - began < 15
+    assert made.count() == 3001
+
+
 def test_edges(docs_of):
     assert P.fingerprint_documents(docs_of([])).count() == 0
     (one,) = P.fingerprint_documents(docs_of([(1, prose(1))])).collect()
