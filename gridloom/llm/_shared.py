@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..scratch import materialise, scratch_dir
+from ..scratch import drop_folders, folders_of, materialise, scratch_dir
 from ..shipping import send_package
 
-__all__ = ["WORD_PATTERN", "ascii_lower", "drop_scratch", "joined_by_share", "materialise", "narrow", "ranked", "read_table", "scratch_dir", "scratch_path"]
+__all__ = ["WORD_PATTERN", "ascii_lower", "drop_scratch", "free_names", "joined_by_share", "materialise", "narrow", "ranked", "read_table", "scratch_dir", "scratch_path"]
 
 #: Words as the operators count them: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -21,6 +20,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind where df has such a column."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def narrow(df: DataFrame, name: str) -> DataFrame:
     """materialise() for few bytes out of many that each task read: rows are dealt out anew, in files of the usual size."""
     return materialise(df.hint("rebalance"), name)
@@ -28,13 +38,7 @@ def narrow(df: DataFrame, name: str) -> DataFrame:
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete the scratch table that df reads, if it reads one; nothing lazy may still need it."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    own = urlparse(scratch_dir(spark)).path.rstrip("/") + "/"
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if urlparse(folder).path.startswith(own):
-            path = hadoop.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folders(df.sparkSession, folders_of(df))
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

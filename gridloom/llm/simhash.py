@@ -9,15 +9,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._shared import materialise, narrow
+from ._shared import free_names, materialise, narrow
 from .components import connected_components
 
 #: XXH64 seed of the shingle hashes.
 SEED = 42
+#: Texts of more bytes are split into words by arrays.
+LONG = 1 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -26,21 +28,39 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
     bytes.split() splits at the ASCII white space x20 and x09-x0D, and at nothing else.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+    joined, ends = _joined(data) if len(data) <= LONG else _joined_apart(data)
+    if not len(joined):
         return 0
-    joined = b" ".join(words)
-    if len(words) <= width:
+    if len(ends) <= width:
         return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())])
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(rows), 1 << 15):
-        votes += np.unpackbits(rows[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(rows)).tobytes(), "big")
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(ends) - width + 1]
+    ends = ends[width - 1 :]
+    digest, votes = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    for at in range(0, len(starts), 1 << 15):
+        block = zip(starts[at : at + (1 << 15)].tolist(), ends[at : at + (1 << 15)].tolist())
+        hashes = b"".join([digest(joined[s:e], SEED) for s, e in block])
+        votes += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(starts)).tobytes(), "big")
+
+
+def _joined(data: bytes) -> tuple[bytes, np.ndarray]:
+    """The words with one space between, and where each ends."""
+    words = data.split()
+    return b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+
+
+def _joined_apart(data: bytes) -> tuple[memoryview, np.ndarray]:
+    """The same in arrays, for long texts: a list of words would take many times their bytes."""
+    raw = np.frombuffer(data, np.uint8)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    keep = ~space
+    keep[1:] |= ~space[:-1]  # words, and the first space behind each
+    line, gap = raw[keep], space[keep]
+    if len(gap) and gap[-1]:
+        line, gap = line[:-1], gap[:-1]
+    line[gap] = 32
+    return memoryview(line), np.append(np.flatnonzero(gap), len(line)) if len(line) else np.empty(0, np.int64)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,35 +270,37 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     return prints.join(nodes, prints["fingerprint"] == nodes["fp"]).select("doc_id", "fingerprint", "component_id")
 
 
-def _with_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.fromiter((fingerprint(t) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "__fp"])
-
-
 def one_of_each(docs: DataFrame, distance: int = 3) -> DataFrame:
     """One row of docs for each group of near-duplicates: that with the smallest doc_id.
 
     Of rows of a group that share this doc_id the one with the smallest text stays. Groups are
     told apart by their fingerprints, so a doc_id that is in several groups may stay in each,
-    and of a group without any doc_id one row stays.
+    and of a group without any doc_id one row stays. Columns of docs may have any names.
     """
     prints, nodes = _grouped(docs, distance)
     own = prints.join(nodes, prints["fingerprint"] == nodes["fp"])
-    own = own.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.count(F.lit(1)).alias("__rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__first")
+    id_, count, first, fp, node, root, component, row = free_names(docs, "id", "rows", "first", "fp", "node", "root", "component", "row")
+    own = own.groupBy(F.col("doc_id").alias(id_)).agg(
+        F.count(F.lit(1)).alias(count), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias(first)
     )
-    own = narrow(own.where("__first"), "simhash-kept")
+    own = narrow(own.where(F.col(first)), "simhash-kept")
     # shuffled at every size, so that disk grows in proportion; only the ids are hashed, texts are not sorted
-    clear = own.where("__rows = 1 and __id is not null").hint("shuffle_hash")
-    kept = docs.join(clear, docs["doc_id"] == F.col("__id"), "left_semi")
-    unclear = own.where("__rows > 1 or __id is null")
+    clear = own.where((F.col(count) == 1) & F.col(id_).isNotNull()).hint("shuffle_hash")
+    kept = docs.join(clear, docs["doc_id"] == F.col(id_), "left_semi")
+    unclear = own.where((F.col(count) > 1) | F.col(id_).isNull())
     if unclear.isEmpty():
         return kept
+
+    def with_fingerprints(batches):
+        for batch in batches:
+            found = np.fromiter((fingerprint(t) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, fp])
+
     # doc_id does not tell these rows apart: their fingerprints do
-    rows = docs.join(unclear, docs["doc_id"] == F.col("__id"), "left_semi").unionByName(docs.where("doc_id is null"))
-    rows = rows.mapInArrow(_with_fingerprints, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
-    groups = nodes.select(F.col("fp").alias("__node"), F.col("root").alias("__root"), F.col("component_id").alias("__component"))
-    rows = rows.join(groups, rows["__fp"] == groups["__node"]).where(F.col("doc_id").eqNullSafe(F.col("__component")))
-    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__root").orderBy("text"))).where("__copy = 1")
-    return kept.unionByName(rows.select(*docs.columns))
+    rows = docs.join(unclear, docs["doc_id"] == F.col(id_), "left_semi").unionByName(docs.where("doc_id is null"))
+    rows = rows.mapInArrow(with_fingerprints, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    groups = nodes.select(F.col("fp").alias(node), F.col("root").alias(root), F.col("component_id").alias(component))
+    rows = rows.join(groups, F.col(fp) == F.col(node)).where(F.col("doc_id").eqNullSafe(F.col(component)))
+    # an aggregate, so that a large group is reduced where its rows are
+    rows = rows.groupBy(root).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.coalesce("text", F.lit("")))).alias(row))
+    return kept.unionByName(rows.select(f"{row}.*"))

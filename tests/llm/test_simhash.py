@@ -145,3 +145,19 @@ def test_one_of_each_group(docs_of):
     kept = S.one_of_each(docs_of(rows))
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, c), (0, d), (1, a), (1, b), (4, "m n o p")]
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_long_texts_by_arrays(monkeypatch):
+    texts = ["", " ", "\t\n", "a", " a ", "a  b\x0b\x0cc\r d", "é  \u00a0 x\x1cy A B", " ".join(f"W{i % 97}" for i in range(9000)) + "  "]
+    expected = [S.fingerprint(t) for t in texts]
+    monkeypatch.setattr(S, "LONG", -1)
+    assert [S.fingerprint(t) for t in texts] == expected
+
+
+def test_columns_of_any_name(docs_of):
+    names = "id fp node root component rows first row __id __fp __root __copy fingerprint component_id".split()
+    rows = [(None, "one two three", *range(14)), (None, "one two three", *range(14)), (4, "x y z w", *range(14)), (4, "other words are here", *range(14)), (5, "x y z w", *range(14))]
+    docs = docs_of(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = S.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (rows[0], rows[2], rows[3])))
