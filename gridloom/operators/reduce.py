@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..matrix import BY_ROWS, CELLS, Matrix
+from ..scratch import materialise
 
 ALL, ROWS, COLUMNS = "all", "rows", "columns"
 #: Elements that strict_mean() folds at once.
@@ -84,14 +87,19 @@ def strict_mean(a: Matrix, axis: str = ALL) -> DataFrame:
     power = F.when(F.col("top") > 0, F.pow(F.lit(2.0), F.greatest(F.least(F.ceil(F.log2("top")), F.lit(1023)), F.lit(-1000)))).otherwise(F.lit(1.0))
     facts = _every_lane(a, facts, lanes).withColumn("scale", power).withColumn("n", F.lit(float(length)))
     scaled = cells.join(facts.select("lane", "scale"), "lane").where(C.finite(v)).withColumn("x", v / F.col("scale"))
-    chunks = scaled.groupBy("lane", F.floor(F.col("at") / CHUNK).alias("chunk")).agg(C.compensated_sum(F.col("at"), F.col("x")).alias("f"))
-    both = chunks.select("lane", F.explode(F.array(F.struct((2 * F.col("chunk")).alias("o"), F.col("f.s").alias("x")), F.struct((2 * F.col("chunk") + 1).alias("o"), F.col("f.c").alias("x")))).alias("e"))
-    sums = both.groupBy("lane").agg(C.compensated_sum(F.col("e.o"), F.col("e.x")).alias("f"))
+    level, size = scaled.select("lane", "at", "x"), length
+    while True:  # each level folds CHUNK numbers into two, a sum and what it lost
+        chunk = F.floor(F.col("at") / CHUNK).alias("chunk")
+        sums = level.groupBy("lane", chunk).agg(C.compensated_sum(F.col("at"), F.col("x")).alias("f"))
+        if size <= CHUNK:
+            break
+        pair = F.array(F.struct((2 * F.col("chunk")).alias("at"), F.col("f.s").alias("x")), F.struct((2 * F.col("chunk") + 1).alias("at"), F.col("f.c").alias("x")))
+        level, size = sums.select("lane", F.inline(pair)), 2 * (-(-size // CHUNK))
     folded = F.col("f.s") + F.col("f.c")
     whole = folded * F.col("scale")  # overflows only where the sum does
     ordinary = F.when(C.finite(whole), whole / F.col("n")).otherwise(folded / F.col("n") * F.col("scale"))
     special = F.when(F.col("nan") | (F.col("up") & F.col("down")), C.NAN).when(F.col("up"), C.INF).when(F.col("down"), -C.INF)
-    return facts.join(sums, "lane", "left").select("lane", F.coalesce(special, ordinary, F.when(F.col("top").isNull(), F.lit(0.0))).alias("v"))
+    return facts.join(sums.select("lane", "f"), "lane", "left").select("lane", F.coalesce(special, ordinary, F.when(F.col("top").isNull(), F.lit(0.0))).alias("v"))
 
 
 def smallest(v: Column) -> Column:
@@ -188,6 +196,61 @@ def finite_median(v: Column) -> Column:
     return F.percentile(kept / 2, F.lit(0.5)) * 2
 
 
+def finite_medians(df: DataFrame, v: Column, by: list[str], most: int = 100_000) -> DataFrame:
+    """(*by, v): the median of the finite values of each group, null if there are none; exact, in bounded memory at any size.
+
+    As long as a group has more than `most` candidates for its middle, approximate quantiles on
+    either side of it narrow them down, and the values left out are counted; no sorted list or
+    table of a group's values is ever held. Of the last candidates equal ones are counted and a
+    window over those finds the middle.
+    """
+    names = [f"k{i}" for i in range(len(by))]
+    groups = df.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names)]).agg(F.count(F.when(C.finite(v), 1)).alias("n"))
+    groups = materialise(groups.withColumns({"low": F.lit(-C.INF), "high": F.lit(C.INF), "below": F.lit(0).cast("long"), "left": F.col("n")}), "medians")
+    values = df.select(*[F.col(b).alias(n) for b, n in zip(by, names)], v.cast("double").alias("x")).where(C.finite(F.col("x")))
+    inside = F.col("x").between(F.col("low"), F.col("high"))
+    while groups.where((F.col("left") > most) & (F.col("low") < F.col("high"))).limit(1).count():
+        g = groups.where((F.col("left") > most) & (F.col("low") < F.col("high"))).withColumnsRenamed({n: f"g{n}" for n in names})
+        both = values.join(g, reduce_and([F.col(n).eqNullSafe(F.col(f"g{n}")) for n in names])).where(inside)
+        # how far the middle is into the candidates, and a margin of twice the error on either side
+        middle = (F.first("n") / 2 - F.first("below")) / F.first("left")
+        cuts = both.groupBy(*names).agg(F.percentile_approx("x", [i / 64 for i in range(65)], 10_000).alias("cuts"), middle.alias("middle"))
+        at = F.floor(F.col("middle") * 64)
+        cut = lambda i: F.get("cuts", F.greatest(F.least(i, F.lit(64)), F.lit(0)).cast("int"))
+        cuts = cuts.select(*[F.col(n).alias(f"c{n}") for n in names], cut(at - 1).alias("from"), cut(at + 2).alias("to"))
+        near = both.join(cuts, reduce_and([F.col(n).eqNullSafe(F.col(f"c{n}")) for n in names]))
+        counts = near.groupBy(*names).agg(
+            F.first("from").alias("from"), F.first("to").alias("to"), F.count_if(F.col("x") < F.col("from")).alias("under"), F.count_if(F.col("x") <= F.col("to")).alias("upto")
+        ).withColumnsRenamed({n: f"c{n}" for n in names})
+        next_ = groups.join(counts, reduce_and([F.col(n).eqNullSafe(F.col(f"c{n}")) for n in names]), "left")
+        # a bound that the middle is beyond, though quantiles are near enough not to give one, is not taken
+        low_ok = F.coalesce(F.col("below") + F.col("under") <= F.floor((F.col("n") - 1) / 2), F.lit(False))
+        high_ok = F.coalesce(F.col("below") + F.col("upto") > F.floor(F.col("n") / 2), F.lit(False))
+        under, upto = F.when(low_ok, F.col("under")).otherwise(0), F.when(high_ok, F.col("upto")).otherwise(F.col("left"))
+        smaller = next_.select(
+            *names, "n", F.when(low_ok, F.col("from")).otherwise(F.col("low")).alias("low"), F.when(high_ok, F.col("to")).otherwise(F.col("high")).alias("high"),
+            (F.col("below") + under).alias("below"), (upto - under).alias("left"),
+        )
+        before = groups.agg(F.sum("left")).first()[0]
+        groups = materialise(smaller, "medians")
+        if groups.agg(F.sum("left")).first()[0] == before:  # few values, each many times: counting them is all that is left
+            break
+    g = groups.withColumnsRenamed({n: f"g{n}" for n in names})
+    both = values.join(g, reduce_and([F.col(n).eqNullSafe(F.col(f"g{n}")) for n in names])).where(inside)
+    counted = both.groupBy(*names, "n", "below", "x").agg(F.count(F.lit(1)).alias("times"))
+    upto = F.col("below") + F.sum("times").over(Window.partitionBy(*names).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("upto", upto)
+    one, two = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    found = ranked.groupBy(*names).agg(F.min(F.when(F.col("upto") > one, F.col("x"))).alias("a"), F.min(F.when(F.col("upto") > two, F.col("x"))).alias("b"))
+    found = found.select(*[F.col(n).alias(f"f{n}") for n in names], (F.col("a") / 2 + F.col("b") / 2).alias("v"))
+    made = groups.join(found, reduce_and([F.col(n).eqNullSafe(F.col(f"f{n}")) for n in names]), "left")
+    return made.select(*[F.col(n).alias(b) for n, b in zip(names, by)], "v")
+
+
+def reduce_and(conditions: list[Column]) -> Column:
+    return functools.reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
 def covariance(points: DataFrame, x: str = "x", y: str = "y", z: str = "z", by: list[str] | None = None) -> DataFrame:
     """Population covariance of 3-D points, as n, cxx, cxy, cxz, cyy, cyz, czz, for each group of `by`.
 

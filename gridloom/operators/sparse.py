@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,13 +75,47 @@ def check_triplets(t: Triplets, require_finite: bool = False) -> None:
         raise ValueError(f"triplet {found['value']} is not finite")
 
 
+def _ordered_sums(batches):
+    """Sorted rows (row, col, v): the sum of each position in the order in which its rows come; what a batch leaves open goes on in the next."""
+    last, total = None, 0.0
+
+    def made(rows, cols, sums):
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(cols), pa.array(sums)], ["row", "col", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row, col, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "v"))
+        at = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (col[1:] != col[:-1]))))
+        size = np.diff(np.append(at, len(row)))
+        sums = v[at].astype(float)
+        joined = last == (row[0], col[0])
+        if joined:
+            sums[0] = total + sums[0]
+        for rank in range(1, min(int(size.max()), 32)):  # the next of all positions that have so many
+            some = np.flatnonzero(size > rank)
+            sums[some] += v[at[some] + rank]
+        for i in np.flatnonzero(size > 32):  # positions with many: one after the other, as accumulate() adds
+            sums[i] = np.add.accumulate(np.concatenate(([sums[i]], v[at[i] + 32 : at[i] + size[i]])))[-1]
+        if last is not None and not joined:
+            yield made([last[0]], [last[1]], [total])
+        yield made(row[at[:-1]], col[at[:-1]], sums[:-1])
+        last, total = (row[at[-1]], col[at[-1]]), float(sums[-1])
+    if last is not None:
+        yield made([last[0]], [last[1]], [total])
+
+
 def combine(t: Triplets, ordered: bool = True) -> Matrix:
     """One element for each position: duplicates are summed in insertion order, zeros stay.
 
-    With ordered=False the sum may take any order, which allows partial sums before the shuffle.
+    Positions are dealt out by hash and added up as their sorted rows stream by, so a position may
+    have any number of duplicates. With ordered=False the sum may take any order, which allows
+    partial sums before the shuffle.
     """
-    total = C.ordered_sum(F.col("ord"), F.col("v")) if ordered else F.sum("v")
-    return Matrix(t.df.groupBy("row", "col").agg(total.alias("v")), t.rows, t.cols, sparse=True)
+    if not ordered:
+        return Matrix(t.df.groupBy("row", "col").agg(F.sum("v").alias("v")), t.rows, t.cols, sparse=True)
+    rows = t.df.select("row", "col", "ord", F.col("v").cast("double").alias("v")).repartition("row", "col").sortWithinPartitions("row", "col", "ord")
+    return Matrix(rows.select("row", "col", "v").mapInArrow(_ordered_sums, "row long, col long, v double"), t.rows, t.cols, sparse=True)
 
 
 def row_offsets(m: Matrix) -> DataFrame:

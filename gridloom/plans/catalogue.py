@@ -192,6 +192,14 @@ def finite_median(spark, sf_dir):
     return e.groupBy("event_type").agg(r6(reduce.finite_median(F.col("v"))).alias("v"))
 
 
+@query("finite_medians", "SELECT l_returnflag, l_linestatus, round(median(l_extendedprice * (1 - l_discount)), 6) AS v FROM lineitem GROUP BY ALL")
+def finite_medians(spark, sf_dir):
+    """Groups of more than 500 rows are narrowed down first."""
+    v = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    found = reduce.finite_medians(table(spark, sf_dir, "lineitem"), v, ["l_returnflag", "l_linestatus"], most=500)
+    return found.withColumn("v", r6("v"))
+
+
 # --- Point clouds -----------------------------------------------------------------------------
 
 
@@ -759,6 +767,30 @@ def block_pcg(spark, sf_dir):
     return _solved(iterative.block_pcg(a, products.spmv(a, _known(spark, a.rows)), blocks, options=_TIGHT)[0])
 
 
+@query("block_pcg_of_blocks", "SELECT range AS row, CAST(range % 9 - 4 AS DOUBLE) AS v FROM range(3 * (SELECT max(l_suppkey) + 51 FROM lineitem))")
+def block_pcg_of_blocks(spark, sf_dir):
+    """The equations of suppliers and groups alone, in blocks of three, preconditioned by the inverses of the diagonal ones."""
+    residuals, primaries, parts = block_model(spark, sf_dir)
+    eq = leastsquares.NormalEquations.of(residuals, primaries, parts, 3, 2)
+    n = 3 * primaries
+    own = spark.range(n).select(F.col("id").alias("row"), F.col("id").alias("col"), F.lit(5.0).alias("v"))
+    cells = eq.matrix("pp").df.unionByName(own).groupBy("row", "col").agg(F.sum("v").alias("v"))
+    a = Matrix(materialise(cells, "blocks"), n, n, sparse=True)
+    diagonal = a.df.where("row div 3 = col div 3").groupBy(F.expr("row div 3").alias("block")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("row") % 3 * 3 + F.col("col") % 3).cast("int"), "v"))).alias("cells"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.coalesce(F.col("cells")[i], F.lit(0.0)))
+    blocks = small.spd_inverse(diagonal.select("block", full.alias("a")), "a", 3).select("block", F.col("inverse").alias("values"))
+    return _solved(iterative.block_pcg(a, products.spmv(a, _known(spark, n)), blocks, options=iterative.SolverOptions(500, 1e-12))[0])
+
+
+@query("coo_append", "SELECT row, col, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT l_partkey AS row, l_suppkey AS col, l_quantity AS v FROM lineitem UNION ALL SELECT l_partkey, l_suppkey, -1 FROM lineitem WHERE l_linenumber = 1) GROUP BY ALL")
+def coo_append(spark, sf_dir):
+    """Line items, and behind them a correction for the first of each order."""
+    more = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(
+        F.monotonically_increasing_id().alias("ord"), F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), F.lit(-1.0).alias("v")
+    )
+    return sparse.combine(lines(spark, sf_dir).add(more)).df
+
+
 @query("pcg_fixed_steps", _KNOWN)
 def pcg_fixed_steps(spark, sf_dir):
     a = coupling(spark, sf_dir, True)

@@ -95,3 +95,27 @@ def test_dot(spark):
     make = lambda rows: spark.createDataFrame(rows, "row bigint, v double")
     x, y = make([(0, 3.0), (2, 4.0)]), make([(0, 2.0), (1, 9.0), (2, 0.5)])
     assert R.dot(x, y) == 8 and R.vector_norm(x) == 5 and R.dot(x, make([])) == 0 and R.vector_norm(make([])) == 0
+
+
+@pytest.mark.parametrize("most", [3, 40, 100_000])
+def test_medians_by_narrowing(spark, most):
+    rng = np.random.default_rng(8)
+    rows = [("many", float(x)) for x in rng.normal(size=3000) * 1e300] + [("copies", float(x)) for x in rng.integers(0, 3, 900)] + [("same", 7.0)] * 501
+    rows += [("even", 1.0), ("even", 3.0), ("none", float("nan")), ("none", float("inf")), (None, -1.0), ("edge", 1.7e308), ("edge", 1.7e308), ("mixed", float("nan")), ("mixed", 2.0)]
+    rows += [("skewed", float(x)) for x in 10.0 ** rng.uniform(-300, 300, 2000)]
+    table = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    got = {r["g"]: r["v"] for r in R.finite_medians(table, F.col("x"), ["g"], most).collect()}
+    for g in {g for g, _ in rows}:
+        kept = sorted(x for h, x in rows if h == g and math.isfinite(x))
+        expected = kept[(len(kept) - 1) // 2] / 2 + kept[len(kept) // 2] / 2 if kept else None
+        assert got[g] == expected, g
+    assert len(got) == len({g for g, _ in rows})
+
+
+def test_strict_mean_in_levels(spark, monkeypatch):
+    """90 numbers and their opposites, of like size, and ones: what a level loses goes on to the next."""
+    monkeypatch.setattr(R, "CHUNK", 4)
+    x = np.random.default_rng(3).normal(size=(90, 2)) * 2.0**50
+    a = Matrix.of(spark, np.vstack([x, -x, np.ones((1, 2))]))
+    got = [r["v"] for r in R.strict_mean(a, R.COLUMNS).orderBy("lane").collect()]
+    assert np.allclose(got, 1 / 181, rtol=1e-12)

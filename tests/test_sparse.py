@@ -85,3 +85,25 @@ def test_gemm(spark, shape):
 def test_gemm_without_inner(spark):
     c = P.gemm(Matrix.zeros(spark, 2, 0), Matrix.zeros(spark, 0, 3))
     assert c.to_numpy().tolist() == [[0, 0, 0]] * 2
+
+
+def test_ordered_sums_stream(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from gridloom.operators.sparse import _ordered_sums
+
+    rng = np.random.default_rng(2)
+    sizes = [1, 40, 3, 1000, 2, 1, 77]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    v = rng.normal(size=len(row)) * 10.0 ** rng.integers(-8, 17, len(row))
+    expected = []
+    for i in range(len(sizes)):
+        total, *rest = v[row == i].tolist()
+        for x in rest:
+            total += x
+        expected.append((i, 0, total))
+    for step in (1, 7, 64, 5000):
+        batches = [pa.RecordBatch.from_pydict({"row": row[a : a + step], "col": np.zeros(len(row[a : a + step]), np.int64), "v": v[a : a + step]}) for a in range(0, len(row), step)]
+        got = [t for b in _ordered_sums(iter(batches)) for t in zip(*(c.to_pylist() for c in b.columns))]
+        assert got == expected
