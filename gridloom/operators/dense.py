@@ -229,16 +229,23 @@ def eigh(a: Matrix) -> np.ndarray:
     return np.linalg.eigvalsh((x + x.T) / 2)[::-1]
 
 
-def _pivoted(panel: np.ndarray) -> np.ndarray:
-    """The rows that elimination with partial pivoting takes, in order; ValueError if a pivot is below PIVOT."""
-    x, order = panel.copy(), np.arange(len(panel))
-    for j in range(x.shape[1]):
+def _pivoted(panel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elimination of a panel with partial pivoting: the rows it takes, in order, the others, and what multiple of each taken row each other one loses.
+
+    ValueError if a pivot is below PIVOT.
+    """
+    x, order, w = panel.copy(), np.arange(len(panel)), panel.shape[1]
+    for j in range(w):
         p = j + int(np.abs(x[j:, j]).argmax())
         if not abs(x[p, j]) >= PIVOT:
             raise ValueError("the matrix is singular")
         x[[j, p]], order[[j, p]] = x[[p, j]], order[[p, j]]
-        x[j + 1 :, j:] -= np.outer(x[j + 1 :, j] / x[j, j], x[j, j:])
-    return order[: x.shape[1]]
+        x[j + 1 :, j] /= x[j, j]
+        x[j + 1 :, j + 1 :] -= np.outer(x[j + 1 :, j], x[j, j + 1 :])
+    low, factors = x[:w], x[w:].copy()  # the multipliers are of rows that lost others themselves
+    for j in range(w - 2, -1, -1):
+        factors[:, j] -= np.einsum("ik,k->i", factors[:, j + 1 :], low[j + 1 :, j])
+    return order[:w], order[w:], factors
 
 
 def solve(a: Matrix, b: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> Matrix:
@@ -268,7 +275,7 @@ def solve(a: Matrix, b: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> Matri
         panel = got.column("values").combine_chunks().flatten().to_numpy().reshape(-1, w)
         order = np.argsort(ids)
         ids, panel = ids[order], panel[order]
-        taken = _pivoted(panel)
+        taken, others, factors = _pivoted(panel)
         pivots = ids[taken]
         chosen = F.col("row").isin([int(i) for i in pivots])
         kept = materialise(left.where(chosen), "pivot-rows")
@@ -278,8 +285,8 @@ def solve(a: Matrix, b: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> Matri
             head[place[row["row"]]] = row["values"]
         panels.append((at, head[:, :w].copy(), place, kept))
         if at + w < n:
-            others = np.setdiff1d(np.arange(len(ids)), taken)
-            factors, names = np.linalg.solve(head[:, :w].T, panel[others].T).T, ids[others]
+            others = others[sorting := np.argsort(ids[others])]
+            factors, names = factors[sorting], ids[others]
             after = materialise(left.where(~chosen).mapInArrow(_reduced(names, factors, head[:, w:], w, rest), "row long, values array<double>"), "elimination")
             drop_folders(a.spark, folders_of(left))
             left = after
@@ -298,7 +305,7 @@ def solve(a: Matrix, b: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> Matri
 
         for row in kept.mapInArrow(known, "row long, values array<double>").toLocalIterator():
             right[place[row["row"]]] = row["values"]
-        x[at : at + w] = np.linalg.solve(square, right)
+        x[at : at + w] = _eliminated(np.column_stack([square, right]), w)
         drop_folders(a.spark, folders_of(kept))
     return Matrix.of(a.spark, x)
 
