@@ -171,8 +171,18 @@ def _answered(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ANSWERS)], schema=ANSWERS) if rows else ANSWERS.empty_table()
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("data", pa.binary()), ("sizes", pa.binary()), ("digests", pa.binary()), ("shorts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
-SENT_DDL = "bucket int, g int, data binary, sizes binary, digests binary, shorts binary, low binary, high binary"
+def _narrow(values: np.ndarray) -> bytes:
+    """Numbers in 4 bytes each if all fit, else in 8."""
+    fits = not len(values) or (values.min() >= 0 and values.max() < 1 << 32)
+    return values.astype(np.uint32 if fits else np.int64).tobytes()
+
+
+def _widened(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint32 if len(data) == 4 * count else np.int64).astype(np.int64)
+
+
+SENT = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("data", pa.binary()), ("sizes", pa.binary()), ("digests", pa.binary()), ("shorts", pa.binary()), ("low", pa.binary()), ("several", pa.binary()), ("high", pa.binary())])
+SENT_DDL = "bucket int, g int, data binary, sizes binary, digests binary, shorts binary, low binary, several binary, high binary"
 
 
 def _sent(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int) -> pa.Table:
@@ -205,8 +215,9 @@ def _sent(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int) -> pa.Ta
     rows = []
     for a, b in zip(border, border[1:]):
         text = b"".join([raw[s : s + n] for s, n in zip(start[a:b].tolist(), size[a:b].tolist())])
-        numbers = (size[a:b].astype(np.uint16), digest[at[a:b]], short[a:b], low[a:b], high[a:b])
-        rows.append((bucket[a], g, text, *(x.tobytes() for x in numbers)))
+        numbers = (size[a:b].astype(np.uint16), digest[at[a:b]], short[a:b])
+        several = low[a:b] < high[a:b]  # few have a second number
+        rows.append((bucket[a], g, text, *(x.tobytes() for x in numbers), _narrow(low[a:b]), np.packbits(several).tobytes(), _narrow(high[a:b][several])))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT)], schema=SENT)
 
 
@@ -309,8 +320,11 @@ def _found(table: pa.Table, rule: Rule) -> pa.Table:
     """The maximal repeats of one bucket; each group of texts gets the occurrences in its segments."""
     read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
     sizes, digests, shorts = read("sizes", np.uint16).astype(np.int64), read("digests", np.uint64), read("shorts", np.uint32)
-    low, high, data = read("low", np.int64), read("high", np.int64), read("data", np.uint8)
-    counts = np.array([len(x) // 2 for x in table.column("sizes").to_pylist()])
+    data, counts = read("data", np.uint8), np.array([len(x) // 2 for x in table.column("sizes").to_pylist()])
+    low = np.concatenate([_widened(x, n) for x, n in zip(table.column("low").to_pylist(), counts)])
+    several = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(table.column("several").to_pylist(), counts)]
+    high = low.copy()
+    high[np.concatenate(several)] = np.concatenate([_widened(x, np.count_nonzero(s)) for x, s in zip(table.column("high").to_pylist(), several)])
     offset, width = np.cumsum(sizes) - sizes, int(sizes.max())
     # equal segments of several groups become one
     order = np.argsort(digests, kind="stable")
@@ -341,8 +355,9 @@ def _found(table: pa.Table, rule: Rule) -> pa.Table:
     message = np.repeat(np.arange(len(counts)), counts)[mine]
     border = _bounds(message)
     g = table.column("g").to_pylist()
-    columns = (digests[mine], shorts[mine], groups.start[occurrence].astype(np.uint16), groups.end[occurrence].astype(np.uint16), groups.first[occurrence])
-    made = [(g[message[a]], *(c[a:b].tobytes() for c in columns)) for a, b in zip(border, border[1:])]
+    columns = (digests[mine], shorts[mine], groups.start[occurrence].astype(np.uint16), groups.end[occurrence].astype(np.uint16))
+    first = groups.first[occurrence]
+    made = [(g[message[a]], *(c[a:b].tobytes() for c in columns), _narrow(first[a:b])) for a, b in zip(border, border[1:])]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), FOUND)], schema=FOUND) if made else FOUND.empty_table()
 
 
@@ -358,7 +373,8 @@ def _kept(table: pa.Table, found: pa.Table, rule: Rule) -> pa.Table:
     level = np.zeros(len(data) + 1, np.int32)
     if found.num_rows:
         read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in found.column(name).to_pylist()])
-        columns = [read(*c) for c in (("digests", np.uint64), ("shorts", np.uint32), ("start", np.uint16), ("end", np.uint16), ("first", np.int64))]
+        columns = [read(*c) for c in (("digests", np.uint64), ("shorts", np.uint32), ("start", np.uint16), ("end", np.uint16))]
+        columns.append(np.concatenate([_widened(x, len(y) // 2) for x, y in zip(found.column("first").to_pylist(), found.column("start").to_pylist())]))
         order = np.lexsort(columns[:2])
         digest, short, start, end, first = (c[order] for c in columns)
         own = segments(data, ends, rule, with_digest=True)
