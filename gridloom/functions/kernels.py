@@ -54,7 +54,7 @@ def _fixed_basis(others: np.ndarray, taken: int) -> np.ndarray:
         for _ in range(2):
             for u in [*known, *[out[:, k] for k in range(taken)]]:
                 x = x - (x * u).sum(axis=1, keepdims=True) * u
-        use = (np.linalg.norm(x, axis=1) > 1e-6) & (count < taken)
+        use = (np.linalg.norm(x, axis=1) > 64 * EPS) & (count < taken)
         unit = _unit(x)
         for k in range(taken):
             at = use & (count == k)

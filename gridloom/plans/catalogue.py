@@ -65,8 +65,8 @@ def on_embeddings(name: str, build: Callable[[Matrix], Matrix], value: str, wher
 
 # --- Constructors and element access ----------------------------------------------------------
 
-query("matrix_zeros", "SELECT r.range AS row, c.range AS col, CAST(0 AS DOUBLE) AS v FROM range(7) r, range(5) c")(
-    lambda spark, _: Matrix.zeros(spark, 7, 5).df
+query("matrix_zeros", f"WITH {EMB} SELECT row, col, CAST(0 AS DOUBLE) AS v FROM emb")(
+    lambda spark, sf_dir: Matrix.zeros(spark, *embeddings(spark, sf_dir).shape).df
 )
 on_embeddings("matrix_fill", lambda a: a.fill(2.5), "CAST(2.5 AS DOUBLE)")
 on_embeddings("matrix_set_element", lambda a: a.set(3, 4, -1.25), "CASE WHEN row = 3 AND col = 4 THEN -1.25 ELSE v END")
