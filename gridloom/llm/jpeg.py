@@ -1,14 +1,18 @@
 """Progressive JPEG: a decoder for any Huffman-coded 8-bit file, and a lossless store of bytes as coefficients.
 
 The decoder accumulates the scans of a progressive file, by spectral selection and successive
-approximation, into arrays of coefficients. For a scan's first approximation its codes
-are found one behind the other, and numpy reads all symbols, runs and values at once.
-Refinements are read at once as far as runs of ended blocks go. What is left (restarts,
-sequential files, new coefficients in refinements) is decoded symbol by symbol.
+approximation, into arrays of coefficients. For a scan's first approximation the steps from
+every bit are looked up at once and followed from code to code; numpy then reads all symbols,
+runs and values together. A refinement is read symbol by symbol, as the bits behind a symbol
+depend on what is known, but all corrections and new coefficients are set together. What is
+left (restarts, sequential files) is decoded coefficient by coefficient.
+
+The store codes a text's bytes by Huffman tables made for that text, as any optimising encoder.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import struct
@@ -131,6 +135,11 @@ def features(rgb: np.ndarray) -> list[float]:
     return [*np.column_stack([mean, deviation]).ravel().tolist(), steps[0] / n, steps[1] / n]
 
 
+#: A step that no code with its value takes.
+NO_CODE = 255
+_EIGHT = np.arange(8)
+
+
 @lru_cache(maxsize=64)
 class Table:
     """A Huffman table. Files often share theirs, so tables are kept by content."""
@@ -139,27 +148,29 @@ class Table:
         self.counts, self.symbols = counts, symbols
 
     @cached_property
-    def look(self) -> list[int]:
-        """For each 16 bits that may come next: length of the code << 8 | symbol, or 0."""
-        look, code, k = [0] * 65536, 0, 0
-        for bits in range(1, 17):
-            for _ in range(self.counts[bits - 1]):
-                at = code << (16 - bits)
-                look[at : at + (1 << (16 - bits))] = [bits << 8 | self.symbols[k]] * (1 << (16 - bits))
-                code, k = code + 1, k + 1
-            code <<= 1
-        return look
+    def width(self) -> int:
+        """Bits of the longest code."""
+        return max((k + 1 for k in range(16) if self.counts[k]), default=1)
 
     @cached_property
     def found(self) -> np.ndarray:
-        return np.array(self.look, np.int32)
+        """For each `width` bits that may come next: length of the code << 8 | symbol, or 0."""
+        bits = np.repeat(np.arange(1, 17), np.frombuffer(self.counts, np.uint8))
+        entries = np.repeat(bits << 8 | np.frombuffer(self.symbols, np.uint8), 1 << (self.width - bits))
+        found = np.zeros(1 << self.width, np.int32)
+        found[: len(entries)] = entries
+        return found
+
+    @cached_property
+    def look(self) -> list[int]:
+        return self.found.tolist()
 
     def _steps(self, extra: np.ndarray) -> np.ndarray:
-        return np.where(self.found > 0, (self.found >> 8) + extra, 0).astype(np.uint8)
+        return np.where(self.found > 0, (self.found >> 8) + extra, NO_CODE).astype(np.uint8)
 
     @cached_property
     def dc_steps(self) -> np.ndarray:
-        """Bits of the code and of the value behind it; 0 where there is no code."""
+        """Bits of the code and of the value behind it; NO_CODE where there is none."""
         return self._steps(self.found & 255)
 
     @cached_property
@@ -176,72 +187,30 @@ def _words(data: np.ndarray) -> np.ndarray:
     return padded[:-2] << 16 | padded[1:-1] << 8 | padded[2:]
 
 
-#: Codes that are followed one by one between two guesses.
-STEPPED = 256
-
-
-def _walked(data: np.ndarray, steps: np.ndarray, chunk: int = 1 << 16):
-    """Where the codes of a scan stand, in bits: arrays of positions with the words around them, until no code follows.
-
-    Codes with their values often take as many bits as the one before. So all places at that
-    distance are looked at together, and those up to the first that differs are codes indeed.
-    Where this leads nowhere, codes are followed one by one for a while.
-    """
+def _walked(data: np.ndarray, steps: np.ndarray, width: int, chunk: int = 1 << 16):
+    """Where the codes of a scan stand, in bits: arrays of positions with the words around them, until no code follows."""
     p, base = 0, 0
     while base < len(data):
         words = _words(data[base : base + chunk + 8])
-        end, out, listed = 8 * min(chunk, len(data) - base), [], None
+        n = min(chunk, len(data) - base)
+        every = steps[words[:n, None] >> (24 - width - _EIGHT) & ((1 << width) - 1)]
+        step, stands, end = every.tobytes(), bytearray(8 * n), 8 * n
         while p < end:
-            step = int(steps[words[p >> 3] >> (8 - (p & 7)) & 65535])
-            if not step:
-                break
-            at = np.arange(p, end, step)
-            found = steps[words[at >> 3] >> (8 - (at & 7)) & 65535]
-            other = found != step
-            n = int(other.argmax())
-            if not other[n]:
-                out.append(at)
-                p = int(at[-1]) + step
-                continue
-            out.append(at[: n if not found[n] else n + 1])
-            p = int(at[n]) + int(found[n])
-            if not found[n]:
-                break
-            near, p, more = _followed(words, steps, p, end, 4)
-            out.append(near)
-            if not more:
-                break
-            if n < STEPPED:
-                listed = words.tolist() if listed is None else listed
-                one_by_one, p, more = _followed(listed, steps, p, end, STEPPED)
-                out.append(one_by_one)
-                if not more:
-                    break
-        if out:
-            yield np.concatenate(out), words
-        if p < end:
+            stands[p] = 1
+            p += step[p]
+        at = np.flatnonzero(np.frombuffer(stands, np.uint8))
+        none = every.ravel()[at] == NO_CODE
+        if none.any():
+            yield at[: int(none.argmax())], words
             return
+        yield at, words
         base, p = base + chunk, p - 8 * chunk
 
 
-def _followed(words: list[int] | np.ndarray, steps: np.ndarray, p: int, end: int, most: int) -> tuple[np.ndarray, int, bool]:
-    """The next codes, `most` at most, where they end, and whether more may follow."""
-    out = []
-    for _ in range(most):
-        if p >= end:
-            break
-        step = steps.item(int(words[p >> 3]) >> (8 - (p & 7)) & 65535)
-        if not step:
-            return np.array(out, np.int64), p, False
-        out.append(p)
-        p += step
-    return np.array(out, np.int64), p, True
-
-
 def _read(words: np.ndarray, at: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the codes at these bits, and the 16 bits behind each."""
     sixteen = lambda at: words[at >> 3] >> (8 - (at & 7)) & 65535
-    found = table.found[sixteen(at)]
+    found = table.found[sixteen(at) >> (16 - table.width)]
     return found & 255, sixteen(at + (found >> 8))
 
 
@@ -269,7 +238,7 @@ class Bits:
         return found
 
     def symbol(self, table: Table) -> int:
-        found = table.look[self.peek16()]
+        found = table.look[self.peek16() >> (16 - table.width)]
         if not found:
             raise ValueError("a code that is in no table")
         self.at += found >> 8
@@ -342,7 +311,7 @@ class Scan:
         if self.parts[0][2] is None:
             return False
         if self.high:
-            return self._refined_at_once(data, array, order[0][1][:, 0])
+            return self._refined_at_once(array, order[0][1][:, 0])
         return self._ac_at_once(array, order[0][1][:, 0])
 
     def _dc_at_once(self, data: np.ndarray, order) -> bool:
@@ -350,7 +319,7 @@ class Scan:
         if any(t is not tables[0] for t in tables) or tables[0] is None:
             return False
         values = []
-        for at, words in _walked(data, tables[0].dc_steps):
+        for at, words in _walked(data, tables[0].dc_steps, tables[0].width):
             size, behind = _read(words, at, tables[0])
             values.append(_signed(behind, size))
         per_unit = sum(ix.shape[1] for _, ix in order)
@@ -369,25 +338,8 @@ class Scan:
         """Coefficients of a band in a row, block by block: a value stands its run behind the last, an ended block leads to the next."""
         (c, _, table), band = self.parts[0], self.last - self.first + 1
         lin = 0
-        for at, words in _walked(data, table.ac_steps):
+        for at, words in _walked(data, table.ac_steps, table.width):
             symbol, behind = _read(words, at, table)
-            plain = symbol < 16  # no zeros before; an ended block if it has no size
-            plain &= symbol > 0
-            n = len(at) if plain.all() else int(plain.argmin())
-            if lin % band == 0 and n:  # a row of values without zeros between
-                first, whole = lin // band, n // band
-                if lin + n > len(ix) * band:
-                    raise ValueError("a scan leads beyond its blocks")
-                values = _signed(behind[:n], symbol[:n]) << self.low
-                c.blocks[ix[first : first + whole], self.first : self.last + 1] = values[: whole * band].reshape(-1, band)
-                if n % band:
-                    c.blocks[ix[first + whole], self.first : self.first + n % band] = values[whole * band :]
-                lin += n
-                symbol, behind = symbol[n:], behind[n:]
-            while len(symbol) and symbol[0] < 0xF0 and not symbol[0] & 15:
-                more = int(symbol[0]) >> 4
-                lin = (lin // band + (1 << more) + (int(behind[0]) >> (16 - more))) * band
-                symbol, behind = symbol[1:], behind[1:]
             if not len(symbol):
                 continue
             run, size = symbol >> 4, symbol & 15
@@ -416,30 +368,67 @@ class Scan:
             raise EOFError("a scan ends early")
         return True
 
-    def _refined_at_once(self, raw: bytes, data: np.ndarray, ix: np.ndarray) -> bool:
-        """Runs of ended blocks: all that is known in them is corrected. False if a coefficient is new."""
-        c, _, table = self.parts[0]
-        part = c.blocks[ix, self.first : self.last + 1]
+    def _refined_at_once(self, data: np.ndarray, ix: np.ndarray) -> bool:
+        """Symbols one by one; the corrections behind each, and all new coefficients, at once.
+
+        Places that are still zero are numbered through all blocks, so a symbol leads to a number,
+        and the corrections behind it are as many as places are known between.
+        """
+        (c, _, table), band = self.parts[0], self.last - self.first + 1
+        part = c.blocks[ix, self.first : self.last + 1].ravel()
         known = part != 0
-        bits, block, taken = Bits(raw), 0, []
-        while block < len(ix):
-            symbol = bits.symbol(table)
-            if symbol & 15 or symbol >> 4 == 15:
-                return False
-            blocks = min((1 << (symbol >> 4)) + bits.take(symbol >> 4), len(ix) - block)
-            n = int(np.count_nonzero(known[block : block + blocks]))
-            at = bits.at
-            taken.append((at, n))
-            bits.at = at + n
-            block += blocks
-        if bits.at > 8 * len(data):
+        zero = np.flatnonzero(~known)
+        places, ends = zero.tolist(), np.concatenate([[0], np.cumsum((~known).reshape(-1, band).sum(axis=1))]).tolist()
+        words, look, shift = _words(data).tolist(), table.look, 24 - table.width
+        mask, blocks = (1 << table.width) - 1, len(ix)
+        p = z = done = block = 0
+        new, signs, starts, stops = [], [], [], []
+        try:
+            while block < blocks:
+                found = look[words[p >> 3] >> (shift - (p & 7)) & mask]
+                if not found:
+                    raise ValueError("a code that is in no table")
+                p += found >> 8
+                zeros, size = found >> 4 & 15, found & 15
+                if not size and zeros < 15:
+                    block += 1 << zeros
+                    if zeros:
+                        block += (words[p >> 3] >> (8 - (p & 7)) & 65535) >> (16 - zeros)
+                        p += zeros
+                    block = min(block, blocks)
+                    z = ends[block]
+                    reached = block * band - z
+                else:
+                    z += zeros
+                    if z >= ends[block + 1]:
+                        raise ValueError("a scan leads beyond a block")
+                    if size:
+                        new.append(z)
+                        signs.append(p)
+                        p += 1
+                    place = places[z]
+                    reached = place - z
+                    z += 1
+                    if place == (block + 1) * band - 1:
+                        block += 1
+                if reached > done:
+                    starts.append(p)
+                    p += reached - done
+                    stops.append(p)
+                    done = reached
+        except IndexError as e:
+            raise EOFError("a scan ends early") from e
+        if p > 8 * len(data):
             raise EOFError("a scan ends early")
-        flat = np.unpackbits(data)
-        correct = (flat[at : at + n] if len(taken) == 1 else np.concatenate([flat[at : at + n] for at, n in taken])).astype(np.int16)
+        flat, one = np.unpackbits(data), np.int16(1 << self.low)
+        edges = np.zeros(len(flat) + 1, np.int8)
+        edges[starts] = 1
+        edges[stops] -= 1
         held = part[known]
-        fresh = correct * ((np.abs(held) >> self.low) & 1 == 0)
-        part[known] = held + np.where(held > 0, fresh, -fresh) * np.int16(1 << self.low)
-        c.blocks[ix, self.first : self.last + 1] = part
+        fresh = flat[np.cumsum(edges[:-1], dtype=np.int8).view(bool)] * ((np.abs(held) >> self.low) & 1 == 0)
+        part[known] = held + np.where(held > 0, fresh, -fresh.astype(np.int16)) * one
+        part[zero[new]] = np.where(flat[signs], one, -one)
+        c.blocks[ix, self.first : self.last + 1] = part.reshape(-1, band)
         return True
 
     def _decode_units(self, bits: Bits, order, units: range) -> None:
@@ -585,24 +574,9 @@ def _decode(data: bytes) -> Frame:
 
 
 # --- Storing bytes -------------------------------------------------------------------------
-# A byte b is the coefficient b of a DC. As an AC, 0 stays 0, 1 to 127 are -2 to -128, 128 to
-# 255 are 2 to 129: so half of it, which is sent first, is 0 for zero bytes only.
-
-
-def _ac_values() -> np.ndarray:
-    b = np.arange(256)
-    return np.where(b == 0, 0, np.where(b < 128, -b - 1, b - 126)).astype(np.int16)
-
-
-_AC = _ac_values()
-#: Sizes of values that follow no zero, with codes of 1 to 7 bits; with its value each takes 8 bits. A code of 8 bits ends a
-#: block; codes of 16 bits stand for runs of 2 and more ended blocks, for 16 zeros, and for values behind zeros.
-_AC_SYMBOLS = bytes([7, 6, 5, 4, 3, 2, 1, 0x00, *range(0x10, 0x100, 0x10), *[r << 4 | n for r in range(1, 16) for n in range(1, 8)]])
-_AC_COUNTS = bytes([*[1] * 8, *[0] * 7, len(_AC_SYMBOLS) - 8])
-_END_SYMBOLS = bytes(range(0x00, 0xF0, 0x10))
-_END_COUNTS = bytes([0, 0, 0, len(_END_SYMBOLS), *[0] * 12])
-_DC_SYMBOLS = bytes(range(8))
-_DC_COUNTS = bytes([0, 0, 0, len(_DC_SYMBOLS), *[0] * 12])
+# A byte is the coefficient that tells its distance from the payload's middle byte, so common bytes
+# are small numbers or zeros. All but the lowest bit is sent first; distances of one are zeros then
+# and become known in the refinement only.
 
 
 def _codes(counts: bytes, symbols: bytes) -> dict[int, tuple[int, int]]:
@@ -616,22 +590,41 @@ def _codes(counts: bytes, symbols: bytes) -> dict[int, tuple[int, int]]:
     return out
 
 
-_AC_CODES = _codes(_AC_COUNTS, _AC_SYMBOLS)
-_END_CODES = _codes(_END_COUNTS, _END_SYMBOLS)
+#: Bits of the longest code that the store makes.
+LONGEST = 12
 
 
-def _first_bytes() -> np.ndarray:
-    """The 8 bits that send half of each byte's AC."""
-    out = np.zeros(256, np.uint8)
-    for b in range(1, 256):
-        half = abs(int(_AC[b])) >> 1
-        size = half.bit_length()
-        out[b] = _AC_CODES[size][0] << size | (half if _AC[b] > 0 else (1 << size) - 1 - half)
-    return out
+def _table_for(*symbols: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A Huffman table for these symbols, as a file holds it, and for each symbol its code and the bits of it."""
+    often = np.bincount(np.concatenate(symbols), minlength=256)
+    used = np.flatnonzero(often).tolist()
+    weights = often[used].tolist()
+    while True:
+        heap = [(0, 0), *((w, i + 1) for i, w in enumerate(weights))]  # the first stands for the code of all ones, which is not used
+        heapq.heapify(heap)
+        above, node = {}, len(heap)
+        while len(heap) > 1:
+            w, i = heapq.heappop(heap)
+            v, j = heap[0]
+            above[i] = above[j] = node
+            heapq.heapreplace(heap, (w + v, node))
+            node += 1
+        depth = {node - 1: 0}
+        for i in range(node - 2, -1, -1):
+            depth[i] = depth[above[i]] + 1
+        deepest = max(depth.values())
+        if deepest <= LONGEST:
+            break
+        weights = [w + 1 >> 1 for w in weights]
+    lengths = [depth[i + 1] for i in range(len(used))]
+    counts = bytes(lengths.count(bits) for bits in range(1, 17))
+    ordered = bytes(s for _, s in sorted(zip(lengths, used)))
+    code, bits = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    for symbol, (c, n) in _codes(counts, ordered).items():
+        code[symbol], bits[symbol] = c, n
+    return counts + ordered, code, bits
 
 
-_FIRST = _first_bytes()
-_LOWEST = (np.abs(_AC) & 1).astype(np.uint8)
 #: Spectral bands of the first scans of luma and of each chroma.
 BANDS = {1: ((1, 5), (6, 63)), 2: ((1, 63),), 3: ((1, 63),)}
 
@@ -658,80 +651,95 @@ def _bits(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (values[of] >> back & 1).astype(np.uint8)
 
 
-def _number(value: int, size: int) -> list[int]:
-    return [value >> i & 1 for i in range(size - 1, -1, -1)]
-
-
-def _ended(blocks: int, codes: dict[int, tuple[int, int]]) -> list[int]:
-    """A run of ended blocks."""
-    size = blocks.bit_length() - 1
-    return _number(*codes[size << 4]) + _number(blocks - (1 << size), size)
-
-
-def _sent_first(part: np.ndarray) -> bytes:
-    """The first approximation of a band. What has no zeros before it is bytes from a table; blocks with others go symbol by symbol."""
-    flat = part.ravel()
-    n = int(np.count_nonzero(flat))
-    ended = len(part) - n // part.shape[1]
-    if ended <= 32767 and flat[:n].all():
-        return _FIRST[flat[:n]].tobytes() + (_packed(np.array(_ended(ended, _AC_CODES), np.uint8)) if ended else b"")
-    full = part.all(axis=1)
-    bits, run, at = [], 0, 0
-    any_left = part.any(axis=1)
-    while at < len(part):
-        if full[at]:
-            stop = at + int(np.argmin(full[at:])) if not full[at:].all() else len(part)
-            if run:
-                bits.append(np.array(_ended(run, _AC_CODES), np.uint8))
-                run = 0
-            bits.append(np.unpackbits(_FIRST[part[at:stop]].ravel()))
-            at = stop
-            continue
-        if any_left[at]:
-            out, zeros = _ended(run, _AC_CODES) if run else [], 0
-            run = 0
-            for b in part[at].tolist():
-                if not b:
-                    zeros += 1
-                    continue
-                while zeros > 15:
-                    out += _number(*_AC_CODES[0xF0])
-                    zeros -= 16
-                half = abs(int(_AC[b])) >> 1
-                size = half.bit_length()
-                out += _number(*_AC_CODES[zeros << 4 | size]) + _number(half if _AC[b] > 0 else (1 << size) - 1 - half, size)
-                zeros = 0
-            bits.append(np.array(out, np.uint8))
-            run = 1 if zeros else 0
-        else:
-            run += 1
-        if run == 32767:
-            bits.append(np.array(_ended(run, _AC_CODES), np.uint8))
-            run = 0
-        at += 1
-    if run:
-        bits.append(np.array(_ended(run, _AC_CODES), np.uint8))
-    return _packed(*bits)
-
-
-def _sent_last(part: np.ndarray) -> bytes:
-    """The refinement of all ACs: runs of ended blocks, each with the lowest bits of what is known."""
-    bits = []
-    for at in range(0, len(part), 32767):
-        some = part[at : at + 32767]
-        bits += [np.array(_ended(len(some), _END_CODES), np.uint8), _LOWEST[some[some != 0]]]
-    return _packed(*bits)
-
-
-def _sent_dc(steps: np.ndarray) -> bytes:
-    size = np.frexp(np.abs(steps))[1]  # bits of the magnitude
-    value = np.where(steps < 0, steps + (1 << size) - 1, steps)
-    return _packed(_bits(size << size | value, size + 4))  # codes of 4 bits, in order
-
-
-_TABLES = _segment(0xDB, b"\0" + b"\1" * 64) + _segment(
-    0xC4, b"\0" + _DC_COUNTS + _DC_SYMBOLS + b"\x10" + _AC_COUNTS + _AC_SYMBOLS + b"\x11" + _END_COUNTS + _END_SYMBOLS
-)
+@dataclass
+class _Symbols:
+    """Symbols of a scan in their order, the bits behind each, and the place from which each leads on."""
+
+    symbol: np.ndarray
+    extra: np.ndarray
+    size: np.ndarray
+    start: np.ndarray
+
+    def coded(self, code: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return code[self.symbol] << self.size | self.extra, bits[self.symbol] + self.size
+
+
+#: Blocks in the longest run of ended blocks.
+LONGEST_RUN = 32767
+
+
+def _symbols_of(new: np.ndarray, known: np.ndarray | None, extra: np.ndarray, size: np.ndarray | int) -> _Symbols:
+    """Symbols that send the coefficients `new` of a band of blocks, with `size` bits `extra` for each.
+
+    Places that are `known` count in no run of zeros. A first approximation knows none.
+    """
+    n, band = new.shape
+    place = np.flatnonzero(new)
+    block = place // band
+    if known is None:
+        rank, zero, first = place, None, block * band
+    else:
+        zero = np.flatnonzero(~known)
+        rank, first = np.searchsorted(zero, place), np.searchsorted(zero, block * band)
+    behind, begin = first.copy(), block * band
+    if len(place):
+        same = block[1:] == block[:-1]
+        behind[1:][same] = rank[:-1][same] + 1
+        begin[1:][same] = place[:-1][same] + 1
+    zeros = rank - behind
+    events = (zeros >> 4) + 1
+    at = np.cumsum(events) - 1
+    total = int(at[-1]) + 1 if len(at) else 0
+    symbol, bits, width = np.full(total, 0xF0), np.zeros(total, np.int64), np.zeros(total, np.int64)
+    symbol[at], bits[at], width[at] = (zeros & 15) << 4 | size, extra, size
+    start, of = begin, block
+    if total > len(place):
+        of = np.repeat(block, events)
+        sixteens = np.arange(total) - np.repeat(at - events + 1, events)
+        start = np.repeat(begin, events)
+        later = np.flatnonzero(sixteens)
+        reached = (np.repeat(behind, events) + 16 * sixteens - 1)[later]
+        start[later] = (reached if zero is None else zero[reached]) + 1
+    # runs of ended blocks: blocks without anything new belong to the run before them
+    ended, busy = ~new[:, -1], np.zeros(n, bool)
+    busy[block] = True
+    opens = ended & busy
+    opens[0] |= ended[0]
+    opens[1:] |= ended[1:] & ~ended[:-1]
+    run = np.flatnonzero(opens)
+    if not len(run):
+        return _Symbols(symbol, bits, width, start)
+    stops = np.append(np.flatnonzero(busy), n)
+    length = stops[np.searchsorted(stops, run, "right")] - run
+    if length.max() > LONGEST_RUN:
+        parts = (length - 1) // LONGEST_RUN + 1
+        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        run, length = np.repeat(run, parts) + k * LONGEST_RUN, np.minimum(np.repeat(length, parts) - k * LONGEST_RUN, LONGEST_RUN)
+    log = np.frexp(length)[1] - 1
+    before = np.searchsorted(place, (run + 1) * band) - 1
+    opened = np.maximum(run * band, np.where(before >= 0, place[before] + 1, 0) if len(place) else 0)
+    where = np.searchsorted(of, run, "right")
+    insert = lambda x, y: np.insert(x, where, y)
+    return _Symbols(insert(symbol, log << 4), insert(bits, length - (1 << log)), insert(width, log), insert(start, opened))
+
+
+def _sent_first(part: np.ndarray) -> _Symbols:
+    """The first approximation of a band: all bits but the lowest."""
+    half = np.sign(part) * (np.abs(part) >> 1)
+    new = half != 0
+    value = half[new].astype(np.int64)
+    size = np.frexp(np.abs(value))[1].astype(np.int64)
+    return _symbols_of(new, None, np.where(value < 0, value + (1 << size) - 1, value), size)
+
+
+def _sent_last(part: np.ndarray) -> tuple[_Symbols, np.ndarray, np.ndarray]:
+    """The refinement: what is new, the corrections of what is known, and before how many of them each symbol stands."""
+    much = np.abs(part)
+    known, new = much > 1, much == 1
+    symbols = _symbols_of(new, known, (part[new] > 0).astype(np.int64), 1)
+    return symbols, (much[known] & 1).astype(np.int64), np.searchsorted(np.flatnonzero(known), symbols.start)
+
+
 _COMMENT = b"blocks "
 
 
@@ -740,7 +748,8 @@ def encode_payload(payload: bytes) -> bytes:
 
     Luma blocks take the first bytes, row by row, then Cb and Cr; what is over is filled with
     empty blocks. DCs are sent as steps and then refined by a bit; ACs in spectral bands, first
-    all bits but the lowest, which a last scan of each component adds.
+    all bits but the lowest, which a last scan of each component adds. Huffman tables are made
+    for the symbols of this file: one for DCs, one for first scans and one for refinements.
     """
     if not payload or len(payload) % UNIT:
         raise ValueError("the payload must be a positive multiple of 64 bytes")
@@ -749,32 +758,44 @@ def encode_payload(payload: bytes) -> bytes:
     across = math.isqrt(mcus - 1) + 1
     down = -(-mcus // across)
     total = across * down
-    blocks = np.zeros((6 * total, UNIT), np.uint8)
-    blocks[:n] = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
+    data = np.frombuffer(payload, np.uint8)
+    middle = int(np.searchsorted(np.cumsum(np.bincount(data, minlength=256)), len(data) / 2))
+    blocks = np.zeros((6 * total, UNIT), np.int16)
+    blocks[:n] = data.reshape(-1, UNIT).astype(np.int16) - np.int16(middle)
     luma, cb, cr = blocks[: 4 * total], blocks[4 * total : 5 * total], blocks[5 * total :]
     dc = luma[:, 0].reshape(down, 2, across, 2).transpose(0, 2, 1, 3).reshape(total, 4)
     dc = [dc, cb[:, :1], cr[:, :1]]
     steps = np.column_stack([np.diff((d >> 1).ravel().astype(np.int64), prepend=0).reshape(d.shape) for d in dc]).ravel()
+    step_size = np.frexp(np.abs(steps))[1].astype(np.int64)
+    parts = [(1, luma), (2, cb), (3, cr)]
+    first = [(id, band, _sent_first(part[:, band[0] : band[1] + 1])) for id, part in parts for band in BANDS[id]]
+    last = [(id, *_sent_last(part[:, 1:])) for id, part in parts]
+    dc_table, dc_code, dc_bits = _table_for(step_size)
+    ac_table, *ac_codes = _table_for(*[symbols.symbol for _, _, symbols in first])
+    end_table, *end_codes = _table_for(*[symbols.symbol for _, symbols, _, _ in last])
+    tables = b"\0" + dc_table + b"\x10" + ac_table + b"\x11" + end_table
     size = struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + b"\1\x22\0\2\x11\0\3\x11\0"
     every = [(1, 0), (2, 0), (3, 0)]
-    out = [b"\xff\xd8", _segment(0xFE, _COMMENT + str(n).encode()), _segment(0xC2, size), _TABLES]
-    out.append(_scan(every, 0, 0, 0, 1, _sent_dc(steps)))
-    for id, part in ((1, luma), (2, cb), (3, cr)):
-        for first, last in BANDS[id]:
-            out.append(_scan([(id, 0)], first, last, 0, 1, _sent_first(part[:, first : last + 1])))
-    out.append(_scan(every, 0, 0, 1, 0, _packed(np.column_stack(dc).ravel() & 1)))
-    for id, part in ((1, luma), (2, cb), (3, cr)):
-        out.append(_scan([(id, 1)], 1, 63, 1, 0, _sent_last(part[:, 1:])))
+    out = [b"\xff\xd8", _segment(0xFE, _COMMENT + b"%d %d" % (n, middle)), _segment(0xC2, size)]
+    out += [_segment(0xDB, b"\0" + b"\1" * 64), _segment(0xC4, tables)]
+    value = np.where(steps < 0, steps + (1 << step_size) - 1, steps)
+    out.append(_scan(every, 0, 0, 0, 1, _packed(_bits(dc_code[step_size] << step_size | value, dc_bits[step_size] + step_size))))
+    for id, band, symbols in first:
+        out.append(_scan([(id, 0)], *band, 0, 1, _packed(_bits(*symbols.coded(*ac_codes)))))
+    out.append(_scan(every, 0, 0, 1, 0, _packed((np.column_stack(dc).ravel() & 1).astype(np.uint8))))
+    for id, symbols, corrections, where in last:
+        values, sizes = symbols.coded(*end_codes)
+        data = _packed(_bits(np.insert(corrections, where, values), np.insert(np.ones_like(corrections), where, sizes)))
+        out.append(_scan([(id, 1)], 1, 63, 1, 0, data))
     out.append(b"\xff\xd9")
     return b"".join(out)
 
 
 def payload_of(frame: Frame) -> bytes:
     """The bytes that encode_payload() stored."""
-    told = [int(c[len(_COMMENT) :]) for c in frame.comments if c.startswith(_COMMENT)]
+    told = [c[len(_COMMENT) :].split() for c in frame.comments if c.startswith(_COMMENT)]
     if not told:
         raise ValueError("this JPEG stores no payload")
-    values = np.concatenate([c.blocks for c in frame.components])[: told[0]]
-    ac = values[:, 1:]
-    ac += (ac > 0) * np.int16(126) - (ac < 0) * (2 * ac + 1)
-    return values.astype(np.uint8).tobytes()
+    n, middle = map(int, told[0])
+    values = np.concatenate([c.blocks[: max(0, n)] for c in frame.components])[:n]
+    return (values + np.int16(middle)).astype(np.uint8).tobytes()
