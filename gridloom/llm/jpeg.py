@@ -12,7 +12,6 @@ The store codes a text's bytes by Huffman tables made for that text, as any opti
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import struct
@@ -579,50 +578,24 @@ def _decode(data: bytes) -> Frame:
 # and become known in the refinement only.
 
 
-def _codes(counts: bytes, symbols: bytes) -> dict[int, tuple[int, int]]:
-    """The code of each symbol and its bits."""
-    out, code, k = {}, 0, 0
-    for bits in range(1, 17):
-        for _ in range(counts[bits - 1]):
-            out[symbols[k]] = (code, bits)
-            code, k = code + 1, k + 1
-        code <<= 1
-    return out
-
-
 #: Bits of the longest code that the store makes.
 LONGEST = 12
 
 
 def _table_for(*symbols: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """A Huffman table for these symbols, as a file holds it, and for each symbol its code and the bits of it."""
+    """A table of prefix codes for these symbols, as long as their shares ask for, as a file holds it; the code of each symbol and its bits."""
     often = np.bincount(np.concatenate(symbols), minlength=256)
-    used = np.flatnonzero(often).tolist()
-    weights = often[used].tolist()
-    while True:
-        heap = [(0, 0), *((w, i + 1) for i, w in enumerate(weights))]  # the first stands for the code of all ones, which is not used
-        heapq.heapify(heap)
-        above, node = {}, len(heap)
-        while len(heap) > 1:
-            w, i = heapq.heappop(heap)
-            v, j = heap[0]
-            above[i] = above[j] = node
-            heapq.heapreplace(heap, (w + v, node))
-            node += 1
-        depth = {node - 1: 0}
-        for i in range(node - 2, -1, -1):
-            depth[i] = depth[above[i]] + 1
-        deepest = max(depth.values())
-        if deepest <= LONGEST:
-            break
-        weights = [w + 1 >> 1 for w in weights]
-    lengths = [depth[i + 1] for i in range(len(used))]
-    counts = bytes(lengths.count(bits) for bits in range(1, 17))
-    ordered = bytes(s for _, s in sorted(zip(lengths, used)))
+    used = np.flatnonzero(often)
+    share = np.append(often[used], 0) / often.sum() + 2.0 ** (1 - LONGEST)  # the last stands for the code of all ones, which is not used
+    lengths = np.ceil(np.log2(share.sum() / share)).astype(np.int64)[:-1]
+    order = np.lexsort((used, lengths))
+    ordered, n = used[order], lengths[order]
+    # a code follows the one before it, with zeros behind it as far as it is longer
+    ends = np.cumsum(1 << (LONGEST - n))
     code, bits = np.zeros(256, np.int64), np.zeros(256, np.int64)
-    for symbol, (c, n) in _codes(counts, ordered).items():
-        code[symbol], bits[symbol] = c, n
-    return counts + ordered, code, bits
+    code[ordered], bits[ordered] = (ends >> (LONGEST - n)) - 1, n
+    counts = np.bincount(lengths, minlength=17)[1:].astype(np.uint8).tobytes() + ordered.astype(np.uint8).tobytes()
+    return counts, code, bits
 
 
 #: Spectral bands of the first scans of luma and of each chroma.
@@ -664,6 +637,20 @@ class _Symbols:
         return code[self.symbol] << self.size | self.extra, bits[self.symbol] + self.size
 
 
+def _inserter(where: np.ndarray, n: int):
+    """A function that puts numbers before these places, in order, of an array of n."""
+    at = where + np.arange(len(where))
+    others = np.ones(n + len(where), bool)
+    others[at] = False
+
+    def insert(x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
+        out = np.empty(len(others), np.int64)
+        out[at], out[others] = y, x
+        return out
+
+    return insert
+
+
 #: Blocks in the longest run of ended blocks.
 LONGEST_RUN = 32767
 
@@ -718,8 +705,7 @@ def _symbols_of(new: np.ndarray, known: np.ndarray | None, extra: np.ndarray, si
     log = np.frexp(length)[1] - 1
     before = np.searchsorted(place, (run + 1) * band) - 1
     opened = np.maximum(run * band, np.where(before >= 0, place[before] + 1, 0) if len(place) else 0)
-    where = np.searchsorted(of, run, "right")
-    insert = lambda x, y: np.insert(x, where, y)
+    insert = _inserter(np.searchsorted(of, run, "right"), total)
     return _Symbols(insert(symbol, log << 4), insert(bits, length - (1 << log)), insert(width, log), insert(start, opened))
 
 
@@ -785,8 +771,8 @@ def encode_payload(payload: bytes) -> bytes:
     out.append(_scan(every, 0, 0, 1, 0, _packed((np.column_stack(dc).ravel() & 1).astype(np.uint8))))
     for id, symbols, corrections, where in last:
         values, sizes = symbols.coded(*end_codes)
-        data = _packed(_bits(np.insert(corrections, where, values), np.insert(np.ones_like(corrections), where, sizes)))
-        out.append(_scan([(id, 1)], 1, 63, 1, 0, data))
+        insert = _inserter(where, len(corrections))
+        out.append(_scan([(id, 1)], 1, 63, 1, 0, _packed(_bits(insert(corrections, values), insert(1, sizes)))))
     out.append(b"\xff\xd9")
     return b"".join(out)
 
