@@ -2,7 +2,7 @@
 
 The matrix stays distributed; each iteration is one product and a few sums. Vectors of up to
 DRIVER_ROWS rows live at the driver and travel to the product as a broadcast table. Longer
-ones are tables themselves, written to the shared scratch folder in every iteration.
+ones are tables bucketed like the matrix, made by one write in every iteration: see cg_tables.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import EPSILON
 from ..matrix import BROADCAST_ROWS, Matrix
 from ..scratch import drop_folders, folders_of, materialise
+from . import cg_tables
 from .products import spmv
 
 DRIVER_ROWS = 1_000_000
@@ -216,9 +217,15 @@ def _check(a: Matrix) -> None:
         raise ValueError("the matrix is not square")
 
 
-def _solve(a: Matrix, b, x0, preconditioner: Matrix | None, options: SolverOptions, fixed: int | None, driver_rows: int):
+def _solve(a: Matrix, b, x0, preconditioner: Matrix | None, options: SolverOptions, fixed: int | None, driver_rows: int, diagonal: bool = False):
     _check(a)
     space = vectors_for(a.spark, a.rows, driver_rows)
+    if isinstance(space, TableVectors):
+        try:
+            x, told = cg_tables.solve(a, b, x0, preconditioner, diagonal, options, fixed)
+        except ArithmeticError as e:
+            raise Breakdown(str(e)) from e
+        return x, _required(SolverReport(*told), options)
     held = Matrix(a.df.persist(StorageLevel.MEMORY_AND_DISK), a.rows, a.cols)
     m = preconditioner and Matrix(preconditioner.df.persist(StorageLevel.MEMORY_AND_DISK), a.rows, a.cols)
     try:
@@ -229,9 +236,13 @@ def _solve(a: Matrix, b, x0, preconditioner: Matrix | None, options: SolverOptio
         held.df.unpersist()
         if m:
             m.df.unpersist()
+    return space.frame(x), _required(report, options)
+
+
+def _required(report: SolverReport, options: SolverOptions) -> SolverReport:
     if options.require_convergence and not report.converged:
         raise RuntimeError(f"no convergence in {report.iterations} iterations")
-    return space.frame(x), report
+    return report
 
 
 def cg(a: Matrix, b, x0=None, options: SolverOptions = SolverOptions(), driver_rows: int = DRIVER_ROWS) -> tuple[DataFrame, SolverReport]:
@@ -242,7 +253,7 @@ def cg(a: Matrix, b, x0=None, options: SolverOptions = SolverOptions(), driver_r
 def pcg(a: Matrix, b, x0=None, options: SolverOptions = SolverOptions(), driver_rows: int = DRIVER_ROWS) -> tuple[DataFrame, SolverReport]:
     """The same with a Jacobi preconditioner, unless options turn it off."""
     _check(a)
-    return _solve(a, b, x0, inverse_diagonal(a) if options.jacobi else None, options, None, driver_rows)
+    return _solve(a, b, x0, inverse_diagonal(a) if options.jacobi else None, options, None, driver_rows, True)
 
 
 def block_pcg(a: Matrix, b, blocks, x0=None, options: SolverOptions = SolverOptions(), driver_rows: int = DRIVER_ROWS):
@@ -254,4 +265,4 @@ def block_pcg(a: Matrix, b, blocks, x0=None, options: SolverOptions = SolverOpti
 def cg_fixed(a: Matrix, b, steps: int, x0=None, options: SolverOptions = SolverOptions(), preconditioned: bool = False, driver_rows: int = DRIVER_ROWS):
     """A fixed number of steps; the report tells at the end whether they were enough."""
     _check(a)
-    return _solve(a, b, x0, inverse_diagonal(a) if preconditioned else None, options, steps, driver_rows)
+    return _solve(a, b, x0, inverse_diagonal(a) if preconditioned else None, options, steps, driver_rows, True)

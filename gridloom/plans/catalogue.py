@@ -759,6 +759,13 @@ def pcg(spark, sf_dir):
     return _solved(iterative.pcg(a, products.spmv(a, _known(spark, a.rows)), options=_TIGHT)[0])
 
 
+@query("pcg_tables", _KNOWN)
+def pcg_tables(spark, sf_dir):
+    """Matrix and vectors as tables that are bucketed alike."""
+    a = coupling(spark, sf_dir, False)
+    return _solved(iterative.pcg(a, products.spmv(a, _known(spark, a.rows)), options=_TIGHT, driver_rows=0)[0])
+
+
 @query("block_pcg", _KNOWN)
 def block_pcg(spark, sf_dir):
     """Preconditioned by the inverses of the diagonal 1 x 1 blocks, given as a table of blocks."""
