@@ -220,13 +220,179 @@ def _wide_qr(a: Matrix, driver_elements: int) -> tuple[Matrix, Matrix]:
     return Matrix.of(a.spark, q), Matrix(turned, a.cols, m, layout=BY_ROWS).transpose()
 
 
-def eigh(a: Matrix) -> np.ndarray:
-    """Eigenvalues of a square matrix, descending; its symmetric part is taken."""
+def eigh(a: Matrix, driver_elements: int = DRIVER_ELEMENTS) -> np.ndarray:
+    """Eigenvalues of a square matrix, descending; its symmetric part is taken.
+
+    What fits the driver is decomposed there. Else reflections reduce the matrix to a band, panel
+    by panel: the driver gets the columns of a panel and finds the reflections, and every task
+    changes its rows where they are, so nothing is shuffled. The driver reduces the band to three
+    diagonals, in time n² over the band's width, and tasks find the eigenvalues in them by
+    bisection, each a range of their numbers. The driver must hold 16 columns.
+    """
     if a.rows != a.cols:
         raise ValueError("the matrix is not square")
     _some(a)
-    x = a.to_numpy()
-    return np.linalg.eigvalsh((x + x.T) / 2)[::-1]
+    if a.size <= driver_elements:
+        x = a.to_numpy(driver_elements)
+        return np.linalg.eigvalsh((x + x.T) / 2)[::-1]
+    if 16 * a.rows > DRIVER_ELEMENTS:
+        raise ValueError(f"{a.rows} rows are too many: 16 columns must fit the driver")
+    width = int(np.clip(driver_elements // a.rows, 1, 64))
+    diagonal, beside = _tridiagonal(_banded(a, width, driver_elements), width)
+    return _bisected(a.spark, diagonal, beside)[::-1]
+
+
+def _reflections(panel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """V, T and R with panel = (I - V T V') R, R upper triangular on top of zeros."""
+    r, k = panel.copy(), min(panel.shape)
+    v, t = np.zeros((len(r), k)), np.zeros((k, k))
+    for j in range(k):
+        x = r[j:, j]
+        norm = np.sqrt(np.sum(x * x))
+        if not norm:
+            continue
+        u = x.copy()
+        u[0] += np.copysign(norm, x[0])
+        tau = 2 / np.sum(u * u)
+        v[j:, j] = u
+        r[j:, j:] -= np.outer(tau * u, u @ r[j:, j:])
+        t[:j, j] = -tau * (t[:j, :j] @ (v[:, :j].T @ v[:, j]))
+        t[j, j] = tau
+    return v, t, np.triu(r[:k])
+
+
+def _banded(a: Matrix, width: int, driver_elements: int) -> np.ndarray:
+    """A matrix with the eigenvalues of a's symmetric part and `width` diagonals below the main one: line d of the result is diagonal d."""
+    n = a.rows
+    band = np.zeros((width + 1, n))
+
+    def keep(block: np.ndarray, row: int, col: int) -> None:
+        i, j = np.indices(block.shape)
+        d = row + i - col - j
+        near = (d >= 0) & (d <= width)
+        band[d[near], col + j[near]] = block[near]
+
+    turned = a.transpose()
+    halves = Matrix(a.df.unionByName(turned.df).groupBy("row", "col").agg((F.sum("v") / 2).alias("v")), n, n, sparse=a.sparse)
+    left = materialise(halves.by_rows().row_arrays(), "band")
+    at = 0
+    while (n - at) * (n - at) > driver_elements and n - at > width:
+        got = left.select("row", F.slice("values", 1, width).alias("values")).toArrow()
+        order = np.argsort(got.column("row").to_numpy())
+        head = got.column("values").combine_chunks().flatten().to_numpy().reshape(-1, width)[order]
+        v, t, r = _reflections(head[width:])
+        keep(head[:width], at, at)
+        keep(r, at + width, at)
+        first = at + width
+
+        def product(batches, v=v, t=t, first=first, size=n - at):
+            for batch in batches:
+                if batch.num_rows:
+                    values = batch.column("values").flatten().to_numpy().reshape(-1, size)[:, width:]
+                    yield products._row_arrays(batch.column("row").to_numpy(), values @ v @ t)
+
+        below = left.where(F.col("row") >= first)
+        got = below.mapInArrow(product, "row long, values array<double>").toArrow()
+        order = np.argsort(got.column("row").to_numpy())
+        y = got.column("values").combine_chunks().flatten().to_numpy().reshape(n - first, -1)[order]
+        w = y - v @ (t.T @ (v.T @ y)) / 2
+
+        def changed(batches, v=v, w=w, first=first, size=n - at):
+            for batch in batches:
+                if batch.num_rows:
+                    row = batch.column("row").to_numpy()
+                    values = batch.column("values").flatten().to_numpy().reshape(-1, size)[:, width:]
+                    yield products._row_arrays(row, values - w[row - first] @ v.T - v[row - first] @ w.T)
+
+        after = materialise(below.mapInArrow(changed, "row long, values array<double>"), "band")
+        drop_folders(a.spark, folders_of(left))
+        left, at = after, first
+    rest = np.zeros((n - at, n - at))
+    for row in left.toLocalIterator():
+        rest[row["row"] - at] = row["values"]
+    drop_folders(a.spark, folders_of(left))
+    while len(rest):
+        keep(rest[:width, :width], at, at)
+        if len(rest) > width:
+            v, t, r = _reflections(rest[width:, :width])
+            keep(r, at + width, at)
+            y = rest[width:, width:] @ v @ t
+            w = y - v @ (t.T @ (v.T @ y)) / 2
+            rest = rest[width:, width:] - w @ v.T - v @ w.T
+        else:
+            rest = rest[:0]
+        at += width
+    return band
+
+
+def _tridiagonal(band: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The main diagonal and the one beside it after rotations that keep the eigenvalues.
+
+    A reflection clears a column below the second diagonal; what it fills in further down is chased off the end.
+    """
+    n = band.shape[1]
+    # lines around the diagonal, wide enough for what is filled in: line d + 2 width of `full` is the diagonal d
+    reach = 2 * width
+    full = np.zeros((n + reach, 2 * reach + 1))  # row i, column i + d - reach
+    for d in range(width + 1):
+        i = np.arange(n - d)
+        full[i + d, reach - d] = band[d, : n - d]
+        full[i, reach + d] = band[d, : n - d]
+
+    def window(rows: slice, cols: slice) -> np.ndarray:
+        """A view of a block inside the lines, as the skewed store has it."""
+        s0, s1 = full.strides
+        offset = rows.start * s0 + (cols.start - rows.start + reach) * s1
+        return np.ndarray((rows.stop - rows.start, cols.stop - cols.start), full.dtype, full.data, offset, (s0 - s1, s1))
+
+    for j in range(n - 2 if width > 1 else 0):
+        col, top = j, j + 1
+        while top < n - 1:
+            end = min(top + width, n)
+            x = window(slice(top, end), slice(col, col + 1))[:, 0]
+            norm = np.sqrt(np.sum(x * x))
+            if norm and np.any(x[1:]):
+                u = x.copy()
+                u[0] += np.copysign(norm, x[0])
+                tau = 2 / np.sum(u * u)
+                left, right = max(col, 0), min(end + width, n)
+                rows = window(slice(top, end), slice(left, right))
+                rows -= np.outer(tau * u, u @ rows)
+                cols = window(slice(left, right), slice(top, end))
+                cols -= np.outer(cols @ u, tau * u)
+            col, top = top, top + width
+    return full[:n, reach].copy(), full[: n - 1, reach + 1].copy()
+
+
+def _bisected(spark, diagonal: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Eigenvalues of a symmetric tridiagonal matrix, ascending: how many lie below a number is the count of negative pivots."""
+    n = len(diagonal)
+    radius = np.append(np.abs(beside), 0) + np.append(0, np.abs(beside))
+    low, high = float((diagonal - radius).min()), float((diagonal + radius).max())
+    least = max(np.finfo(float).tiny, float((beside * beside).max(initial=0.0)) * np.finfo(float).tiny)
+    squares = np.append(0.0, beside * beside)
+
+    def found(batches):
+        for batch in batches:
+            number = batch.column("id").to_numpy()
+            a, b = np.full(len(number), low), np.full(len(number), high)
+            for _ in range(80):
+                x = (a + b) / 2
+                if np.all((x <= a) | (x >= b)):
+                    break
+                below, pivot = np.zeros(len(number), np.int64), np.ones(len(number))
+                for d, e in zip(diagonal.tolist(), squares.tolist()):
+                    pivot = d - x - e / pivot
+                    pivot = np.where(np.abs(pivot) < least, -least, pivot)
+                    below += pivot < 0
+                more = below > number  # this eigenvalue lies below x
+                a, b = np.where(more, a, x), np.where(more, x, b)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array((a + b) / 2)], ["id", "v"])
+
+    got = spark.range(n).mapInArrow(found, "id long, v double").toArrow()
+    out = np.zeros(n)
+    out[got.column("id").to_numpy()] = got.column("v").to_numpy()
+    return np.sort(out)
 
 
 def _pivoted(panel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
