@@ -681,6 +681,24 @@ def qr_upper_triangle(spark, sf_dir):
     return found
 
 
+@query(
+    "eigh_ring",
+    """WITH ring AS (SELECT count(*) AS n FROM supplier)
+       SELECT CAST(row_number() OVER (ORDER BY v DESC) - 1 AS BIGINT) AS idx, round(v, 6) + 0.0::DOUBLE AS v
+       FROM (SELECT 2 * cos(2 * pi() * k / n) + 2 * cos(14 * pi() * k / n) AS v FROM ring, LATERAL (SELECT unnest(range(n)) AS k))""",
+)
+def eigh_ring(spark, sf_dir):
+    """Suppliers in a ring, each linked to the next and to the seventh next: all eigenvalues, of which 16 columns at a time reach the driver."""
+    own = table(spark, sf_dir, "supplier").select("s_suppkey")
+    low, n = own.agg(F.min("s_suppkey"), F.count(F.lit(1))).first()
+    row = F.col("s_suppkey") - low
+    steps = F.explode(F.array(*map(F.lit, (1, -1, 7, -7)))).alias("step")
+    cells = own.select(row.cast("long").alias("row"), steps).select("row", F.pmod(F.col("row") + F.col("step"), F.lit(n)).cast("long").alias("col"))
+    a = Matrix(cells.groupBy("row", "col").agg(F.count(F.lit(1)).cast("double").alias("v")), n, n, sparse=True)
+    found = dense.eigh(a, driver_elements=16 * n)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(found)], "idx bigint, v double").select("idx", (r6("v") + 0.0).alias("v"))
+
+
 @query(
     "eigh_gram",
     f"WITH {EMB}, g AS (SELECT a.col AS i, b.col AS j, sum(a.v * b.v) AS v FROM emb a JOIN emb b ON a.row = b.row GROUP BY ALL) SELECT CAST(64 AS BIGINT) AS n, round(sum(v) FILTER (WHERE i = j), 4) AS trace, round(sum(v * v) / 1000, 4) AS squares FROM g",
