@@ -213,3 +213,50 @@ def test_columns(docs_of):
     assert same[0] == same[1]
     assert media.decode_media(media.store_texts(docs_of([]))).count() == 0
     assert media.store_texts(docs_of([(1, "t", b"m")], "doc_id long, text string, media binary")).columns == ["doc_id", "n_bytes", "media"]
+
+
+def test_store_codes_by_the_payloads_own_symbols(monkeypatch):
+    """Codes of several lengths, other ones for other texts, and coefficients that only a refinement makes known; all of it read at once."""
+    texts = [b"It was the best of times, it was the worst of times. " * 12, "Größe und Übermaß, 終わり。".encode() * 20]
+    payloads = [t.ljust(-(-len(t) // 64) * 64, b"\0") for t in texts]
+    tables, added = set(), 0
+    monkeypatch.setattr(jpeg.Scan, "_decode_units", lambda *a: pytest.fail("not read at once"))
+    refine = jpeg.Scan._refined_at_once
+
+    def watched(self, data, ix):
+        nonlocal added
+        before = np.count_nonzero(self.parts[0][0].blocks)
+        done = refine(self, data, ix)
+        tables.add((self.parts[0][2].counts, self.parts[0][2].symbols))
+        added += np.count_nonzero(self.parts[0][0].blocks) - before
+        return done
+
+    monkeypatch.setattr(jpeg.Scan, "_refined_at_once", watched)
+    for payload in payloads:
+        assert jpeg.payload_of(jpeg.decode(jpeg.encode_payload(payload))) == payload
+    near = 0
+    for payload in payloads:
+        data = np.frombuffer(payload, np.uint8).astype(int)
+        near += np.count_nonzero(np.abs(data.reshape(-1, 64)[:, 1:] - np.sort(data)[(len(data) - 1) // 2]) == 1)
+    assert len(tables) == 2 and added == near > 0
+    assert all(sum(n > 0 for n in counts) > 1 for counts, _ in tables)
+
+
+def test_features_against_an_independent_transform():
+    """The tensor of a stored text, recomputed by the definition of the transform, repetition of chroma and the colour equations."""
+    payload = (b"A text that is stored and read back, in colour. " * 40)[: 64 * 24]
+    frame = jpeg.decode(jpeg.encode_payload(payload))
+    k, x = np.arange(8)[:, None], np.arange(8)[None, :]
+    c = np.where(k == 0, np.sqrt(0.5), 1.0) / 2 * np.cos((2 * x + 1) * k * np.pi / 16)
+    planes = []
+    for part in frame.components:
+        natural = np.zeros(part.blocks.shape)
+        natural[:, jpeg.ZIGZAG] = part.blocks
+        samples = np.einsum("nuv,ux,vy->nxy", natural.reshape(-1, 8, 8), c, c) + 128
+        planes.append(np.clip(np.rint(samples), 0, 255).reshape(part.high, part.wide, 8, 8).swapaxes(1, 2).reshape(part.high * 8, part.wide * 8))
+    y, cb, cr = planes[0], *(p.repeat(2, axis=0).repeat(2, axis=1) - 128 for p in planes[1:])
+    rgb = np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2), 0, 255)
+    got = frame.rgb()
+    assert np.abs(rgb[: got.shape[0], : got.shape[1]] - got).max() <= 2
+    means = rgb[: got.shape[0], : got.shape[1]].mean(axis=(0, 1))
+    assert np.allclose([jpeg.features(got)[i] for i in (0, 2, 4)], means, atol=0.6)
