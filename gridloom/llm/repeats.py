@@ -76,14 +76,18 @@ class Segments:
 
 
 def segments(data: np.ndarray, ends: np.ndarray, rule: Rule, with_digest: bool = False) -> Segments:
-    """The segments of texts laid end to end in data, text i ending at ends[i]; no window crosses an end."""
+    """The segments of texts laid end to end in data, text i ending at ends[i]; no window crosses an end.
+
+    A chunk ends where a segment does, so the segments of a text do not depend on where in data it lies.
+    """
     k, w, low = rule.least, rule.least - rule.gram + 1, U((1 << 20) - 1)
     found = []
     closing = np.zeros(len(data) + 1, bool)  # windows that cross the end of their text
     for back in range(1, k):
         closing[ends[ends >= back] - back] = True
-    for at in range(0, len(data) - k + 1, CHUNK):
-        part = data[at : at + CHUNK + k - 1]
+    at = 0
+    while at <= len(data) - k:
+        part = data[at : at + max(CHUNK, 2 * w) + k - 1]
         n = len(part) - k + 1
         value = _mixed(_substrings(part, rule.gram))
         packed = (value & ~low) | np.arange(len(value), dtype=np.uint64)
@@ -101,11 +105,14 @@ def segments(data: np.ndarray, ends: np.ndarray, rule: Rule, with_digest: bool =
         stop = np.ones(n, bool)
         stop[:-1] = (best[1:] != best[:-1]) | ~open_[1:]
         last = np.flatnonzero(stop & open_)
+        if at + n <= len(data) - k and len(last) and last[-1] == n - 1:  # goes on in the next chunk: begins it
+            n, first, last = int(first[-1]), first[:-1], last[:-1]
         digest = None
         if with_digest:
             sums = np.concatenate(([U(0)], np.cumsum(_TABLE[part] * _UP[: len(part)])))
             digest = _mixed((sums[last + k] - sums[first]) * _DOWN[first] + (last + k - first).astype(np.uint64))
         found.append((first + at, last + k + at, value[best[first]], digest))
+        at += n
     if not found:
         none = np.empty(0, np.int64)
         return Segments(none, none, none.astype(np.uint64), none.astype(np.uint64))
@@ -120,7 +127,7 @@ def _laid_out(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     _, offsets, raw = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
-    return data, offsets[1:] - offsets[0], table.column("doc_id").combine_chunks().to_numpy(zero_copy_only=False)
+    return data, offsets[1:] - offsets[0], table.column("doc_id").fill_null(int(LAST)).combine_chunks().to_numpy(zero_copy_only=False)
 
 
 def _keys(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -404,10 +411,10 @@ def _kept(table: pa.Table, found: pa.Table, rule: Rule) -> pa.Table:
         a = b = np.empty(0, np.int64)
     cut = np.searchsorted(a, np.concatenate((begins, [len(data)])))
     rows = []
-    for i, doc_id in enumerate(doc.tolist()):
+    for i, doc_id in enumerate(table.column("doc_id").to_pylist()):
         s, e = begins[i], ends[i]
         x = slice(cut[i], np.searchsorted(a, e))
-        rows.append((None if doc_id == LAST else doc_id, e - s, data[s:e][~gone[s:e]].tobytes(), (a[x] - s).tolist(), (b[x] - s).tolist()))
+        rows.append((doc_id, e - s, data[s:e][~gone[s:e]].tobytes(), (a[x] - s).tolist(), (b[x] - s).tolist()))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), KEPT)], schema=KEPT)
 
 
@@ -436,7 +443,7 @@ def remove_repeats(docs: DataFrame, rule: Rule = Rule(), groups: int | None = No
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     groups, buckets = groups or max(2 * n, size // GROUP_BYTES), buckets or max(n, size // BUCKET_BYTES)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).groupBy("g")
     offers = texts.applyInArrow(lambda t: _offered(t, rule, buckets), OFFERS_DDL)
     answers = offers.groupBy("bucket").applyInArrow(lambda t: _answered(t), ANSWERS_DDL)

@@ -88,6 +88,28 @@ def test_long_texts_cross_chunks(docs_of, monkeypatch):
     assert found(docs_of(rows)) == brute(rows)
 
 
+def test_segments_do_not_depend_on_the_order_of_texts(monkeypatch):
+    """Each step reads the rows of a group anew, and a shuffle gives them in any order."""
+    texts = [t.encode() for _, t in corpus(12)]
+
+    def pieces(order):
+        data, ends = np.frombuffer(b"".join(texts[i] for i in order), np.uint8), np.cumsum([len(texts[i]) for i in order])
+        cut = R.segments(data, ends, R.Rule(), with_digest=True)
+        text = np.searchsorted(ends, cut.start, "right")
+        begin = np.concatenate(([0], ends))[text]
+        return sorted(zip(np.array(order)[text].tolist(), (cut.start - begin).tolist(), (cut.end - begin).tolist(), cut.digest.tolist()))
+
+    whole = pieces(list(range(len(texts))))
+    monkeypatch.setattr(R, "CHUNK", 100)
+    for seed in range(5):
+        assert pieces(random.Random(seed).sample(range(len(texts)), len(texts))) == whole
+
+
+def test_the_largest_doc_id_is_not_null(docs_of):
+    rows = [(2**63 - 1, "t" * 60), (None, "u" * 60), (5, "t" * 55)]
+    assert found(docs_of(rows)) == brute(rows)
+
+
 def test_groups_are_maximal_and_complete():
     rng = random.Random(2)
     rule = R.Rule(6, 2)
