@@ -126,3 +126,8 @@ def test_sparse_matrices(spark):
     total = {(r["row"], r["col"]): r["v"] for r in (a + b).df.collect()}
     assert total[0, 1] == 7.0 and total[1, 0] == 7.0 and np.isnan(total[2, 2]) and len(total) == 3
     assert (b - a).transpose().get(0, 1) == 7.0 and (a + Matrix.filled(spark, 3, 3, 1.0)).df.count() == 9
+
+
+def test_a_null_divisor_gives_null(spark):
+    made = spark.sql("SELECT CAST(1 AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS d").select(C.ieee_divide(F.col("n"), F.col("d")).alias("v"))
+    assert made.first()["v"] is None
