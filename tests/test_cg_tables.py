@@ -91,3 +91,18 @@ def test_fixed_steps_zero_residual_and_breakdown(spark, system):
     assert set(folder.iterdir()) == there and not spark.sql("SHOW TABLES LIKE 'gridloom*'").count()
     with pytest.raises(RuntimeError, match="no convergence"):
         I.cg(matrix, vector(spark, a @ x), options=I.SolverOptions(1, 1e-12, require_convergence=True), driver_rows=0)
+
+
+def test_neighbours_are_added_up_before_the_shuffle(spark, monkeypatch):
+    """Four groups of 64 linked indices: a block of columns gives one sum for each row of its group, not one for each column."""
+    n, group = 256, 64
+    cells = spark.range(n * group).selectExpr(f"id div {group} AS row", f"id div {group * group} * {group} + id % {group} AS col", "1.0D AS v")
+    tables = cg_tables.Tables(spark, 4)
+    operand = cg_tables.Operand(tables, Matrix(cells, n, n, sparse=True))
+    dealt, real = [], type(cells).repartition
+    monkeypatch.setattr(type(cells), "repartition", lambda self, *to: dealt.append(self.count()) or real(self, *to))
+    vector = spark.range(n).selectExpr("id AS row", "CAST(id AS DOUBLE) AS x")
+    got = {r["row"]: r["y"] for r in operand.times(vector, cg_tables.F.col("x")).collect()}
+    tables.drop(*list(tables.made))
+    assert got == {i: float(sum(range(i // group * group, i // group * group + group))) for i in range(n)}
+    assert dealt == [64 * group]  # 64 blocks of four columns, 64 rows each; single columns give 256 * 64
