@@ -84,3 +84,14 @@ def test_products_of_many_ids_leave_in_pieces(monkeypatch):
     made = L._products(Pairs(), 2, 1)
     assert max(len(b.column("values").flatten()) for b in made) <= 3 * 1000
     assert sum(b.num_rows for b in made) == 50 * 20 * 20
+
+
+def test_implicit_products_touch_few_rows_in_a_task(spark):
+    """Ids in four groups, each with primaries of its own: a task of neighbouring ids meets those of one or two groups."""
+    rows = [(k, [k // 50 * 10 + k % 10], k, [[1.0]], [1.0], [1.0], None) for k in range(200)]
+    eq = L.NormalEquations.of(L.residual_table(spark, rows), 40, 200, 1, 1)
+    inverses, _ = L._inverses(L._damped_blocks(eq.blocks("ee"), 200, 1, 0.5, 1e-3), 1)
+    operator = L._Implicit(eq, inverses, eq.blocks("pp").limit(0))
+    met = operator.cross.selectExpr("spark_partition_id() AS task", "i").distinct().count()
+    operator.release()
+    assert met <= 40 + 3 * 10  # three borders inside groups at most; 160 where ids are dealt out by hash
