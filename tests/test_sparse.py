@@ -107,3 +107,21 @@ def test_ordered_sums_stream(spark):
         batches = [pa.RecordBatch.from_pydict({"row": row[a : a + step], "col": np.zeros(len(row[a : a + step]), np.int64), "v": v[a : a + step]}) for a in range(0, len(row), step)]
         got = [t for b in _ordered_sums(iter(batches)) for t in zip(*(c.to_pylist() for c in b.columns))]
         assert got == expected
+
+
+def test_sparse_products_are_added_up_by_ranges_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.where(rng.uniform(size=(90, 40)) < 0.2, rng.integers(-4, 5, (90, 40)), 0).astype(float)
+    x[:, 3] = rng.integers(1, 5, 90)  # a row of the product with very many terms
+    r, c = np.nonzero(x)
+    cells = spark.createDataFrame(list(zip(r.tolist(), c.tolist(), x[r, c].tolist())), "row bigint, col bigint, v double")
+    a = Matrix(cells, 90, 40, sparse=True)
+    monkeypatch.setattr(P, "PIECE", 50)
+    for terms in (300, 1 << 20):  # dealt out by inner index, and not
+        monkeypatch.setattr(P, "TERMS", terms)
+        got = P.gram(a)
+        assert np.array_equal(got.to_numpy(), x.T @ x)
+        assert got.df.count() == got.df.select("row", "col").distinct().count() == np.count_nonzero((x != 0).astype(int).T @ (x != 0).astype(int))
+        assert "FlatMapCoGroupsInArrow" in got.df._jdf.queryExecution().executedPlan().toString()
+    none = P.gemm(Matrix(cells.limit(0), 40, 90, sparse=True), a)
+    assert none.sparse and none.df.count() == 0
