@@ -112,6 +112,22 @@ def test_medians_by_narrowing(spark, most):
     assert len(got) == len({g for g, _ in rows})
 
 
+def test_medians_move_no_values(spark, monkeypatch):
+    """No join deals values out by group, as one task would get all of a group and sort them."""
+    plans = []
+    real = R.materialise
+    monkeypatch.setattr(R, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or real(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = spark.range(4000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
+        found = R.finite_medians(table, F.col("x"), ["g"], 50)
+        plans.append(found._jdf.queryExecution().toString())
+        assert {r["g"]: r["v"] for r in found.collect()} == {0: 1999.0, 1: 2000.0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) > 2 and not any("SortMergeJoin" in p for p in plans)
+
+
 def test_strict_mean_in_levels(spark, monkeypatch):
     """90 numbers and their opposites, of like size, and ones: what a level loses goes on to the next."""
     monkeypatch.setattr(R, "CHUNK", 4)
