@@ -1,9 +1,13 @@
 import math
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gridloom import matrix
 from gridloom.matrix import Matrix
+from gridloom.operators import elementwise, rows, sparse
 from gridloom.operators import products as P
 from gridloom.operators import sparse as S
 
@@ -125,3 +129,33 @@ def test_sparse_products_are_added_up_by_ranges_of_rows(spark, monkeypatch):
         assert "FlatMapCoGroupsInArrow" in got.df._jdf.queryExecution().executedPlan().toString()
     none = P.gemm(Matrix(cells.limit(0), 40, 90, sparse=True), a)
     assert none.sparse and none.df.count() == 0
+
+
+def _tasks(df):
+    """The partitions into which df's plan deals rows by hash."""
+    return [int(n) for n in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_more_elements_make_more_tasks(spark, monkeypatch):
+    """What a task groups, sorts or joins does not grow with the elements."""
+    monkeypatch.setattr(matrix, "TASK_ROWS", 50)
+    monkeypatch.setattr(rows, "BROADCAST_ROWS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        triplets = sparse.Triplets.of(spark, 40, 30, [(i * 7 % 40, i * 11 % 30, i) for i in range(1000)])
+        idx = spark.range(20).select(F.col("id").alias("ord"), (F.col("id") * 2).alias("idx"))
+        a = sparse.combine(triplets, ordered=False)
+        full = a.to_numpy()
+        moved = full.copy()
+        moved[np.arange(20) * 2] = -full[:20]
+        for got, expected in (
+            (a, full),
+            (sparse.combine(triplets), full),
+            (elementwise.sub(a, elementwise.scalar_multiply(sparse.combine(triplets), 3.0)), -2 * full),
+            (rows.scatter_rows(elementwise.scalar_multiply(a, -1.0), idx, a), moved),
+        ):
+            assert np.array_equal(got.to_numpy(), expected)
+            assert _tasks(got.df).count(20) > 0 and all(n == 20 or n == 4 for n in _tasks(got.df))
+        assert 4 not in _tasks(a.df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
