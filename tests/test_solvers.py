@@ -1,8 +1,10 @@
 import pathlib
+import re
 
 import numpy as np
 import pytest
 
+from gridloom import matrix
 from gridloom.matrix import Matrix
 from gridloom.operators import iterative as I
 from gridloom.operators import leastsquares as L
@@ -212,3 +214,18 @@ def test_a_kept_pattern_saves_stages(spark, monkeypatch):
     assert stages[1] < stages[0] and stages[2] == stages[1] and workspace.pattern_builds == 1
     workspace.clear()
     assert not L.solve_damped(eq, 0.1, L.SchurOptions("dense", **TIGHT), workspace=workspace)[0].pattern_reused
+
+
+def test_more_products_make_more_tasks(spark, monkeypatch):
+    """Sums by block are dealt out to as many tasks as keep each small, also where two are merged."""
+    rows = cameras_and_points(spark)
+    few = L.NormalEquations.of(L.residual_table(spark, rows), 36, 240, 9, 3)
+    monkeypatch.setattr(matrix, "TASK_ROWS", len(rows) // 4)
+    halves = [L.NormalEquations.of(L.residual_table(spark, rows[k::2]), 36, 240, 9, 3) for k in range(2)]
+    whole = halves[0].merge(halves[1])
+    plan = whole.table._jdf.queryExecution().executedPlan().toString()
+    tasks = {int(n) for n in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\)", plan)}
+    assert tasks == {-(-eq.most // (len(rows) // 4)) for eq in (whole, *halves)} and min(tasks) > 4
+    values = lambda eq: {(r["part"], r["i"], r["j"], r["at"]): r["v"] for r in eq.sums.collect()}
+    one, two = values(few), values(whole)
+    assert one.keys() == two.keys() and all(np.isclose(one[k], two[k]) for k in one)
