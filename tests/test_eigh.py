@@ -44,3 +44,41 @@ def test_closed_form_of_a_grid(spark):
     one = 2 - 2 * np.cos(np.arange(1, n + 1) * np.pi / (n + 1))
     got = dense.eigh(Matrix.of(spark, grid), driver_elements=1000)
     assert np.allclose(got, np.sort((one[:, None] + one).ravel())[::-1], atol=1e-11)
+
+
+@pytest.mark.parametrize("n, w", [(1, 1), (3, 2), (5, 4), (40, 7), (130, 30), (77, 1)])
+def test_a_band_becomes_three_diagonals(n, w):
+    rng = np.random.default_rng(n)
+    band, full = np.zeros((w + 1, n)), np.zeros((n, n))
+    for d in range(min(w + 1, n)):
+        band[d, : n - d] = rng.normal(size=n - d)
+        full += np.diag(band[d, : n - d], -d) + (np.diag(band[d, : n - d], d) if d else 0)
+    a, b = dense._tridiagonal(band, w)
+    assert np.allclose(np.linalg.eigvalsh(np.diag(a) + np.diag(b, 1) + np.diag(b, -1)), np.linalg.eigvalsh(full), atol=1e-11)
+
+
+def test_sparse_matrices_near_the_diagonal_are_not_filled(spark, monkeypatch):
+    """Rings and grids in a mixed order, not symmetric, with rows apart: no full matrix is written."""
+    monkeypatch.setattr(dense, "materialise", lambda df, name: pytest.fail("written"))
+    n, rng = 90, np.random.default_rng(4)
+    full = np.zeros((n, n))
+    for i in range(60):
+        for step in (1, 7):
+            full[i, (i + step) % 60] += rng.normal()
+    for i in range(60, 80):
+        full[i, i - 1 if i > 60 else i] = 1.0
+    full[85, 85] = -3.0
+    mixed = rng.permutation(n)
+    full = full[np.ix_(mixed, mixed)]
+    r, c = np.nonzero(full)
+    cells = spark.createDataFrame(list(zip(r.tolist(), c.tolist(), full[r, c].tolist())), "row bigint, col bigint, v double")
+    got = dense.eigh(Matrix(cells, n, n, sparse=True), driver_elements=300)
+    assert np.allclose(got, np.linalg.eigvalsh((full + full.T) / 2)[::-1], atol=1e-11)
+
+
+def test_wide_sparse_matrices_go_through_panels(spark):
+    rng = np.random.default_rng(5)
+    full = rng.normal(size=(150, 150))
+    cells = Matrix.of(spark, full).df
+    got = dense.eigh(Matrix(cells, 150, 150, sparse=True), driver_elements=6000)
+    assert np.allclose(got, np.linalg.eigvalsh((full + full.T) / 2)[::-1], atol=1e-10)
