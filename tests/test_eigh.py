@@ -46,7 +46,7 @@ def test_closed_form_of_a_grid(spark):
     assert np.allclose(got, np.sort((one[:, None] + one).ravel())[::-1], atol=1e-11)
 
 
-@pytest.mark.parametrize("n, w", [(1, 1), (3, 2), (5, 4), (40, 7), (130, 30), (77, 1)])
+@pytest.mark.parametrize("n, w", [(1, 1), (3, 2), (5, 4), (40, 7), (130, 30), (77, 1), (700, 2)])
 def test_a_band_becomes_three_diagonals(n, w):
     rng = np.random.default_rng(n)
     band, full = np.zeros((w + 1, n)), np.zeros((n, n))
