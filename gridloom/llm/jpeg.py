@@ -8,6 +8,8 @@ depend on what is known, but all corrections and new coefficients are set togeth
 left (restarts, sequential files) is decoded coefficient by coefficient.
 
 The store codes a text's bytes by Huffman tables made for that text, as any optimising encoder.
+
+Small files are coded, decoded and transformed many at a time, with the same results as one by one.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from __future__ import annotations
 import math
 import re
 import struct
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 
@@ -57,6 +62,24 @@ def _transformed(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _samples(values: np.ndarray) -> np.ndarray:
+    """Samples (uint8), row-major, of blocks of quantised coefficients."""
+    samples = np.floor((_transformed(values) + (1 << (SCALE - 1))) * (1.0 / (1 << SCALE)))
+    return np.clip(samples + 128, 0, 255).astype(np.uint8)
+
+
+def _colour(planes: list[np.ndarray], out: np.ndarray) -> None:
+    """Fill an array of RGB with samples of its size: grey, or luma and two of chroma."""
+    if len(planes) == 1:
+        out[:] = planes[0][..., None]
+        return
+    half = 1 << 15
+    y, cb, cr = planes[0].astype(np.int32) << 16, planes[1].astype(np.int32) - 128, planes[2].astype(np.int32) - 128
+    out[..., 0] = np.clip((y + 91881 * cr + half) >> 16, 0, 255)
+    out[..., 1] = np.clip((y - 22554 * cb - 46802 * cr + half) >> 16, 0, 255)
+    out[..., 2] = np.clip((y + 116130 * cb + half) >> 16, 0, 255)
+
+
 @dataclass
 class Component:
     id: int
@@ -67,6 +90,7 @@ class Component:
     high: int = 0
     own_wide: int = 0  # blocks in a row that scans of this component alone hold
     own_high: int = 0
+    base: int = 0  # its first block among those of files decoded together
     blocks: np.ndarray = field(default_factory=lambda: np.zeros((0, 64), np.int16))
 
 
@@ -78,6 +102,13 @@ class Frame:
     quantisers: dict[int, np.ndarray]
     comments: list[bytes]
 
+    def sampling(self) -> tuple[int, int]:
+        """Blocks of an MCU, across and down, of the component that has most."""
+        top_h, top_v = max(c.h for c in self.components), max(c.v for c in self.components)
+        if any(top_h % c.h or top_v % c.v for c in self.components):
+            raise ValueError("fractional sampling factors are not supported")
+        return top_h, top_v
+
     def planes(self) -> list[np.ndarray]:
         """Samples (uint8) of each component at its own resolution, by the inverse transform in numpy, in bands of block rows."""
         out = []
@@ -86,20 +117,16 @@ class Frame:
             step = max(1, BAND_BLOCKS // c.wide)
             for at in range(0, c.high, step):
                 values = c.blocks[at * c.wide : (at + step) * c.wide] * self.quantisers[c.table]
-                samples = np.floor((_transformed(values) + (1 << (SCALE - 1))) * (1.0 / (1 << SCALE)))
-                plane[at : at + step] = np.clip(samples + 128, 0, 255).reshape(-1, c.wide, 8, 8).swapaxes(1, 2)
+                plane[at : at + step] = _samples(values).reshape(-1, c.wide, 8, 8).swapaxes(1, 2)
             out.append(plane.reshape(c.high * 8, c.wide * 8))
         return out
 
     def rgb(self) -> np.ndarray:
         """Full-resolution RGB, uint8 of shape (height, width, 3); chroma is upsampled by repetition, band by band."""
-        top_h, top_v = max(c.h for c in self.components), max(c.v for c in self.components)
-        if any(top_h % c.h or top_v % c.v for c in self.components):
-            raise ValueError("fractional sampling factors are not supported")
+        top_h, top_v = self.sampling()
         planes = self.planes()
         out = np.empty((self.height, self.width, 3), np.uint8)
         step = max(1, BAND_BLOCKS * 64 // (self.width * top_v)) * top_v
-        half = 1 << 15
         for at in range(0, self.height, step):
             n = min(step, self.height - at)
             full = []
@@ -108,13 +135,7 @@ class Frame:
                 part = plane[at // down : -(-(at + n) // down)]
                 big = part.repeat(down, axis=0).repeat(across, axis=1) if (down, across) != (1, 1) else part
                 full.append(big[:n, : self.width])
-            if len(full) == 1:
-                out[at : at + n] = full[0][:, :, None]
-                continue
-            y, cb, cr = full[0].astype(np.int32) << 16, full[1].astype(np.int32) - 128, full[2].astype(np.int32) - 128
-            out[at : at + n, :, 0] = np.clip((y + 91881 * cr + half) >> 16, 0, 255)
-            out[at : at + n, :, 1] = np.clip((y - 22554 * cb - 46802 * cr + half) >> 16, 0, 255)
-            out[at : at + n, :, 2] = np.clip((y + 116130 * cb + half) >> 16, 0, 255)
+            _colour(full, out[at : at + n])
         return out
 
 
@@ -164,20 +185,28 @@ class Table:
     def look(self) -> list[int]:
         return self.found.tolist()
 
-    def _steps(self, extra: np.ndarray) -> np.ndarray:
-        return np.where(self.found > 0, (self.found >> 8) + extra, NO_CODE).astype(np.uint8)
-
     @cached_property
     def dc_steps(self) -> np.ndarray:
-        """Bits of the code and of the value behind it; NO_CODE where there is none."""
-        return self._steps(self.found & 255)
+        return _dc_steps(self.found)
 
     @cached_property
     def ac_steps(self) -> np.ndarray:
-        """The same for ACs: the bits behind a code are a value's, or those of the length of a run of ended blocks."""
-        symbol = self.found & 255
-        run, size = symbol >> 4, symbol & 15
-        return self._steps(np.where(size > 0, size, np.where(run < 15, run, 0)))
+        return _ac_steps(self.found)
+
+
+def _steps(found: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    return np.where(found > 0, np.minimum((found >> 8) + extra, NO_CODE), NO_CODE).astype(np.uint8)
+
+
+def _dc_steps(found: np.ndarray) -> np.ndarray:
+    """Bits of the code and of the value behind it; NO_CODE where there is none."""
+    return _steps(found, found & 255)
+
+
+def _ac_steps(found: np.ndarray) -> np.ndarray:
+    """The same for ACs: the bits behind a code are a value's, or those of the length of a run of ended blocks."""
+    run, size = found >> 4 & 15, found & 15
+    return _steps(found, np.where(size > 0, size, np.where(run < 15, run, 0)))
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -368,66 +397,8 @@ class Scan:
         return True
 
     def _refined_at_once(self, data: np.ndarray, ix: np.ndarray) -> bool:
-        """Symbols one by one; the corrections behind each, and all new coefficients, at once.
-
-        Places that are still zero are numbered through all blocks, so a symbol leads to a number,
-        and the corrections behind it are as many as places are known between.
-        """
-        (c, _, table), band = self.parts[0], self.last - self.first + 1
-        part = c.blocks[ix, self.first : self.last + 1].ravel()
-        known = part != 0
-        zero = np.flatnonzero(~known)
-        places, ends = zero.tolist(), np.concatenate([[0], np.cumsum((~known).reshape(-1, band).sum(axis=1))]).tolist()
-        words, look, shift = _words(data).tolist(), table.look, 24 - table.width
-        mask, blocks = (1 << table.width) - 1, len(ix)
-        p = z = done = block = 0
-        new, signs, starts, stops = [], [], [], []
-        try:
-            while block < blocks:
-                found = look[words[p >> 3] >> (shift - (p & 7)) & mask]
-                if not found:
-                    raise ValueError("a code that is in no table")
-                p += found >> 8
-                zeros, size = found >> 4 & 15, found & 15
-                if not size and zeros < 15:
-                    block += 1 << zeros
-                    if zeros:
-                        block += (words[p >> 3] >> (8 - (p & 7)) & 65535) >> (16 - zeros)
-                        p += zeros
-                    block = min(block, blocks)
-                    z = ends[block]
-                    reached = block * band - z
-                else:
-                    z += zeros
-                    if z >= ends[block + 1]:
-                        raise ValueError("a scan leads beyond a block")
-                    if size:
-                        new.append(z)
-                        signs.append(p)
-                        p += 1
-                    place = places[z]
-                    reached = place - z
-                    z += 1
-                    if place == (block + 1) * band - 1:
-                        block += 1
-                if reached > done:
-                    starts.append(p)
-                    p += reached - done
-                    stops.append(p)
-                    done = reached
-        except IndexError as e:
-            raise EOFError("a scan ends early") from e
-        if p > 8 * len(data):
-            raise EOFError("a scan ends early")
-        flat, one = np.unpackbits(data), np.int16(1 << self.low)
-        edges = np.zeros(len(flat) + 1, np.int8)
-        edges[starts] = 1
-        edges[stops] -= 1
-        held = part[known]
-        fresh = flat[np.cumsum(edges[:-1], dtype=np.int8).view(bool)] * ((np.abs(held) >> self.low) & 1 == 0)
-        part[known] = held + np.where(held > 0, fresh, -fresh.astype(np.int16)) * one
-        part[zero[new]] = np.where(flat[signs], one, -one)
-        c.blocks[ix, self.first : self.last + 1] = part.reshape(-1, band)
+        c, _, table = self.parts[0]
+        _refined(c.blocks, ix, [len(ix)], _Joined.of([data], [table]), self.first, self.last, self.low)
         return True
 
     def _decode_units(self, bits: Bits, order, units: range) -> None:
@@ -504,19 +475,32 @@ class Scan:
 
 def decode(data: bytes) -> Frame:
     """Coefficients of a baseline, extended or progressive Huffman-coded JPEG of 8 bits; ValueError or EOFError if it is damaged."""
+    with _damage():
+        frame, scans = _parsed(data)
+        for c in frame.components:
+            c.blocks = np.zeros((c.wide * c.high, 64), np.int16)
+        for scan, coded in scans:
+            scan.decode(coded)
+        return frame
+
+
+@contextmanager
+def _damage():
     try:
-        return _decode(data)
+        yield
     except (IndexError, KeyError, TypeError, AttributeError, OverflowError, struct.error) as e:
         raise ValueError("a damaged JPEG") from e
 
 
-def _decode(data: bytes) -> Frame:
+def _parsed(data: bytes) -> tuple[Frame, list[tuple[Scan, bytes]]]:
+    """The frame, yet without blocks, and its scans with their coded data."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     at, frame, restart = 2, None, 0
     tables: dict[tuple[int, int], Table] = {}
     quantisers: dict[int, np.ndarray] = {}
     comments: list[bytes] = []
+    scans: list[tuple[Scan, bytes]] = []
     while True:
         found = _MARKER.search(data, at)
         if not found:
@@ -551,7 +535,6 @@ def _decode(data: bytes) -> Frame:
             for c in parts:
                 c.wide, c.high = across * c.h, down * c.v
                 c.own_wide, c.own_high = -(-(-(-width * c.h // top_h)) // 8), -(-(-(-height * c.v // top_v)) // 8)
-                c.blocks = np.zeros((c.wide * c.high, 64), np.int16)
             frame = Frame(height, width, parts, quantisers, comments)
         elif marker == 0xDA:
             if frame is None:
@@ -563,39 +546,405 @@ def _decode(data: bytes) -> Frame:
             end = _MARKER.search(data, at)
             if not end:
                 raise EOFError("a scan without an end")
-            Scan(parts, first, last, steps >> 4, steps & 15, restart).decode(data[at : end.start()])
+            scans.append((Scan(parts, first, last, steps >> 4, steps & 15, restart), data[at : end.start()]))
             at = end.start()
         elif 0xC3 <= marker <= 0xCF:
             raise ValueError("arithmetic, lossless and hierarchical files are not supported")
     if frame is None:
         raise ValueError("a JPEG without a frame")
-    return frame
+    return frame, scans
+
+
+# --- Many files at a time ---------------------------------------------------------------------
+# Small files are decoded together: the first scans of all, then the second ones, and so on. Those
+# of one kind lie in a row, each with its own table, and are read by the same few calls of numpy.
+
+
+#: Blocks, and entries of tables, that files decoded together have at most, but for the last file.
+TOGETHER_BLOCKS, TOGETHER_ENTRIES = 4096, 1 << 21
+
+
+@dataclass
+class _Joined:
+    """The data of scans in a row, ones behind each, and their tables likewise."""
+
+    data: np.ndarray
+    words: np.ndarray
+    begin: np.ndarray  # bytes
+    end: np.ndarray
+    scan: np.ndarray  # of each byte
+    found: np.ndarray
+    offset: np.ndarray
+    width: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: list[np.ndarray], tables: list[Table]) -> _Joined:
+        ones = np.full(8, 255, np.uint8)
+        data = np.concatenate([x for piece in pieces for x in (piece, ones)])
+        size = np.array([len(piece) for piece in pieces])
+        begin = np.cumsum(size + 8) - size - 8
+        found, offset, width = _found_of(tables)
+        return cls(data, _words(data), begin, begin + size, np.repeat(np.arange(len(pieces)), size + 8), found, offset, width)
+
+    def at(self, p: np.ndarray) -> np.ndarray:
+        """What codes at these bits are."""
+        scan = self.scan[p >> 3]
+        width = self.width[scan]
+        return self.found[self.offset[scan] + (self.words[p >> 3] >> (24 - width - (p & 7)) & (1 << width) - 1)]
+
+    def behind(self, p: np.ndarray) -> np.ndarray:
+        """The 16 bits from each of these on."""
+        return self.words[p >> 3] >> (8 - (p & 7)) & 65535
+
+    def everywhere(self, entries: np.ndarray) -> np.ndarray:
+        """The entries, parallel to `found`, of the code at every bit."""
+        out = np.empty((len(self.data), 8), entries.dtype)
+        for at in range(0, len(out), 1 << 16):
+            scan = self.scan[at : at + (1 << 16)]
+            width, words = self.width[scan][:, None], self.words[at : at + len(scan), None]
+            out[at : at + (1 << 16)] = entries[self.offset[scan][:, None] + (words >> (24 - width - _EIGHT.astype(np.int32)) & (1 << width) - 1)]
+        return out.ravel()
+
+    def walked(self, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the codes of all scans stand, in bits, each scan until no code follows, and how many stand before each scan and before the end."""
+        every = self.everywhere(steps)
+        step, stands = every.tobytes(), bytearray(len(every))
+        for p, end in zip((8 * self.begin).tolist(), (8 * self.end).tolist()):
+            while p < end:
+                stands[p] = 1
+                p += step[p]
+        at = np.flatnonzero(np.frombuffer(stands, np.uint8))
+        edges = np.append(np.searchsorted(at, 8 * self.begin), len(at))
+        none = np.concatenate(([0], np.cumsum(every[at] == NO_CODE)))
+        keep = none[1:] == np.repeat(none[edges[:-1]], np.diff(edges))
+        return at[keep], np.concatenate(([0], np.cumsum(keep)))[edges]
+
+
+def _found_of(tables: list[Table]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table.found of all tables in a row, and where each begins in it and its width."""
+    numbers = {id(t): t for t in tables}
+    each = list(numbers.values())
+    if len(each) == 1:
+        return each[0].found, np.zeros(len(tables), np.int32), np.full(len(tables), each[0].width, np.int32)
+    counts = np.frombuffer(b"".join(t.counts for t in each), np.uint8).reshape(-1, 16)
+    n = counts.sum(axis=1, dtype=np.int64)
+    if n.tolist() != [len(t.symbols) for t in each]:
+        raise ValueError("a damaged table")
+    bits = np.repeat(np.tile(np.arange(1, 17), len(each)), counts.ravel())
+    width = np.array([t.width for t in each], np.int32)
+    of = np.repeat(np.arange(len(each)), n)
+    span = 1 << (width[of] - bits)
+    rest = (1 << width) - np.bincount(of, span, minlength=len(each)).astype(np.int64)
+    ends = np.cumsum(n)
+    entries = np.insert(bits << 8 | np.frombuffer(b"".join(t.symbols for t in each), np.uint8), ends, 0)
+    found = np.repeat(entries.astype(np.int32), np.insert(span, ends, rest))
+    at = {key: k for k, key in enumerate(numbers)}
+    of = np.array([at[id(t)] for t in tables])
+    return found, (np.cumsum(1 << width) - (1 << width))[of].astype(np.int32), width[of]
+
+
+def _refined(blocks: np.ndarray, rows: np.ndarray, counts: list[int], joined: _Joined, first: int, last: int, low: int) -> None:
+    """Symbols one by one; the corrections behind each, and all new coefficients, at once.
+
+    Scans have the blocks `rows`, as many as `counts` tells. Places that are still zero are numbered through
+    all blocks, so a symbol leads to a number, and the corrections behind it are as many as places are known between.
+    """
+    band = last - first + 1
+    part = blocks[rows, first : last + 1].ravel()
+    known = part != 0
+    zero = np.flatnonzero(~known)
+    places, ends = memoryview(zero), memoryview(np.concatenate(([0], np.cumsum((~known).reshape(-1, band).sum(axis=1)))))
+    every = memoryview(joined.everywhere(joined.found.astype(np.int16)))
+    words = memoryview(joined.words)
+    new, signs, starts, stops = [], [], [], []
+    stop = 0
+    try:
+        for count, p, over in zip(counts, (8 * joined.begin).tolist(), (8 * joined.end).tolist()):
+            block, stop = stop, stop + count
+            z = ends[block]
+            done = block * band - z
+            while block < stop:
+                found = every[p]
+                if not found:
+                    raise ValueError("a code that is in no table")
+                p += found >> 8
+                zeros = found >> 4 & 15
+                if not found & 15 and zeros < 15:
+                    block += 1 << zeros
+                    if zeros:
+                        block += (words[p >> 3] >> (8 - (p & 7)) & 65535) >> (16 - zeros)
+                        p += zeros
+                        if block > stop:
+                            block = stop
+                    z = ends[block]
+                    reached = block * band - z
+                else:
+                    z += zeros
+                    if z >= ends[block + 1]:
+                        raise ValueError("a scan leads beyond a block")
+                    if found & 15:
+                        new.append(z)
+                        signs.append(p)
+                        p += 1
+                    place = places[z]
+                    reached = place - z
+                    z += 1
+                    if place == (block + 1) * band - 1:
+                        block += 1
+                if reached > done:
+                    starts.append(p)
+                    p += reached - done
+                    stops.append(p)
+                    done = reached
+            if p > over:
+                raise EOFError("a scan ends early")
+    except IndexError as e:
+        raise EOFError("a scan ends early") from e
+    flat, one = np.unpackbits(joined.data), np.int16(1 << low)
+    edges = np.zeros(len(flat) + 1, np.int8)
+    edges[starts] = 1
+    edges[stops] -= 1
+    held = part[known]
+    fresh = flat[np.cumsum(edges[:-1], dtype=np.int8).view(bool)] * ((np.abs(held) >> low) & 1 == 0)
+    part[known] = held + np.where(held > 0, fresh, -fresh.astype(np.int16)) * one
+    part[zero[new]] = np.where(flat[signs], one, -one)
+    blocks[rows, first : last + 1] = part.reshape(-1, band)
+
+
+@lru_cache(maxsize=256)
+def _stream(parts: tuple[tuple[int, ...], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a scan of DCs, component by component: blocks, numbered from the first component's, places in the scan, and how many blocks each has.
+
+    A part is: offset from the first component, rows and columns of blocks, blocks in a row, and those of an MCU.
+    """
+    order = [base + _ordered(*shape) for base, *shape in parts]
+    per_unit = sum(ix.shape[1] for ix in order)
+    places, at = [], 0
+    for ix in order:
+        places.append((np.arange(len(ix))[:, None] * per_unit + at + np.arange(ix.shape[1])).ravel())
+        at += ix.shape[1]
+    return np.concatenate([ix.ravel() for ix in order]), np.concatenate(places), np.array([ix.size for ix in order])
+
+
+def _streams(scans: list[Scan]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_stream() of many scans in a row, among the blocks of all files and the places of all scans, and how many places each scan has."""
+    found = []
+    for scan in scans:
+        first = scan.parts[0][0]
+        if len(scan.parts) == 1:
+            shapes = ((0, first.own_high, first.own_wide, first.wide, 1, 1),)
+        else:
+            shapes = tuple((c.base - first.base, c.high, c.wide, c.wide, c.v, c.h) for c, _, _ in scan.parts)
+        found.append(_stream(shapes))
+    n = np.array([len(rows) for rows, _, _ in found])
+    base = np.repeat(np.array([scan.parts[0][0].base for scan in scans]), n)
+    past = np.repeat(np.cumsum(n) - n, n)
+    rows, places = np.concatenate([r for r, _, _ in found]) + base, np.concatenate([p for _, p, _ in found]) + past
+    return rows, places, np.concatenate([k for _, _, k in found]), n
+
+
+def _dcs_together(blocks: np.ndarray, scans: list[Scan], pieces: list[np.ndarray]) -> None:
+    joined = _Joined.of(pieces, [scan.parts[0][1] for scan in scans])
+    rows, places, sizes, n = _streams(scans)
+    at, edges = joined.walked(_dc_steps(joined.found))
+    if (np.diff(edges) < n).any():
+        raise EOFError("a scan ends early")
+    at = at[np.arange(n.sum()) + np.repeat(edges[:-1] - (np.cumsum(n) - n), n)]
+    found = joined.at(at)
+    step = _signed(joined.behind(at + (found >> 8)), found & 255)[places]
+    value = np.concatenate(([0], np.cumsum(step)))
+    blocks[rows, 0] = value[1:] - np.repeat(value[np.cumsum(sizes) - sizes], sizes) << scans[0].low
+
+
+def _dcs_refined_together(blocks: np.ndarray, scans: list[Scan], pieces: list[np.ndarray]) -> None:
+    rows, places, _, n = _streams(scans)
+    begin = np.cumsum(n) - n
+    size = np.array([8 * len(piece) for piece in pieces])
+    at = places - np.repeat(begin, n)  # in its own scan
+    there = at < np.repeat(size, n)  # what a scan lacks counts as 0
+    flat = np.append(np.unpackbits(np.concatenate(pieces)), 0)
+    bits = np.where(there, flat[np.where(there, at + np.repeat(np.cumsum(size) - size, n), 0)], 0)
+    blocks[rows, 0] |= bits.astype(np.int16) << scans[0].low
+
+
+def _rows_of(scans: list[Scan]) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of scans of one component each, and how many each scan has."""
+    parts = [scan.parts[0][0] for scan in scans]
+    n, own, wide, base = (np.array(x) for x in zip(*[(c.own_high * c.own_wide, c.own_wide, c.wide, c.base) for c in parts]))
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    own = np.repeat(own, n)
+    return np.repeat(base, n) + k // own * np.repeat(wide, n) + k % own, n
+
+
+def _acs_together(blocks: np.ndarray, scans: list[Scan], pieces: list[np.ndarray]) -> None:
+    """Values stand their runs behind the last; an ended block leads to the first place of another, so what lies between two of them is counted by itself."""
+    joined = _Joined.of(pieces, [scan.parts[0][2] for scan in scans])
+    rows, n = _rows_of(scans)
+    first, band = scans[0].first, scans[0].last - scans[0].first + 1
+    at, edges = joined.walked(_ac_steps(joined.found))
+    if (np.diff(edges) == 0).any():
+        raise EOFError("a scan ends early")
+    found = joined.at(at)
+    behind = joined.behind(at + (found >> 8))
+    run, size = found >> 4 & 15, found & 15
+    ended = (size == 0) & (run < 15)
+    past = np.cumsum(np.where(size > 0, run + 1, np.where(ended, 0, 16)), dtype=np.int64)
+    # stretches: up to an ended block or the end of a scan
+    closes = ended.copy()
+    closes[edges[1:] - 1] = True
+    close = np.flatnonzero(closes)
+    before = np.concatenate(([0], past[close[:-1]]))
+    led = (past[close] - before) // band + np.where(ended[close], (1 << run[close]) + (behind[close] >> (16 - run[close])), 0)
+    reached = np.concatenate(([0], np.cumsum(led)))
+    scan_edges = np.searchsorted(close, edges)  # the first stretch of each scan
+    own = reached[:-1] - np.repeat(reached[scan_edges[:-1]], np.diff(scan_edges))
+    if (own[scan_edges[1:] - 1] + led[scan_edges[1:] - 1] < n).any():
+        raise EOFError("a scan ends early")
+    stretch = np.repeat(np.arange(len(close)), np.diff(np.concatenate(([-1], close))))
+    known = np.flatnonzero(size)
+    of = stretch[known]
+    place = own[of] * band + past[known] - before[of] - 1
+    block = place // band
+    scan = np.repeat(np.arange(len(scans)), np.diff(scan_edges))[of]
+    if (block >= n[scan]).any():
+        raise ValueError("a scan leads beyond its blocks")
+    blocks[rows[(np.cumsum(n) - n)[scan] + block], first + place % band] = _signed(behind[known], size[known]) << scans[0].low
+
+
+def _acs_refined_together(blocks: np.ndarray, scans: list[Scan], pieces: list[np.ndarray]) -> None:
+    joined = _Joined.of(pieces, [scan.parts[0][2] for scan in scans])
+    rows, n = _rows_of(scans)
+    _refined(blocks, rows, n.tolist(), joined, scans[0].first, scans[0].last, scans[0].low)
+
+
+def _together(scan: Scan, data: bytes):
+    """The function that decodes scans of this kind together, or None."""
+    if scan.restart or _RESTART.search(data) or not data:
+        return None
+    if scan.first == 0:
+        if scan.high:
+            return _dcs_refined_together
+        tables = [dc for _, dc, _ in scan.parts]
+        return None if scan.last or tables[0] is None or any(t is not tables[0] for t in tables) else _dcs_together
+    if len(scan.parts) > 1 or scan.parts[0][2] is None:
+        return None
+    return _acs_refined_together if scan.high else _acs_together
+
+
+def decode_each(files: Iterable[bytes]) -> Iterator[Frame]:
+    """decode() of each file, in order; small ones are held and decoded together."""
+    held, blocks, entries = [], 0, 0
+    for data in files:
+        with _damage():
+            frame, scans = _parsed(data)
+            blocks += sum(c.wide * c.high for c in frame.components)
+            entries += sum(1 << t.width for scan, _ in scans for t in scan.parts[0][1:] if t is not None)
+        held.append((frame, scans, data))
+        if blocks >= TOGETHER_BLOCKS or entries >= TOGETHER_ENTRIES:
+            yield from _decoded(held)
+            held, blocks, entries = [], 0, 0
+    yield from _decoded(held)
+
+
+def _decoded(held: list[tuple[Frame, list[tuple[Scan, bytes]], bytes]]) -> Iterator[Frame]:
+    large = [sum(c.wide * c.high for c in frame.components) > TOGETHER_BLOCKS for frame, _, _ in held]
+    small = [item for item, alone in zip(held, large) if not alone]
+    with _damage():
+        _decode_together([(frame, scans) for frame, scans, _ in small])
+    for (frame, _, data), alone in zip(held, large):
+        yield decode(data) if alone else frame
+
+
+def with_tensors(frames: Iterable[Frame]) -> Iterator[tuple[Frame, np.ndarray]]:
+    """Each frame with its rgb(), in order; small ones are held, transformed and coloured together."""
+    held, blocks = [], 0
+    for frame in frames:
+        held.append(frame)
+        blocks += sum(len(c.blocks) for c in frame.components)
+        if blocks >= TOGETHER_BLOCKS:
+            yield from zip(held, _tensors(held))
+            held, blocks = [], 0
+    yield from zip(held, _tensors(held))
+
+
+def _tensors(frames: list[Frame]) -> list[np.ndarray]:
+    out, kinds = [None] * len(frames), defaultdict(list)
+    for k, frame in enumerate(frames):
+        if sum(len(c.blocks) for c in frame.components) > TOGETHER_BLOCKS:
+            out[k] = frame.rgb()
+        else:
+            kinds[tuple((c.h, c.v) for c in frame.components)].append(k)
+    for kind, numbers in kinds.items():
+        top_h, top_v = frames[numbers[0]].sampling()
+        planes = []
+        for i, (h, v) in enumerate(kind):
+            of = [(frames[k].components[i], frames[k].quantisers) for k in numbers]
+            values = np.concatenate([c.blocks[_block_order(c.high, c.wide, c.wide, v, h).ravel()] * quantisers[c.table] for c, quantisers in of])
+            plane = _samples(values).reshape(-1, v, h, 8, 8).swapaxes(2, 3).reshape(-1, 8 * v, 8 * h)
+            down, across = top_v // v, top_h // h
+            planes.append(plane.repeat(down, axis=1).repeat(across, axis=2) if (down, across) != (1, 1) else plane)
+        rgb, at = np.empty((*planes[0].shape, 3), np.uint8), 0
+        _colour(planes, rgb)
+        for k in numbers:
+            c = frames[k].components[0]
+            down, across = c.high // c.v, c.wide // c.h
+            tiles = rgb[at : at + down * across].reshape(down, across, 8 * top_v, 8 * top_h, 3)
+            out[k] = tiles.swapaxes(1, 2).reshape(down * 8 * top_v, across * 8 * top_h, 3)[: frames[k].height, : frames[k].width]
+            at += down * across
+    return out
+
+
+def _decode_together(files: list[tuple[Frame, list[tuple[Scan, bytes]]]]) -> None:
+    components = [c for frame, _ in files for c in frame.components]
+    blocks, at = np.zeros((sum(c.wide * c.high for c in components), 64), np.int16), 0
+    for c in components:
+        c.base, c.blocks, at = at, blocks[at : at + c.wide * c.high], at + c.wide * c.high
+    for k in range(max((len(scans) for _, scans in files), default=0)):
+        kinds = defaultdict(list)
+        for _, scans in files:
+            if k < len(scans):
+                scan, data = scans[k]
+                together = _together(scan, data)
+                if together is None:
+                    scan.decode(data)
+                else:
+                    kinds[together, scan.first, scan.last, scan.high, scan.low].append((scan, np.frombuffer(data.replace(b"\xff\0", b"\xff"), np.uint8)))
+        for (together, *_), found in kinds.items():
+            together(blocks, *map(list, zip(*found)))
 
 
 # --- Storing bytes -------------------------------------------------------------------------
 # A byte is the coefficient that tells its distance from the payload's middle byte, so common bytes
 # are small numbers or zeros. All but the lowest bit is sent first; distances of one are zeros then
-# and become known in the refinement only.
+# and become known in the refinement only. Files are coded many at a time: arrays hold the blocks,
+# symbols and bits of all of them in a row, each file with its own tables, and only bytes are cut apart.
 
 
 #: Bits of the longest code that the store makes.
 LONGEST = 12
 
 
-def _table_for(*symbols: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """A table of prefix codes for these symbols, as long as their shares ask for, as a file holds it; the code of each symbol and its bits."""
-    often = np.bincount(np.concatenate(symbols), minlength=256)
+def _tables_for(symbol: np.ndarray, owner: np.ndarray, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """For each of n owners a table of prefix codes, as long as the shares of its symbols ask for, as a file holds it; codes by owner << 8 | symbol, and their bits."""
+    often = np.bincount(owner << 8 | symbol, minlength=n << 8)
     used = np.flatnonzero(often)
-    share = np.append(often[used], 0) / often.sum() + 2.0 ** (1 - LONGEST)  # the last stands for the code of all ones, which is not used
-    lengths = np.ceil(np.log2(share.sum() / share)).astype(np.int64)[:-1]
-    order = np.lexsort((used, lengths))
-    ordered, n = used[order], lengths[order]
+    of, count = used >> 8, often[used]
+    kinds = np.bincount(of, minlength=n)
+    # a share is count / total + 2 ** (1 - LONGEST), in integers; one share more stands for the code of all ones, which is not used
+    total = np.add.reduceat(count, np.cumsum(kinds) - kinds)
+    share, shares = (count << (LONGEST - 1)) + total[of], (total * ((1 << (LONGEST - 1)) + kinds + 1))[of]
+    lengths = 1 + (share[:, None] << np.arange(1, LONGEST) < shares[:, None]).sum(axis=1)
+    order = np.argsort(of << 12 | lengths << 8 | used & 255)
+    ordered, m, by = used[order], lengths[order], of[order]
     # a code follows the one before it, with zeros behind it as far as it is longer
-    ends = np.cumsum(1 << (LONGEST - n))
-    code, bits = np.zeros(256, np.int64), np.zeros(256, np.int64)
-    code[ordered], bits[ordered] = (ends >> (LONGEST - n)) - 1, n
-    counts = np.bincount(lengths, minlength=17)[1:].astype(np.uint8).tobytes() + ordered.astype(np.uint8).tobytes()
-    return counts, code, bits
+    ends = np.cumsum(1 << (LONGEST - m))
+    edges = np.concatenate(([0], np.cumsum(kinds)))
+    ends -= np.concatenate(([0], ends))[edges[:-1]][by]
+    code, bits = np.zeros(n << 8, np.int64), np.zeros(n << 8, np.int64)
+    code[ordered], bits[ordered] = (ends >> (LONGEST - m)) - 1, m
+    counts = np.bincount(of * 17 + lengths, minlength=n * 17).reshape(n, 17)[:, 1:].astype(np.uint8).tobytes()
+    symbols = ordered.astype(np.uint8).tobytes()
+    return [counts[16 * k : 16 * k + 16] + symbols[a:b] for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist()))], code, bits
 
 
 #: Spectral bands of the first scans of luma and of each chroma.
@@ -611,30 +960,38 @@ def _scan(parts: list[tuple[int, int]], first: int, last: int, high: int, low: i
     return _segment(0xDA, head) + data.replace(b"\xff", b"\xff\x00")
 
 
-def _packed(*bits: np.ndarray) -> bytes:
-    """Bits as bytes, the last filled up with ones."""
-    n = sum(map(len, bits))
-    return np.packbits(np.concatenate([*bits, np.ones(-n % 8, np.uint8)])).tobytes()
-
-
-def _bits(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The last `sizes` bits of each value in a row."""
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    back = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(of))
-    return (values[of] >> back & 1).astype(np.uint8)
+def _packed(values: np.ndarray, sizes: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """The last `sizes` bits (1 to 32) of each value in a row, as bytes of the stretches between the edges; the last byte of each is filled up with ones."""
+    past = np.concatenate(([0], np.cumsum(sizes)))
+    bits = np.diff(past[edges])
+    held = (bits + 7) >> 3
+    begin = np.cumsum(held) - held
+    at = past[:-1] + np.repeat(8 * begin - past[edges[:-1]], np.diff(edges))
+    word, whole = at >> 5, values.astype(np.uint64) << (64 - (at & 31) - sizes).astype(np.uint64)
+    n = int(held.sum())
+    # fields do not overlap, so sums of words are exact
+    words = np.bincount(word, whole >> np.uint64(32), minlength=n // 4 + 2)[: n // 4 + 2]
+    words[1:] += np.bincount(word, whole & np.uint64(0xFFFFFFFF), minlength=n // 4 + 1)[: n // 4 + 1]
+    out = words.astype(">u4").view(np.uint8)[:n].copy()
+    some = held > 0
+    out[(begin + held - 1)[some]] |= ((1 << (-bits & 7)) - 1)[some].astype(np.uint8)
+    out = out.tobytes()
+    return [out[a : a + k] for a, k in zip(begin.tolist(), held.tolist())]
 
 
 @dataclass
 class _Symbols:
-    """Symbols of a scan in their order, the bits behind each, and the place from which each leads on."""
+    """Symbols of scans in their order, the bits behind each, the place from which each leads on, and its block."""
 
     symbol: np.ndarray
     extra: np.ndarray
     size: np.ndarray
     start: np.ndarray
+    block: np.ndarray
 
-    def coded(self, code: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return code[self.symbol] << self.size | self.extra, bits[self.symbol] + self.size
+    def coded(self, owner: np.ndarray, code: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of = owner << 8 | self.symbol
+        return code[of] << self.size | self.extra, bits[of] + self.size
 
 
 def _inserter(where: np.ndarray, n: int):
@@ -655,8 +1012,8 @@ def _inserter(where: np.ndarray, n: int):
 LONGEST_RUN = 32767
 
 
-def _symbols_of(new: np.ndarray, known: np.ndarray | None, extra: np.ndarray, size: np.ndarray | int) -> _Symbols:
-    """Symbols that send the coefficients `new` of a band of blocks, with `size` bits `extra` for each.
+def _symbols_of(new: np.ndarray, known: np.ndarray | None, extra: np.ndarray, size: np.ndarray | int, begins: np.ndarray) -> _Symbols:
+    """Symbols that send the coefficients `new` of a band of blocks, with `size` bits `extra` for each; scans begin at the blocks `begins`.
 
     Places that are `known` count in no run of zeros. A first approximation knows none.
     """
@@ -687,16 +1044,17 @@ def _symbols_of(new: np.ndarray, known: np.ndarray | None, extra: np.ndarray, si
         later = np.flatnonzero(sixteens)
         reached = (np.repeat(behind, events) + 16 * sixteens - 1)[later]
         start[later] = (reached if zero is None else zero[reached]) + 1
-    # runs of ended blocks: blocks without anything new belong to the run before them
-    ended, busy = ~new[:, -1], np.zeros(n, bool)
+    # runs of ended blocks: blocks without anything new belong to the run before them, if that is of their scan
+    ended, busy = ~new[:, -1], np.zeros(n + 1, bool)
     busy[block] = True
-    opens = ended & busy
-    opens[0] |= ended[0]
+    opens = ended & busy[:-1]
     opens[1:] |= ended[1:] & ~ended[:-1]
+    opens[begins] = ended[begins]
     run = np.flatnonzero(opens)
     if not len(run):
-        return _Symbols(symbol, bits, width, start)
-    stops = np.append(np.flatnonzero(busy), n)
+        return _Symbols(symbol, bits, width, start, of)
+    busy[begins] = busy[n] = True
+    stops = np.flatnonzero(busy)
     length = stops[np.searchsorted(stops, run, "right")] - run
     if length.max() > LONGEST_RUN:
         parts = (length - 1) // LONGEST_RUN + 1
@@ -706,24 +1064,25 @@ def _symbols_of(new: np.ndarray, known: np.ndarray | None, extra: np.ndarray, si
     before = np.searchsorted(place, (run + 1) * band) - 1
     opened = np.maximum(run * band, np.where(before >= 0, place[before] + 1, 0) if len(place) else 0)
     insert = _inserter(np.searchsorted(of, run, "right"), total)
-    return _Symbols(insert(symbol, log << 4), insert(bits, length - (1 << log)), insert(width, log), insert(start, opened))
+    return _Symbols(insert(symbol, log << 4), insert(bits, length - (1 << log)), insert(width, log), insert(start, opened), insert(of, run))
 
 
-def _sent_first(part: np.ndarray) -> _Symbols:
+def _sent_first(part: np.ndarray, begins: np.ndarray) -> _Symbols:
     """The first approximation of a band: all bits but the lowest."""
     half = np.sign(part) * (np.abs(part) >> 1)
     new = half != 0
     value = half[new].astype(np.int64)
     size = np.frexp(np.abs(value))[1].astype(np.int64)
-    return _symbols_of(new, None, np.where(value < 0, value + (1 << size) - 1, value), size)
+    return _symbols_of(new, None, np.where(value < 0, value + (1 << size) - 1, value), size, begins)
 
 
-def _sent_last(part: np.ndarray) -> tuple[_Symbols, np.ndarray, np.ndarray]:
-    """The refinement: what is new, the corrections of what is known, and before how many of them each symbol stands."""
+def _sent_last(part: np.ndarray, begins: np.ndarray) -> tuple[_Symbols, np.ndarray, np.ndarray, np.ndarray]:
+    """The refinement: what is new, the corrections of what is known, before how many of them each symbol stands, and how many stand before each scan."""
     much = np.abs(part)
     known, new = much > 1, much == 1
-    symbols = _symbols_of(new, known, (part[new] > 0).astype(np.int64), 1)
-    return symbols, (much[known] & 1).astype(np.int64), np.searchsorted(np.flatnonzero(known), symbols.start)
+    symbols = _symbols_of(new, known, (part[new] > 0).astype(np.int64), 1, begins)
+    held = np.flatnonzero(known)
+    return symbols, (much[known] & 1).astype(np.int64), np.searchsorted(held, symbols.start), np.searchsorted(held, begins * part.shape[1])
 
 
 _COMMENT = b"blocks "
@@ -737,44 +1096,102 @@ def encode_payload(payload: bytes) -> bytes:
     all bits but the lowest, which a last scan of each component adds. Huffman tables are made
     for the symbols of this file: one for DCs, one for first scans and one for refinements.
     """
-    if not payload or len(payload) % UNIT:
+    return encode_payloads([payload])[0]
+
+
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """encode_payload() of each, all at once: what one file costs numpy in calls is shared by all. Memory is in proportion to their sum."""
+    if not all(p and len(p) % UNIT == 0 for p in payloads):
         raise ValueError("the payload must be a positive multiple of 64 bytes")
-    n = len(payload) // UNIT
-    mcus = -(-n // 6)
-    across = math.isqrt(mcus - 1) + 1
-    down = -(-mcus // across)
+    if not payloads:
+        return []
+    files = len(payloads)
+    file = np.arange(files)
+    n = np.array([len(p) // UNIT for p in payloads])
+    across = np.array([math.isqrt(-(-k // 6) - 1) + 1 for k in n.tolist()])
+    down = -(-(-(-n // 6)) // across)
     total = across * down
-    data = np.frombuffer(payload, np.uint8)
-    middle = int(np.searchsorted(np.cumsum(np.bincount(data, minlength=256)), len(data) / 2))
-    blocks = np.zeros((6 * total, UNIT), np.int16)
-    blocks[:n] = data.reshape(-1, UNIT).astype(np.int16) - np.int16(middle)
-    luma, cb, cr = blocks[: 4 * total], blocks[4 * total : 5 * total], blocks[5 * total :]
-    dc = luma[:, 0].reshape(down, 2, across, 2).transpose(0, 2, 1, 3).reshape(total, 4)
-    dc = [dc, cb[:, :1], cr[:, :1]]
-    steps = np.column_stack([np.diff((d >> 1).ravel().astype(np.int64), prepend=0).reshape(d.shape) for d in dc]).ravel()
+    data = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, UNIT)
+    of = np.repeat(file, n)
+    if files == 1:
+        often = np.bincount(data.ravel(), minlength=256)[None]
+    else:
+        often = np.bincount((of[:, None] << 8 | data).ravel(), minlength=files << 8).reshape(files, 256)
+    middle = (np.cumsum(often, axis=1) < (32 * n)[:, None]).sum(axis=1)
+    begin = np.cumsum(6 * total) - 6 * total
+    blocks = np.zeros((6 * int(total.sum()), UNIT), np.int16)
+    blocks[np.arange(len(data)) + np.repeat(begin - (np.cumsum(n) - n), n)] = data - middle.astype(np.int16)[of, None]
+    # the blocks of each MCU: four of luma, in two rows, and two of chroma
+    mcus, mcu_of = np.cumsum(total) - total, np.repeat(file, total)
+    k, wide, base = np.arange(len(mcu_of)) - mcus[mcu_of], across[mcu_of], begin[mcu_of]
+    corner = base + k // wide * 4 * wide + k % wide * 2
+    dc = blocks[np.column_stack([corner, corner + 1, corner + 2 * wide, corner + 2 * wide + 1, base + 4 * total[mcu_of] + k, base + 5 * total[mcu_of] + k]), 0]
+    half, steps = (dc >> 1).astype(np.int64), np.empty(dc.shape, np.int64)
+    for columns in (slice(0, 4), slice(4, 5), slice(5, 6)):
+        flat = half[:, columns].ravel()
+        step, starts = np.diff(flat, prepend=0), mcus * (columns.stop - columns.start)
+        step[starts] = flat[starts]
+        steps[:, columns] = step.reshape(-1, columns.stop - columns.start)
+    steps, owner = steps.ravel(), np.repeat(mcu_of, 6)
     step_size = np.frexp(np.abs(steps))[1].astype(np.int64)
-    parts = [(1, luma), (2, cb), (3, cr)]
-    first = [(id, band, _sent_first(part[:, band[0] : band[1] + 1])) for id, part in parts for band in BANDS[id]]
-    last = [(id, *_sent_last(part[:, 1:])) for id, part in parts]
-    dc_table, dc_code, dc_bits = _table_for(step_size)
-    ac_table, *ac_codes = _table_for(*[symbols.symbol for _, _, symbols in first])
-    end_table, *end_codes = _table_for(*[symbols.symbol for _, symbols, _, _ in last])
-    tables = b"\0" + dc_table + b"\x10" + ac_table + b"\x11" + end_table
-    size = struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + b"\1\x22\0\2\x11\0\3\x11\0"
-    every = [(1, 0), (2, 0), (3, 0)]
-    out = [b"\xff\xd8", _segment(0xFE, _COMMENT + b"%d %d" % (n, middle)), _segment(0xC2, size)]
-    out += [_segment(0xDB, b"\0" + b"\1" * 64), _segment(0xC4, tables)]
+    dc_tables, dc_code, dc_bits = _tables_for(step_size, owner, files)
     value = np.where(steps < 0, steps + (1 << step_size) - 1, steps)
-    out.append(_scan(every, 0, 0, 0, 1, _packed(_bits(dc_code[step_size] << step_size | value, dc_bits[step_size] + step_size))))
-    for id, band, symbols in first:
-        out.append(_scan([(id, 0)], *band, 0, 1, _packed(_bits(*symbols.coded(*ac_codes)))))
-    out.append(_scan(every, 0, 0, 1, 0, _packed((np.column_stack(dc).ravel() & 1).astype(np.uint8))))
-    for id, symbols, corrections, where in last:
-        values, sizes = symbols.coded(*end_codes)
-        insert = _inserter(where, len(corrections))
-        out.append(_scan([(id, 1)], 1, 63, 1, 0, _packed(_bits(insert(corrections, values), insert(1, sizes)))))
-    out.append(b"\xff\xd9")
-    return b"".join(out)
+    step_owner = owner << 8 | step_size
+    edges = 6 * np.append(mcus, len(mcu_of))
+    dc_first = _packed(dc_code[step_owner] << step_size | value, dc_bits[step_owner] + step_size, edges)
+    dc_last = _packed((dc & 1).ravel(), np.ones(dc.size, np.int64), edges)
+    # first scans, of luma and chroma apart, as their bands differ
+    luma_of, chroma_of = np.repeat(file, 4 * total), np.repeat(file, 2 * total)
+    is_luma = np.arange(len(blocks)) - np.repeat(begin, 6 * total) < np.repeat(4 * total, 6 * total)
+    luma, chroma = (blocks[: len(luma_of)], blocks[len(luma_of) :]) if files == 1 else (blocks[is_luma], blocks[~is_luma])
+    chroma_begins = np.column_stack([2 * mcus, 2 * mcus + total]).ravel()
+    bands = [(luma, luma_of, 4 * mcus, band) for band in BANDS[1]] + [(chroma, chroma_of, chroma_begins, BANDS[2][0])]
+    first = []
+    for part, part_of, begins, band in bands:
+        symbols = _sent_first(part[:, band[0] : band[1] + 1], begins)
+        first.append((symbols, part_of[symbols.block], begins))
+    ac_tables, *ac_codes = _tables_for(np.concatenate([s.symbol for s, _, _ in first]), np.concatenate([by for _, by, _ in first]), files)
+    ac_first = [_packed(*s.coded(by, *ac_codes), np.append(np.searchsorted(s.block, begins), len(s.block))) for s, by, begins in first]
+    # refinements
+    begins = np.column_stack([begin, begin + 4 * total, begin + 5 * total]).ravel()
+    symbols, corrections, where, held = _sent_last(blocks[:, 1:], begins)
+    by = np.repeat(file, 6 * total)[symbols.block]
+    end_tables, *end_codes = _tables_for(symbols.symbol, by, files)
+    values, sizes = symbols.coded(by, *end_codes)
+    insert = _inserter(where, len(corrections))
+    edges = np.append(np.searchsorted(symbols.block, begins) + held, len(values) + len(corrections))
+    ac_last = _packed(insert(corrections, values), insert(1, sizes), edges)
+    out, every = [], [(1, 0), (2, 0), (3, 0)]
+    for f in range(files):
+        size = struct.pack(">BHHB", 8, 16 * int(down[f]), 16 * int(across[f]), 3) + b"\1\x22\0\2\x11\0\3\x11\0"
+        tables = b"\0" + dc_tables[f] + b"\x10" + ac_tables[f] + b"\x11" + end_tables[f]
+        made = [b"\xff\xd8", _segment(0xFE, _COMMENT + b"%d %d" % (n[f], middle[f])), _segment(0xC2, size)]
+        made += [_segment(0xDB, b"\0" + b"\1" * 64), _segment(0xC4, tables)]
+        made.append(_scan(every, 0, 0, 0, 1, dc_first[f]))
+        of_bands = [(1, BANDS[1][0], ac_first[0][f]), (1, BANDS[1][1], ac_first[1][f]), (2, BANDS[2][0], ac_first[2][2 * f]), (3, BANDS[3][0], ac_first[2][2 * f + 1])]
+        made += [_scan([(id, 0)], *band, 0, 1, scan) for id, band, scan in of_bands]
+        made.append(_scan(every, 0, 0, 1, 0, dc_last[f]))
+        made += [_scan([(id, 1)], 1, 63, 1, 0, ac_last[3 * f + id - 1]) for id in (1, 2, 3)]
+        made.append(b"\xff\xd9")
+        out.append(b"".join(made))
+    return out
+
+
+def encode_each(payloads: Iterable[bytes]) -> Iterator[bytes]:
+    """encode_payload() of each, in order; small ones are held and coded together."""
+    held, size = [], 0
+    for payload in payloads:
+        if len(payload) > TOGETHER_BLOCKS * UNIT:
+            yield from encode_payloads(held)
+            yield encode_payload(payload)
+            held, size = [], 0
+            continue
+        held.append(payload)
+        size += len(payload)
+        if size >= TOGETHER_BLOCKS * UNIT:
+            yield from encode_payloads(held)
+            held, size = [], 0
+    yield from encode_payloads(held)
 
 
 def payload_of(frame: Frame) -> bytes:

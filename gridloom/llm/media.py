@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,10 +36,16 @@ def _batched(rows: Iterator[tuple[tuple, int]], schema: pa.Schema) -> Iterator[p
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                n, payload = padded(text)
-                media = jpeg.encode_payload(payload)
-                yield (doc_id, n, media), len(media)
+            sizes: deque[int] = deque()
+
+            def payloads(texts=batch.column("text"), sizes=sizes):
+                for text in texts:
+                    n, payload = padded(text.as_py())
+                    sizes.append(n)
+                    yield payload
+
+            for doc_id, media in zip(batch.column("doc_id").to_pylist(), jpeg.encode_each(payloads())):
+                yield (doc_id, sizes.popleft(), media), len(media)
 
     yield from _batched(rows(), pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())]))
 
@@ -55,12 +62,13 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for batch in batches:
-            for doc_id, n, media in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")]
+            decoded = jpeg.with_tensors(jpeg.decode_each(media for media in columns[2] if media is not None))
+            for doc_id, n, media in zip(*columns):
                 if media is None:
                     yield (doc_id, n, None, None, None, None, None, None), 0
                     continue
-                frame = jpeg.decode(media)
-                rgb = frame.rgb()
+                frame, rgb = next(decoded)
                 stored = jpeg.payload_of(frame) if any(c.startswith(b"blocks ") for c in frame.comments) else None
                 yield (doc_id, n, media, stored, frame.height, frame.width, rgb.tobytes(), jpeg.features(rgb)), len(media) + rgb.size
 
