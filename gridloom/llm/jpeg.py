@@ -64,8 +64,10 @@ def _transformed(values: np.ndarray) -> np.ndarray:
 
 def _samples(values: np.ndarray) -> np.ndarray:
     """Samples (uint8), row-major, of blocks of quantised coefficients."""
-    samples = np.floor((_transformed(values) + (1 << (SCALE - 1))) * (1.0 / (1 << SCALE)))
-    return np.clip(samples + 128, 0, 255).astype(np.uint8)
+    samples = _transformed(values)
+    samples += (1 << (SCALE - 1)) + (128 << SCALE)
+    samples *= 1.0 / (1 << SCALE)
+    return np.clip(np.floor(samples, out=samples), 0, 255, out=samples).astype(np.uint8)
 
 
 def _colour(planes: list[np.ndarray], out: np.ndarray) -> None:
@@ -535,12 +537,11 @@ def _parsed(data: bytes) -> tuple[Frame, list[tuple[Scan, bytes]]]:
             for c in parts:
                 c.wide, c.high = across * c.h, down * c.v
                 c.own_wide, c.own_high = -(-(-(-width * c.h // top_h)) // 8), -(-(-(-height * c.v // top_v)) // 8)
-            frame = Frame(height, width, parts, quantisers, comments)
+            frame, by_id = Frame(height, width, parts, quantisers, comments), {c.id: c for c in parts}
         elif marker == 0xDA:
             if frame is None:
                 raise ValueError("a scan before the frame")
             n = body[0]
-            by_id = {c.id: c for c in frame.components}
             parts = [(by_id[body[1 + 2 * i]], tables.get((0, body[2 + 2 * i] >> 4)), tables.get((1, body[2 + 2 * i] & 15))) for i in range(n)]
             first, last, steps = body[1 + 2 * n : 4 + 2 * n]
             end = _MARKER.search(data, at)
@@ -561,7 +562,7 @@ def _parsed(data: bytes) -> tuple[Frame, list[tuple[Scan, bytes]]]:
 
 
 #: Blocks, and entries of tables, that files decoded together have at most, but for the last file.
-TOGETHER_BLOCKS, TOGETHER_ENTRIES = 4096, 1 << 21
+TOGETHER_BLOCKS, TOGETHER_ENTRIES = 2048, 1 << 20
 
 
 @dataclass
@@ -584,13 +585,13 @@ class _Joined:
         size = np.array([len(piece) for piece in pieces])
         begin = np.cumsum(size + 8) - size - 8
         found, offset, width = _found_of(tables)
-        return cls(data, _words(data), begin, begin + size, np.repeat(np.arange(len(pieces)), size + 8), found, offset, width)
+        return cls(data, _words(data), begin, begin + size, np.repeat(np.arange(len(pieces), dtype=np.int32), size + 8), found, offset, width)
 
-    def at(self, p: np.ndarray) -> np.ndarray:
-        """What codes at these bits are."""
-        scan = self.scan[p >> 3]
-        width = self.width[scan]
-        return self.found[self.offset[scan] + (self.words[p >> 3] >> (24 - width - (p & 7)) & (1 << width) - 1)]
+    def at(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What codes at these bits are, so many in each scan."""
+        left, offset = np.repeat((32 - self.width).astype(np.uint32), counts), np.repeat(self.offset, counts)
+        ahead = self.words.take(p >> 3).astype(np.uint32) << ((p & 7) + 8).astype(np.uint32)
+        return self.found.take((ahead >> left) + offset)
 
     def behind(self, p: np.ndarray) -> np.ndarray:
         """The 16 bits from each of these on."""
@@ -599,25 +600,31 @@ class _Joined:
     def everywhere(self, entries: np.ndarray) -> np.ndarray:
         """The entries, parallel to `found`, of the code at every bit."""
         out = np.empty((len(self.data), 8), entries.dtype)
-        for at in range(0, len(out), 1 << 16):
-            scan = self.scan[at : at + (1 << 16)]
-            width, words = self.width[scan][:, None], self.words[at : at + len(scan), None]
-            out[at : at + (1 << 16)] = entries[self.offset[scan][:, None] + (words >> (24 - width - _EIGHT.astype(np.int32)) & (1 << width) - 1)]
+        left, offset = (32 - self.width).astype(np.uint32), self.offset.astype(np.uint32)
+        for at in range(0, len(out), 1 << 14):
+            scan = self.scan[at : at + (1 << 14)]
+            words, shift, base = self.words[at : at + len(scan)].astype(np.uint32) << 8, left[scan], offset[scan]
+            for bit in range(8):
+                out[at : at + len(scan), bit] = entries.take((words << bit >> shift) + base, mode="clip")
         return out.ravel()
 
     def walked(self, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the codes of all scans stand, in bits, each scan until no code follows, and how many stand before each scan and before the end."""
-        every = self.everywhere(steps)
+        every = self.everywhere(np.where(steps == NO_CODE, 0, steps).astype(np.uint8))
+        every.reshape(-1, 8)[(self.end[:, None] + _EIGHT).ravel()] = 0  # behind a scan, and where no code follows, a walk stays
         step, stands = every.tobytes(), bytearray(len(every))
-        for p, end in zip((8 * self.begin).tolist(), (8 * self.end).tolist()):
-            while p < end:
+        for p in (8 * self.begin).tolist():
+            while step[p]:
                 stands[p] = 1
                 p += step[p]
-        at = np.flatnonzero(np.frombuffer(stands, np.uint8))
-        edges = np.append(np.searchsorted(at, 8 * self.begin), len(at))
-        none = np.concatenate(([0], np.cumsum(every[at] == NO_CODE)))
-        keep = none[1:] == np.repeat(none[edges[:-1]], np.diff(edges))
-        return at[keep], np.concatenate(([0], np.cumsum(keep)))[edges]
+                stands[p] = 1
+                p += step[p]
+                stands[p] = 1
+                p += step[p]
+                stands[p] = 1
+                p += step[p]
+        at = np.flatnonzero(np.frombuffer(stands, bool) & (every > 0)).astype(np.int32)
+        return at, np.append(np.searchsorted(at, 8 * self.begin), len(at))
 
 
 def _found_of(tables: list[Table]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -651,63 +658,76 @@ def _refined(blocks: np.ndarray, rows: np.ndarray, counts: list[int], joined: _J
     """
     band = last - first + 1
     part = blocks[rows, first : last + 1].ravel()
-    known = part != 0
-    zero = np.flatnonzero(~known)
-    places, ends = memoryview(zero), memoryview(np.concatenate(([0], np.cumsum((~known).reshape(-1, band).sum(axis=1)))))
-    every = memoryview(joined.everywhere(joined.found.astype(np.int16)))
+    is_zero = part == 0
+    known, zero = np.flatnonzero(part), np.flatnonzero(is_zero)
+    before = np.zeros(len(part) + 1, np.int32)  # zeros before each place
+    np.cumsum(is_zero, out=before[1:])
+    places, ends = memoryview(zero), memoryview(before[::band].copy())
     words = memoryview(joined.words)
-    new, signs, starts, stops = [], [], [], []
+    # bits of a code with what stands behind it but corrections, and the zeros it leads over; or 16 and what tells the length of a run of ended blocks
+    run = joined.found >> 4 & 15
+    lasts = (joined.found & 15 == 0) & (run < 15)
+    every = joined.everywhere(((joined.found >> 8) + np.where(lasts, run, joined.found & 15 > 0) + (run + 16 * lasts << 8)).astype(np.uint16))
+    step, ahead = every.astype(np.uint8).tobytes(), (every >> 8).astype(np.uint8).tobytes()
+    del every
+    codes, leads, scan_edges = [], [], []  # where codes stand, in bits, and the places behind those they lead to
     stop = 0
     try:
         for count, p, over in zip(counts, (8 * joined.begin).tolist(), (8 * joined.end).tolist()):
             block, stop = stop, stop + count
-            z = ends[block]
+            z, limit = ends[block], (block + 1) * band
             done = block * band - z
+            scan_edges.append(len(codes))
             while block < stop:
-                found = every[p]
-                if not found:
-                    raise ValueError("a code that is in no table")
-                p += found >> 8
-                zeros = found >> 4 & 15
-                if not found & 15 and zeros < 15:
-                    block += 1 << zeros
-                    if zeros:
-                        block += (words[p >> 3] >> (8 - (p & 7)) & 65535) >> (16 - zeros)
-                        p += zeros
-                        if block > stop:
-                            block = stop
-                    z = ends[block]
-                    reached = block * band - z
-                else:
+                codes.append(p)
+                zeros = ahead[p]
+                p += step[p]
+                if zeros < 16:
                     z += zeros
-                    if z >= ends[block + 1]:
-                        raise ValueError("a scan leads beyond a block")
-                    if found & 15:
-                        new.append(z)
-                        signs.append(p)
-                        p += 1
-                    place = places[z]
-                    reached = place - z
+                    at = places[z] + 1
                     z += 1
-                    if place == (block + 1) * band - 1:
+                    if at == limit:
+                        block += 1
+                        limit += band
+                else:
+                    if zeros == 16:
                         block += 1
-                if reached > done:
-                    starts.append(p)
-                    p += reached - done
-                    stops.append(p)
-                    done = reached
+                    else:
+                        zeros -= 16
+                        block += (1 << zeros) + ((words[p - zeros >> 3] >> (8 - (p - zeros & 7)) & 65535) >> (16 - zeros))
+                        if block > stop:
+                            block = stop
+                    z, at = ends[block], block * band
+                    limit = at + band
+                leads.append(at)
+                at -= z
+                p += at - done  # a correction of each place that is known
+                done = at
             if p > over:
                 raise EOFError("a scan ends early")
     except IndexError as e:
         raise EOFError("a scan ends early") from e
+    codes, leads = np.array(codes, np.int64), np.array(leads, np.int64)
+    found = joined.at(codes, np.diff(np.append(scan_edges, len(codes))))
+    if not found.all():
+        raise ValueError("a code that is in no table")
+    size, run = found & 15, found >> 4 & 15
+    begun = np.concatenate(([0], leads[:-1]))
+    begun[scan_edges] = (np.cumsum(counts) - counts) * band
+    if ((leads - 1) // band != begun // band)[(size > 0) | (run == 15)].any():
+        raise ValueError("a scan leads beyond a block")
+    signs = (codes + (found >> 8))[size > 0]
+    starts = codes + np.frombuffer(step, np.uint8)[codes]
+    stops = starts + (leads - before[leads]) - (begun - before[begun])
     flat, one = np.unpackbits(joined.data), np.int16(1 << low)
     edges = np.zeros(len(flat) + 1, np.int8)
-    edges[starts] = 1
-    edges[stops] -= 1
-    held = part[known]
-    fresh = flat[np.cumsum(edges[:-1], dtype=np.int8).view(bool)] * ((np.abs(held) >> low) & 1 == 0)
+    some = stops > starts
+    edges[starts[some]] = 1
+    edges[stops[some]] -= 1
+    held = part.take(known)
+    fresh = flat.take(np.flatnonzero(np.cumsum(edges[:-1], dtype=np.int8).view(bool))) * ((np.abs(held) >> low) & 1 == 0)
     part[known] = held + np.where(held > 0, fresh, -fresh.astype(np.int16)) * one
-    part[zero[new]] = np.where(flat[signs], one, -one)
+    part[leads[size > 0] - 1] = np.where(flat[signs], one, -one)
     blocks[rows, first : last + 1] = part.reshape(-1, band)
 
 
@@ -750,7 +770,7 @@ def _dcs_together(blocks: np.ndarray, scans: list[Scan], pieces: list[np.ndarray
     if (np.diff(edges) < n).any():
         raise EOFError("a scan ends early")
     at = at[np.arange(n.sum()) + np.repeat(edges[:-1] - (np.cumsum(n) - n), n)]
-    found = joined.at(at)
+    found = joined.at(at, n)
     step = _signed(joined.behind(at + (found >> 8)), found & 255)[places]
     value = np.concatenate(([0], np.cumsum(step)))
     blocks[rows, 0] = value[1:] - np.repeat(value[np.cumsum(sizes) - sizes], sizes) << scans[0].low
@@ -784,11 +804,11 @@ def _acs_together(blocks: np.ndarray, scans: list[Scan], pieces: list[np.ndarray
     at, edges = joined.walked(_ac_steps(joined.found))
     if (np.diff(edges) == 0).any():
         raise EOFError("a scan ends early")
-    found = joined.at(at)
+    found = joined.at(at, np.diff(edges))
     behind = joined.behind(at + (found >> 8))
     run, size = found >> 4 & 15, found & 15
     ended = (size == 0) & (run < 15)
-    past = np.cumsum(np.where(size > 0, run + 1, np.where(ended, 0, 16)), dtype=np.int64)
+    past = np.cumsum((run + 1) * ~ended, dtype=np.int32)  # places that are led over; a run of 15 without a value is 16 too
     # stretches: up to an ended block or the end of a scan
     closes = ended.copy()
     closes[edges[1:] - 1] = True
@@ -800,15 +820,15 @@ def _acs_together(blocks: np.ndarray, scans: list[Scan], pieces: list[np.ndarray
     own = reached[:-1] - np.repeat(reached[scan_edges[:-1]], np.diff(scan_edges))
     if (own[scan_edges[1:] - 1] + led[scan_edges[1:] - 1] < n).any():
         raise EOFError("a scan ends early")
-    stretch = np.repeat(np.arange(len(close)), np.diff(np.concatenate(([-1], close))))
+    scan = np.repeat(np.arange(len(scans)), np.diff(scan_edges))
     known = np.flatnonzero(size)
-    of = stretch[known]
-    place = own[of] * band + past[known] - before[of] - 1
-    block = place // band
-    scan = np.repeat(np.arange(len(scans)), np.diff(scan_edges))[of]
-    if (block >= n[scan]).any():
+    of = np.repeat(np.arange(len(close), dtype=np.int32), np.diff(np.concatenate(([-1], close))))[known]
+    place = (own * band - before - 1).astype(np.int32)[of] + past[known]
+    block, over = np.divmod(place, np.int32(band))
+    if (block >= n[scan].astype(np.int32)[of]).any():
         raise ValueError("a scan leads beyond its blocks")
-    blocks[rows[(np.cumsum(n) - n)[scan] + block], first + place % band] = _signed(behind[known], size[known]) << scans[0].low
+    at = rows[(np.cumsum(n) - n)[scan].astype(np.int32)[of] + block] * 64 + first + over
+    blocks.reshape(-1)[at] = _signed(behind[known], size[known]) << scans[0].low
 
 
 def _acs_refined_together(blocks: np.ndarray, scans: list[Scan], pieces: list[np.ndarray]) -> None:
@@ -922,6 +942,8 @@ def _decode_together(files: list[tuple[Frame, list[tuple[Scan, bytes]]]]) -> Non
 
 #: Bits of the longest code that the store makes.
 LONGEST = 12
+#: Bits of numbers below 512.
+BIT_LENGTH = np.array([k.bit_length() for k in range(512)], np.int32)
 
 
 def _tables_for(symbol: np.ndarray, owner: np.ndarray, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -940,7 +962,7 @@ def _tables_for(symbol: np.ndarray, owner: np.ndarray, n: int) -> tuple[list[byt
     ends = np.cumsum(1 << (LONGEST - m))
     edges = np.concatenate(([0], np.cumsum(kinds)))
     ends -= np.concatenate(([0], ends))[edges[:-1]][by]
-    code, bits = np.zeros(n << 8, np.int64), np.zeros(n << 8, np.int64)
+    code, bits = np.zeros(n << 8, np.int32), np.zeros(n << 8, np.int32)
     code[ordered], bits[ordered] = (ends >> (LONGEST - m)) - 1, m
     counts = np.bincount(of * 17 + lengths, minlength=n * 17).reshape(n, 17)[:, 1:].astype(np.uint8).tobytes()
     symbols = ordered.astype(np.uint8).tobytes()
@@ -962,16 +984,20 @@ def _scan(parts: list[tuple[int, int]], first: int, last: int, high: int, low: i
 
 def _packed(values: np.ndarray, sizes: np.ndarray, edges: np.ndarray) -> list[bytes]:
     """The last `sizes` bits (1 to 32) of each value in a row, as bytes of the stretches between the edges; the last byte of each is filled up with ones."""
-    past = np.concatenate(([0], np.cumsum(sizes)))
+    past = np.zeros(len(sizes) + 1, np.int32 if len(sizes) < 1 << 26 else np.int64)
+    np.cumsum(sizes, out=past[1:])
     bits = np.diff(past[edges])
     held = (bits + 7) >> 3
     begin = np.cumsum(held) - held
-    at = past[:-1] + np.repeat(8 * begin - past[edges[:-1]], np.diff(edges))
+    at = past[:-1] + np.repeat((8 * begin - past[edges[:-1]]).astype(past.dtype), np.diff(edges))
     word, whole = at >> 5, values.astype(np.uint64) << (64 - (at & 31) - sizes).astype(np.uint64)
     n = int(held.sum())
-    # fields do not overlap, so sums of words are exact
-    words = np.bincount(word, whole >> np.uint64(32), minlength=n // 4 + 2)[: n // 4 + 2]
-    words[1:] += np.bincount(word, whole & np.uint64(0xFFFFFFFF), minlength=n // 4 + 1)[: n // 4 + 1]
+    words = np.zeros(n // 4 + 2, np.uint32)
+    if len(word):
+        heads = np.concatenate(([0], np.flatnonzero(word[1:] != word[:-1]) + 1))
+        both = np.bitwise_or.reduceat(whole, heads)  # what begins in a word reaches into the next one at most
+        words[word[heads]] = both >> np.uint64(32)
+        words[word[heads] + 1] |= both.astype(np.uint32)
     out = words.astype(">u4").view(np.uint8)[:n].copy()
     some = held > 0
     out[(begin + held - 1)[some]] |= ((1 << (-bits & 7)) - 1)[some].astype(np.uint8)
@@ -1001,7 +1027,7 @@ def _inserter(where: np.ndarray, n: int):
     others[at] = False
 
     def insert(x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
-        out = np.empty(len(others), np.int64)
+        out = np.empty(len(others), y.dtype)
         out[at], out[others] = y, x
         return out
 
@@ -1018,13 +1044,15 @@ def _symbols_of(new: np.ndarray, known: np.ndarray | None, extra: np.ndarray, si
     Places that are `known` count in no run of zeros. A first approximation knows none.
     """
     n, band = new.shape
-    place = np.flatnonzero(new)
-    block = place // band
+    kind = np.int32 if new.size < 1 << 31 else np.int64
+    place = np.flatnonzero(new).astype(kind)
+    block = place // kind(band)
     if known is None:
         rank, zero, first = place, None, block * band
     else:
-        zero = np.flatnonzero(~known)
-        rank, first = np.searchsorted(zero, place), np.searchsorted(zero, block * band)
+        zero = np.flatnonzero(~known).astype(kind)
+        before = np.concatenate(([0], np.cumsum(~known, dtype=kind)))  # zeros before each place
+        rank, first = before[place], before[block * band]
     behind, begin = first.copy(), block * band
     if len(place):
         same = block[1:] == block[:-1]
@@ -1034,7 +1062,7 @@ def _symbols_of(new: np.ndarray, known: np.ndarray | None, extra: np.ndarray, si
     events = (zeros >> 4) + 1
     at = np.cumsum(events) - 1
     total = int(at[-1]) + 1 if len(at) else 0
-    symbol, bits, width = np.full(total, 0xF0), np.zeros(total, np.int64), np.zeros(total, np.int64)
+    symbol, bits, width = np.full(total, 0xF0, np.int32), np.zeros(total, np.int32), np.zeros(total, np.int32)
     symbol[at], bits[at], width[at] = (zeros & 15) << 4 | size, extra, size
     start, of = begin, block
     if total > len(place):
@@ -1069,10 +1097,10 @@ def _symbols_of(new: np.ndarray, known: np.ndarray | None, extra: np.ndarray, si
 
 def _sent_first(part: np.ndarray, begins: np.ndarray) -> _Symbols:
     """The first approximation of a band: all bits but the lowest."""
-    half = np.sign(part) * (np.abs(part) >> 1)
+    half = (part + (part < 0)) >> 1
     new = half != 0
-    value = half[new].astype(np.int64)
-    size = np.frexp(np.abs(value))[1].astype(np.int64)
+    value = half[new].astype(np.int32)
+    size = BIT_LENGTH[np.abs(value)]
     return _symbols_of(new, None, np.where(value < 0, value + (1 << size) - 1, value), size, begins)
 
 
@@ -1080,9 +1108,9 @@ def _sent_last(part: np.ndarray, begins: np.ndarray) -> tuple[_Symbols, np.ndarr
     """The refinement: what is new, the corrections of what is known, before how many of them each symbol stands, and how many stand before each scan."""
     much = np.abs(part)
     known, new = much > 1, much == 1
-    symbols = _symbols_of(new, known, (part[new] > 0).astype(np.int64), 1, begins)
+    symbols = _symbols_of(new, known, (part[new] > 0).astype(np.int32), 1, begins)
     held = np.flatnonzero(known)
-    return symbols, (much[known] & 1).astype(np.int64), np.searchsorted(held, symbols.start), np.searchsorted(held, begins * part.shape[1])
+    return symbols, (much[known] & 1).astype(np.int32), np.searchsorted(held, symbols.start), np.searchsorted(held, begins * part.shape[1])
 
 
 _COMMENT = b"blocks "
@@ -1106,7 +1134,7 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     if not payloads:
         return []
     files = len(payloads)
-    file = np.arange(files)
+    file = np.arange(files, dtype=np.int32)
     n = np.array([len(p) // UNIT for p in payloads])
     across = np.array([math.isqrt(-(-k // 6) - 1) + 1 for k in n.tolist()])
     down = -(-(-(-n // 6)) // across)
@@ -1133,7 +1161,7 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
         step[starts] = flat[starts]
         steps[:, columns] = step.reshape(-1, columns.stop - columns.start)
     steps, owner = steps.ravel(), np.repeat(mcu_of, 6)
-    step_size = np.frexp(np.abs(steps))[1].astype(np.int64)
+    step_size = BIT_LENGTH[np.abs(steps)]
     dc_tables, dc_code, dc_bits = _tables_for(step_size, owner, files)
     value = np.where(steps < 0, steps + (1 << step_size) - 1, steps)
     step_owner = owner << 8 | step_size
