@@ -131,6 +131,15 @@ def test_sparse_products_are_added_up_by_ranges_of_rows(spark, monkeypatch):
     assert none.sparse and none.df.count() == 0
 
 
+def test_products_of_32_bit_indices(spark):
+    """Keys of a table may be int: s_suppkey and s_nationkey are."""
+    left = spark.createDataFrame([(0, 1, 2.0), (2, 0, 3.0)], "row int, col bigint, v double")
+    right = spark.createDataFrame([(0, 1, 5.0), (1, 0, 7.0)], "row int, col int, v double")
+    c = P.gemm(Matrix(left, 3, 2, sparse=True), Matrix(right, 2, 2, sparse=True))
+    assert dict(c.df.dtypes) == {"row": "int", "col": "int", "v": "double"}
+    assert c.to_numpy().tolist() == [[14, 0], [0, 0], [0, 15]]
+
+
 def _tasks(df):
     """The partitions into which df's plan deals rows by hash."""
     return [int(n) for n in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())]
