@@ -95,3 +95,30 @@ def test_implicit_products_touch_few_rows_in_a_task(spark):
     met = operator.cross.selectExpr("spark_partition_id() AS task", "i").distinct().count()
     operator.release()
     assert met <= 40 + 3 * 10  # three borders inside groups at most; 160 where ids are dealt out by hash
+
+
+def test_products_are_added_up_before_they_are_shuffled(monkeypatch):
+    """50 ids of the same 20 primaries: a task gives each place on or below the diagonal once, not 50 times both triangles."""
+    monkeypatch.setattr(L, "PIECE", 1000)
+    ids = [[{"i": i, "values": [1.0 * i, k]} for i in range(20)] for k in range(50)]
+    kind = pa.list_(pa.struct([("i", pa.int64()), ("values", pa.list_(pa.float64()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.nulls(50, kind), pa.array([[2.0]] * 50), pa.array([[3.0]] * 50)], ["x", "y", "inverse", "g"])
+
+    class Pairs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return list(run([batch]))
+
+    for hold, most in ((1 << 23, 20 * 21 // 2 + 20), (100, None)):
+        monkeypatch.setattr(L, "HOLD", hold)
+        every, few = ({}, {})
+        for found, added in ((every, False), (few, True)):
+            for b in L._products(Pairs(), 2, 1, added):
+                for i, j, v in zip(*(b.column(c).to_pylist() for c in ("i", "j", "values"))):
+                    if i >= j:
+                        found[i, j] = found.get((i, j), 0) + np.array(v)
+        assert every.keys() == few.keys() and all(np.allclose(every[k], few[k]) for k in every)
+        if most:
+            assert sum(b.num_rows for b in L._products(Pairs(), 2, 1, True)) == most
