@@ -122,3 +122,13 @@ def test_products_are_added_up_before_they_are_shuffled(monkeypatch):
         assert every.keys() == few.keys() and all(np.allclose(every[k], few[k]) for k in every)
         if most:
             assert sum(b.num_rows for b in L._products(Pairs(), 2, 1, True)) == most
+
+
+def test_a_fit_does_not_put_blocks_together_again(spark, monkeypatch):
+    from gridloom.plans import catalogue
+
+    kinds = []
+    real = L.NormalEquations.by_blocks
+    monkeypatch.setattr(L.NormalEquations, "by_blocks", lambda eq: kinds.append("v" in eq.table.columns) or real(eq))
+    catalogue.QUERIES["lm_fit"](spark, "/root/testdata/sf0.001")
+    assert kinds and not any(kinds)
